@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sylvagrid.operators.masks import symmetric_change
 from sylvagrid.operators.ranking import exact_percentiles_of
+from sylvagrid.session import stage
 
 
 def transition_pairs(cells: DataFrame, key: str = "cell", value: str = "tbd") -> DataFrame:
@@ -50,7 +51,8 @@ def transition_statistics(pairs: DataFrame, carbon: float = 0.5, area_ha: float
     raw = F.col("b2") - F.col("b1")
     d = pairs.select(
         "year1", "year2", "b1", "b2", raw.alias("raw"), symmetric_change(F.col("b1"), F.col("b2")).alias("rel")
-    ).withColumn("carbon", F.col("raw") * carbon * area_ha / 1e6)
+    )
+    d = stage(d, "pairs").withColumn("carbon", F.col("raw") * carbon * area_ha / 1e6)
     n = F.count(F.lit(1))
     lost = F.col("carbon") < 0
 

@@ -4,7 +4,8 @@ The built-in exact `percentile` keeps every distinct value of a group in one
 hash map, and a window ordered over a group sorts it in one task. Where a group
 may hold a large share of all rows, the functions here split it by value first:
 
-1. equal values are counted, partly before the shuffle;
+1. equal values are counted, partly before the shuffle, and the counts are
+   staged, since the next steps read them three times;
 2. splitters taken from a mergeable quantile sketch cut the value axis into
    parts of nearly equal size, whatever the groups look like;
 3. the parts are counted, which gives the rank at which every part starts;
@@ -20,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sylvagrid.functions.noise import uniform
+from sylvagrid.session import stage
 
 
 def _part_levels(df: DataFrame) -> int:
@@ -59,7 +61,7 @@ def running_totals(
     totals, a window over the few parts of a group, and a window inside a part.
     """
     keys = list(keys)
-    cut = with_value_part(df, order, levels)
+    cut = with_value_part(stage(df, "running"), order, levels)
     per = cut.groupBy(*keys, "_part").agg(*[F.sum(w).alias(f"_{w}") for w in weights])
     group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     upto = group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
@@ -97,6 +99,7 @@ def exact_percentiles(
         .groupBy(*keys, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    counts = stage(counts, "counts")
     cut = with_value_part(counts, "_v", levels)
     group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     per = (
@@ -159,7 +162,7 @@ def sample_exact(
     contains the cut, and only that part is sorted.
     """
     keys = list(keys)
-    tagged = df.withColumn("_u", uniform(seed, *keys, *ids)).withColumn("_part", F.floor(F.col("_u") * parts))
+    tagged = stage(df, "sample").withColumn("_u", uniform(seed, *keys, *ids)).withColumn("_part", F.floor(F.col("_u") * parts))
     group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     per = (
         tagged.groupBy(*keys, "_part")

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from sylvagrid.functions.text import rnd
 from sylvagrid.operators import inventory, masks, spatial
+from sylvagrid.operators.ranking import exact_percentiles
 from sylvagrid.plans.registry import query
+from sylvagrid.session import stage
 from sylvagrid.sources import tables
 
 X0, Y0, RES = 5e5, 45e5, 100.0
@@ -370,7 +372,7 @@ def tier_stack(v):
 )
 def iqr_filter(v):
     return (
-        inventory.iqr_filter(training_rows(v).where("ratio > 0"), ["type_code"], "ratio")
+        inventory.iqr_filter(stage(training_rows(v).where("ratio > 0"), "training"), ["type_code"], "ratio")
         .groupBy("type_code", "fence_low", "fence_high")
         .agg(F.count(F.lit(1)).alias("n_kept"), rnd(F.avg("ratio"), 9, "mean_ratio"))
         .withColumns({c: rnd(c, 9) for c in ("fence_low", "fence_high")})
@@ -386,11 +388,9 @@ RATIO_SQL = f"""{TIER_SQL}, q AS (SELECT tier, tier_name, quantile_cont(ratio, 0
 
 def ratios_by_tier(v, least: int = 10):
     """Mean, 5th and 95th percentile of the below-ground ratio per tier after the IQR fence."""
-    from sylvagrid.operators.ranking import exact_percentiles
-
     keys = ["tier", "tier_name"]
-    rows = tiered_rows(v).where("ratio > 0").select(*keys, "ratio")
-    clean = inventory.iqr_filter(rows, keys, "ratio")
+    rows = stage(tiered_rows(v).where("ratio > 0").select(*keys, "ratio"), "ratios")
+    clean = stage(inventory.iqr_filter(rows, keys, "ratio"), "ratios")
     order = exact_percentiles(clean, keys, "ratio", {"q05": 0.05, "q95": 0.95})
     means = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_samples"), F.avg("ratio").alias("mean"))
     return means.where(F.col("n_samples") >= least).join(order, keys)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "sylvagrid", cores: str = "8", memory: str = "12g") -> SparkSession:
@@ -44,3 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
     fallback = tempfile.mkdtemp(prefix="sylvagrid-")
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Used where several branches of a plan need the same expensive input: it is
+    computed once, the files outlive lost executors, and the branches scan
+    columns of it with fresh statistics. The folder is new for every call.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/sylvagrid/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
