@@ -6,5 +6,5 @@ from sylvagrid.plans.registry import checks, queries
 
 __all__ = ["checks", "queries"]
 
-for _name in ("stocks", "inventory", "scenes"):
+for _name in ("stocks", "inventory", "scenes", "carbon", "climate"):
     importlib.import_module(f"sylvagrid.plans.{_name}")
