@@ -314,17 +314,17 @@ TRAINING_SQL = f"""{TOTALS_SQL},
       FROM pt JOIN fx_plots p ON p.estadillo = pt.estadillo
       JOIN fx_cells k ON k.yr = p.yr AND k.r = CAST(floor((45e5 - y) / 1e2) AS INT) AND k.c = CAST(floor((x - 5e5) / 1e2) AS INT)
       JOIN fx_grid g ON g.cell = k.cell WHERE height > 0 AND height <= 60 AND agb > 0),
-    tr AS (SELECT * FROM tr0 WHERE type_code IN (SELECT type_code FROM tr0 GROUP BY type_code HAVING count(*) >= 20))"""
+    tr AS (SELECT * FROM tr0 WHERE type_code IN (SELECT type_code FROM tr0 GROUP BY type_code HAVING count(*) >= 10))"""
 
 
 def training_rows(v):
-    """Plots with a valid sampled height and biomass, of types with at least 20 such plots."""
+    """Plots with a valid sampled height and biomass, of types with at least 10 such plots."""
     heights = v.cells.where("height > 0 AND height <= 60").join(v.grid.select("cell", "type_code"), "cell")
     placed = spatial.sample_at_points(v.plots, heights.select("yr", "r", "c", "height", "type_code"), ["yr"], X0, Y0, RES)
     valid = placed.where("height IS NOT NULL").select("estadillo", "provincia", "type_code", "height")
     rows = valid.join(totals_of(v).where("agb > 0"), ["estadillo", "provincia"])
     rows = rows.withColumn("ratio", masks.guarded_ratio(F.col("bgb"), F.col("agb")))
-    return inventory.groups_of_at_least(rows, ["type_code"], 20)
+    return inventory.groups_of_at_least(rows, ["type_code"], 10)
 
 
 def tiered_rows(v):
@@ -383,10 +383,10 @@ RATIO_SQL = f"""{TIER_SQL}, q AS (SELECT tier, tier_name, quantile_cont(ratio, 0
       FROM ts GROUP BY tier, tier_name),
     rt AS (SELECT tier, tier_name, count(*) AS n_samples, avg(ratio) AS mean, quantile_cont(ratio, 0.05) AS q05,
       quantile_cont(ratio, 0.95) AS q95 FROM ts JOIN q USING (tier, tier_name)
-      WHERE ratio BETWEEN q1 - 15e-1 * (q3 - q1) AND q3 + 15e-1 * (q3 - q1) GROUP BY tier, tier_name HAVING count(*) >= 10)"""
+      WHERE ratio BETWEEN q1 - 15e-1 * (q3 - q1) AND q3 + 15e-1 * (q3 - q1) GROUP BY tier, tier_name HAVING count(*) >= 25)"""
 
 
-def ratios_by_tier(v, least: int = 10):
+def ratios_by_tier(v, least: int = 25):
     """Mean, 5th and 95th percentile of the below-ground ratio per tier after the IQR fence."""
     keys = ["tier", "tier_name"]
     rows = stage(tiered_rows(v).where("ratio > 0").select(*keys, "ratio"), "ratios")
