@@ -10,6 +10,9 @@ may hold a large share of all rows, the functions here split it by value first:
    parts of nearly equal size, whatever the groups look like;
 3. the parts are counted, which gives the rank at which every part starts;
 4. only the parts that hold a wanted rank are sorted, each by itself.
+
+When the staged table turns out to hold at most SMALL_ROWS rows (counted from the
+file footers), steps 2 and 3 are skipped and each group is ranked by one window.
 """
 
 from __future__ import annotations
@@ -24,6 +27,10 @@ from sylvagrid.functions.noise import uniform
 from sylvagrid.session import stage
 
 
+# A table up to this many rows may be ranked group by group in single tasks.
+SMALL_ROWS = 1_000_000
+
+
 def _part_levels(df: DataFrame) -> int:
     """log2 of the number of value parts: at least 64, at most 4096, else one per shuffle partition."""
     wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -61,7 +68,14 @@ def running_totals(
     totals, a window over the few parts of a group, and a window inside a part.
     """
     keys = list(keys)
-    cut = with_value_part(stage(df, "running"), order, levels)
+    staged = stage(df, "running")
+    if staged.count() <= SMALL_ROWS:
+        whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+        upto = whole.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return staged.withColumns(
+            {f"{w}_run": F.sum(w).over(upto) for w in weights} | {f"{w}_all": F.sum(w).over(whole) for w in weights}
+        )
+    cut = with_value_part(staged, order, levels)
     per = cut.groupBy(*keys, "_part").agg(*[F.sum(w).alias(f"_{w}") for w in weights])
     group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     upto = group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
@@ -79,19 +93,43 @@ def running_totals(
     )
 
 
+def _ranked_near(cut: DataFrame, keys: list[str], wanted: dict, position) -> DataFrame:
+    """Rows of the value parts that hold a wanted rank, with their running counts (`_end`)."""
+    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    per = (
+        cut.groupBy(*keys, "_part")
+        .agg(F.sum("_n").alias("_m"))
+        .withColumn("_all", F.sum("_m").over(group))
+        .withColumn("_start", F.sum("_m").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)))
+        .withColumn("_start", _before("_start"))
+    )
+
+    def holds(rank):
+        return (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_m"))
+
+    hit = F.lit(False)
+    for p in wanted.values():
+        hit = hit | holds(F.floor(position(p))) | holds(F.ceil(position(p)))
+    inside = W.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return cut.join(per.where(hit).drop("_m"), [*keys, "_part"]).withColumn(
+        "_end", F.col("_start") + F.sum("_n").over(inside)
+    )
+
+
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
-    wanted: dict[str, float],
+    wanted: dict[str, float | Column],
     levels: int | None = None,
     lower: bool = False,
 ) -> DataFrame:
     """Exact percentiles per group, linearly interpolated between ranks.
 
-    `wanted` maps output names to fractions. With `lower` the result is the order
-    statistic at ceil(p * n) instead (a value that occurs in the data). Null
-    values are ignored; key columns must not be null.
+    `wanted` maps output names to fractions (numbers, or key columns that hold the
+    fraction of a group). With `lower` the result is the order statistic at
+    ceil(p * n) instead (a value that occurs in the data). Null values are ignored;
+    key columns must not be null.
     """
     keys = list(keys)
     counts = (
@@ -100,31 +138,20 @@ def exact_percentiles(
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     counts = stage(counts, "counts")
-    cut = with_value_part(counts, "_v", levels)
     group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    per = (
-        cut.groupBy(*keys, "_part")
-        .agg(F.sum("_n").alias("_m"))
-        .withColumn("_all", F.sum("_m").over(group))
-        .withColumn("_start", F.sum("_m").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)))
-        .withColumn("_start", _before("_start"))
-    )
 
     def position(p):
+        share = p if isinstance(p, Column) else F.lit(float(p))
         if lower:
-            return F.greatest(F.ceil(F.lit(float(p)) * F.col("_all")) - 1, F.lit(0)).cast("double")
-        return (F.col("_all") - 1) * F.lit(float(p))
-
-    def holds(rank):
-        return (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_m"))
-
-    hit = F.lit(False)
-    for p in wanted.values():
-        hit = hit | holds(F.floor(position(p))) | holds(F.ceil(position(p)))
-    inside = W.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = cut.join(per.where(hit).drop("_m"), [*keys, "_part"]).withColumn(
-        "_end", F.col("_start") + F.sum("_n").over(inside)
-    )
+            # a hair below, so that a product that should be whole is not rounded up
+            return F.greatest(F.ceil(share * F.col("_all") - 1e-9) - 1, F.lit(0)).cast("double")
+        return (F.col("_all") - 1) * share
+
+    if counts.count() <= SMALL_ROWS:
+        upto = group.orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+        ranked = counts.withColumns({"_all": F.sum("_n").over(group), "_end": F.sum("_n").over(upto)})
+    else:
+        ranked = _ranked_near(with_value_part(counts, "_v", levels), keys, wanted, position)
     aggs = [F.first("_all").alias("_all")]
     for i, p in enumerate(wanted.values()):
         aggs.append(F.min(F.when(F.col("_end") > F.floor(position(p)), F.col("_v"))).alias(f"_lo{i}"))
@@ -162,8 +189,13 @@ def sample_exact(
     contains the cut, and only that part is sorted.
     """
     keys = list(keys)
-    tagged = stage(df, "sample").withColumn("_u", uniform(seed, *keys, *ids)).withColumn("_part", F.floor(F.col("_u") * parts))
+    staged = stage(df, "sample")
     group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    tagged = staged.withColumn("_u", uniform(seed, *keys, *ids))
+    if staged.count() <= SMALL_ROWS:
+        first = F.row_number().over(group.orderBy("_u", *ids))
+        return tagged.withColumn("_rank", first).where(F.col("_rank") <= size).drop("_u", "_rank")
+    tagged = tagged.withColumn("_part", F.floor(F.col("_u") * parts))
     per = (
         tagged.groupBy(*keys, "_part")
         .agg(F.count(F.lit(1)).alias("_m"))
