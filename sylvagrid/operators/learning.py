@@ -1,0 +1,292 @@
+"""Clustering, model search and interpretation with Spark ML.
+
+Fits run as Spark ML jobs; a loop on the driver only walks trials, runs and
+cluster counts, never rows. Interpretation turns (row, variation) pairs into rows,
+predicts them in one transform, and averages.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from sylvagrid.functions.noise import uniform
+from sylvagrid.operators import models, ranking, series
+from sylvagrid.session import stage
+
+TARGET = "biomass_rel_change"
+
+
+# --- clusters ----------------------------------------------------------------
+
+
+def _xy(points: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=["x", "y"], outputCol="_xy").transform(points)
+
+
+def elbow(points: DataFrame, counts: Sequence[int], seed: int = 42) -> int:
+    """Number of clusters at the knee of the within-cluster cost."""
+    vectors = _xy(points).select("_xy")
+    costs = [
+        (float(k), float(KMeans(k=k, seed=seed, featuresCol="_xy").fit(vectors).summary.trainingCost)) for k in counts
+    ]
+    curve = points.sparkSession.createDataFrame(costs, "k double, cost double")
+    return int(series.knee(curve, [], "k", "cost", increasing=False).first()["knee_x"])
+
+
+def spatial_clusters(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """`points` with `cluster_id` by k-means on x and y."""
+    vectors = _xy(points)
+    model = KMeans(k=k, seed=seed, featuresCol="_xy", predictionCol="cluster_id").fit(vectors.select("_xy"))
+    return model.transform(vectors).drop("_xy")
+
+
+# --- model search ------------------------------------------------------------
+
+
+def r2_of(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    error = F.col(TARGET) - F.col("prediction")
+    r2 = 1.0 - F.try_divide(F.sum(error * error), F.count(F.lit(1)) * F.var_pop(TARGET))
+    return scored.groupBy(*keys).agg(r2.alias("r2")) if keys else scored.agg(r2.alias("r2"))
+
+
+def fit(rows: DataFrame, features: Sequence[str], params: dict, seed: int) -> GBTRegressionModel:
+    vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
+    return GBTRegressor(featuresCol="features", labelCol=TARGET, seed=seed, **params).fit(
+        vectors.select("features", TARGET)
+    )
+
+
+def predict(model: GBTRegressionModel, rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    return model.transform(VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)).drop("features")
+
+
+def trial_settings(spark, predictors: Sequence[str], seed: int, trials: int, max_features: int, ranges: dict) -> list[dict]:
+    """Hyperparameters and feature subset of every trial, drawn from hashes of (seed, trial, name)."""
+    table = spark.range(trials).select(F.col("id").alias("trial"))
+    draws = table.select(
+        "trial", *[uniform(seed, "trial", F.lit(n)).alias(n) for n in (*ranges, "n_features", *predictors)]
+    )
+    out = []
+    for row in draws.orderBy("trial").collect():
+        params = {}
+        for name, (low, high) in ranges.items():
+            value = low + row[name] * (high - low)
+            params[name] = int(low + row[name] * (high - low + 1)) if isinstance(low, int) else float(value)
+        n = 1 + int(row["n_features"] * min(max_features, len(predictors)))
+        chosen = sorted(predictors, key=lambda p: row[p])[:n]
+        out.append({"trial": row["trial"], "params": params, "features": sorted(chosen)})
+    return out
+
+
+def search(
+    rows: DataFrame,
+    predictors: Sequence[str],
+    group: str,
+    seeds: Sequence[int],
+    trials: int,
+    ranges: dict,
+    max_features: int = 10,
+    test: int = 2,
+    validation: int = 3,
+    patience: int = 40,
+    min_trials: int = 100,
+) -> tuple[DataFrame, dict[int, tuple[GBTRegressionModel, list[str]]]]:
+    """Random search with blocked splits: one result row and one refitted model per seed.
+
+    Whole groups go to test, validation or training; a trial is scored by R2 on
+    the validation groups; the search stops after `patience` trials without a new
+    best once `min_trials` ran; the best trial is refitted on training and
+    validation rows and scored on the test groups.
+    """
+    spark = rows.sparkSession
+    rows = stage(rows, "search", spread=True)
+    results, fitted = [], {}
+    for run, seed in enumerate(seeds):
+        parts = models.shuffled_split(rows, group, seed, test, validation)
+        split = stage(rows.join(parts, group), "split", spread=True)
+        train, held = split.where("part = 'train'"), split.where("part = 'validation'")
+        best, since = None, 0
+        done = 0
+        for setting in trial_settings(spark, predictors, seed, trials, max_features, ranges):
+            model = fit(train, setting["features"], setting["params"], seed)
+            score = r2_of(predict(model, held, setting["features"])).first()["r2"]
+            score = -1.0 if score is None else score
+            done += 1
+            if best is None or score > best[0]:
+                best, since = (score, setting), 0
+            elif done > min_trials:
+                since += 1
+            if since >= patience:
+                break
+        val_r2, setting = best
+        final = fit(split.where("part <> 'test'"), setting["features"], setting["params"], seed)
+        test_r2 = r2_of(predict(final, split.where("part = 'test'"), setting["features"])).first()["r2"]
+        importance = dict(zip(setting["features"], map(float, final.featureImportances.toArray())))
+        params = {k: float(p) for k, p in setting["params"].items()}
+        results.append((run, seed, setting["features"], params, val_r2, test_r2, done, importance))
+        fitted[run] = (final, setting["features"])
+    schema = (
+        "run_id int, seed int, features array<string>, params map<string,double>, val_r2 double, test_r2 double,"
+        " trials_completed int, importance map<string,double>"
+    )
+    return spark.createDataFrame(results, schema), fitted
+
+
+# --- interpretation ----------------------------------------------------------
+
+
+def _overwritten(features: Sequence[str], changed: Column, value: Column) -> list[Column]:
+    return [F.when(changed == f, value).otherwise(F.col(f)).alias(f) for f in features]
+
+
+def permutation_importance(
+    model: GBTRegressionModel, rows: DataFrame, features: Sequence[str], ident: str, repeats: int, size: int = 5000, seed: int = 42
+) -> DataFrame:
+    """Drop of R2 when a feature's values are dealt out again among at most `size` sampled rows."""
+    sample = stage(ranking.sample_exact(rows.select(ident, TARGET, *features), [], [ident], size, seed), "sample", spread=True)
+    base = r2_of(predict(model, sample, features)).first()["r2"]
+    names = F.explode(F.array(*[F.lit(f) for f in features]))
+    wide = sample.withColumn("feature", names).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    group = W.partitionBy("feature", "repeat")
+    old = F.row_number().over(group.orderBy(ident))
+    new = F.row_number().over(group.orderBy(uniform(seed, "feature", "repeat", ident), ident))
+    # the donor of a row is the row whose shuffled place equals the row's own place
+    value = F.coalesce(*[F.when(F.col("feature") == f, F.col(f)) for f in features])
+    takers = wide.withColumn("_at", old)
+    donors = wide.select("feature", "repeat", new.alias("_at"), value.alias("_value"))
+    mixed = takers.join(donors, ["feature", "repeat", "_at"])
+    mixed = mixed.select("feature", "repeat", TARGET, *_overwritten(features, F.col("feature"), F.col("_value")))
+    scores = r2_of(predict(model, mixed, features), ["feature", "repeat"])
+    return scores.groupBy("feature").agg(
+        F.avg(F.lit(base) - F.col("r2")).alias("importance"), F.stddev_pop(F.col("r2")).alias("spread")
+    )
+
+
+def shapley_importance(
+    model: GBTRegressionModel,
+    rows: DataFrame,
+    features: Sequence[str],
+    ident: str,
+    size: int = 1000,
+    background: int = 100,
+    orderings: int = 20,
+    seed: int = 42,
+) -> DataFrame:
+    """Mean absolute Shapley value per feature, by sampled orderings.
+
+    A walk through an ordering replaces the values of a background row by the
+    explained row's one feature at a time; the change of the prediction at a step
+    is that feature's share. Explained and background rows are samples of fixed size.
+    """
+    p = len(features)
+    sample = ranking.sample_exact(rows.select(ident, *features), [], [ident], size, seed)
+    base = ranking.sample_exact(rows.select(ident, *features), [], [ident], background, seed + 1)
+    numbered = base.withColumn("_b", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(ident)) - 1)
+    numbered = stage(numbered.select("_b", *[F.col(f).alias(f"_base_{f}") for f in features]), "background")
+    n_base = numbered.agg(F.count(F.lit(1))).scalar()
+    order = F.array_sort(
+        F.array(*[F.struct(uniform(seed, ident, "_k", F.lit(f)).alias("u"), F.lit(f).alias("f")) for f in features])
+    )
+    walks = (
+        stage(sample, "sample", spread=True)
+        .withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(orderings))))
+        .withColumn("_order", F.transform(order, lambda s: s["f"]))
+        .withColumn("_b", F.floor(uniform(seed + 2, ident, "_k") * n_base).cast("int"))
+        .join(numbered, "_b")
+        .withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(p))))
+    )
+    mixed = walks.select(
+        ident,
+        "_k",
+        "_step",
+        F.get("_order", F.col("_step") - 1).alias("feature"),
+        *[
+            F.when(F.array_position("_order", f) <= F.col("_step"), F.col(f)).otherwise(F.col(f"_base_{f}")).alias(f)
+            for f in features
+        ],
+    )
+    scored = predict(model, mixed, features)
+    along = W.partitionBy(ident, "_k").orderBy("_step")
+    gains = scored.withColumn("_gain", F.col("prediction") - F.lag("prediction").over(along)).where("feature IS NOT NULL")
+    per_row = gains.groupBy(ident, "feature").agg(F.avg("_gain").alias("_phi"))
+    return per_row.groupBy("feature").agg(
+        F.avg(F.abs(F.col("_phi"))).alias("mean_abs"), F.avg("_phi").alias("mean"), F.count(F.lit(1)).alias("n_rows")
+    )
+
+
+def partial_dependence(
+    model: GBTRegressionModel,
+    rows: DataFrame,
+    features: Sequence[str],
+    wanted: Sequence[str],
+    ident: str,
+    low: float = -2.5,
+    high: float = 2.5,
+    points: int = 100,
+    size: int = 3000,
+    seed: int = 42,
+) -> DataFrame:
+    """Mean prediction when a feature is set to every grid value in turn."""
+    sample = stage(ranking.sample_exact(rows.select(ident, *features), [], [ident], size, seed), "sample", spread=True)
+    step = (high - low) / (points - 1)
+    varied = sample.withColumn("feature", F.explode(F.array(*[F.lit(w) for w in wanted]))).withColumn(
+        "_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
+    )
+    varied = varied.withColumn("x", F.lit(low) + F.col("_i") * step)
+    mixed = varied.select("feature", "x", *_overwritten(features, F.col("feature"), F.col("x")))
+    return predict(model, mixed, features).groupBy("feature", "x").agg(F.avg("prediction").alias("effect"))
+
+
+def interaction(
+    model: GBTRegressionModel,
+    rows: DataFrame,
+    features: Sequence[str],
+    first: str,
+    second: str,
+    ident: str,
+    size: int = 1000,
+    background: int = 200,
+    seed: int = 42,
+) -> DataFrame:
+    """Pairwise interaction of two features per row: the four-corner difference averaged over background rows.
+
+    Rows and background rows are samples of fixed size; each row meets every
+    background row, which are carried as one array.
+    """
+    sample = stage(ranking.sample_exact(rows.select(ident, *features), [], [ident], size, seed), "sample", spread=True)
+    base = ranking.sample_exact(rows.select(ident, *features), [], [ident], background, seed + 1)
+    pairs = stage(base, "background").agg(F.collect_list(F.struct(F.col(first).alias("a"), F.col(second).alias("b")))).scalar()
+    corners = F.array(
+        *[
+            F.struct(F.lit(s).alias("sign"), F.lit(i).alias("own_a"), F.lit(j).alias("own_b"))
+            for s, i, j in ((1.0, True, True), (-1.0, True, False), (-1.0, False, True), (1.0, False, False))
+        ]
+    )
+    wide = (
+        sample.withColumn("_all", pairs)
+        .withColumn("_o", F.explode("_all"))
+        .drop("_all")
+        .withColumn("_c", F.explode(corners))
+    )
+    replaced = {
+        first: F.when(F.col("_c.own_a"), F.col(first)).otherwise(F.col("_o.a")),
+        second: F.when(F.col("_c.own_b"), F.col(second)).otherwise(F.col("_o.b")),
+    }
+    mixed = wide.select(
+        ident,
+        F.col(first).alias("value_1"),
+        F.col(second).alias("value_2"),
+        F.col("_c.sign").alias("_sign"),
+        *[replaced.get(f, F.col(f)).alias(f) for f in features],
+    )
+    scored = predict(model, mixed, features)
+    # four corners per background row
+    mean = F.sum(F.col("_sign") * F.col("prediction")) / (F.count(F.lit(1)) / 4.0)
+    return scored.groupBy(ident, "value_1", "value_2").agg(mean.alias("interaction"))

@@ -25,6 +25,7 @@ def build_session(app: str = "sylvagrid", cores: str = "8", memory: str = "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -47,14 +48,18 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", spread: bool = False) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     Used where several branches of a plan need the same expensive input: it is
     computed once, the files outlive lost executors, and the branches scan
-    columns of it with fresh statistics. The folder is new for every call.
+    columns of it with fresh statistics. The folder is new for every call. With
+    `spread` a table that later steps multiply (one row to many) is first dealt
+    out to all shuffle partitions, so a small one is not read by a single task.
     """
     spark = df.sparkSession
+    if spread:
+        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = f"{shared_dir(spark)}/sylvagrid/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
