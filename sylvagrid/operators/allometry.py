@@ -44,7 +44,7 @@ def trim_outliers(
     half nearest to the last estimate, then once from the rows inside the 97.5 %
     ellipse (scaled by the median distance); the final distances decide.
     """
-    rows = stage(rows, "trim", spread=True)
+    rows = stage(rows, "trim", spread_rows=True)
     measured = stage(_distances(rows, rows, keys, x, y), "trim")
     for _ in range(steps):
         half = exact_percentiles(measured, keys, "_d2", {"_cut": 0.5})
@@ -91,7 +91,7 @@ def quantile_lines(
     The loss is convex in the slope, so a coarse list of slopes brackets the best
     one and every refinement searches the bracket `parts` times finer.
     """
-    rows = stage(rows.select(*keys, x, y), "lines", spread=True)
+    rows = stage(rows.select(*keys, x, y), "lines", spread_rows=True)
     groups = rows.select(*keys).distinct()
     every = F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("q")
     slopes = F.explode(F.array(*[F.lit(float(s)) for s in first])).alias("slope")

@@ -106,11 +106,11 @@ def search(
     validation rows and scored on the test groups.
     """
     spark = rows.sparkSession
-    rows = stage(rows, "search", spread=True)
+    rows = stage(rows, "search", spread_rows=True)
     results, fitted = [], {}
     for run, seed in enumerate(seeds):
         parts = models.shuffled_split(rows, group, seed, test, validation)
-        split = stage(rows.join(parts, group), "split", spread=True)
+        split = stage(rows.join(parts, group), "split", spread_rows=True)
         train, held = split.where("part = 'train'"), split.where("part = 'validation'")
         best, since = None, 0
         done = 0
@@ -150,7 +150,7 @@ def permutation_importance(
     model: GBTRegressionModel, rows: DataFrame, features: Sequence[str], ident: str, repeats: int, size: int = 5000, seed: int = 42
 ) -> DataFrame:
     """Drop of R2 when a feature's values are dealt out again among at most `size` sampled rows."""
-    sample = stage(ranking.sample_exact(rows.select(ident, TARGET, *features), [], [ident], size, seed), "sample", spread=True)
+    sample = stage(ranking.sample_exact(rows.select(ident, TARGET, *features), [], [ident], size, seed), "sample", spread_rows=True)
     base = r2_of(predict(model, sample, features)).first()["r2"]
     names = F.explode(F.array(*[F.lit(f) for f in features]))
     wide = sample.withColumn("feature", names).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
@@ -195,7 +195,7 @@ def shapley_importance(
         F.array(*[F.struct(uniform(seed, ident, "_k", F.lit(f)).alias("u"), F.lit(f).alias("f")) for f in features])
     )
     walks = (
-        stage(sample, "sample", spread=True)
+        stage(sample, "sample", spread_rows=True)
         .withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(orderings))))
         .withColumn("_order", F.transform(order, lambda s: s["f"]))
         .withColumn("_b", F.floor(uniform(seed + 2, ident, "_k") * n_base).cast("int"))
@@ -234,7 +234,7 @@ def partial_dependence(
     seed: int = 42,
 ) -> DataFrame:
     """Mean prediction when a feature is set to every grid value in turn."""
-    sample = stage(ranking.sample_exact(rows.select(ident, *features), [], [ident], size, seed), "sample", spread=True)
+    sample = stage(ranking.sample_exact(rows.select(ident, *features), [], [ident], size, seed), "sample", spread_rows=True)
     step = (high - low) / (points - 1)
     varied = sample.withColumn("feature", F.explode(F.array(*[F.lit(w) for w in wanted]))).withColumn(
         "_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
@@ -260,7 +260,7 @@ def interaction(
     Rows and background rows are samples of fixed size; each row meets every
     background row, which are carried as one array.
     """
-    sample = stage(ranking.sample_exact(rows.select(ident, *features), [], [ident], size, seed), "sample", spread=True)
+    sample = stage(ranking.sample_exact(rows.select(ident, *features), [], [ident], size, seed), "sample", spread_rows=True)
     base = ranking.sample_exact(rows.select(ident, *features), [], [ident], background, seed + 1)
     pairs = stage(base, "background").agg(F.collect_list(F.struct(F.col(first).alias("a"), F.col(second).alias("b")))).scalar()
     corners = F.array(

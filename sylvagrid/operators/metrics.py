@@ -27,7 +27,7 @@ def cleaned(pairs: DataFrame, cap: float = 60.0, cutoff: float = 0.99) -> DataFr
         .where((F.col("pred") <= cap) & (F.col("target") <= cap))
         .withColumn("residual", F.col("pred") - F.col("target"))
     )
-    kept = stage(kept, "residuals")
+    kept = stage(kept, "residuals", spread_rows=True)
     limit = exact_percentiles(kept, [], "residual", {"q": cutoff}).scalar()
     return kept.where(F.col("residual") <= limit)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sylvagrid.functions.noise import STEP_U, STEP_V, box_muller, digest, normal, rotate, uniform, uniform_from
+from sylvagrid.session import spread
 
 # Standard normal quantiles at 0.85 and 0.95, and the 95 % half-width.
 Z85 = 1.0364333894937898
@@ -47,14 +48,14 @@ def allometric_density(cells: DataFrame, threshold: float = 0.0) -> DataFrame:
 def cell_monte_carlo(cells: DataFrame, keys: Sequence[str], draws: int = 250, seed: int = 42) -> DataFrame:
     """Mean and 95 % half-width of above-, below-ground and total density per cell.
 
-    The draws of a cell are rows only inside one task: generated, evaluated and
-    partially aggregated before the shuffle, which therefore carries one row per
-    cell. One digest per cell starts the noise of all its draws.
+    Narrow cell rows are dealt out by key once; the draws of a cell are generated,
+    evaluated and reduced inside that task, with no second shuffle. One digest per
+    cell starts the noise of all its draws. Draws are summed as deviations from
+    the cell's median values, so plain sums and sums of squares lose no precision.
     """
-    hashed = digest(seed, *keys)
     started = (
-        cells.where(F.col("p50").isNotNull())
-        .select(*keys, "p50", "agb_sd", "ratio_mean", "ratio_sd", hashed.alias("_d"))
+        spread(cells.where(F.col("p50").isNotNull()).select(*keys, "p50", "agb_sd", "ratio_mean", "ratio_sd"), *keys)
+        .withColumn("_d", digest(seed, *keys))
         .withColumns({"_u": uniform_from(F.col("_d"), 0), "_v": uniform_from(F.col("_d"), 1)})
         .drop("_d")
     )
@@ -63,15 +64,22 @@ def cell_monte_carlo(cells: DataFrame, keys: Sequence[str], draws: int = 250, se
         {"_uk": rotate(F.col("_u"), F.col("_k"), STEP_U), "_vk": rotate(F.col("_v"), F.col("_k"), STEP_V)}
     )
     z1, z2 = box_muller(F.col("_uk"), F.col("_vk"))
-    valued = turned.withColumn("agbd", F.col("p50") + z1 * F.col("agb_sd")).withColumn(
-        "bgbd", F.col("agbd") * (F.col("ratio_mean") + z2 * F.col("ratio_sd"))
+    noise = turned.withColumns({"_a": z1 * F.col("agb_sd"), "_c": z2 * F.col("ratio_sd")})
+    # agbd = p50 + a and bgbd = agbd (ratio_mean + c), each less its value without noise
+    off = noise.withColumn("_b", F.col("_a") * F.col("ratio_mean") + (F.col("p50") + F.col("_a")) * F.col("_c"))
+    off = off.withColumn("_t", F.col("_a") + F.col("_b"))
+    sums = off.groupBy(*keys, "p50", "ratio_mean").agg(
+        *[F.sum(c).alias(f"{c}1") for c in ("_a", "_b", "_t")],
+        *[F.sum(F.col(c) * F.col(c)).alias(f"{c}2") for c in ("_a", "_b", "_t")],
     )
-    valued = valued.withColumn("tbd", F.col("agbd") + F.col("bgbd"))
+    below = F.col("p50") * F.col("ratio_mean")
     out = []
-    for name in ("agbd", "bgbd", "tbd"):
-        out.append(F.avg(name).alias(f"{name}_mean"))
-        out.append((F.stddev_pop(name) * HALF_WIDTH).alias(f"{name}_uncertainty"))
-    return valued.groupBy(*keys).agg(*out)
+    for name, c, centre in (("agbd", "_a", F.col("p50")), ("bgbd", "_b", below), ("tbd", "_t", F.col("p50") + below)):
+        mean = F.col(f"{c}1") / draws
+        spread_sd = F.sqrt(F.greatest(F.col(f"{c}2") / draws - mean * mean, F.lit(0.0)))
+        out.append((centre + mean).alias(f"{name}_mean"))
+        out.append((spread_sd * HALF_WIDTH).alias(f"{name}_uncertainty"))
+    return sums.select(*keys, *out)
 
 
 def block_columns(size: int):

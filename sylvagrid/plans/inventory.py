@@ -323,7 +323,7 @@ def training_rows(v):
     placed = spatial.sample_at_points(v.plots, heights.select("yr", "r", "c", "height", "type_code"), ["yr"], X0, Y0, RES)
     valid = placed.where("height IS NOT NULL").select("estadillo", "provincia", "type_code", "height")
     rows = valid.join(totals_of(v).where("agb > 0"), ["estadillo", "provincia"])
-    rows = rows.withColumn("ratio", masks.guarded_ratio(F.col("bgb"), F.col("agb")))
+    rows = stage(rows.withColumn("ratio", masks.guarded_ratio(F.col("bgb"), F.col("agb"))), "training")
     return inventory.groups_of_at_least(rows, ["type_code"], 10)
 
 
@@ -372,7 +372,7 @@ def tier_stack(v):
 )
 def iqr_filter(v):
     return (
-        inventory.iqr_filter(stage(training_rows(v).where("ratio > 0"), "training"), ["type_code"], "ratio")
+        inventory.iqr_filter(training_rows(v).where("ratio > 0"), ["type_code"], "ratio")
         .groupBy("type_code", "fence_low", "fence_high")
         .agg(F.count(F.lit(1)).alias("n_kept"), rnd(F.avg("ratio"), 9, "mean_ratio"))
         .withColumns({c: rnd(c, 9) for c in ("fence_low", "fence_high")})
@@ -420,6 +420,7 @@ def tier_parameters(v):
         F.regr_intercept(F.ln("agb"), F.ln("height")).alias("intercept"),
         F.avg("ratio").alias("mean"),
     )
+    stats = stage(stats, "tiers")
     fits = stats.where("n >= 100").select(*keys, "intercept", "slope")
     ratios = stats.where("n >= 1000").select(*keys, "mean")
     return fits, ratios

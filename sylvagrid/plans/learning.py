@@ -18,18 +18,18 @@ def table_of(v):
     """Standardised modelling rows of all cells and periods, with a row id."""
     rows = modelling_rows(v, FEATURES, cap=1_000_000)
     ident = F.concat_ws("_", "cell", "year_start")
-    rows = stage(rows.select(ident.alias("row_id"), "x", "y", learning.TARGET, *FEATURES), "ml", spread=True)
+    rows = stage(rows.select(ident.alias("row_id"), "x", "y", learning.TARGET, *FEATURES), "ml", spread_rows=True)
     return climate.standardize(rows, [learning.TARGET, *FEATURES])
 
 
 def model_of(v):
-    rows = stage(table_of(v), "ml", spread=True)
+    rows = stage(table_of(v), "ml", spread_rows=True)
     return learning.fit(rows, FEATURES, PARAMS, 42), rows
 
 
 @query("spatial_clusters")
 def spatial_clusters(v):
-    points = stage(v.grid.select("cell", "x", "y"), "points", spread=True)
+    points = stage(v.grid.select("cell", "x", "y"), "points", spread_rows=True)
     k = learning.elbow(points, [4, 8, 12, 15])
     labelled = learning.spatial_clusters(points, k)
     return labelled.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
@@ -37,7 +37,7 @@ def spatial_clusters(v):
 
 @query("model_search")
 def model_search(v):
-    rows = stage(learning.spatial_clusters(table_of(v), 15), "ml", spread=True)
+    rows = stage(learning.spatial_clusters(table_of(v), 15), "ml", spread_rows=True)
     results, _ = learning.search(rows, FEATURES, "cluster_id", [42, 123], trials=2, ranges=RANGES, max_features=4)
     return results
 

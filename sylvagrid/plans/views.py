@@ -118,7 +118,7 @@ class Views:
         n = F.count(F.lit(1))
         return (
             self.t("lineitem")
-            .where(F.year("l_shipdate") <= 2000)
+            .where(F.col("l_shipdate") < F.lit("2001-01-01").cast("timestamp_ntz"))
             .groupBy(F.col("l_partkey").alias("k"), F.year("l_shipdate").alias("yr"))
             .agg(
                 (F.sum(F.col("l_quantity").cast("bigint")).cast("double") / n).alias("height"),

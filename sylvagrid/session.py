@@ -48,18 +48,31 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
-def stage(df: DataFrame, name: str = "stage", spread: bool = False) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows out to all shuffle partitions, by key if given.
+
+    For rows that the next step multiplies: adaptive execution sizes partitions by
+    bytes read, which says little about the work that a generated row costs.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def stage(df: DataFrame, name: str = "stage", spread_rows: bool = False) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     Used where several branches of a plan need the same expensive input: it is
     computed once, the files outlive lost executors, and the branches scan
-    columns of it with fresh statistics. The folder is new for every call. With
-    `spread` a table that later steps multiply (one row to many) is first dealt
-    out to all shuffle partitions, so a small one is not read by a single task.
+    columns of it with fresh statistics. The folder is new for every call and is
+    removed when the application ends. `spread_rows` deals the rows out first.
     """
     spark = df.sparkSession
-    if spread:
-        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = f"{shared_dir(spark)}/sylvagrid/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    (spread(df) if spread_rows else df).write.parquet(path)
+    _remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove_at_end(spark: SparkSession, path: str) -> None:
+    """Let the file system client of the driver delete the folder when the JVM exits."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)

@@ -62,3 +62,15 @@ def write_table(df: DataFrame, path: str) -> str:
     """A result table as one CSV file with a header (results are summaries of bounded size)."""
     df.coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
     return path
+
+
+def write_layer(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> str:
+    """A cell layer bucketed and sorted by its key.
+
+    Layers of one grid written with the same bucket count join on the key without
+    a shuffle, which is how the static layers (types, land cover) should meet the
+    annual ones.
+    """
+    writer = df.write.mode("errorifexists").format("parquet").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return table
