@@ -90,10 +90,9 @@ def bootstrap_intervals(rows: DataFrame, ids: Sequence[str], replicates: int = 1
 
 def range_index(value: Column, ranges: Sequence[tuple[float, float]]) -> Column:
     """Index of the half-open range that holds the value, null outside all."""
-    out = F.lit(None).cast("int")
-    for i, (low, high) in reversed(list(enumerate(ranges))):
-        inside = (value >= low) if high is None else (value >= low) & (value < high)
-        out = F.when(inside, F.lit(i)).otherwise(out)
+    out = F.when(value < ranges[0][0], F.lit(None).cast("int"))
+    for i, (low, high) in enumerate(ranges):
+        out = out.when((value >= low) if high is None else (value >= low) & (value < high), i)
     return out
 
 

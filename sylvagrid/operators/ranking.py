@@ -131,13 +131,28 @@ def exact_percentiles(
     ceil(p * n) instead (a value that occurs in the data). Null values are ignored;
     key columns must not be null.
     """
-    keys = list(keys)
+    return percentiles_of_counts(value_counts(df, keys, value), keys, wanted, levels, lower)
+
+
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Staged (keys, _v, _n): how often every value occurs in a group."""
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    counts = stage(counts, "counts")
+    return stage(counts, "counts")
+
+
+def percentiles_of_counts(
+    counts: DataFrame,
+    keys: Sequence[str],
+    wanted: dict[str, float | Column],
+    levels: int | None = None,
+    lower: bool = False,
+) -> DataFrame:
+    """`exact_percentiles` for a table already reduced by `value_counts`."""
+    keys = list(keys)
     group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
 
     def position(p):

@@ -68,7 +68,12 @@ def pass_sql(i, candidates):
     return f"""r{i} AS (SELECT tier, tier_name, q, slope, lb - slope * lh AS r FROM al JOIN {candidates} c USING (tier, tier_name)),
     i{i} AS (SELECT tier, tier_name, q, slope, CASE q WHEN 15e-2 THEN quantile_disc(r, 0.15) WHEN 5e-1 THEN quantile_disc(r, 0.5) ELSE quantile_disc(r, 0.85) END AS a FROM r{i} GROUP BY tier, tier_name, q, slope),
     l{i} AS (SELECT tier, tier_name, q, slope, a, avg(greatest(q * (r - a), (q - 1) * (r - a))) + 5e-2 * abs(slope) AS loss FROM r{i} JOIN i{i} USING (tier, tier_name, q, slope) GROUP BY tier, tier_name, q, slope, a),
-    b{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tier, tier_name, q ORDER BY round(loss, 10), slope) AS k FROM l{i}) z WHERE k = 1)"""
+    b{i} AS (SELECT tier, tier_name, q, slope, a, loss FROM (SELECT *, row_number() OVER (PARTITION BY tier, tier_name, q ORDER BY round(loss, 10), slope) AS k
+      FROM (SELECT * FROM l{i} {f"UNION ALL SELECT * FROM b{i - 1}" if i else ""}) y) z WHERE k = 1)"""
+
+
+def near_slopes_sql(i):
+    return f"c{i} AS (SELECT tier, tier_name, q, round(slope + i * {0.5 / 3**i!r}e0, 9) AS slope FROM b{i - 1}, (SELECT unnest([-2, -1, 1, 2]) AS i) z), {pass_sql(i, f'c{i}')}"
 
 
 LINES_SQL = f"""{LOG_SQL}, al AS (SELECT u.tier, u.tier_name, lh, lb FROM lo JOIN fx_types t ON code = type_code, LATERAL (SELECT 0 AS tier, 'General' AS tier_name
@@ -76,16 +81,15 @@ LINES_SQL = f"""{LOG_SQL}, al AS (SELECT u.tier, u.tier_name, lh, lb FROM lo JOI
     gr AS (SELECT DISTINCT tier, tier_name FROM al),
     c0 AS (SELECT tier, tier_name, q, slope FROM gr, (SELECT CAST(unnest([0.15, 0.5, 0.85]) AS DOUBLE) AS q) a, (SELECT CAST(unnest([-0.5, 0, 0.5, 1, 1.5, 2, 2.5]) AS DOUBLE) AS slope) b),
     {pass_sql(0, "c0")},
-    c1 AS (SELECT tier, tier_name, q, round(slope + i * 1e-1, 9) AS slope FROM b0, (SELECT unnest(range(-5, 6)) AS i) z), {pass_sql(1, "c1")},
-    c2 AS (SELECT tier, tier_name, q, round(slope + i * 2e-2, 9) AS slope FROM b1, (SELECT unnest(range(-5, 6)) AS i) z), {pass_sql(2, "c2")}"""
+    {near_slopes_sql(1)}, {near_slopes_sql(2)}, {near_slopes_sql(3)}"""
 
 
 @query(
     "quantile_allometry",
     f"""WITH {LINES_SQL}, wd AS (SELECT tier, tier_name, {", ".join(f"max(CASE WHEN q = {q} THEN slope END) AS {n}_slope, max(CASE WHEN q = {q} THEN a END) AS {n}_intercept"
-        for q, n in (("15e-2", "low_bound"), ("5e-1", "median"), ("85e-2", "upper_bound")))} FROM b2 GROUP BY tier, tier_name),
+        for q, n in (("15e-2", "low_bound"), ("5e-1", "median"), ("85e-2", "upper_bound")))} FROM b3 GROUP BY tier, tier_name),
     sc AS (SELECT al.tier, al.tier_name, count(*) AS n_samples, 1 - sum((lb - a - slope * lh) * (lb - a - slope * lh)) / (count(*) * var_pop(lb)) AS r2,
-      sqrt(avg((exp(lb) - exp(a + slope * lh)) * (exp(lb) - exp(a + slope * lh)))) AS rmse FROM al JOIN b2 ON b2.tier = al.tier AND b2.tier_name = al.tier_name AND q = 5e-1 GROUP BY al.tier, al.tier_name)
+      sqrt(avg((exp(lb) - exp(a + slope * lh)) * (exp(lb) - exp(a + slope * lh)))) AS rmse FROM al JOIN b3 ON b3.tier = al.tier AND b3.tier_name = al.tier_name AND q = 5e-1 GROUP BY al.tier, al.tier_name)
     SELECT tier, tier_name, n_samples, round(low_bound_slope, 6) AS low_bound_slope, round(low_bound_intercept, 8) AS low_bound_intercept, round(median_slope, 6) AS median_slope,
     round(median_intercept, 8) AS median_intercept, round(upper_bound_slope, 6) AS upper_bound_slope, round(upper_bound_intercept, 8) AS upper_bound_intercept, round(r2, 8) AS r2, round(rmse, 6) AS rmse
     FROM wd JOIN sc USING (tier, tier_name) WHERE n_samples >= 10 AND r2 >= 0.1 AND median_slope >= 0""",
