@@ -163,7 +163,7 @@ def lowess_smooth(v):
 
 @query(
     "string_parsing",
-    """SELECT o_orderkey, upper(concat('pnoa_', 'h', CAST(28 + o_orderkey % 4 AS VARCHAR))) AS zone_label, concat('TBD_S2_mean_', CAST(year(o_orderdate) AS VARCHAR), '_100m_code', lpad(CAST(o_custkey % 60 AS VARCHAR), 3, '0'), '.tif') AS file_name,
+    """SELECT o_orderkey, upper(concat('zone_', 'h', CAST(28 + o_orderkey % 4 AS VARCHAR))) AS zone_label, concat('TBD_S2_mean_', CAST(year(o_orderdate) AS VARCHAR), '_100m_code', lpad(CAST(o_custkey % 60 AS VARCHAR), 3, '0'), '.tif') AS file_name,
     CAST(year(o_orderdate) AS INT) AS year_from_name, CAST(o_custkey % 60 AS INT) AS code_from_name, strftime(o_orderdate, '%y') AS year_digits, concat(CAST(year(o_orderdate) AS VARCHAR), '-06-01/', CAST(year(o_orderdate) AS VARCHAR), '-09-01') AS season FROM orders""",
 )
 def string_parsing(v):
@@ -173,7 +173,7 @@ def string_parsing(v):
     rows = v.t("orders").select("o_orderkey", "o_orderdate", name.alias("file_name"), text.alias("_text"), (F.col("o_orderkey") % 4 + 28).alias("_zone"))
     return rows.select(
         "o_orderkey",
-        F.upper(F.concat(F.lit("pnoa_h"), F.col("_zone").cast("string"))).alias("zone_label"),
+        F.upper(F.concat(F.lit("zone_h"), F.col("_zone").cast("string"))).alias("zone_label"),
         "file_name",
         F.regexp_extract("file_name", r"_(\d{4})_", 1).cast("int").alias("year_from_name"),
         F.regexp_extract("file_name", r"code(\d+)", 1).cast("int").alias("code_from_name"),
