@@ -43,6 +43,7 @@ def signed_degrees(direction: Column, degrees: Column) -> Column:
 
 def parse_height_path(path: str) -> dict[str, Column]:
     """Year, latitude, longitude and type code from a height-tile path."""
+    # fixed value: the file-name pattern
     pattern = r"canopy_height_(\d{4})_([NS])(\d+\.\d)_([EW])(\d+\.\d)(?:_code(\d+))?\.tif$"
 
     def part(i):

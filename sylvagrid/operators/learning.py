@@ -7,6 +7,7 @@ predicts them in one transform, and averages.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans
@@ -94,13 +95,14 @@ def search(
     ranges: dict,
     max_features: int = 10,
     test: int = 2,
-    validation: int = 3,
+    validation: tuple[int, int] = (3, 4),
     patience: int = 40,
     min_trials: int = 100,
 ) -> tuple[DataFrame, dict[int, tuple[GBTRegressionModel, list[str]]]]:
     """Random search with blocked splits: one result row and one refitted model per seed.
 
-    Whole groups go to test, validation or training; a trial is scored by R2 on
+    Whole groups go to test, validation (a number of them between the two limits,
+    drawn by the seed) or training; a trial is scored by R2 on
     the validation groups; the search stops after `patience` trials without a new
     best once `min_trials` ran; the best trial is refitted on training and
     validation rows and scored on the test groups.
@@ -109,7 +111,9 @@ def search(
     rows = stage(rows, "search", spread_rows=True)
     results, fitted = [], {}
     for run, seed in enumerate(seeds):
-        parts = models.shuffled_split(rows, group, seed, test, validation)
+        low, high = validation
+        blocks = low + int(hashlib.md5(f"{seed}|validation".encode()).hexdigest(), 16) % (high - low + 1)
+        parts = models.shuffled_split(rows, group, seed, test, blocks)
         split = stage(rows.join(parts, group), "split", spread_rows=True)
         train, held = split.where("part = 'train'"), split.where("part = 'validation'")
         best, since = None, 0

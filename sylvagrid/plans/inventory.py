@@ -8,7 +8,7 @@ from sylvagrid.functions.text import rnd
 from sylvagrid.operators import inventory, masks, spatial
 from sylvagrid.operators.ranking import exact_percentiles
 from sylvagrid.plans.registry import query
-from sylvagrid.session import stage
+from sylvagrid.session import scratch, stage
 from sylvagrid.sources import tables
 
 X0, Y0, RES = 5e5, 45e5, 100.0
@@ -24,7 +24,7 @@ BUCKET = 1000.0
     WHERE p_partkey % 9 <> 0 AND p_name IS NOT NULL AND p_name <> ''""",
 )
 def scan_csv_codes(v):
-    path = tables.run_folder(v.spark, "codes")
+    path = scratch(v.spark, "codes")
     name = F.when(F.col("p_partkey") % 9 != 0, F.col("p_name"))
     v.t("part").select(F.col("p_partkey").alias("code"), name.alias("name")).write.option("header", True).option(
         "sep", ";"
@@ -291,6 +291,7 @@ def dedup_first(v):
     kind = F.when(F.col("o_orderkey") % 7 == 0, "TERRAIN").otherwise("VEGETACION")
     path = F.concat(F.lit("/mnt/NDSM-"), kind, F.lit("-H50-F"), F.col("o_custkey").cast("string"), F.lit("-COB2.tif"))
     files = v.t("orders").select((F.col("o_orderkey") % 4 + 28).cast("int").alias("zone"), path.alias("path"))
+    # fixed value: the file-name pattern
     file_id = F.regexp_extract("path", r"NDSM-VEGETACION-(?:...)-(.*)-COB2\.tif", 1)
     tagged = files.withColumn("file_id", file_id).where("file_id <> ''")
     return inventory.first_per_id(tagged, ["file_id"], "zone", ["path"]).select("file_id", "zone")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sylvagrid.functions.text import rnd
 from sylvagrid.operators import catalog, composite, distributions, masks, series
 from sylvagrid.plans.registry import query, uniform_sql
-from sylvagrid.session import stage
+from sylvagrid.session import scratch, stage
 from sylvagrid.sources import tables
 
 # Valid scene classes.
@@ -486,7 +486,7 @@ def completeness_report(v):
 def write_partitioned(v):
     """Cell layer written below variable and year, then read back through the partitions."""
     long = v.cells.unpivot(["cell", "r", "c", "yr"], ["height", "tbd", "tbd_unc"], "variable", "value")
-    path = tables.write_skewed(long, tables.run_folder(v.spark, "layers"), ["variable", "yr"], "cell", 4)
+    path = tables.write_skewed(long, scratch(v.spark, "layers"), ["variable", "yr"], "cell", 4)
     return v.spark.read.parquet(path).where("variable = 'tbd'").groupBy("yr").agg(F.count("value").alias("n"))
 
 
@@ -496,6 +496,6 @@ def write_partitioned(v):
 )
 def export_stratified(v):
     plots = v.plots.withColumn("utm", F.col("provincia") % 4 + 28)
-    path = tables.write_skewed(plots, tables.run_folder(v.spark, "plots"), ["utm", "yr"], "estadillo", 4)
+    path = tables.write_skewed(plots, scratch(v.spark, "plots"), ["utm", "yr"], "estadillo", 4)
     back = v.spark.read.schema(plots.schema).parquet(path)
     return back.groupBy("utm", "yr").agg(F.count(F.lit(1)).alias("n_plots"), F.sum("estadillo").alias("id_sum"))

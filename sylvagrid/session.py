@@ -66,13 +66,15 @@ def stage(df: DataFrame, name: str = "stage", spread_rows: bool = False) -> Data
     removed when the application ends. `spread_rows` deals the rows out first.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sylvagrid/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, name)
     (spread(df) if spread_rows else df).write.parquet(path)
-    _remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove_at_end(spark: SparkSession, path: str) -> None:
-    """Let the file system client of the driver delete the folder when the JVM exits."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path that does not exist yet, in a new shared folder that is removed when the application ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sylvagrid/{name}-{uuid.uuid4().hex[:12]}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{folder.toString()}/data"

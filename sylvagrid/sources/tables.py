@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvagrid.operators.spatial import valid_ring
-from sylvagrid.session import shared_dir
-
-
-def run_folder(spark: SparkSession, name: str) -> str:
-    """A new folder of this run below the shared folder."""
-    return f"{shared_dir(spark)}/sylvagrid/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def read_codes(spark: SparkSession, path: str, code: str, schema: str, sep: str = ";") -> DataFrame:

@@ -56,7 +56,7 @@ def test_interaction_follows_the_product(model, rows):
 
 def test_search_uses_whole_groups_and_reports_runs(rows):
     ranges = {"maxIter": (2, 3), "maxDepth": (2, 3), "stepSize": (0.2, 0.4)}
-    results, fitted = learning.search(rows, FEATURES, "cluster_id", [5], trials=2, ranges=ranges, test=1, validation=2)
+    results, fitted = learning.search(rows, FEATURES, "cluster_id", [5], trials=2, ranges=ranges, test=1, validation=(2, 3))
     r = results.first()
     assert r["trials_completed"] == 2 and set(r["features"]) <= set(FEATURES)
     assert set(r["importance"]) == set(r["features"]) and 0 in fitted

@@ -91,3 +91,13 @@ def test_sample_exact_sizes_and_paths_agree(spark, monkeypatch):
     assert len(small["cold"]) == 100  # smaller groups stay whole
     monkeypatch.setattr(ranking, "SMALL_ROWS", 0)
     assert sample_ids(spark, 300) == small
+
+
+def test_parts_split_a_hot_group_evenly(spark):
+    """Nine tenths of the rows in one group with a heavy tail: no part of it is large."""
+    rng = np.random.default_rng(7)
+    rows = [("hot" if i % 10 else "cold", float(x)) for i, x in enumerate(rng.lognormal(0, 3, 20000))]
+    cut = ranking.with_value_part(spark.createDataFrame(rows, "k string, v double"), "v", levels=6)
+    sizes = [r["count"] for r in cut.where("k = 'hot'").groupBy("_part").count().collect()]
+    assert len(sizes) == 64
+    assert max(sizes) < 2 * 18000 / 64
