@@ -324,7 +324,7 @@ def training_rows(v):
     placed = spatial.sample_at_points(v.plots, heights.select("yr", "r", "c", "height", "type_code"), ["yr"], X0, Y0, RES)
     valid = placed.where("height IS NOT NULL").select("estadillo", "provincia", "type_code", "height")
     rows = valid.join(totals_of(v).where("agb > 0"), ["estadillo", "provincia"])
-    rows = stage(rows.withColumn("ratio", masks.guarded_ratio(F.col("bgb"), F.col("agb"))), "training")
+    rows = stage(rows.withColumn("ratio", masks.guarded_ratio(F.col("bgb"), F.col("agb"))), "training", spread_rows=True)
     return inventory.groups_of_at_least(rows, ["type_code"], 10)
 
 
