@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from sylvagrid.llm import decontaminate
+from sylvagrid.llm import classifier, decontaminate, fixity, license_scan, line_dedup, mixture, quality_rules, url_filter
 
+# queries without SQL are tested against brute force in tests/llm
 _QUERIES = {
+    "op1_license_scan": (license_scan.op1_license_scan, None),
+    "op2_quality_rules": (quality_rules.op2_quality_rules, None),
+    "op3_quality_classifier": (classifier.op3_quality_classifier, None),
+    "op5_line_dedup": (line_dedup.op5_line_dedup, line_dedup.OP5_SQL),
     "op7_decontamination": (decontaminate.op7_decontamination, decontaminate.OP7_SQL),
+    "op8_mixture": (mixture.op8_mixture, mixture.OP8_SQL),
+    "op9_url_filter": (url_filter.op9_url_filter, url_filter.OP9_SQL),
+    "op10_fixity": (fixity.op10_fixity, fixity.OP10_SQL),
 }
 
 
