@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from sylvagrid.llm import classifier, decontaminate, fixity, license_scan, line_dedup, mixture, quality_rules, url_filter
+from sylvagrid.llm import classifier, decontaminate, fixity, jaccard_join, license_scan, line_dedup, mixture, quality_rules, suffix_dedup, url_filter
 
 # queries without SQL are tested against brute force in tests/llm
 _QUERIES = {
     "op1_license_scan": (license_scan.op1_license_scan, None),
     "op2_quality_rules": (quality_rules.op2_quality_rules, None),
     "op3_quality_classifier": (classifier.op3_quality_classifier, None),
+    "op4_jaccard_join": (jaccard_join.op4_jaccard_join, None),
     "op5_line_dedup": (line_dedup.op5_line_dedup, line_dedup.OP5_SQL),
+    "op6_suffix_dedup": (suffix_dedup.op6_suffix_dedup, None),
     "op7_decontamination": (decontaminate.op7_decontamination, decontaminate.OP7_SQL),
     "op8_mixture": (mixture.op8_mixture, mixture.OP8_SQL),
     "op9_url_filter": (url_filter.op9_url_filter, url_filter.OP9_SQL),
