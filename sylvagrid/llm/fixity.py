@@ -131,12 +131,12 @@ def archive_records(pages: DataFrame) -> DataFrame:
     """Pages as archive records: a header line with the url, then the page; files of consecutive page ids.
 
     Offsets are running lengths within a file, which holds PAGES_PER_FILE ids. Pages
-    without an id are filed by a hash of their content.
+    without an id go to files of negative numbers by a hash of their content.
     """
     payload = F.concat(F.lit("WARC/1.1 response\r\n"), F.coalesce("url", F.lit("")), F.lit("\r\n\r\n"), F.coalesce("html", F.lit("")))
     rows = pages.select(
         "page_id",
-        F.floor(F.coalesce("page_id", F.xxhash64("url", "html")) / PAGES_PER_FILE).cast("long").alias("file"),
+        F.floor(F.coalesce("page_id", -1 - F.pmod(F.xxhash64("url", "html"), F.lit(1 << 60))) / PAGES_PER_FILE).cast("long").alias("file"),
         payload.cast("binary").alias("payload"),
     )
     rows = rows.withColumns({"length": F.octet_length("payload").cast("long"), "_digest": F.sha2("payload", 256)})

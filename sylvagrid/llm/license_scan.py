@@ -133,7 +133,7 @@ def aligned(index: Index, text: np.ndarray, where: dict[int, np.ndarray], n: int
     for q, w in enumerate(text):
         if int(w) in where:
             mass[np.isin(offsets + q, where[int(w)], assume_unique=True)] += index.idf[w]
-    return float(mass.max() / index.idf[text].sum())
+    return min(1.0, float(mass.max() / index.idf[text].sum()))
 
 
 def scan_text(words: list[bytes], index: Index, base: dict = BASE, share: float = SHARE) -> dict:

@@ -11,7 +11,7 @@ to every part that its interval meets, so each part is swept by itself, row by r
 
 A url is judged by host and path as `host_of` and `path_of` give them; null, or without
 `://`, both are empty and no rule fits. Of rules alike in host and path the blocking one
-counts. Rules with a null host or action are ignored; a null path is `/`. Rows repeat as
+counts. Rules with a null or empty host, or a null action, are ignored; a null path is `/`. Rows repeat as
 given; without rules every url gets the default verdict.
 """
 
@@ -67,7 +67,7 @@ def with_verdict(urls: DataFrame, rules: DataFrame, default: str = DEFAULT) -> D
     seen = sorted((r.key, r.tie) for r in sample.collect())
     cuts = [seen[i * len(seen) // parts] for i in range(1, parts)] if seen else []
     host = F.translate("host", UPPER, LOWER)
-    known = rules.where(F.col("host").isNotNull() & F.col("action").isNotNull()).select(
+    known = rules.where((F.col("host") != "") & F.col("action").isNotNull()).select(
         host_key(host).alias("key"), host.alias("host"), F.coalesce("path", F.lit("/")).alias("path"), "action"
     )
 
