@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sylvagrid.operators.ranking import exact_percentiles, percentiles_of_counts, value_counts
+from sylvagrid.operators.ranking import exact_percentiles, group_key, part_levels, with_value_part
 from sylvagrid.session import stage
 
 # Chi-square quantiles (2 degrees of freedom) at 0.5 and 0.975.
@@ -21,19 +21,25 @@ CHI2_HALF = 2.0 * math.log(2.0)
 CHI2_975 = -2.0 * math.log(0.025)
 
 
-def _distances(rows: DataFrame, used: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Squared Mahalanobis distance of all rows from the centre and scatter of the used ones."""
-    fit = used.groupBy(*keys).agg(
+def _centre(used: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Staged centre and scatter per group: one row each."""
+    fit = used.groupBy(group_key(keys).alias("_fit_key")).agg(
         F.avg(x).alias("_mx"),
         F.avg(y).alias("_my"),
         F.var_pop(x).alias("_vx"),
         F.var_pop(y).alias("_vy"),
         F.covar_pop(x, y).alias("_vxy"),
     )
+    return stage(fit, "centres")
+
+
+def _measured(rows: DataFrame, fit: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Squared Mahalanobis distance of all rows from the centre and scatter of their group."""
     dx, dy = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
     det = F.col("_vx") * F.col("_vy") - F.col("_vxy") * F.col("_vxy")
     d2 = F.try_divide(F.col("_vy") * dx * dx - 2.0 * F.col("_vxy") * dx * dy + F.col("_vx") * dy * dy, det)
-    return rows.join(fit, list(keys)).select(*rows.columns, F.coalesce(d2, F.lit(0.0)).alias("_d2"))
+    joined = rows.join(fit, group_key(keys) == F.col("_fit_key"))
+    return joined.select(*rows.columns, F.coalesce(d2, F.lit(0.0)).alias("_d2"))
 
 
 def trim_outliers(
@@ -43,43 +49,65 @@ def trim_outliers(
 
     Minimum-covariance steps: estimate from all rows, then repeatedly from the
     half nearest to the last estimate, then once from the rows inside the 97.5 %
-    ellipse (scaled by the median distance); the final distances decide.
+    ellipse (scaled by the median distance); the final distances decide. The rows
+    are staged once; a step stages its centres and cuts, one row per group, and
+    distances are computed again where they are read.
     """
     rows = stage(rows, "trim", spread_rows=True)
-    measured = stage(_distances(rows, rows, keys, x, y), "trim")
+
+    def within(measured, share, factor=1.0):
+        cut = exact_percentiles(measured, keys, "_d2", {"_cut": share}, staged=True)
+        cut = stage(cut.select(group_key(keys).alias("_cut_key"), "_cut"), "cuts")
+        return measured.join(cut, group_key(keys) == F.col("_cut_key")).where(F.col("_d2") <= F.col("_cut") * factor)
+
+    measured = _measured(rows, _centre(rows, keys, x, y), keys, x, y)
     for _ in range(steps):
-        half = exact_percentiles(measured, keys, "_d2", {"_cut": 0.5})
-        near = measured.join(half, list(keys)).where(F.col("_d2") <= F.col("_cut"))
-        measured = stage(_distances(rows, near, keys, x, y), "trim")
-    half = exact_percentiles(measured, keys, "_d2", {"_cut": 0.5})
-    inside = F.col("_d2") <= F.col("_cut") * (CHI2_975 / CHI2_HALF)
-    measured = stage(_distances(rows, measured.join(half, list(keys)).where(inside), keys, x, y), "trim")
-    last = exact_percentiles(measured, keys, "_d2", {"_cut": 1.0 - contamination})
-    return measured.join(last, list(keys)).where(F.col("_d2") <= F.col("_cut")).drop("_d2", "_cut")
-
-
-def _numbered(candidates: DataFrame) -> DataFrame:
-    """Candidates (a few per group) with a short number, so that residual rows stay narrow."""
-    number = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*candidates.columns))
-    return stage(candidates.withColumn("_c", number), "candidates")
-
-
-def _residual_counts(rows: DataFrame, candidates: DataFrame, keys: Sequence[str], group: Sequence[str], x: str, y: str) -> DataFrame:
-    residuals = rows.join(candidates, list(keys)).select(*group, (F.col(y) - F.col("slope") * F.col(x)).alias("_r"))
-    return value_counts(residuals, group, "_r")
-
-
-def _losses(counts: DataFrame, centres: DataFrame, candidates: DataFrame, group: Sequence[str], alpha: float) -> DataFrame:
-    """Mean pinball loss plus the slope penalty for every candidate and quantile."""
-    off = F.col("_v") - F.col("intercept")
-    pinball = F.greatest(F.col("q") * off, (F.col("q") - 1.0) * off)
-    mean = (
-        counts.join(centres, list(group))
-        .groupBy("_c", "q", "intercept")
-        .agg((F.sum(F.col("_n") * pinball) / F.sum("_n")).alias("_mean"))
+        measured = _measured(rows, _centre(within(measured, 0.5), keys, x, y), keys, x, y)
+    inside = within(measured, 0.5, CHI2_975 / CHI2_HALF)
+    measured = _measured(rows, _centre(inside, keys, x, y), keys, x, y)
+    return within(measured, 1.0 - contamination).select(*rows.columns)
+
+
+def _scored(rows: DataFrame, candidates: DataFrame, keys: Sequence[str], x: str, y: str, alpha: float) -> DataFrame:
+    """(keys, q, slope, intercept, loss): mean pinball loss plus the slope penalty of every candidate line.
+
+    `candidates` has the keys, a slope and the quantiles `qs` that it is tried for, a few
+    rows per group. Residuals exist only where the rows are scanned: counts and sums per
+    (candidate, value part) leave the scan, then the residuals of the parts that hold a
+    quantile. The loss follows from the sums on both sides of the quantile.
+    """
+    named = candidates.withColumn("_c", F.struct(group_key(keys).alias("k"), F.col("slope").alias("s")))
+    named = stage(named.select("_c", "qs"), "candidates")
+    lines = named.select("_c", F.col("_c.k").alias("_line_key"), F.col("_c.s").alias("_s"))
+    residual = (F.col(y) - F.col("_s") * F.col(x)).alias("_r")
+    tried = rows.join(lines, group_key(keys) == F.col("_line_key")).select("_c", residual)
+    cut = with_value_part(tried, "_r", part_levels(rows.count()))
+    before = W.partitionBy("_c").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy("_c")
+    per = cut.groupBy("_c", "_part").agg(F.count(F.lit(1)).alias("_m"), F.sum("_r").alias("_t"))
+    per = per.select(
+        "*",
+        F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"),
+        F.coalesce(F.sum("_t").over(before), F.lit(0.0)).alias("_below"),
+        F.sum("_m").over(whole).alias("_n"),
+        F.sum("_t").over(whole).alias("_sum"),
     )
-    named = candidates.drop("q").join(mean, "_c")
-    return named.withColumn("loss", F.col("_mean") + alpha * F.abs(F.col("slope")))
+    wanted = per.join(named, "_c").withColumn("q", F.explode("qs")).drop("qs")
+    rank = F.greatest(F.ceil(F.col("q") * F.col("_n") - 1e-9) - 1, F.lit(0))
+    hits = stage(wanted.where((F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_m"))).withColumn("_rank", rank), "parts")
+    inside = W.partitionBy("_c", "_part").orderBy("_r")
+    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    near = cut.join(hits.select("_c", "_part").distinct(), ["_c", "_part"]).groupBy("_c", "_part", "_r").agg(F.count(F.lit(1)).alias("_k"))
+    near = near.withColumns({"_end": F.sum("_k").over(upto), "_upto": F.sum(F.col("_k") * F.col("_r")).over(upto)})
+    at = near.join(hits, ["_c", "_part"]).where(F.col("_start") + F.col("_end") > F.col("_rank"))
+    first = F.min(F.struct("_r", "_k", "_end", "_upto")).alias("_a")
+    found = at.groupBy("_c", "q").agg(first, *[F.first(c).alias(c) for c in ("_start", "_below", "_n", "_sum")])
+    value = F.col("_a._r")
+    n_below = F.col("_start") + F.col("_a._end") - F.col("_a._k")
+    s_below = F.col("_below") + F.col("_a._upto") - F.col("_a._k") * value
+    above = F.col("_sum") - s_below - (F.col("_n") - n_below) * value
+    loss = (F.col("q") * above + (1.0 - F.col("q")) * (n_below * value - s_below)) / F.col("_n")
+    return found.select("_c.k.*", "q", F.col("_c.s").alias("slope"), value.alias("intercept"), (loss + alpha * F.abs("_c.s")).alias("loss"))
 
 
 def quantile_lines(
@@ -97,33 +125,28 @@ def quantile_lines(
     For a given slope the best intercept is the q-quantile of y - slope x, and the
     loss is convex in the slope. The coarse slopes serve all quantiles at once and
     bracket the best one; every refinement then tries four slopes inside each
-    quantile's bracket, which makes it three times narrower.
+    quantile's bracket, which makes it three times narrower. The rows are staged once;
+    tables of a few rows per group are staged between the rounds.
     """
     rows = stage(rows.select(*keys, x, y), "lines", spread_rows=True)
     keys = list(keys)
     pick = F.min_by(F.struct("slope", "intercept", "loss"), F.struct(F.round("loss", 10), "slope"))
 
     def best_of(scored):
-        chosen = scored.groupBy(*keys, "q").agg(pick.alias("b"))
-        return stage(chosen.select(*keys, "q", "b.slope", "b.intercept", "b.loss"), "best")
+        chosen = scored.groupBy(group_key(keys).alias("_key"), "q").agg(pick.alias("b"))
+        return stage(chosen.select("_key.*", "q", "b.slope", "b.intercept", "b.loss"), "best")
 
+    every = F.array(*[F.lit(float(q)) for q in quantiles]).alias("qs")
     coarse = F.explode(F.array(*[F.lit(float(s)) for s in first])).alias("slope")
-    tried = _numbered(rows.select(*keys).distinct().select(*keys, coarse))
-    counts = _residual_counts(rows, tried, keys, ["_c"], x, y)
-    found = percentiles_of_counts(counts, ["_c"], {f"_a{i}": q for i, q in enumerate(quantiles)}, lower=True)
-    lines = [F.struct(F.lit(float(q)).alias("q"), F.col(f"_a{i}").alias("intercept")) for i, q in enumerate(quantiles)]
-    centres = found.select("_c", F.inline(F.array(*lines)))
-    best = best_of(_losses(counts, centres, tried, ["_c"], alpha))
+    best = best_of(_scored(rows, rows.select(*keys).distinct().select(*keys, coarse, every), keys, x, y, alpha))
     step = first[1] - first[0]
     for _ in range(refinements):
         step = step / 3.0
         around = F.explode(F.array(*[F.lit(i) for i in (-2, -1, 1, 2)])).alias("_i")
         near = best.select(*keys, "q", "slope", around)
-        tried = _numbered(near.select(*keys, "q", F.round(F.col("slope") + F.col("_i") * step, 9).alias("slope")))
-        counts = _residual_counts(rows, tried, keys, ["_c", "q"], x, y)
-        centres = percentiles_of_counts(counts, ["_c", "q"], {"intercept": F.col("q")}, lower=True)
-        scored = _losses(counts, centres, tried, ["_c", "q"], alpha)
-        best = best_of(scored.select(*best.columns).unionByName(best))
+        near = near.withColumn("slope", F.round(F.col("slope") + F.col("_i") * step, 9))
+        tried = near.groupBy(group_key(keys).alias("_key"), "slope").agg(F.collect_set("q").alias("qs")).select("_key.*", "slope", "qs")
+        best = best_of(_scored(rows, tried, keys, x, y, alpha).select(*best.columns).unionByName(best))
     return best
 
 

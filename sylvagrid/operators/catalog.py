@@ -13,12 +13,12 @@ def relaxed_search(items: DataFrame, keys: Sequence[str], cloud: str, start: int
     """Items below the first cloud limit that yields enough of them, per key.
 
     Limits are start, start + step, ...; the search stops at `least` items or at
-    the first limit >= cap. Every item is counted once, at the first limit that
+    the first limit >= cap. An item of unknown cloud cover is below no limit. Every item is counted once, at the first limit that
     admits it; running counts over the few limits then give every search result.
     """
     last = max(0, -(-(cap - start) // step))
     first_limit = F.greatest(F.floor((F.col(cloud) - start) / step) + 1, F.lit(0))
-    tagged = items.withColumn("_k", first_limit).where(F.col("_k") <= last)
+    tagged = items.where(F.col(cloud).isNotNull()).withColumn("_k", first_limit).where(F.col("_k") <= last)
     steps = W.partitionBy(*keys).orderBy("_k")
     admitted = (
         tagged.groupBy(*keys, "_k")
@@ -57,6 +57,32 @@ def parse_height_path(path: str) -> dict[str, Column]:
     }
 
 
+# File-name patterns of the products, the first group is the year.
+PRODUCT_PATTERNS = {
+    "mask": r"^canopy_height_(\d{4})_100m_.*_code\d+\.tif$",
+    "height": r"canopy_height_(\d{4})_100m",
+    "biomass": r"^TBD_S2_mean_(\d{4})_100m_merged\.tif",
+    "mosaic": r"(?i)^S2_summer_mosaic_(\d{4})_.*_downsampled\.tif$",
+    "other": r"_(\d{4})_",
+}
+
+
+def parse_product_path(path: str) -> dict[str, Column]:
+    """Product, year, type code and base name (without extension and code) of a file; the first pattern that fits counts."""
+    name = F.element_at(F.split(path, "/"), -1)
+    product, year = F.when(F.lit(False), ""), F.when(F.lit(False), "")
+    for kind, pattern in PRODUCT_PATTERNS.items():
+        product = product.when(name.rlike(pattern), kind)
+        year = year.when(name.rlike(pattern), F.regexp_extract(name, pattern, 1))
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    return {
+        "product": product,
+        "year": year.cast("int"),
+        "code": F.nullif(F.regexp_extract(name, r"_code(\d+)\.tif$", 1), F.lit("")).cast("int"),
+        "base_name": F.regexp_replace(stem, r"_code\d+$", ""),
+    }
+
+
 def parse_sample_key(key: str) -> dict[str, Column]:
     """TYPE_YEAR to its parts; a bare year belongs to total biomass."""
     bare = F.col(key).rlike(r"^\d+$")

@@ -99,7 +99,7 @@ def transition_statistics(pairs: DataFrame, carbon: float = 0.5, area_ha: float
     }
     keys = ["year1", "year2"]
     moments = d.groupBy(*keys).agg(*[c.alias(k) for k, c in aggs.items()])
-    order = exact_percentiles_of(d, keys, ["raw", "rel", "b1", "b2"], {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    order = exact_percentiles_of(d, keys, ["raw", "rel", "b1", "b2"], {"q25": 0.25, "median": 0.5, "q75": 0.75}, staged=True)
     return moments.join(order, keys).select(
         *keys,
         F.concat_ws("-", *keys).alias("period"),

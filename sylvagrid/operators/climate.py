@@ -111,18 +111,21 @@ def rolling_anomalies(yearly: DataFrame, variables: Sequence[str]) -> DataFrame:
 
 
 def modelling_table(
-    change: DataFrame, lagged: DataFrame, features: Sequence[str], cap: int, seed: int
+    change: DataFrame, lagged: DataFrame, features: Sequence[str], cap: int | None = None, seed: int = 42
 ) -> DataFrame:
     """Change of every cell and period beside the anomalies of its climate cell.
 
-    At most `cap` rows per period, chosen by hash; rows with any null are dropped.
+    With `cap`, at most so many rows per period, chosen by hash (a bound for fits);
+    rows with any null are dropped.
     """
     change = change.where(F.col("biomass_rel_change").isNotNull())
     joined = change.join(
         lagged.select(F.col("cell").alias("climate_cell"), F.col("eff_year").alias("year_start"), *features),
         ["climate_cell", "year_start"],
     )
-    return sample_exact(joined, ["year_start"], ["cell"], cap, seed).na.drop()
+    if cap is not None:
+        joined = sample_exact(joined, ["year_start"], ["cell"], cap, seed)
+    return joined.na.drop()
 
 
 def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from sylvagrid.operators.ranking import exact_percentiles
 
 
-def plot_totals(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Summed AGB and BGB per plot; a plot without any BGB sums to 0."""
-    return rows.groupBy(*keys).agg(
-        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("agb", "bgb")]
-    )
+def plot_totals(rows: DataFrame, keys: Sequence[str], complete: bool = False) -> DataFrame:
+    """Summed AGB and BGB per plot; a plot without any BGB sums to 0.
+
+    With `complete`, plots with a tree that lacks AGB are left out: the trees without
+    are counted beside the sums, in the same aggregate.
+    """
+    sums = [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("agb", "bgb")]
+    if not complete:
+        return rows.groupBy(*keys).agg(*sums)
+    totals = rows.groupBy(*keys).agg(*sums, F.count_if(F.col("agb").isNull()).alias("_lacking"))
+    return totals.where("_lacking = 0").drop("_lacking")
 
 
 def wood_density(species: DataFrame, densities: DataFrame) -> DataFrame:

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sylvagrid.functions.noise import STEP_U, digest, rotate, uniform, uniform_from
+from sylvagrid.functions.noise import digest, uniform, uniform_from
 from sylvagrid.operators.ranking import exact_percentiles
 from sylvagrid.session import stage
 
-# Cumulative probabilities of a Poisson variable with mean 1 at 0, 1, 2, ...
-POISSON_STEPS = [
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-    0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402,
-]
+
+
+def poisson_steps(resolution: float = 2.0**-33) -> list[float]:
+    """Cumulative probabilities of a Poisson variable with mean 1, until the rest is below the resolution."""
+    steps = [math.exp(-1.0)]
+    while 1.0 - steps[-1] > resolution:
+        steps.append(steps[-1] + math.exp(-1.0) / math.factorial(len(steps)))
+    return steps
+
+
+POISSON_STEPS = poisson_steps()
 
 
 def cleaned(pairs: DataFrame, cap: float = 60.0, cutoff: float = 0.99) -> DataFrame:
@@ -28,7 +35,7 @@ def cleaned(pairs: DataFrame, cap: float = 60.0, cutoff: float = 0.99) -> DataFr
         .withColumn("residual", F.col("pred") - F.col("target"))
     )
     kept = stage(kept, "residuals", spread_rows=True)
-    limit = exact_percentiles(kept, [], "residual", {"q": cutoff}).scalar()
+    limit = exact_percentiles(kept, [], "residual", {"q": cutoff}, staged=True).scalar()
     return kept.where(F.col("residual") <= limit)
 
 
@@ -60,15 +67,17 @@ def bootstrap_intervals(rows: DataFrame, ids: Sequence[str], replicates: int = 1
     """Percentile intervals of MAE, RMSE and R2.
 
     Each row enters each replicate with a Poisson(1) weight that depends only on
-    the row and the replicate, so no resampling shuffle is needed: weighted sums
-    are combined per replicate inside the tasks and only (tasks x replicates)
-    rows move.
+    the row and the replicate (one digest gives four replicates their independent
+    uniforms), so no resampling shuffle is needed: weighted sums are combined per
+    replicate inside the tasks and only (tasks x replicates) rows move.
     """
     e, t = F.col("residual"), F.col("target")
-    drawn = rows.select(
-        e.alias("residual"), t.alias("target"), uniform_from(digest(seed, *ids)).alias("_u")
-    ).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    weighted = drawn.withColumn("w", poisson_weight(rotate(F.col("_u"), F.col("replicate"), STEP_U))).where("w > 0")
+    fours = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4))).alias("_g")
+    hashed = rows.select(e.alias("residual"), t.alias("target"), *ids, fours)
+    hashed = hashed.select("residual", "target", "_g", digest(seed, *ids, "_g").alias("_h"))
+    words = F.posexplode(F.array(*[uniform_from(F.col("_h"), k) for k in range(4)])).alias("_k", "_u")
+    drawn = hashed.select("residual", "target", "_g", words).withColumn("replicate", 4 * F.col("_g") + F.col("_k"))
+    weighted = drawn.where(F.col("replicate") < replicates).withColumn("w", poisson_weight(F.col("_u"))).where("w > 0")
     w = F.col("w")
     sums = weighted.groupBy("replicate").agg(
         F.sum(w).alias("n"),

@@ -82,7 +82,7 @@ def fraction_split(items: DataFrame, ids: Sequence[str], seed: int, fractions: S
     The rank of an item is its part-wise running count, so items may be many.
     """
     tagged = items.select(*ids).distinct().withColumns({"_u": uniform(seed, *ids), "_one": F.lit(1)})
-    ranked = running_totals(tagged, [], "_u", ["_one"])
+    ranked = running_totals(tagged, [], ["_u", *ids], ["_one"])
     place = (F.col("_one_run") - 1) / F.col("_one_all")
     part = F.lit(fractions[-1][0])
     upper = 1.0
@@ -92,24 +92,19 @@ def fraction_split(items: DataFrame, ids: Sequence[str], seed: int, fractions: S
     return ranked.select(*ids, part.alias("part"))
 
 
-def lowess(curve: DataFrame, keys: Sequence[str], x: str, y: str, n: str, frac: float, points: int) -> DataFrame:
-    """Locally weighted linear fit at every point of a curve of at most `points` points.
-
-    `n` is the number of points of the curve. The k = frac * n nearest points of a
-    sorted curve lie within k rows on either side, so a bounded row frame replaces
-    any pairing; tricube weights reach 0 at the k-th nearest distance.
-    """
-    k = F.greatest(F.floor(F.lit(frac) * F.col(n) + 1e-10), F.lit(2)).cast("int")
-    reach = int(frac * points) + 1
+def _local_fit(curve: DataFrame, keys: Sequence[str], x: str, y: str, frac: float, reach: int) -> DataFrame:
+    """Add `_fit`: the locally weighted line at each point; `_n` points per curve, `_rw` their robust weights."""
+    k = F.greatest(F.floor(F.lit(frac) * F.col("_n") + 1e-10), F.lit(2)).cast("int")
     frame = W.partitionBy(*keys).orderBy(x).rowsBetween(-reach, reach)
-    near = curve.withColumn("_near", F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).over(frame))
+    point = F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.col("_rw").alias("w"))
+    near = curve.withColumn("_near", F.collect_list(point).over(frame))
     gaps = F.array_sort(F.transform("_near", lambda p: F.abs(p["x"] - F.col(x))))
     near = near.withColumn("_h", F.get(gaps, k - 1))
 
     def weight(p):
         u = F.try_divide(F.abs(p["x"] - F.col(x)), F.col("_h"))
         core = 1.0 - u * u * u
-        return F.when(u < 1.0, core * core * core).otherwise(F.lit(0.0))
+        return F.when(u < 1.0, core * core * core * p["w"]).otherwise(F.lit(0.0))
 
     def total(value):
         return F.aggregate("_near", F.lit(0.0), lambda acc, p: acc + weight(p) * value(p))
@@ -129,4 +124,27 @@ def lowess(curve: DataFrame, keys: Sequence[str], x: str, y: str, n: str, frac:
         F.try_divide(F.col("_wxx") * F.col("_wy") - F.col("_wx") * F.col("_wxy"), det),
         F.try_divide(F.col("_wy"), F.col("_w")),
     )
-    return near.select(*keys, x, y, fitted.alias("smooth"))
+    return near.withColumn("_fit", fitted).drop("_near", "_h", "_w", "_wx", "_wy", "_wxx", "_wxy")
+
+
+def lowess(curve: DataFrame, keys: Sequence[str], x: str, y: str, frac: float, passes: int = 3) -> DataFrame:
+    """Locally weighted linear fit at every point of a curve, with robust reweighting passes.
+
+    The k = frac * n nearest points of a sorted curve lie within k rows on either
+    side, so a row frame replaces any pairing; its reach follows the longest curve,
+    which is counted first. Tricube weights reach 0 at the k-th nearest distance.
+    After each pass a point's weight falls with its residual over six median
+    absolute residuals of the curve (bisquare).
+    """
+    curve = stage(curve.select(*keys, x, y), "curves")
+    longest = curve.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    whole = W.partitionBy(*keys)
+    out = curve.withColumns({"_n": F.count(F.lit(1)).over(whole), "_rw": F.lit(1.0)})
+    for i in range(passes + 1):
+        out = _local_fit(out, keys, x, y, frac, int(frac * longest) + 1)
+        if i < passes:
+            out = out.withColumn("_off", F.abs(F.col(y) - F.col("_fit")))
+            u = F.try_divide(F.col("_off"), 6.0 * F.median("_off").over(whole))
+            bisquare = F.when(u < 1.0, (1.0 - u * u) * (1.0 - u * u)).otherwise(F.lit(0.0))
+            out = stage(out.withColumn("_rw", F.when(u.isNull(), F.lit(1.0)).otherwise(bisquare)).drop("_off", "_fit"), "curves")
+    return out.select(*keys, x, y, F.col("_fit").alias("smooth"))

@@ -1,22 +1,25 @@
 """Exact order statistics that never put a whole group into one task.
 
 The built-in exact `percentile` keeps every distinct value of a group in one
-hash map, and a window ordered over a group sorts it in one task. Where a group
-may hold a large share of all rows, the functions here split it by value first:
-
-1. equal values are counted, partly before the shuffle, and the counts are
-   staged, since the next steps read them three times;
-2. splitters taken from a mergeable quantile sketch cut the value axis into
-   parts of nearly equal size, whatever the groups look like;
-3. the parts are counted, which gives the rank at which every part starts;
-4. only the parts that hold a wanted rank are sorted, each by itself.
-
-When the staged table turns out to hold at most SMALL_ROWS rows (counted from the
-file footers), steps 2 and 3 are skipped and each group is ranked by one window.
+hash map, and a window ordered over a group sorts it in one task. The functions
+here take one path for tables of any size:
+
+1. a few splitters from a mergeable quantile sketch cut the value axis into parts,
+   whatever the groups look like; the number of parts follows the counted rows,
+   so that both the parts and the rows of one part stay few;
+2. the rows of each group and part are counted before they move, which gives the
+   rank at which every part starts;
+3. only the rows of the parts that hold a wanted rank move. Equal values are
+   counted first, again before the shuffle, and each part is ordered by itself.
+
+The table of counts is small and staged, so its size is known when it is joined
+back: no other row of the table is shuffled. Group keys travel as one struct, in
+which nulls equal each other, so a null key is a group like any other.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -27,27 +30,24 @@ from sylvagrid.functions.noise import uniform
 from sylvagrid.session import stage
 
 
-# A table up to this many rows may be ranked group by group in single tasks.
-SMALL_ROWS = 1_000_000
+def part_levels(rows: int) -> int:
+    """log2 of the number of value parts: a little under the square root of the rows."""
+    return math.ceil(0.4 * math.log2(rows)) + 1 if rows > 1 else 0
 
 
-def _part_levels(df: DataFrame) -> int:
-    """log2 of the number of value parts: at least 64, at most 4096, else one per shuffle partition."""
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(12, max(6, (wanted - 1).bit_length()))
-
-
-def with_value_part(df: DataFrame, value: str, levels: int | None = None) -> DataFrame:
+def with_value_part(df: DataFrame, value: str, levels: int) -> DataFrame:
     """Add `_part`, the number of the value part (0-based) a row falls into.
 
-    The splitters are one row of at most 4095 numbers, read as a scalar subquery,
+    The splitters are one row of 2**levels - 1 numbers, read as a scalar subquery,
     and each row finds its part by binary search: one small projection per level,
-    which whole-stage code generation compiles into a few array reads.
+    which whole-stage code generation compiles into a few array reads. The sketch
+    need not be accurate, since the parts are counted afterwards.
     """
-    levels = levels or _part_levels(df)
-    parts = 2**levels
-    cuts = df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 20 * parts)).scalar()
     out = df.withColumn("_part", F.lit(0))
+    if not levels:
+        return out
+    parts = 2**levels
+    cuts = df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 4 * parts)).scalar()
     for level in reversed(range(levels)):
         step = 2**level
         right = F.get(cuts, F.col("_part") + (step - 1)) <= F.col(value)
@@ -55,64 +55,43 @@ def with_value_part(df: DataFrame, value: str, levels: int | None = None) -> Dat
     return out
 
 
-def _before(total: str) -> Column:
-    return F.coalesce(F.col(total), F.lit(0))
+def group_key(keys: Sequence[str]) -> Column:
+    """The keys as one struct; a single group without keys."""
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_"))
+
+
+def _start(total: str) -> Column:
+    """Sum of `total` over the parts before this one in its group."""
+    before = W.partitionBy("_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    return F.coalesce(F.sum(total).over(before), F.lit(0))
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], order: str, weights: Sequence[str], levels: int | None = None
+    df: DataFrame, keys: Sequence[str], order: str | Sequence[str], weights: Sequence[str], levels: int | None = None
 ) -> DataFrame:
     """Add `<w>_run` (inclusive running sum by `order`) and `<w>_all` (group sum).
 
-    Rows must be unique by (keys, order). Sums are built in two levels: part
-    totals, a window over the few parts of a group, and a window inside a part.
+    Rows must be unique by (keys, order); the first column of `order` is numeric.
+    Sums are built in two levels: part totals, a window over the few parts of a
+    group, and a window inside a part.
     """
-    keys = list(keys)
+    order = [order] if isinstance(order, str) else list(order)
     staged = stage(df, "running")
-    if staged.count() <= SMALL_ROWS:
-        whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-        upto = whole.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return staged.withColumns(
-            {f"{w}_run": F.sum(w).over(upto) for w in weights} | {f"{w}_all": F.sum(w).over(whole) for w in weights}
-        )
-    cut = with_value_part(staged, order, levels)
-    per = cut.groupBy(*keys, "_part").agg(*[F.sum(w).alias(f"_{w}") for w in weights])
-    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    upto = group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    levels = part_levels(staged.count()) if levels is None else levels
+    cut = with_value_part(staged.withColumn("_key", group_key(keys)), order[0], levels)
+    per = cut.groupBy("_key", "_part").agg(*[F.sum(w).alias(f"_{w}") for w in weights])
+    group = W.partitionBy("_key")
     per = per.select(
-        *keys,
+        "_key",
         "_part",
-        *[F.coalesce(F.sum(f"_{w}").over(upto), F.lit(0)).alias(f"_{w}_start") for w in weights],
+        *[_start(f"_{w}").alias(f"_{w}_start") for w in weights],
         *[F.sum(f"_{w}").over(group).alias(f"{w}_all") for w in weights],
     )
-    inside = W.partitionBy(*keys, "_part").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("_key", "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        cut.join(per, [*keys, "_part"])
+        cut.join(stage(per, "parts"), ["_key", "_part"])
         .withColumns({f"{w}_run": F.col(f"_{w}_start") + F.sum(w).over(inside) for w in weights})
-        .drop("_part", *[f"_{w}_start" for w in weights])
-    )
-
-
-def _ranked_near(cut: DataFrame, keys: list[str], wanted: dict, position) -> DataFrame:
-    """Rows of the value parts that hold a wanted rank, with their running counts (`_end`)."""
-    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    per = (
-        cut.groupBy(*keys, "_part")
-        .agg(F.sum("_n").alias("_m"))
-        .withColumn("_all", F.sum("_m").over(group))
-        .withColumn("_start", F.sum("_m").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)))
-        .withColumn("_start", _before("_start"))
-    )
-
-    def holds(rank):
-        return (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_m"))
-
-    hit = F.lit(False)
-    for p in wanted.values():
-        hit = hit | holds(F.floor(position(p))) | holds(F.ceil(position(p)))
-    inside = W.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return cut.join(per.where(hit).drop("_m"), [*keys, "_part"]).withColumn(
-        "_end", F.col("_start") + F.sum("_n").over(inside)
+        .drop("_key", "_part", *[f"_{w}_start" for w in weights])
     )
 
 
@@ -123,55 +102,60 @@ def exact_percentiles(
     wanted: dict[str, float | Column],
     levels: int | None = None,
     lower: bool = False,
+    staged: bool = False,
 ) -> DataFrame:
     """Exact percentiles per group, linearly interpolated between ranks.
 
     `wanted` maps output names to fractions (numbers, or key columns that hold the
     fraction of a group). With `lower` the result is the order statistic at
-    ceil(p * n) instead (a value that occurs in the data). Null values are ignored;
-    key columns must not be null.
+    ceil(p * n) instead (a value that occurs in the data). Null values are ignored.
+    The values are staged, unless the caller says that `df` is cheap to scan again.
     """
-    return percentiles_of_counts(value_counts(df, keys, value), keys, wanted, levels, lower)
-
-
-def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Staged (keys, _v, _n): how often every value occurs in a group."""
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    return stage(counts, "counts")
-
-
-def percentiles_of_counts(
-    counts: DataFrame,
-    keys: Sequence[str],
-    wanted: dict[str, float | Column],
-    levels: int | None = None,
-    lower: bool = False,
-) -> DataFrame:
-    """`exact_percentiles` for a table already reduced by `value_counts`."""
     keys = list(keys)
-    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    if not staged:
+        values = stage(values, "values")
+    levels = part_levels(values.count()) if levels is None else levels
+    cut = with_value_part(values.withColumn("_key", group_key(keys)), "_v", levels).drop(*keys)
 
     def position(p):
-        share = p if isinstance(p, Column) else F.lit(float(p))
+        f = p if isinstance(p, Column) else F.lit(float(p))
         if lower:
             # a hair below, so that a product that should be whole is not rounded up
-            return F.greatest(F.ceil(share * F.col("_all") - 1e-9) - 1, F.lit(0)).cast("double")
-        return (F.col("_all") - 1) * share
-
-    if counts.count() <= SMALL_ROWS:
-        upto = group.orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-        ranked = counts.withColumns({"_all": F.sum("_n").over(group), "_end": F.sum("_n").over(upto)})
-    else:
-        ranked = _ranked_near(with_value_part(counts, "_v", levels), keys, wanted, position)
+            return F.greatest(F.ceil(f * F.col("_all") - 1e-9) - 1, F.lit(0)).cast("double")
+        return (F.col("_all") - 1) * f
+
+    def holds(rank):
+        return (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_m"))
+
+    per = (
+        cut.groupBy("_key", "_part")
+        .agg(F.count(F.lit(1)).alias("_m"))
+        .withColumn("_all", F.sum("_m").over(W.partitionBy("_key")))
+        .withColumn("_start", _start("_m"))
+    )
+    if keys:
+        per = per.select("*", "_key.*")
+    hit = F.lit(False)
+    for p in wanted.values():
+        hit = hit | holds(F.floor(position(p))) | holds(F.ceil(position(p)))
+    near = stage(per.where(hit).select("_key", "_part", "_all", "_start"), "parts")
+    inside = W.partitionBy("_key", "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = (
+        cut.join(near, ["_key", "_part"])
+        .groupBy("_key", "_part", "_v")
+        .agg(F.count(F.lit(1)).alias("_n"), F.first("_start").alias("_start"), F.first("_all").alias("_all"))
+        .withColumn("_end", F.col("_start") + F.sum("_n").over(inside))
+    )
+    if keys:
+        ranked = ranked.select("*", "_key.*")
     aggs = [F.first("_all").alias("_all")]
     for i, p in enumerate(wanted.values()):
         aggs.append(F.min(F.when(F.col("_end") > F.floor(position(p)), F.col("_v"))).alias(f"_lo{i}"))
         aggs.append(F.min(F.when(F.col("_end") > F.ceil(position(p)), F.col("_v"))).alias(f"_hi{i}"))
-    picked = ranked.groupBy(*keys).agg(*aggs)
+    picked = ranked.groupBy("_key").agg(*aggs)
+    if keys:
+        picked = picked.select("*", "_key.*")
     out = []
     for i, (name, p) in enumerate(wanted.items()):
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
@@ -180,48 +164,42 @@ def percentiles_of_counts(
 
 
 def exact_percentiles_of(
-    df: DataFrame, keys: Sequence[str], values: Sequence[str], wanted: dict[str, float], levels: int | None = None
+    df: DataFrame, keys: Sequence[str], values: Sequence[str], wanted: dict[str, float], staged: bool = False
 ) -> DataFrame:
-    """`exact_percentiles` of several columns at once, as `<name>_<column>`."""
+    """`exact_percentiles` of several columns at once, as `<name>_<column>`.
+
+    The columns are staged side by side; they are stacked in the scans that follow.
+    """
     keys = list(keys)
-    long = df.select(
-        *keys, F.explode(F.create_map(*[x for v in values for x in (F.lit(v), F.col(v).cast("double"))]))
-    ).withColumnsRenamed({"key": "_col", "value": "_val"})
-    got = exact_percentiles(long, [*keys, "_col"], "_val", wanted, levels)
-    aggs = [
-        F.max(F.when(F.col("_col") == v, F.col(name))).alias(f"{name}_{v}") for v in values for name in wanted
-    ]
-    return got.groupBy(*keys).agg(*aggs) if keys else got.agg(*aggs)
+    wide = df.select(*keys, *[F.col(v).cast("double").alias(v) for v in values])
+    wide = wide if staged else stage(wide, "values")
+    long = wide.unpivot(keys, list(values), "_col", "_val")
+    got = exact_percentiles(long, [*keys, "_col"], "_val", wanted, staged=True)
+    aggs = [F.max(F.when(F.col("_col") == v, F.col(name))).alias(f"{name}_{v}") for v in values for name in wanted]
+    out = got.groupBy(group_key(keys).alias("_key")).agg(*aggs)
+    return out.select("_key.*", *[c for c in out.columns if c != "_key"]) if keys else out.drop("_key")
 
 
 def sample_exact(
-    df: DataFrame, keys: Sequence[str], ids: Sequence[str], size: int, seed: int, parts: int = 1024
+    df: DataFrame, keys: Sequence[str], ids: Sequence[str], size: int, seed: int, levels: int | None = None
 ) -> DataFrame:
     """Exactly `size` rows per group (all rows of smaller groups), without replacement.
 
-    Rows are ranked by a hash of their identity. The hash is uniform, so equal
-    ranges of it are parts of equal size: counting the parts finds the one that
-    contains the cut, and only that part is sorted.
+    Rows are ranked by a hash of their identity, which `ids` make unique in a group.
+    Only the identities are staged: equal ranges of the hash are parts of equal size,
+    counting them finds the one with the cut, and ordering that one gives the last
+    identity of the sample. Rows up to it are kept where they are read.
     """
-    keys = list(keys)
-    staged = stage(df, "sample")
-    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    tagged = staged.withColumn("_u", uniform(seed, *keys, *ids))
-    if staged.count() <= SMALL_ROWS:
-        first = F.row_number().over(group.orderBy("_u", *ids))
-        return tagged.withColumn("_rank", first).where(F.col("_rank") <= size).drop("_u", "_rank")
-    tagged = tagged.withColumn("_part", F.floor(F.col("_u") * parts))
-    per = (
-        tagged.groupBy(*keys, "_part")
-        .agg(F.count(F.lit(1)).alias("_m"))
-        .withColumn("_start", F.sum("_m").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)))
-        .withColumn("_start", _before("_start"))
-        .where(F.col("_start") < size)
-        .select(*keys, "_part", "_start", (F.col("_start") + F.col("_m") <= size).alias("_whole"))
-    )
-    near = tagged.join(per, [*keys, "_part"])
-    whole = near.where("_whole")
-    rank = F.row_number().over(W.partitionBy(*keys, "_part").orderBy("_u", *ids))
-    cut = near.where(~F.col("_whole")).withColumn("_rank", rank)
-    cut = cut.where(F.col("_start") + F.col("_rank") <= size).drop("_rank")
-    return whole.unionByName(cut).drop("_u", "_part", "_start", "_whole")
+    keys, ids = list(keys), list(ids)
+    tag = {"_key": group_key(keys), "_u": uniform(seed, *keys, *ids)}
+    who = F.struct("_u", *ids)
+    slim = stage(df.withColumns(tag).select("_key", who.alias("_who")), "identities")
+    levels = part_levels(slim.count()) if levels is None else levels
+    slim = slim.withColumn("_part", F.floor(F.col("_who._u") * 2**levels))
+    per = slim.groupBy("_key", "_part").agg(F.count(F.lit(1)).alias("_m")).withColumn("_start", _start("_m"))
+    cut = per.where((F.col("_start") < size) & (F.col("_start") + F.col("_m") >= size)).select("_key", "_part", "_start")
+    rank = F.col("_start") + F.row_number().over(W.partitionBy("_key", "_part").orderBy("_who"))
+    last = slim.join(stage(cut, "parts"), ["_key", "_part"]).withColumn("_rank", rank).where(F.col("_rank") == size)
+    last = stage(last.select("_key", F.col("_who").alias("_last")), "cuts")
+    kept = df.withColumns(tag).join(last, "_key", "left").where(F.col("_last").isNull() | (who <= F.col("_last")))
+    return kept.drop("_key", "_u", "_last")

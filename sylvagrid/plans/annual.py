@@ -29,7 +29,7 @@ ANNUAL_SQL = f"""{RESOLVE_SQL},
       JOIN res ON type_name = t.name WHERE landcover NOT IN (12, 13, 14) AND height > 0),
     sd AS (SELECT cell, yr, p50, m, p50 * ((1 - 8e-1) + (125e-2 - 1)) / 1.0364333894937898e0 / 2 AS s, m * ((1 - 6e-1) + (15e-1 - 1)) / 1.6448536269514722e0 / 2 AS rs,
       {uniform_sql(42, "cell, yr", 0)} AS u, {uniform_sql(42, "cell, yr", 1)} AS v FROM de),
-    dr AS (SELECT cell, yr, p50, m, s, rs, u + k * 0.7548776662466927e0 AS uu, v + k * 0.5698402909980532e0 AS vv FROM sd, (SELECT unnest(range(1, 101)) AS k) q),
+    dr AS (SELECT cell, yr, p50, m, s, rs, u + k * 0.7548776662466927e0 AS uu, v + k * 0.5698402909980532e0 AS vv FROM sd, (SELECT unnest(range(1, 251)) AS k) q),
     zz AS (SELECT cell, yr, p50 + sqrt(-2e0 * ln(greatest(uu - floor(uu), 1e-12))) * cos(2e0 * pi() * greatest(vv - floor(vv), 1e-12)) * s AS agb,
       m + sqrt(-2e0 * ln(greatest(uu - floor(uu), 1e-12))) * sin(2e0 * pi() * greatest(vv - floor(vv), 1e-12)) * rs AS coef FROM dr),
     ce AS (SELECT cell, yr, avg(agb) AS agbd, avg(agb * coef) AS bgbd, stddev_pop(agb + agb * coef) * 196e-2 AS unc FROM zz GROUP BY cell, yr)"""
@@ -54,7 +54,7 @@ def annual_biomass(v):
     names = v.types.select(F.col("code").alias("type_code"), F.col("name").alias("type_name"))
     static = v.grid.select("cell", "type_code", "landcover").join(names, "type_code")
     heights = v.cells.select("cell", "yr", "height").join(static, "cell")
-    layers = biomass_layers(heights, parameters, draws=100)
+    layers = biomass_layers(heights, parameters, draws=250)
     return layers.groupBy("yr").agg(
         F.count(F.lit(1)).alias("n_cells"),
         *[rnd(F.sum(f"{c}_mean") / 1e3, 5, n) for c, n in (("agbd", "agb"), ("bgbd", "bgb"), ("tbd", "tbd"))],

@@ -79,7 +79,7 @@ def spatial_blocks(v):
     )
 
 
-DRAWS = 200
+DRAWS = 1000
 SAMPLES_SQL = f"""bz AS (SELECT br, bc, sample, {normal_sql(42, "br, bc, sample")} AS z
       FROM (SELECT DISTINCT CAST(floor(r / 1e1) AS INT) AS br, CAST(floor(c / 1e1) AS INT) AS bc FROM fx_cells) q, (SELECT unnest(range({DRAWS})) AS sample) s),
     smp AS (SELECT yr, CAST(sample AS INT) AS sample, sum(greatest(tbd + z * tbd_unc * 2e1 / 196e-2, 0)) / 1e6 AS total

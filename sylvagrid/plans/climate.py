@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sylvagrid.functions.text import rnd
 from sylvagrid.operators import change, climate, masks
-from sylvagrid.plans.registry import query, uniform_sql
+from sylvagrid.plans.registry import query
 from sylvagrid.plans.stocks import PAIRS_SQL
 from sylvagrid.session import stage
 
@@ -97,18 +97,16 @@ def rolling_anomaly(v):
 
 # --- modelling table ---------------------------------------------------------
 
-CAP, SEED = 1500, 42
 ML_SQL = f"""{ROLL_SQL}, {PAIRS_SQL},
     ch AS (SELECT cell, CAST(floor((cell - 1) / 2e1) AS INT) + 1 AS climate_cell, year1 AS year_start, year2 AS year_end,
       CASE WHEN b1 + b2 > 0 THEN 2e2 * (b2 - b1) / (b1 + b2) ELSE 0 END AS biomass_rel_change FROM pr),
     jo AS (SELECT ch.*, g.x - 5e1 AS x, g.y + 5e1 AS y, {", ".join(LAGGED)} FROM ch JOIN ro ON ro.cell = climate_cell AND eff_year = year_start
       JOIN fx_grid g ON g.cell = ch.cell),
-    ml AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY year_start ORDER BY {uniform_sql(SEED, "year_start, cell")}, cell) AS k FROM jo) q
-      WHERE k <= {CAP})"""
+    ml AS (SELECT * FROM jo)"""
 KEPT = ["bio1", "bio12", "bio12_2yr", "bio12_3yr", "bio17_3yr"]
 
 
-def modelling_rows(v, features=LAGGED, cap=CAP):
+def modelling_rows(v, features=LAGGED, cap=None):
     """Relative change of consecutive years with lagged anomalies; x and y are cell corners."""
     pairs = change.change_columns(change.transition_pairs(v.cells))
     target = pairs.select(
@@ -119,7 +117,7 @@ def modelling_rows(v, features=LAGGED, cap=CAP):
         F.col("rel_diff").alias("biomass_rel_change"),
     )
     corner = v.grid.select("cell", (F.col("x") - 50.0).alias("x"), (F.col("y") + 50.0).alias("y"))
-    return climate.modelling_table(target.join(corner, "cell"), lagged_of(v), features, cap, SEED)
+    return climate.modelling_table(target.join(corner, "cell"), lagged_of(v), features, cap)
 
 
 @query(

@@ -41,14 +41,15 @@ def densities_of(v):
     b = F.substring("p_brand", 7, 10).cast("int")
     binomial = F.concat(F.lit("G"), (b % 8).cast("string"), F.lit(" s"), b.cast("string"))
     density = F.when(F.col("p_partkey") % 17 != 0, (F.col("p_partkey") % 60 + 30).cast("double") / 1e2)
-    return v.t("part").where((b % 5 != 0) & (b % 8 != 7)).select(binomial.alias("binomial"), density.alias("density"))
+    # species that the lookup does not know
+    other = F.when((b % 5 == 0) | (b % 8 == 7), F.lit("Other spp")).otherwise(binomial)
+    return v.t("part").select(other.alias("binomial"), density.alias("density"))
 
 
-DENSITY_SQL = """wd AS (SELECT CAST(substr(p_brand, 7) AS INT) AS b,
-      CASE WHEN p_partkey % 17 <> 0 THEN CAST(p_partkey % 60 + 30 AS DOUBLE) / 1e2 END AS density
-      FROM part WHERE CAST(substr(p_brand, 7) AS INT) % 5 <> 0 AND CAST(substr(p_brand, 7) AS INT) % 8 <> 7),
-    ds AS (SELECT b, avg(density) AS d FROM wd GROUP BY b),
-    dg AS (SELECT b % 8 AS g, avg(density) AS d FROM wd GROUP BY b % 8),
+DENSITY_SQL = """wd AS (SELECT CASE WHEN CAST(substr(p_brand, 7) AS INT) % 5 <> 0 AND CAST(substr(p_brand, 7) AS INT) % 8 <> 7 THEN CAST(substr(p_brand, 7) AS INT) END AS b,
+      CASE WHEN p_partkey % 17 <> 0 THEN CAST(p_partkey % 60 + 30 AS DOUBLE) / 1e2 END AS density FROM part),
+    ds AS (SELECT b, avg(density) AS d FROM wd WHERE b IS NOT NULL GROUP BY b),
+    dg AS (SELECT b % 8 AS g, avg(density) AS d FROM wd WHERE b IS NOT NULL GROUP BY b % 8),
     dens AS (SELECT t.code, CASE WHEN ds.b IS NOT NULL THEN 'species' WHEN dg.g IS NOT NULL THEN 'genus' ELSE 'all' END AS level,
       CASE WHEN ds.b IS NOT NULL THEN ds.d WHEN dg.g IS NOT NULL THEN dg.d ELSE (SELECT avg(density) FROM wd) END AS density
       FROM fx_types t LEFT JOIN ds ON t.code = ds.b LEFT JOIN dg ON t.code % 8 = dg.g)"""
@@ -86,8 +87,7 @@ def extracted_rows(v):
 
 
 def extracted_totals(v):
-    kept = masks.drop_groups_with_null(extracted_rows(v), ["estadillo", "provincia"], "agb")
-    return inventory.plot_totals(kept, ["estadillo", "provincia"])
+    return inventory.plot_totals(extracted_rows(v), ["estadillo", "provincia"], complete=True)
 
 
 @query(
@@ -100,13 +100,13 @@ def inventory_extract(v):
 
 @query(
     "scan_polygons",
-    """SELECT poly_id, label, round((x_max - x_min) * (y_max - y_min), 6) AS area FROM fx_polygons WHERE poly_id % 2 = 0 AND poly_id % 6 <> 0
+    """SELECT poly_id, label, round((x_max - x_min) * (y_max - y_min), 6) AS area FROM fx_polygons WHERE poly_id % 6 <> 0
     UNION ALL SELECT p_partkey + 1000, 'unlabelled', 1e4 FROM part WHERE p_partkey % 4 <> 0""",
 )
 def scan_polygons(v):
     """A labelled layer with broken rings and a cell-footprint layer without labels."""
     ring = F.when(F.col("poly_id") % 6 == 0, F.slice("ring", 1, 4)).otherwise(F.col("ring"))
-    labelled = v.rings.where("poly_id % 2 = 0").withColumn("ring", ring)
+    labelled = v.rings.withColumn("ring", ring)
     half = RES / 2
 
     def corner(dx, dy):
@@ -166,17 +166,17 @@ def bgb_ratio(v):
     f"""WITH {TOTALS_SQL} SELECT pt.estadillo, pt.provincia, round(agb, 7) AS agb, c.x AS coor_x, c.y AS coor_y,
     CAST(28 + c.provincia % 4 AS INT) AS huso, concat('20', strftime(o_orderdate, '%y')) AS year_text
     FROM pt JOIN fx_plots c ON pt.estadillo = c.estadillo AND pt.provincia = c.provincia
-    JOIN orders ON o_orderkey = pt.estadillo WHERE pt.estadillo % 6 <> 0 AND c.estadillo % 5 <> 0""",
+    JOIN orders ON o_orderkey = pt.estadillo""",
 )
 def plot_assembly(v):
     key = ["estadillo", "provincia"]
-    coordinates = v.plots.where("estadillo % 5 <> 0").select(
+    coordinates = v.plots.select(
         *key, F.col("x").alias("coor_x"), F.col("y").alias("coor_y"), (F.col("provincia") % 4 + 28).alias("huso")
     )
     started = v.t("orders").select(
         F.col("o_orderkey").alias("estadillo"), F.date_format("o_orderdate", "dd/MM/yy").alias("fecha_ini")
     )
-    dates = v.plots.where("estadillo % 6 <> 0").select(*key).join(started, "estadillo")
+    dates = v.plots.select(*key).join(started, "estadillo")
     year_text = F.concat(F.lit("20"), F.substring("fecha_ini", 7, 2))
     return (
         totals_of(v)
@@ -192,20 +192,19 @@ def plot_assembly(v):
 @query(
     "bbox_prefilter",
     """WITH p AS (SELECT min(x) - 3e2 AS x1, max(x) + 3e2 AS x2, min(y) - 3e2 AS y1, max(y) + 3e2 AS y2
-      FROM fx_plots WHERE x < 5015e2 AND y > 4499e3)
+      FROM fx_plots)
     SELECT poly_id, label FROM fx_polygons, p WHERE x_max >= x1 AND x_min <= x2 AND y_max >= y1 AND y_min <= y2""",
 )
 def bbox_prefilter(v):
-    points = v.plots.where("x < 5015e2 AND y > 4499e3")
-    return spatial.within_bounds_of(v.polygons, points, 300.0).select("poly_id", "label")
+    return spatial.within_bounds_of(v.polygons, v.plots, 300.0).select("poly_id", "label")
 
 
 PIP_SQL = """pip AS (SELECT estadillo, COALESCE(label, 'Unknown') AS forest_type FROM fx_plots p LEFT JOIN fx_polygons g
-    ON x BETWEEN x_min AND x_max AND y BETWEEN y_min AND y_max AND poly_id % 4 <> 3)"""
+    ON x BETWEEN x_min AND x_max AND y BETWEEN y_min AND y_max)"""
 
 
 def plots_with_type(v):
-    joined = spatial.points_with_polygons(v.plots, v.rings.where("poly_id % 4 <> 3"), ["label"], BUCKET)
+    joined = spatial.points_with_polygons(v.plots, v.rings, ["label"], BUCKET)
     return joined.withColumn("forest_type", F.coalesce("label", F.lit("Unknown")))
 
 
@@ -227,10 +226,10 @@ def top_types(v):
 @query(
     "clip_to_polygon",
     """SELECT cell, r, c FROM fx_grid WHERE EXISTS (SELECT 1 FROM fx_polygons WHERE x BETWEEN x_min AND x_max
-    AND y BETWEEN y_min AND y_max AND poly_id % 3 = 0)""",
+    AND y BETWEEN y_min AND y_max)""",
 )
 def clip_to_polygon(v):
-    clipped = spatial.points_with_polygons(v.grid, v.rings.where("poly_id % 3 = 0"), [], BUCKET, "left_semi")
+    clipped = spatial.points_with_polygons(v.grid, v.rings, [], BUCKET, "left_semi")
     return clipped.select("cell", "r", "c")
 
 
@@ -392,7 +391,7 @@ def ratios_by_tier(v, least: int = 25):
     keys = ["tier", "tier_name"]
     rows = stage(tiered_rows(v).where("ratio > 0").select(*keys, "ratio"), "ratios")
     clean = stage(inventory.iqr_filter(rows, keys, "ratio"), "ratios")
-    order = exact_percentiles(clean, keys, "ratio", {"q05": 0.05, "q95": 0.95})
+    order = exact_percentiles(clean, keys, "ratio", {"q05": 0.05, "q95": 0.95}, staged=True)
     means = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_samples"), F.avg("ratio").alias("mean"))
     return means.where(F.col("n_samples") >= least).join(order, keys)
 
@@ -428,7 +427,7 @@ def tier_parameters(v):
 
 
 RESOLVE_SQL = f"""{PARAM_SQL},
-    par AS (SELECT name, genus, CASE WHEN code % 6 <> 5 THEN family END AS family, clade FROM fx_types WHERE code % 7 <> 0),
+    par AS (SELECT name, genus, CASE WHEN code % 6 <> 5 THEN family END AS family, clade FROM (SELECT * REPLACE (CASE WHEN code % 7 = 0 THEN concat('Other ', name) ELSE name END AS name) FROM fx_types) o),
     ty AS (SELECT name AS type_name FROM fx_types UNION ALL SELECT 'No arbolado' UNION ALL SELECT 'Elsewhere'),
     ch AS (SELECT type_name, 4 AS tier, type_name AS tier_name FROM ty WHERE type_name <> 'No arbolado'
       UNION ALL SELECT type_name, 3, genus FROM ty JOIN par ON type_name = name
@@ -447,7 +446,9 @@ RESOLVE_SQL = f"""{PARAM_SQL},
 def resolved_parameters(v):
     """Allometry (a, b) and ratio of every type, each from its own most specific tier."""
     family = F.when(F.col("code") % 6 != 5, F.col("family"))
-    parents = v.types.where("code % 7 <> 0").select("name", "genus", family.alias("family"), "clade")
+    # one type in seven is listed under another name, so its own has no parents
+    name = F.when(F.col("code") % 7 == 0, F.concat(F.lit("Other "), F.col("name"))).otherwise(F.col("name"))
+    parents = v.types.select(name.alias("name"), "genus", family.alias("family"), "clade")
     extra = v.spark.createDataFrame([("No arbolado",), ("Elsewhere",)], "type_name string")
     chain = inventory.tier_chain(v.types.select(F.col("name").alias("type_name")).unionByName(extra), parents)
     fits, ratios = tier_parameters(v)

@@ -11,12 +11,14 @@ from sylvagrid.session import stage
 
 FEATURES = ["bio1", "bio5", "bio12", "bio12_2yr", "bio12_3yr", "bio17_3yr"]
 RANGES = {"maxIter": (4, 8), "maxDepth": (3, 4), "stepSize": (0.05, 0.3), "subsamplingRate": (0.6, 1.0), "minInstancesPerNode": (1, 10)}
+# bound of the rows per period that models are fitted on, chosen by hash
+FIT_ROWS = 1_000_000
 PARAMS = {"maxIter": 6, "maxDepth": 3, "stepSize": 0.2}
 
 
 def table_of(v):
-    """Standardised modelling rows of all cells and periods, with a row id."""
-    rows = modelling_rows(v, FEATURES, cap=1_000_000)
+    """Standardised modelling rows, with a row id; at most FIT_ROWS of a period take part in the fits."""
+    rows = modelling_rows(v, FEATURES, cap=FIT_ROWS)
     ident = F.concat_ws("_", "cell", "year_start")
     rows = stage(rows.select(ident.alias("row_id"), "x", "y", learning.TARGET, *FEATURES), "ml", spread_rows=True)
     return climate.standardize(rows, [learning.TARGET, *FEATURES])

@@ -121,7 +121,7 @@ def spatial_split(v):
 @query(
     "grid_split",
     f"""WITH g AS (SELECT DISTINCT CAST(floor(r / 4e0) AS INT) AS gr, CAST(floor(c / 4e0) AS INT) AS gc FROM fx_grid),
-    o AS (SELECT gr, gc, (row_number() OVER (ORDER BY {uniform_sql(42, "gr, gc")}) - 1) / CAST(count(*) OVER () AS DOUBLE) AS p FROM g)
+    o AS (SELECT gr, gc, (row_number() OVER (ORDER BY {uniform_sql(42, "gr, gc")}, gr, gc) - 1) / CAST(count(*) OVER () AS DOUBLE) AS p FROM g)
     SELECT gr, gc, CASE WHEN p < 8e-1 THEN 'train' WHEN p < 9e-1 THEN 'validation' ELSE 'test' END AS part FROM o""",
 )
 def grid_split(v):
@@ -132,25 +132,34 @@ def grid_split(v):
 # --- smoothing ---------------------------------------------------------------
 
 
+def lowess_pass_sql(i):
+    """Fit number `i` of the curves from the robust weights of the fit before."""
+    return f"""s{i} AS (SELECT w.l_linenumber, x0, y0, sum(w * rw) AS sw, sum(w * rw * dx) AS sx, sum(w * rw * w.y) AS sy, sum(w * rw * dx * dx) AS sxx, sum(w * rw * dx * w.y) AS sxy
+      FROM w JOIN p{i} ON p{i}.l_linenumber = w.l_linenumber AND p{i}.x = w.x1 GROUP BY w.l_linenumber, x0, y0),
+    f{i} AS (SELECT l_linenumber, x0, y0, (sxx * sy - sx * sxy) / (sw * sxx - sx * sx) AS fit FROM s{i}),
+    p{i + 1} AS (SELECT l_linenumber, x0 AS x, CASE WHEN u < 1 THEN (1 - u * u) * (1 - u * u) ELSE 0 END AS rw
+      FROM (SELECT l_linenumber, x0, abs(y0 - fit) / (6e0 * median(abs(y0 - fit)) OVER (PARTITION BY l_linenumber)) AS u FROM f{i}) q)"""
+
+
 @query(
     "lowess_smooth",
-    """WITH cu AS (SELECT l_linenumber, CAST(l_quantity AS INT) AS q, CAST(l_quantity AS INT) + CAST(l_quantity AS INT) % 7 / 1e1 AS x,
+    f"""WITH cu AS (SELECT l_linenumber, CAST(l_quantity AS INT) AS q, CAST(l_quantity AS INT) + CAST(l_quantity AS INT) % 7 / 1e1 AS x,
       CAST(sum(CAST(round(l_extendedprice * 1e2) AS BIGINT)) AS DOUBLE) / (count(*) * 1e5) AS y FROM lineitem GROUP BY 1, 2, 3),
     n AS (SELECT l_linenumber, count(*) AS n, CAST(greatest(floor(3e-1 * count(*) + 1e-10), 2) AS INT) AS k FROM cu GROUP BY l_linenumber),
-    d AS (SELECT a.l_linenumber, a.x AS x0, a.y AS y0, b.x - a.x AS dx, b.y AS y, abs(b.x - a.x) AS d, k, row_number() OVER (PARTITION BY a.l_linenumber, a.x ORDER BY abs(b.x - a.x)) AS o
+    d AS (SELECT a.l_linenumber, a.x AS x0, a.y AS y0, b.x AS x1, b.x - a.x AS dx, b.y AS y, abs(b.x - a.x) AS d, k, row_number() OVER (PARTITION BY a.l_linenumber, a.x ORDER BY abs(b.x - a.x)) AS o
       FROM cu a JOIN cu b ON a.l_linenumber = b.l_linenumber JOIN n ON n.l_linenumber = a.l_linenumber),
     h AS (SELECT l_linenumber, x0, d AS h FROM d WHERE o = k),
     w AS (SELECT d.*, CASE WHEN d / h < 1 THEN pow(1 - pow(d / h, 3), 3) ELSE 0 END AS w FROM d JOIN h ON h.l_linenumber = d.l_linenumber AND h.x0 = d.x0),
-    s AS (SELECT l_linenumber, x0, y0, sum(w) AS sw, sum(w * dx) AS sx, sum(w * y) AS sy, sum(w * dx * dx) AS sxx, sum(w * dx * y) AS sxy FROM w GROUP BY l_linenumber, x0, y0)
-    SELECT l_linenumber, x0 AS x, round(y0, 7) AS y, round((sxx * sy - sx * sxy) / (sw * sxx - sx * sx), 7) AS smooth FROM s""",
+    p0 AS (SELECT l_linenumber, x, 1e0 AS rw FROM cu),
+    {", ".join(lowess_pass_sql(i) for i in range(4))}
+    SELECT l_linenumber, x0 AS x, round(y0, 7) AS y, round(fit, 7) AS smooth FROM f3""",
 )
 def lowess_smooth(v):
     """Mean price curve over quantity per line number, smoothed."""
     q = F.col("l_quantity").cast("int")
     mean = F.sum(F.round(F.col("l_extendedprice") * 1e2).cast("bigint")).cast("double") / (F.count(F.lit(1)) * 1e5)
     curve = v.t("lineitem").groupBy("l_linenumber", (q + q % 7 / 10.0).alias("x")).agg(mean.alias("y"))
-    curve = curve.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("l_linenumber")))
-    out = models.lowess(curve, ["l_linenumber"], "x", "y", "n", frac=0.3, points=100)
+    out = models.lowess(curve, ["l_linenumber"], "x", "y", frac=0.3)
     return out.withColumns({"y": rnd("y", 7), "smooth": rnd("smooth", 7)})
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sylvagrid.functions.text import rnd
-from sylvagrid.operators import catalog, composite, distributions, masks, series
+from sylvagrid.operators import catalog, change, composite, distributions, masks, series
 from sylvagrid.plans.registry import query, uniform_sql
+from sylvagrid.plans.stocks import PAIRS_SQL
 from sylvagrid.session import scratch, stage
 from sylvagrid.sources import tables
 
@@ -100,9 +101,28 @@ def median_mosaic(v):
     return pixels.groupBy(*keys).agg(*medians, valid).withColumn("valid_pct", rnd("valid_pct", 6))
 
 
+@query(
+    "mosaic_attributes",
+    f"""WITH {BEST_SQL}, px AS (SELECT s.tile, s.yr, px, median(CASE WHEN scl IN (4, 5, 6, 11) THEN red END) AS red, median(CASE WHEN scl IN (4, 5, 6, 11) THEN nir END) AS nir
+      FROM fx_scenes s JOIN best b ON s.tile = b.tile AND s.scene_date = b.scene_date GROUP BY s.tile, s.yr, px),
+    sp AS (SELECT tile, yr, count(*) AS n_scenes, CAST(max(scene_date) - min(scene_date) AS INT) AS time_span FROM best GROUP BY tile, yr)
+    SELECT tile, yr, n_scenes, time_span, round(1e2 * count(red) / count(*), 6) AS red_valid_pct, round(1e2 * count(nir) / count(*), 6) AS nir_valid_pct
+    FROM px JOIN sp USING (tile, yr) GROUP BY tile, yr, n_scenes, time_span""",
+)
+def mosaic_attributes(v):
+    """Per mosaic: its scenes, their time span in days, and the share of its pixels with a value, by band."""
+    best = best_of(v)
+    pixels = masked(v).join(best.select("tile", "scene_date"), ["tile", "scene_date"], "left_semi")
+    per_pixel = pixels.groupBy("tile", "yr", "px").agg(*[F.median(b).alias(b) for b in ("red", "nir")])
+    scenes = best.groupBy("tile", "yr").agg(F.count(F.lit(1)).alias("n_scenes"), F.max("span_days").alias("time_span"))
+    n = F.count(F.lit(1))
+    shares = per_pixel.groupBy("tile", "yr").agg(*[rnd(100.0 * F.count(b) / n, 6, f"{b}_valid_pct") for b in ("red", "nir")])
+    return shares.join(scenes, ["tile", "yr"])
+
+
 ROBUST_SQL = f"""sc AS (SELECT DISTINCT tile, yr, scene_date FROM fx_scenes WHERE scl IN (4, 5, 6)),
     rk AS (SELECT tile, yr, scene_date, rep, row_number() OVER (PARTITION BY tile, yr, rep
-      ORDER BY {uniform_sql(7, "rep, tile, yr, strftime(scene_date, '%Y-%m-%d')")}, scene_date) AS k FROM sc, (SELECT unnest(range(1, 6)) AS rep) r),
+      ORDER BY {uniform_sql(7, "rep, tile, yr, strftime(scene_date, '%Y-%m-%d')")}, scene_date) AS k FROM sc, (SELECT unnest(range(1, 11)) AS rep) r),
     pv AS (SELECT tile, yr, scene_date, px, red FROM fx_scenes WHERE scl IN (4, 5, 6)),
     al AS (SELECT tile, yr, px, median(red) AS m FROM pv GROUP BY tile, yr, px),
     su AS (SELECT pv.tile, pv.yr, n, rep, px, median(red) AS m FROM pv JOIN rk USING (tile, yr, scene_date)
@@ -116,7 +136,7 @@ ROBUST_SQL = f"""sc AS (SELECT DISTINCT tile, yr, scene_date FROM fx_scenes WHER
 def robustness_of(v):
     pixels = masked(v).where("red IS NOT NULL").select("tile", "yr", "scene_date", "px", "red")
     pixels = stage(pixels, "pixels")
-    return composite.robustness(pixels, ["tile", "yr"], "scene_date", "px", "red", [20, 40, 80, 120], 5, 7)
+    return composite.robustness(pixels, ["tile", "yr"], "scene_date", "px", "red", [20, 40, 80, 120], 10, 7)
 
 
 @query(
@@ -169,8 +189,8 @@ def band_stats(v):
       sum(a) OVER g AS n1, sum(b) OVER g AS n2 FROM u WINDOW w AS (PARTITION BY band, year1, year2 ORDER BY value), g AS (PARTITION BY band, year1, year2)),
     d AS (SELECT band, year1, year2, max(abs(f1 - f2)) AS ks, CAST(max(n1) AS DOUBLE) AS n1, CAST(max(n2) AS DOUBLE) AS n2 FROM k GROUP BY band, year1, year2)
     SELECT band, year1, year2, round(ks, 9) AS ks_statistic, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2,
-    round(least(greatest(2e0 * list_sum(list_transform(range(1, 101), lambda i: CASE WHEN i % 2 = 1 THEN 1e0 ELSE -1e0 END
-      * exp(-2e0 * i * i * n1 * n2 / (n1 + n2) * ks * ks))), 0), 1), 7) AS p_value FROM d""",
+    round(CASE WHEN ks = 0 THEN 1 ELSE greatest(1 - sqrt(2e0 * pi()) / (ks * sqrt(n1 * n2 / (n1 + n2)))
+      * list_sum(list_transform(range(1, 4000, 2), lambda i: exp(-1e0 * i * i * pi() * pi() * (n1 + n2) / (8e0 * n1 * n2 * ks * ks)))), 0) END, 7) AS p_value FROM d""",
 )
 def ks_two_sample(v):
     tested = distributions.ks_consecutive(long_bands(v), ["band"], "yr", "value")
@@ -401,6 +421,32 @@ def parse_tile_paths(v):
     return files.withColumns(catalog.parse_height_path("path")).drop("path")
 
 
+@query(
+    "parse_product_paths",
+    """SELECT CASE o_orderkey % 6 WHEN 0 THEN 'mask' WHEN 1 THEN 'height' WHEN 2 THEN 'biomass' WHEN 3 THEN 'mosaic' WHEN 4 THEN 'other' END AS product,
+    CASE WHEN o_orderkey % 6 < 5 THEN CAST(year(o_orderdate) AS INT) END AS year, CASE WHEN o_orderkey % 6 = 0 THEN CAST(o_custkey % 60 AS INT) END AS code,
+    count(*) AS n_files, CAST(sum(CASE o_orderkey % 6 WHEN 0 THEN 30 WHEN 1 THEN 23 WHEN 2 THEN 28 WHEN 3 THEN 39 WHEN 4 THEN 14 ELSE 5 END) AS BIGINT) AS name_length
+    FROM orders GROUP BY 1, 2, 3""",
+)
+def parse_product_paths(v):
+    """Files of all products, named by their patterns, and some that fit none."""
+    year = F.date_format("o_orderdate", "yyyy")
+    kind = F.col("o_orderkey") % 6
+    name = (
+        F.when(kind == 0, F.concat(F.lit("canopy_height_"), year, F.lit("_100m_forest_code"), (F.col("o_custkey") % 60).cast("string")))
+        .when(kind == 1, F.concat(F.lit("canopy_height_"), year, F.lit("_100m")))
+        .when(kind == 2, F.concat(F.lit("TBD_S2_mean_"), year, F.lit("_100m_merged")))
+        .when(kind == 3, F.concat(F.lit("s2_SUMMER_mosaic_"), year, F.lit("_north_downsampled")))
+        .when(kind == 4, F.concat(F.lit("AGBD_"), year, F.lit("_mean")))
+        .otherwise("notes")
+    )
+    files = v.t("orders").select(F.concat(F.lit("/data/"), name, F.lit(".tif")).alias("path"))
+    parsed = files.select(*[c.alias(n) for n, c in catalog.parse_product_path("path").items()])
+    return parsed.groupBy("product", "year", "code").agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum(F.length("base_name")).alias("name_length")
+    )
+
+
 @query(
     "parse_sample_keys",
     """SELECT CASE o_orderkey % 3 WHEN 0 THEN 'TBD' WHEN 1 THEN 'AGBD_raw' ELSE 'TBD' END AS biomass_type, CAST(year(o_orderdate) AS INT) AS year,
@@ -436,11 +482,11 @@ def latest_artifact(v):
 
 
 def tile_files(v):
-    """One file per customer location and year; the last year is still in production."""
-    return v.t("orders").select("o_custkey", F.year("o_orderdate").alias("yr")).distinct().where("yr <> 2001")
+    """One file per customer location and year."""
+    return v.t("orders").select("o_custkey", F.year("o_orderdate").alias("yr")).distinct()
 
 
-FILES_SQL = """tf AS (SELECT DISTINCT o_custkey, CAST(year(o_orderdate) AS INT) AS yr FROM orders WHERE year(o_orderdate) <> 2001),
+FILES_SQL = """tf AS (SELECT DISTINCT o_custkey, CAST(year(o_orderdate) AS INT) AS yr FROM orders),
     ex AS (SELECT o_custkey, yr FROM (SELECT DISTINCT o_custkey FROM tf) a CROSS JOIN (SELECT DISTINCT yr FROM tf) b)"""
 
 
@@ -482,12 +528,42 @@ def completeness_report(v):
 # --- sinks -------------------------------------------------------------------
 
 
-@query("write_partitioned")
+@query(
+    "write_partitioned",
+    """SELECT variable, yr, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT yr, 'height' AS variable, height AS value FROM fx_cells
+    UNION ALL SELECT yr, 'tbd', tbd FROM fx_cells UNION ALL SELECT yr, 'tbd_unc', tbd_unc FROM fx_cells) q GROUP BY variable, yr""",
+)
 def write_partitioned(v):
-    """Cell layer written below variable and year, then read back through the partitions."""
+    """Cell layers written below variable and year, then read back through the partitions."""
     long = v.cells.unpivot(["cell", "r", "c", "yr"], ["height", "tbd", "tbd_unc"], "variable", "value")
     path = tables.write_skewed(long, scratch(v.spark, "layers"), ["variable", "yr"], "cell", 4)
-    return v.spark.read.parquet(path).where("variable = 'tbd'").groupBy("yr").agg(F.count("value").alias("n"))
+    back = v.spark.read.parquet(path)
+    return back.groupBy("variable", "yr").agg(F.count("value").alias("n"), rnd(F.sum("value"), 4, "total"))
+
+
+@query(
+    "store_transitions",
+    f"""WITH {PAIRS_SQL} SELECT year1, year2, count(*) AS n_valid_pixels, round(sum(b1), 4) AS biomass_y1, round(sum(b2), 4) AS biomass_y2,
+    round(sum(b2 - b1), 4) AS raw_diff FROM pr GROUP BY year1, year2""",
+)
+def store_transitions(v):
+    """Every transition of a cell written below its period, read back and summed up."""
+    pairs = change.transition_pairs(v.cells).withColumn("raw_diff", F.col("b2") - F.col("b1"))
+    path = tables.write_skewed(pairs, scratch(v.spark, "transitions"), ["year1", "year2"], "cell", 4)
+    back = v.spark.read.schema(pairs.schema).parquet(path)
+    sums = [rnd(F.sum(c), 4, n) for c, n in (("b1", "biomass_y1"), ("b2", "biomass_y2"), ("raw_diff", "raw_diff"))]
+    return back.groupBy("year1", "year2").agg(F.count(F.lit(1)).alias("n_valid_pixels"), *sums)
+
+
+@query(
+    "write_result_table",
+    """SELECT CAST(yr AS INT) AS yr, count(*) AS n_cells, round(sum(tbd), 4) AS total FROM fx_cells GROUP BY yr""",
+)
+def write_result_table(v):
+    """The table of annual sums written as one CSV file with a header, then read back."""
+    sums = v.cells.groupBy("yr").agg(F.count(F.lit(1)).alias("n_cells"), rnd(F.sum("tbd"), 4, "total"))
+    path = tables.write_table(sums, scratch(v.spark, "sums"))
+    return v.spark.read.schema(sums.schema).option("header", True).csv(path)
 
 
 @query(

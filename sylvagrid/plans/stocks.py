@@ -21,13 +21,15 @@ HEIGHT_CASE = """CASE WHEN height < 0 THEN NULL WHEN height < 2 THEN '0_2m' WHEN
 
 def hierarchy_of(v):
     codes = v.types.select("code", "name")
-    tiers = v.types.where("code % 7 <> 0")
+    # one type in seven is listed under another name and misses its lookup
+    name = F.when(F.col("code") % 7 == 0, F.concat(F.lit("Other "), F.col("name"))).otherwise(F.col("name"))
+    tiers = v.types.withColumn("name", name)
     return zonal.hierarchy(codes, tiers, DEFAULT_TYPE, {"C1": "Broadleaved"})
 
 
 HIERARCHY_SQL = f"""SELECT k.code, k.name, COALESCE(t.genus, k.name) AS genus,
     CASE WHEN t.clade = 'C1' THEN 'Broadleaved' ELSE COALESCE(t.clade, 'Unknown') END AS clade
-    FROM fx_types k LEFT JOIN (SELECT * FROM fx_types WHERE code % 7 <> 0) t ON k.name = t.name
+    FROM fx_types k LEFT JOIN (SELECT * REPLACE (CASE WHEN code % 7 = 0 THEN concat('Other ', name) ELSE name END AS name) FROM fx_types) t ON k.name = t.name
     UNION ALL SELECT 0, '{DEFAULT_TYPE}', '{DEFAULT_TYPE}', '{DEFAULT_TYPE}'"""
 
 
@@ -233,13 +235,17 @@ def start_end_change(v):
 @query(
     "pivot_year_genus",
     f"""WITH {TYPE_SQL}, g AS (SELECT yr, genus, avg(carbon) AS carbon FROM gen GROUP BY yr, genus)
-    SELECT yr, {", ".join(f"round(max(CASE WHEN genus = 'G{i}' THEN carbon END), 6) AS G{i}" for i in range(8))}
+    SELECT yr, {", ".join(f"round(max(CASE WHEN genus = 'G{i}' THEN carbon END), 6) AS G{i}" for i in range(8))},
+    round(sum(CASE WHEN genus NOT IN ({", ".join(f"'G{i}'" for i in range(8))}) THEN carbon END), 6) AS others
     FROM g GROUP BY yr""",
 )
 def pivot_year_genus(v):
+    """One column per named genus and one with the sum of all others."""
     names = [f"G{i}" for i in range(8)]
-    wide = genus_carbon(v).groupBy("yr").pivot("genus", names).agg(F.avg("carbon"))
-    return wide.select("yr", *[rnd(n, 6) for n in names])
+    per = genus_carbon(v).groupBy("yr", "genus").agg(F.avg("carbon").alias("carbon"))
+    column = F.when(F.col("genus").isin(names), F.col("genus")).otherwise("others")
+    wide = per.withColumn("genus", column).groupBy("yr").pivot("genus", [*names, "others"]).agg(F.sum("carbon"))
+    return wide.select("yr", *[rnd(n, 6) for n in [*names, "others"]])
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
@@ -24,6 +26,7 @@ def build_session(app: str = "sylvagrid", cores: str = "8", memory: str = "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="sylvagrid-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -35,17 +38,21 @@ def build_session(app: str = "sylvagrid", cores: str = "8", memory: str = "12g")
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
-    Falls back to a fresh temporary folder only where the setting is absent,
-    which is the case of a local test session.
+    Where the setting is absent, a session that runs inside this one process (`local`
+    or `local[...]`, as in tests) gets a temporary folder of its own; any session with
+    executors of its own has to name the folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    fallback = tempfile.mkdtemp(prefix="sylvagrid-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return _own_folder(spark.sparkContext.applicationId)
+
+
+@functools.cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"sylvagrid-{application}-")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

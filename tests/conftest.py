@@ -13,11 +13,3 @@ def spark():
     session = build_session("tests", cores="8", memory="8g")
     yield session
     session.stop()
-
-
-@pytest.fixture
-def parted(monkeypatch):
-    """Send every table down the path that large tables take."""
-    from sylvagrid.operators import ranking
-
-    monkeypatch.setattr(ranking, "SMALL_ROWS", 0)

@@ -86,9 +86,13 @@ def test_fractions_are_exact(spark):
 
 
 def test_lowess_keeps_a_line(spark):
-    df = spark.createDataFrame([(1, float(x), 2.0 * x + 1, 40) for x in range(40)], "g int, x double, y double, n int")
-    for r in models.lowess(df, ["g"], "x", "y", "n", 0.3, 100).collect():
-        assert r["smooth"] == pytest.approx(r["y"])
+    # one curve is long, and one has an outlier that the robust passes ignore
+    rows = [(1, float(x), 2.0 * x + 1) for x in range(400)] + [(2, float(x), 3.0 * x + (500.0 if x == 20 else 0.1 * (x % 3))) for x in range(40)]
+    df = spark.createDataFrame(rows, "g int, x double, y double")
+    for r in models.lowess(df, ["g"], "x", "y", 0.3).collect():
+        assert r["smooth"] == pytest.approx(r["y"] if r["g"] == 1 else 3.0 * r["x"], abs=0.6)
+    plain = {r["x"]: r["smooth"] for r in models.lowess(df.where("g = 2"), ["g"], "x", "y", 0.3, passes=0).collect()}
+    assert plain[20.0] > 100
 
 
 def test_trim_drops_the_planted_outliers(spark):

@@ -12,6 +12,7 @@ from sylvagrid.operators import (
     change,
     climate,
     composite,
+    distributions,
     grid,
     inventory,
     masks,
@@ -168,6 +169,20 @@ def test_relaxed_search_stops_or_reaches_the_cap(spark):
     assert sum(r["tile"] == 1 for r in got) == 3
 
 
+def test_items_of_unknown_cloud_cover_are_never_found(spark):
+    df = spark.createDataFrame([(1, None), (1, 3), (2, None)], "tile int, cloud int")
+    got = catalog.relaxed_search(df, ["tile"], "cloud", start=1, step=10, least=1, cap=61).collect()
+    assert [(r["tile"], r["cloud"]) for r in got] == [(1, 3)]
+
+
+def test_product_names(spark):
+    names = ["/a/canopy_height_2020_100m_x_code7.tif", "canopy_height_2021_100m.tif", "TBD_S2_mean_2019_100m_merged.tif", "S2_summer_MOSAIC_2018_q_downsampled.tif", "x.tif"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, p string")
+    got = df.orderBy("i").select(*catalog.parse_product_path("p").values()).collect()
+    assert [tuple(r)[:3] for r in got] == [("mask", 2020, 7), ("height", 2021, None), ("biomass", 2019, None), ("mosaic", 2018, None), (None, None, None)]
+    assert got[0][3] == "canopy_height_2020_100m_x"
+
+
 def test_paths_with_southern_latitude(spark):
     df = one(spark, "/x/canopy_height_2019_S1.5_W70.0_code12.tif", "p string")
     r = df.select(*[c.alias(n) for n, c in catalog.parse_height_path("p").items()]).first()
@@ -449,9 +464,54 @@ def test_bootstrap_interval_holds_the_estimate(spark):
     assert got["rmse"][1] - got["rmse"][0] == pytest.approx(2 * 1.96 * rmse / math.sqrt(4000), rel=0.35)
 
 
+def test_bootstrap_width_is_that_of_independent_resamples(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, float(t), float(e)) for i, (t, e) in enumerate(zip(rng.uniform(0, 40, 2000), rng.normal(0, 2, 2000)))]
+    df = spark.createDataFrame(rows, "id int, target double, residual double")
+    widths = []
+    for seed in range(6):
+        got = {r["metric"]: r["upper"] - r["lower"] for r in metrics.bootstrap_intervals(df, ["id"], 400, seed).collect()}
+        widths.append(got["rmse"])
+    theory = 2 * 1.96 * 2 / math.sqrt(4000)
+    assert max(abs(w - theory) for w in widths) < 0.25 * theory
+    assert np.std(widths) < 0.1 * theory
+
+
+def test_kolmogorov_tail_probabilities(spark):
+    # tabulated values of the Kolmogorov distribution: 1 - K(l)
+    known = {0.0: 1.0, 0.1: 1.0, 0.5: 0.9639452436, 0.8275735552: 0.5, 1.0: 0.2699996717, 1.2238478702: 0.1, 1.3580986394: 0.05, 1.6276236115: 0.01, 3.0: 3.04599e-08}
+    df = spark.createDataFrame([(x,) for x in known], "l double")
+    n = F.lit(2000.0)
+    p = distributions.kolmogorov_p(F.col("l") / F.sqrt(n / 2), n, n)
+    for r in df.select("l", p.alias("p")).collect():
+        assert r["p"] == pytest.approx(known[r["l"]], abs=1e-8)
+
+
+def test_incomplete_plots_are_left_out(spark):
+    df = spark.createDataFrame([(1, 2.0, None), (1, 3.0, 1.0), (2, None, 1.0), (2, 1.0, 1.0), (None, 4.0, None)], "k int, agb double, bgb double")
+    got = {r["k"]: (r["agb"], r["bgb"]) for r in inventory.plot_totals(df, ["k"], complete=True).collect()}
+    assert got == {1: (5.0, 1.0), None: (4.0, 0.0)}
+
+
 # --- sinks -------------------------------------------------------------------
 
 
+def test_shared_folder_is_required_beyond_one_process():
+    from types import SimpleNamespace
+
+    from sylvagrid.session import shared_dir
+
+    def session(master, folder=None):
+        conf = SimpleNamespace(get=lambda key, default=None: folder or default)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="app"))
+
+    assert shared_dir(session("spark://x", "hdfs://a/b/")) == "hdfs://a/b"
+    for master in ("local-cluster[3,2,1024]", "yarn", "spark://x"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
+    assert shared_dir(session("local[2]")) == shared_dir(session("local[2]"))
+
+
 def test_partitioned_write_round_trip(spark, tmp_path):
     df = spark.range(100).select((F.col("id") % 3).cast("int").alias("yr"), F.col("id").alias("v"))
     path = tables.write_partitioned(df, str(tmp_path / "p"), ["yr"])

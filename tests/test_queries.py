@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from sylvagrid import plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"]
@@ -28,7 +29,7 @@ def ordered(names, rows):
     return sorted(names), sorted(clean, key=lambda r: tuple((x is None, str(type(x)), 0 if x is None else x) for x in r))
 
 
-@pytest.mark.parametrize("key", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("key", sorted(set(plans.queries()) - SLOW))
 def test_query(spark, duck, key):
     df = entry.queries()[key](spark, SF)
     rows = [tuple(r) for r in df.collect()]

@@ -1,4 +1,4 @@
-"""The distributed order statistics against numpy, on both paths."""
+"""The distributed order statistics against numpy, with any number of value parts."""
 
 import numpy as np
 import pytest
@@ -24,45 +24,72 @@ def expected(rows, q):
     return {k: np.percentile(x, q) for k, x in groups.items()}
 
 
-def check_percentiles(spark):
+LEVELS = [None, 0, 3, 9]
+
+
+@pytest.mark.parametrize("levels", LEVELS)
+def test_percentiles(spark, levels):
     rows, df = skewed(spark)
-    got = ranking.exact_percentiles(df, ["k"], "v", {"q05": 0.05, "q50": 0.5, "q99": 0.99}).collect()
+    got = ranking.exact_percentiles(df, ["k"], "v", {"q05": 0.05, "q50": 0.5, "q99": 0.99}, levels=levels).collect()
     for name, q in (("q05", 5), ("q50", 50), ("q99", 99)):
         want = expected(rows, q)
         assert {r["k"]: pytest.approx(r[name]) for r in got} == want
 
 
-def test_percentiles_small(spark):
-    check_percentiles(spark)
-
+def test_null_key_is_a_group(spark):
+    df = spark.createDataFrame([("a", 3.0), (None, 1.0), (None, 2.0), ("a", None), ("b", None)], "k string, v double")
+    for levels in LEVELS:
+        got = {r["k"]: r["m"] for r in ranking.exact_percentiles(df, ["k"], "v", {"m": 0.5}, levels=levels).collect()}
+        assert got == {"a": 3.0, None: 1.5}
+    run = ranking.running_totals(df.where("v IS NOT NULL").withColumn("w", F.lit(1)), ["k"], "v", ["w"]).collect()
+    assert {(r["k"], r["v"]): (r["w_run"], r["w_all"]) for r in run} == {("a", 3.0): (1, 1), (None, 1.0): (1, 2), (None, 2.0): (2, 2)}
+    kept = ranking.sample_exact(df.withColumn("i", F.monotonically_increasing_id()), ["k"], ["i"], 1, 5).collect()
+    assert sorted(str(r["k"]) for r in kept) == ["None", "a", "b"]
 
-def test_percentiles_parted(spark, parted):
-    check_percentiles(spark)
 
-
-def test_percentile_without_keys_parted(spark, parted):
+def test_percentile_without_keys(spark):
     rows, df = skewed(spark)
     want = np.percentile([x for _, x in rows if x is not None], 90)
     assert ranking.exact_percentiles(df, [], "v", {"q": 0.9}).first()["q"] == pytest.approx(want)
 
 
-def test_lower_order_statistic_parted(spark, parted):
+def test_lower_order_statistic(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(1, 21)], "k string, v double")
     got = ranking.exact_percentiles(df, ["k"], "v", {"q": 0.15}, lower=True).first()["q"]
     assert got == 3.0  # ceil(0.15 * 20) = 3
 
 
-def test_percentile_share_from_key(spark, parted):
+def test_percentile_share_from_key(spark):
     df = spark.createDataFrame([(p, float(i)) for p in (0.25, 0.75) for i in range(5)], "p double, v double")
     got = ranking.exact_percentiles(df, ["p"], "v", {"q": F.col("p")}).collect()
     assert {r["p"]: r["q"] for r in got} == {0.25: 1.0, 0.75: 3.0}
 
 
-def check_running(spark):
+def test_percentiles_of_several_columns(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i % 3, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(0, 1, (600, 2)))]
+    df = spark.createDataFrame(rows, "k int, a double, b double")
+    for r in ranking.exact_percentiles_of(df, ["k"], ["a", "b"], {"lo": 0.1, "m": 0.5}).collect():
+        for i, c in ((1, "a"), (2, "b")):
+            mine = [x[i] for x in rows if x[0] == r["k"]]
+            assert (r[f"lo_{c}"], r[f"m_{c}"]) == pytest.approx(tuple(np.percentile(mine, [10, 50])))
+
+
+def test_only_wanted_parts_are_shuffled_by_value(spark):
+    """No exchange above a scan of the values has all of them: counts per part move, then the rows of a few parts."""
+    df = spark.range(20000).select((F.col("id") % 2).alias("k"), F.rand(3).alias("v"))
+    got = ranking.exact_percentiles(df, ["k"], "v", {"m": 0.5})
+    got.collect()
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+@pytest.mark.parametrize("levels", LEVELS)
+def test_running_totals(spark, levels):
     rng = np.random.default_rng(2)
     rows = [("a", float(i), int(w)) for i, w in enumerate(rng.integers(1, 9, 500))] + [("b", 0.5, 7)]
     df = spark.createDataFrame(rows, "k string, o double, w int")
-    got = {(r["k"], r["o"]): (r["w_run"], r["w_all"]) for r in ranking.running_totals(df, ["k"], "o", ["w"]).collect()}
+    got = {(r["k"], r["o"]): (r["w_run"], r["w_all"]) for r in ranking.running_totals(df, ["k"], "o", ["w"], levels).collect()}
     total = 0
     for k, o, w in rows[:-1]:
         total += w
@@ -71,26 +98,21 @@ def check_running(spark):
     assert got[("b", 0.5)] == (7, 7)
 
 
-def test_running_totals_small(spark):
-    check_running(spark)
-
+def test_ties_are_ordered_by_the_further_columns(spark):
+    df = spark.createDataFrame([(0.5, i, 1) for i in range(50)], "u double, i int, w int")
+    got = {r["i"]: r["w_run"] for r in ranking.running_totals(df, [], ["u", "i"], ["w"]).collect()}
+    assert got == {i: i + 1 for i in range(50)}
 
-def test_running_totals_parted(spark, parted):
-    check_running(spark)
 
-
-def sample_ids(spark, size):
+def test_sample_exact_sizes_whatever_the_parts(spark):
     df = spark.range(5000).withColumn("k", F.when(F.col("id") < 4900, "hot").otherwise("cold"))
-    got = ranking.sample_exact(df, ["k"], ["id"], size, 3).collect()
-    return {k: {r["id"] for r in got if r["k"] == k} for k in ("hot", "cold")}
-
-
-def test_sample_exact_sizes_and_paths_agree(spark, monkeypatch):
-    small = sample_ids(spark, 300)
-    assert len(small["hot"]) == 300
-    assert len(small["cold"]) == 100  # smaller groups stay whole
-    monkeypatch.setattr(ranking, "SMALL_ROWS", 0)
-    assert sample_ids(spark, 300) == small
+    samples = []
+    for levels in (None, 0, 6):
+        got = ranking.sample_exact(df, ["k"], ["id"], 300, 3, levels).collect()
+        samples.append({k: {r["id"] for r in got if r["k"] == k} for k in ("hot", "cold")})
+    assert len(samples[0]["hot"]) == 300
+    assert len(samples[0]["cold"]) == 100  # smaller groups stay whole
+    assert samples[1:] == samples[:1] * 2
 
 
 def test_parts_split_a_hot_group_evenly(spark):
