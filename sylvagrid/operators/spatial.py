@@ -1,7 +1,7 @@
 """Spatial joins as equi-joins on grid buckets, refined by an exact predicate.
 
-A geometry is listed in every bucket its bounding box touches, a point in one.
-The buckets give the join a hashable key, so it shuffles (and, under adaptive
+A box is listed in every bucket it touches, a polygon in those it covers, a point in
+one. The buckets give the join a hashable key, so it shuffles (and, under adaptive
 execution, splits a crowded bucket) like any equi-join; the exact test then runs
 only on the candidates. Bucket size should be near the usual geometry size.
 """
@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sylvagrid.session import stage
+
 
 def _bucket(value, size: float) -> Column:
     return F.floor((F.col(value) if isinstance(value, str) else value) / size)
@@ -91,23 +93,62 @@ def _spread(boxes: DataFrame, size: float) -> DataFrame:
     ).withColumn("_by", F.explode(F.sequence(_bucket("y_min", size), _bucket("y_max", size))))
 
 
+def polygon_buckets(polygons: DataFrame, attributes: Sequence[str], size: float) -> DataFrame:
+    """(_bx, _by, edges, attributes): the buckets that polygons cover, one row per polygon and bucket.
+
+    A bucket that the outline crosses carries the edges of its row of buckets from it to
+    the right, which decide every point in it. A bucket wholly inside carries none
+    (`edges` is null); the others are left out. So an outline of very many edges is never
+    copied whole, and only points near it are tested against edges.
+    """
+    named = ring_bounds(polygons).withColumn("_pid", F.monotonically_increasing_id())
+    named = stage(named.select("_pid", "x_min", "x_max", "edges", *attributes), "polygons")
+    a, b = F.col("e.a"), F.col("e.b")
+    low, high = F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"])
+    rows = F.explode(F.sequence(_bucket(low, size), _bucket(high, size))).alias("_by")
+    bands = named.select("_pid", F.explode("edges").alias("e")).select("_pid", "e", rows)
+
+    def x_at(y):
+        return a["x"] + (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"])
+
+    flat = a["y"] == b["y"]
+    ends = [
+        F.when(flat, p["x"]).otherwise(x_at(y))
+        for p, y in ((a, F.greatest(low, F.col("_by") * size)), (b, F.least(high, (F.col("_by") + 1) * size)))
+    ]
+    slack = size * 1e-9
+    touched = F.sequence(_bucket(F.least(*ends) - slack, size), _bucket(F.greatest(*ends) + slack, size))
+    border = bands.select("_pid", "_by", F.explode(touched).alias("_bx")).distinct()
+    local = (
+        border.join(bands, ["_pid", "_by"])
+        .where(F.greatest(a["x"], b["x"]) >= F.col("_bx") * size)
+        .groupBy("_pid", "_bx", "_by")
+        .agg(F.collect_list("e").alias("edges"))
+    )
+    # where the middle line of a row of buckets enters and leaves the polygon
+    middle = (F.col("_by") + 0.5) * size
+    crossed = F.when((a["y"] > middle) != (b["y"] > middle), x_at(middle))
+    lines = bands.groupBy("_pid", "_by").agg(F.collect_list(crossed).alias("_xs"))
+    columns = F.explode(F.sequence(_bucket("x_min", size), _bucket("x_max", size))).alias("_bx")
+    inner = lines.join(named.select("_pid", "x_min", "x_max"), "_pid").select("_pid", "_by", "_xs", columns)
+    right = F.size(F.filter("_xs", lambda x: x > (F.col("_bx") + 0.5) * size))
+    inner = inner.where(right % 2 == 1).join(border, ["_pid", "_bx", "_by"], "left_anti")
+    inner = inner.select("_pid", "_bx", "_by", F.lit(None).cast(local.schema["edges"].dataType).alias("edges"))
+    return local.unionByName(inner).join(named.select("_pid", *attributes), "_pid").drop("_pid")
+
+
 def points_with_polygons(
     points: DataFrame, polygons: DataFrame, attributes: Sequence[str], size: float, how: str = "left"
 ) -> DataFrame:
     """Points joined to every polygon they intersect (`left` keeps the others; `left_semi` clips)."""
     near = points.withColumns({"_bx": _bucket("x", size), "_by": _bucket("y", size)}).alias("p")
-    boxes = _spread(ring_bounds(polygons), size)
-    boxes = boxes.select(
-        "_bx", "_by", "x_min", "x_max", "y_min", "y_max", "edges", *attributes
-    ).alias("g")
+    buckets = polygon_buckets(polygons, attributes, size).alias("g")
     inside = (
         (F.col("p._bx") == F.col("g._bx"))
         & (F.col("p._by") == F.col("g._by"))
-        & F.col("p.x").between(F.col("g.x_min"), F.col("g.x_max"))
-        & F.col("p.y").between(F.col("g.y_min"), F.col("g.y_max"))
-        & point_in_ring("p.x", "p.y", "g.edges")
+        & (F.col("g.edges").isNull() | point_in_ring("p.x", "p.y", "g.edges"))
     )
-    joined = near.join(boxes, inside, how)
+    joined = near.join(buckets, inside, how)
     if how in ("left_semi", "left_anti"):
         return joined.drop("_bx", "_by")
     return joined.select(*[f"p.{c}" for c in points.columns], *[f"g.{a}" for a in attributes])

@@ -17,6 +17,8 @@ def pairs_within(points: DataFrame, keys: Sequence[str], ident: str, value: str,
     Points meet through square buckets as wide as the radius. One side is listed
     in its own bucket and in four of its eight neighbours, which is enough to
     meet every pair exactly once; only pairs from adjacent buckets are compared.
+    The pairs grow with the square of the points within reach: for a reach of many
+    points, pass a fixed number of reference points (`ranking.sample_exact`).
     """
     bx, by = F.floor(F.col("x") / radius), F.floor(F.col("y") / radius)
     half = [(0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]

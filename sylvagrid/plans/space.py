@@ -169,8 +169,10 @@ def sample_per_bin(v):
 
 # --- variograms --------------------------------------------------------------
 
-RADIUS, BINS = 450.0, 8
-LAG_SQL = f"""va AS (SELECT k.cell, yr, x, y, tbd FROM fx_cells k JOIN fx_grid g ON g.cell = k.cell),
+# reference points per year, a fixed number as the method has it, and the reach of their pairs: 200 cells
+REFERENCES, RADIUS, BINS = 400, 2e4, 8
+LAG_SQL = f"""va AS (SELECT * FROM (SELECT k.cell, yr, x, y, tbd, row_number() OVER (PARTITION BY yr ORDER BY {uniform_sql(17, "yr, k.cell")}, k.cell) AS o
+      FROM fx_cells k JOIN fx_grid g ON g.cell = k.cell) q WHERE o <= {REFERENCES}),
     lg AS (SELECT yr, distance, count(*) AS n_pairs, sum(gamma) AS gamma_sum FROM (SELECT a.yr, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance,
       5e-1 * (a.tbd - b.tbd) * (a.tbd - b.tbd) AS gamma FROM va a JOIN va b ON a.yr = b.yr AND a.cell < b.cell
       AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {RADIUS!r} * {RADIUS!r}) q GROUP BY yr, distance)"""
@@ -181,7 +183,8 @@ CURVE_SQL = f"""{LAG_SQL}, ww AS (SELECT yr, max(distance) / {BINS} AS w FROM lg
 
 
 def lags_of(v):
-    points = v.cells.select("cell", "yr", "tbd").join(v.grid.select("cell", "x", "y"), "cell")
+    chosen = ranking.sample_exact(v.cells.select("cell", "yr", "tbd"), ["yr"], ["cell"], REFERENCES, 17)
+    points = stage(chosen.join(v.grid.select("cell", "x", "y"), "cell"), "references", spread_rows=True)
     return variogram.by_distance(variogram.pairs_within(points, ["yr"], "cell", "tbd", RADIUS), ["yr"])
 
 
@@ -218,7 +221,7 @@ def autocorrelation_range(v):
     return out.withColumns({c: rnd(c, 6) for c in ("sill", "nugget", "range", "max_distance")})
 
 
-RANGES = [float(r) for r in range(20, 1001, 20)]
+RANGES = [float(r) for r in range(100, 20001, 400)]
 
 
 @query(

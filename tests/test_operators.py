@@ -493,6 +493,45 @@ def test_incomplete_plots_are_left_out(spark):
     assert got == {1: (5.0, 1.0), None: (4.0, 0.0)}
 
 
+def star(n, x, y, seed):
+    """A closed ring with very many edges around (x, y)."""
+    rng = np.random.default_rng(seed)
+    turn = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    far = rng.uniform(200, 900, n)
+    ring = [(float(x + r * np.cos(t)), float(y + r * np.sin(t))) for t, r in zip(turn, far)]
+    return [*ring, ring[0]]
+
+
+def within(px, py, ring):
+    odd = False
+    for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+        if (ay > py) != (by > py) and px < (bx - ax) * (py - ay) / (by - ay) + ax:
+            odd = not odd
+    return odd
+
+
+@pytest.mark.parametrize("size", [60.0, 250.0, 5000.0])
+def test_points_in_outlines_of_many_edges(spark, size):
+    rings = {1: star(500, 0, 0, 1), 2: star(7, 300, -200, 2), 3: [(-400.0, -400.0), (500.0, -400.0), (500.0, 500.0), (-400.0, 500.0), (-400.0, -400.0)]}
+    polygons = spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in r]) for i, r in rings.items()], "id int, ring array<struct<x:double,y:double>>")
+    rng = np.random.default_rng(5)
+    where = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-1000, 1000, (1500, 2)))] + [(9000, 500.0, 0.0), (9001, -400.0, -400.0)]
+    points = spark.createDataFrame(where, "p int, x double, y double")
+    got = {(r["p"], r["id"]) for r in spatial.points_with_polygons(points, polygons, ["id"], size).collect() if r["id"]}
+    want = {(p, i) for p, x, y in where[:-2] for i, r in rings.items() if within(x, y, r)}
+    assert {g for g in got if g[0] < 9000} == want
+    assert (9000, 3) in got and (9001, 3) in got
+    clipped = spatial.points_with_polygons(points, polygons, [], size, "left_semi")
+    assert {r["p"] for r in clipped.collect()} == {p for p, _ in got}
+
+
+def test_buckets_carry_local_edges_only(spark):
+    ring = star(2000, 0, 0, 3)
+    polygons = spark.createDataFrame([(1, [{"x": x, "y": y} for x, y in ring])], "id int, ring array<struct<x:double,y:double>>")
+    sizes = [r["n"] for r in spatial.polygon_buckets(polygons, ["id"], 20.0).select(F.size("edges").alias("n")).where("n >= 0").collect()]
+    assert max(sizes) < 700 and np.mean(sizes) < 250
+
+
 # --- sinks -------------------------------------------------------------------
 
 
