@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvagrid.llm.common import KEY, attach, by_size, load, row_key
+from sylvagrid.llm.common import BROADCAST_ENTRIES, KEY, attach, by_size, load, row_key
 from sylvagrid.llm.components import components
 from sylvagrid.llm.hashing import WordHashes, gram_hashes, mixed
 from sylvagrid.session import stage
@@ -176,8 +176,12 @@ def open_entries(table: DataFrame, similarity: Fraction) -> tuple[DataFrame, Dat
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
-    """(a, b, linked): pairs of nodes compared on their whole sets."""
+    """(a, b, linked): pairs of nodes compared on their whole sets. Only the sets of these nodes move."""
     num, den = similarity.numerator, similarity.denominator
+    pairs = stage(pairs, "pairs")
+    if pairs.count() <= BROADCAST_ENTRIES:
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        sets = sets.join(F.broadcast(ends), "node", "left_semi")
     x, y = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     shared = F.size(F.array_intersect("x", "y")).cast("long")
     total = F.size("x") + F.size("y")
@@ -203,7 +207,10 @@ def _hooked(comp: DataFrame, links: DataFrame) -> DataFrame:
 def node_links(docs: DataFrame, entries: DataFrame, nodes: DataFrame, k: int, similarity: Fraction) -> DataFrame:
     """Links (a, b) between nodes that connect all components; every link is verified."""
     wanted = entries.select("node").distinct().join(nodes, "node").select("node", "key.*")
+    wanted = stage(wanted, "wanted")
     sets = stage(_sets_of(docs, wanted, k), "sets")
+    if sets.count() > wanted.count():  # rows that repeat in id and text
+        sets = stage(sets.dropDuplicates(["node"]), "sets")
     comp = stage(sets.select("node", F.col("node").alias("comp")), "labels")
     live, links, checked, leaders = entries, None, None, 1
     while True:
@@ -257,7 +264,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b["node"].slice(start, end - start), arrays], names=["node", "set"])
 
     rows = attach(docs.select("doc_id", "text"), wanted, how="inner").select("node", F.col("_row.text").cast("binary").alias("t"))
-    return rows.mapInArrow(run, "node binary, set array<long>").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node binary, set array<long>")
 
 
 def document_classes(docs: DataFrame, k: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
