@@ -67,12 +67,14 @@ def with_kept_text(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame, counts: Sequence[str] = (), size: int = SIZE) -> DataFrame:
-    """The documents with repeated lines cut from `text`, and the columns `counts` set to its new length.
+    """The documents with repeated lines cut from `text`, and the columns `counts` set to its new length
+    where it changed.
 
     Documents that lose lines and keep no character but white space are left out.
     """
     rows = with_kept_text(docs, size).where(F.col("gone").isNull() | (F.length(F.trim("_text", F.lit(BLANK + "\n"))) > 0))
-    new = {"text": F.col("_text")} | {c: F.length("_text").cast(docs.schema[c].dataType) for c in counts}
+    size = F.when(F.col("gone").isNotNull(), F.length("_text"))
+    new = {"text": F.col("_text")} | {c: F.coalesce(size.cast(docs.schema[c].dataType), F.col(f"_row.`{c}`")) for c in counts}
     return rows.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
