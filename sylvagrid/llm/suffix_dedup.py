@@ -38,8 +38,8 @@ from sylvagrid.session import stage
 LENGTH, GRAM = 100, 20
 # symbols of a window; a power of two, so that shards are sorted by doubling
 DEPTH = 4
-# bytes of runs that a task settles at once, and of one shard of them
-BLOCK, SHARD = 4 << 20, 1 << 20
+# bytes of texts or runs that a task works on at once (some 100 bytes of memory each), and of one shard of runs
+BLOCK, SHARD = 1 << 20, 1 << 18
 # differing runs of one gram that one task takes in the first step
 HOT = 20_000
 # repeated grams (8 bytes each) up to this number are broadcast; above it the runs are shuffled
@@ -86,7 +86,7 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for b in batches:
         texts = [t or b"" for t in b["t"].to_pylist()]
-        for start, end in by_size(texts):
+        for start, end in by_size(texts, BLOCK):
             yield b.slice(start, end - start), texts[start:end]
 
 
