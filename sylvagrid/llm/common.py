@@ -67,7 +67,7 @@ def word_count(text: str = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
 
 
-def by_size(texts: Sequence[bytes], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def by_size(texts: Sequence[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about `most` bytes of text, at least one row each; a text is never cut."""
     start, size = 0, 0
     for i, t in enumerate(texts):

@@ -10,7 +10,7 @@ import xxhash
 MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 # words whose hash a worker remembers; the memory is emptied when full
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
