@@ -32,8 +32,8 @@ SYMBOLS = (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")
 NOT_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
 # main script: (characters per token, byte-fallback share, normalised entropy), each lowest and highest
 BANDS = {
-    "latin": ((1.2, 12.0), (0.0, 0.2), (0.3, 1.0)),
-    "cyrillic": ((1.0, 12.0), (0.0, 0.2), (0.3, 1.0)),
+    "latin": ((1.5, 12.0), (0.0, 0.2), (0.35, 1.0)),
+    "cyrillic": ((1.0, 12.0), (0.0, 0.2), (0.35, 1.0)),
     "greek": ((0.6, 12.0), (0.0, 0.5), (0.3, 1.0)),
     "cjk": ((0.3, 6.0), (0.0, 0.8), (0.3, 1.0)),
     "other": ((0.25, 12.0), (0.0, 0.95), (0.2, 1.0)),

@@ -120,6 +120,13 @@ def test_bands_follow_the_main_script_and_keep_prose():
     got = qr.rate([t.encode() for t in texts], vocabulary)
     assert list(got["script"]) == ["latin", "latin", "cjk", "cyrillic"]
     assert got["kept"][0]
+    # hexadecimal digests, and Latin text among code points that the vocabulary lacks
+    import hashlib
+
+    digests = " ".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(40))
+    broken = " ".join(w + "\U00013000" * 3 for w in prose(2, 60).split())
+    odd = qr.rate([digests.encode(), broken.encode()], vocabulary)
+    assert not odd["base_failed"].any() and not odd["kept"].any()
     narrow = {**qr.BANDS, "latin": ((50.0, 60.0), (0.0, 1.0), (0.0, 1.0))}
     assert not qr.rate([texts[0].encode()], vocabulary, narrow)["kept"][0]
     assert qr.rate([b"a b c " * 3], vocabulary, narrow)["base_failed"][0]
