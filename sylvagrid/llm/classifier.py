@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvagrid.llm.common import by_size, load
+from sylvagrid.llm.common import load, text_slices
 from sylvagrid.llm.hashing import MULTIPLIER, gram_hashes, mixed, span_hashes
 
 # bound of the fitted sample: labelled documents, chosen by hash
@@ -149,8 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     sample = thin.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "_label", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [document_features(t or b"") for t in b["t"].to_pylist()]
+        for b, texts in text_slices(batches):
+            found = [document_features(t) for t in texts]
             columns = [[i.tobytes() for i, _ in found], [c.tobytes() for _, c in found]]
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"].cast(pa.string()), b["_label"].cast(pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], names=["id", "y", "i", "c"]
@@ -166,12 +166,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed table of 2 ** BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t or b"" for t in b["t"].to_pylist()]
-            for start, end in by_size(texts):
-                yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"].slice(start, end - start), pa.array(shared.value.score(texts[start:end]))], names=["doc_id", "score"]
-                )
+        for b, texts in text_slices(batches):
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(shared.value.score(texts))], names=["doc_id", "score"])
 
     thin = docs.select("doc_id", F.col("text").cast("binary").alias("t"))
     return thin.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,13 +70,14 @@ def word_count(text: str = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
 
 
-def by_size(texts: Sequence[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about `most` bytes of text, at least one row each; a text is never cut."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "t", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of the batches with about `most` bytes of text, at least one row each, and their texts; a text is never cut."""
+    for b in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < b.num_rows:
+            read = total[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(total, read + most, side="right")))
+            part = b.slice(start, end - start)
+            yield part, [t or b"" for t in part.column(column).cast(pa.binary()).to_pylist()]
+            start = end

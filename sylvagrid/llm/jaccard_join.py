@@ -9,7 +9,7 @@ out before their members are expanded and verified on whole sets.
 
 Only components are asked for, so pairs that are already connected need no check. In
 every shingle's bucket the least deviating member leads first and is compared with the
-others; then members outside its component lead, four times as many in each round, and
+others; then members outside its component lead, more of them in each round, and
 a bucket is finished when one component is left of those that have not led. Every pair
 that could link is thereby compared or already connected, and a bucket of m near copies
 costs about m comparisons.
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvagrid.llm.common import BROADCAST_ENTRIES, KEY, attach, by_size, load, row_key
+from sylvagrid.llm.common import BROADCAST_ENTRIES, KEY, attach, load, row_key, text_slices
 from sylvagrid.llm.components import components
 from sylvagrid.llm.hashing import WordHashes, gram_hashes, mixed
 from sylvagrid.session import stage
@@ -40,6 +40,8 @@ from sylvagrid.session import stage
 SHINGLE, SIMILARITY = 5, Fraction(80, 100)
 # counters of the frequency sketch; they order shingles and so change cost, never links
 SKETCH_BITS, SKETCH_BLOCK_BITS = 20, 14
+# each round has so many times the leaders of the one before
+GROWTH = 8
 
 
 def shingle_sets(texts: list[bytes], k: int, memory: WordHashes) -> list[np.ndarray]:
@@ -59,6 +61,12 @@ def shingle_sets(texts: list[bytes], k: int, memory: WordHashes) -> list[np.ndar
     return out
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """64-bit hashes as one column of lists."""
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).view(np.int64)))
+
+
 def needed(n: int, similarity: Fraction) -> int:
     """Least number of shared shingles of a set of `n` with any similar set."""
     return -(-similarity.numerator * n // similarity.denominator)
@@ -74,11 +82,9 @@ def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, memory = np.zeros(1 << SKETCH_BITS, np.int64), WordHashes()
-        for b in batches:
-            texts = [t or b"" for t in b["t"].to_pylist()]
-            for start, end in by_size(texts):
-                grams = np.concatenate(shingle_sets(texts[start:end], k, memory))
-                total += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+        for _, texts in text_slices(batches):
+            grams = np.concatenate(shingle_sets(texts, k, memory))
+            np.add.at(total, (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         used = [i for i in range(len(total) // block) if total[i * block : (i + 1) * block].any()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(used, pa.int32()), pa.array([total[i * block : (i + 1) * block].tobytes() for i in used], pa.binary())], names=["block", "n"]
@@ -107,31 +113,24 @@ def prefix_table(docs: DataFrame, k: int, similarity: Fraction) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, frequency = WordHashes(), sketch.value
-        for b in batches:
-            texts = [t or b"" for t in b["t"].to_pylist()]
-            for start, end in by_size(texts):
-                sets = shingle_sets(texts[start:end], k, memory)
-                prefixes = []
-                for s in sets:
-                    often = frequency[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    length = len(s) - needed(len(s), similarity) + 1 if len(s) else 0
-                    prefixes.append(s[np.lexsort((s, often))[:length]])
-                offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-                flat = np.concatenate(prefixes).view(np.int64)
-                names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                groups = [xxhash.xxh3_128_digest(p.tobytes(), seed=len(s)) for s, p in zip(sets, prefixes)]
-                size = end - start
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b[KEY[0]].slice(start, size),
-                        b[KEY[1]].slice(start, size),
-                        pa.array([len(s) for s in sets], pa.int32()),
-                        pa.array(names, pa.binary()),
-                        pa.array(groups, pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                    ],
-                    names=[*KEY, "n", "node", "grp", "prefix"],
-                )
+        for b, texts in text_slices(batches):
+            sets = shingle_sets(texts, k, memory)
+            prefixes = []
+            for s in sets:
+                often = frequency[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                length = len(s) - needed(len(s), similarity) + 1 if len(s) else 0
+                prefixes.append(s[np.lexsort((s, often))[:length]])
+            names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            groups = [xxhash.xxh3_128_digest(p.tobytes(), seed=len(s)) for s, p in zip(sets, prefixes)]
+            columns = [
+                b[KEY[0]],
+                b[KEY[1]],
+                pa.array([len(s) for s in sets], pa.int32()),
+                pa.array(names, pa.binary()),
+                pa.array(groups, pa.binary()),
+                _lists(prefixes),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[*KEY, "n", "node", "grp", "prefix"])
 
     schema = f"{KEY[0]} {docs.schema['doc_id'].dataType.simpleString()}, {KEY[1]} long, n int, node binary, grp binary, prefix array<long>"
     return stage(_thin(docs).mapInArrow(run, schema), "prefixes")
@@ -188,31 +187,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFr
     return pairs.join(x, "a").join(y, "b").select("a", "b", ((num + den) * shared >= num * total).alias("linked"))
 
 
-def _hooked(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """Component labels after some links: each label goes to the smallest it touches, and to that one's own.
-
-    Labels may still differ within a component, which costs comparisons and loses none.
-    """
+def _ends(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """(ca, cb): labels that links connect and that differ, in both directions."""
     ends = links.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a")
     ends = ends.join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").select("ca", "cb")
     ends = ends.where(F.col("ca") != F.col("cb"))
-    both = ends.unionByName(ends.select(F.col("cb").alias("ca"), F.col("ca").alias("cb")))
-    low = both.groupBy(F.col("ca").alias("old")).agg(F.min("cb").alias("low")).select("old", F.least("old", "low").alias("low"))
-    low = stage(low, "hooks")
-    jump = low.join(low.select(F.col("old").alias("low"), F.col("low").alias("next")), "low", "left")
-    new = jump.select(F.col("old").alias("comp"), F.coalesce("next", "low").alias("new"))
-    return stage(comp.join(new, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")), "labels")
+    return ends.unionByName(ends.select(F.col("cb").alias("ca"), F.col("ca").alias("cb")))
+
 
+def _relabelled(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Component labels after some links: each label goes to the smallest one at most two links away.
 
-def node_links(docs: DataFrame, entries: DataFrame, nodes: DataFrame, k: int, similarity: Fraction) -> DataFrame:
-    """Links (a, b) between nodes that connect all components; every link is verified."""
+    Labels may still differ within a component, which costs comparisons and loses none.
+    """
+    ends = _ends(comp, links)
+    low = ends.groupBy(F.col("ca").alias("via")).agg(F.min("cb").alias("low")).select("via", F.least("via", "low").alias("low"))
+    new = ends.join(low, F.col("cb") == F.col("via")).groupBy("ca").agg(F.min(F.least("low", "cb")).alias("new"))
+    moved = comp.join(new, F.col("comp") == F.col("ca"), "left")
+    return stage(moved.select("node", F.coalesce(F.least("new", "comp"), "comp").alias("comp")), "labels")
+
+
+def node_components(docs: DataFrame, entries: DataFrame, nodes: DataFrame, k: int, similarity: Fraction) -> DataFrame:
+    """(node, root) of the nodes of `entries`; every link that joins two of them is verified."""
     wanted = entries.select("node").distinct().join(nodes, "node").select("node", "key.*")
-    wanted = stage(wanted, "wanted")
     sets = stage(_sets_of(docs, wanted, k), "sets")
-    if sets.count() > wanted.count():  # rows that repeat in id and text
+    n, distinct = sets.agg(F.count(F.lit(1)), F.count_distinct("node")).first()
+    if n > distinct:  # rows that repeat in id and text
         sets = stage(sets.dropDuplicates(["node"]), "sets")
     comp = stage(sets.select("node", F.col("node").alias("comp")), "labels")
-    live, links, checked, leaders = entries, None, None, 1
+    live, checked, leaders = entries, None, 1
     while True:
         labelled = live.join(comp, "node")
         bucket = labelled.groupBy(F.col("tok").alias("_tok")).agg(
@@ -225,13 +228,13 @@ def node_links(docs: DataFrame, entries: DataFrame, nodes: DataFrame, k: int, si
         bucket = bucket.where(F.col("_c0") != F.col("_c1"))
         labelled = labelled.join(bucket, F.col("tok") == F.col("_tok")).where((F.col("hi") >= F.col("_n")) & (F.col("n") <= F.col("_hi")))
         labelled = stage(labelled.select("tok", "node", "n", "hi", "comp", (F.col("comp") == F.col("_core")).alias("core")), "live")
-        if labelled.isEmpty():
-            break
         # first the least deviating member of a bucket, later members outside its component
         able = labelled if leaders == 1 else labelled.where(~F.col("core"))
         slot = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))
         lead = able.groupBy("tok", slot.alias("slot")).agg(F.max(F.struct("hi", "node", "n", "comp")).alias("l"))
         lead = stage(lead.select("tok", F.col("l.node").alias("ln"), F.col("l.n").alias("lsize"), F.col("l.hi").alias("lhi"), F.col("l.comp").alias("lc")), "leaders")
+        if lead.isEmpty():
+            break
         met = labelled.join(lead, "tok").where(
             (F.col("node") != F.col("ln")) & (F.col("comp") != F.col("lc")) & (F.col("n") <= F.col("lhi")) & (F.col("lsize") <= F.col("hi"))
         )
@@ -240,14 +243,16 @@ def node_links(docs: DataFrame, entries: DataFrame, nodes: DataFrame, k: int, si
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         now = stage(_verified(pairs, sets, similarity), "verified")
         checked = now if checked is None else checked.unionByName(now)
-        comp = _hooked(comp, now.where("linked").select("a", "b"))
+        comp = _relabelled(comp, now.where("linked").select("a", "b"))
         done = lead.select(F.col("tok").alias("_t"), "ln")
         live = labelled.join(done, (F.col("tok") == F.col("_t")) & (F.col("node") == F.col("ln")), "left_anti").select("tok", "node", "n", "hi")
-        live = stage(live, "live")
-        leaders *= 4
+        leaders *= GROWTH
     if checked is None:
-        return entries.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False))
-    return checked.where("linked").select("a", "b")
+        return comp.withColumnRenamed("comp", "root")
+    # the labels are nearly final; links between different ones settle the rest
+    ends = _ends(comp, checked.where("linked").select("a", "b"))
+    roots = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    return comp.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("root", "comp").alias("root"))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -255,13 +260,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
-        for b in batches:
-            texts = [t or b"" for t in b["t"].to_pylist()]
-            for start, end in by_size(texts):
-                sets = shingle_sets(texts[start:end], k, memory)
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b["node"].slice(start, end - start), arrays], names=["node", "set"])
+        for b, texts in text_slices(batches):
+            yield pa.RecordBatch.from_arrays([b["node"], _lists(shingle_sets(texts, k, memory))], names=["node", "set"])
 
     rows = attach(docs.select("doc_id", "text"), wanted, how="inner").select("node", F.col("_row.text").cast("binary").alias("t"))
     return rows.mapInArrow(run, "node binary, set array<long>")
@@ -275,7 +275,7 @@ def document_classes(docs: DataFrame, k: int = SHINGLE, similarity: Fraction = S
     docs = docs.select("doc_id", "text")
     table = prefix_table(docs, k, similarity)
     nodes, entries = open_entries(table, similarity)
-    roots = components(node_links(docs, entries, nodes, k, similarity))
+    roots = node_components(docs, entries, nodes, k, similarity)
     rooted = nodes.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
     rooted = stage(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min(F.when(F.col(f"key.{KEY[0]}").isNotNull(), F.col("key"))).alias("named"), F.min("key").alias("any"))

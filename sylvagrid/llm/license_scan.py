@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvagrid.llm.common import ALNUM, by_size, load
+from sylvagrid.llm.common import ALNUM, load, text_slices
 
 # fixed values: phrases and their labels
 BASE = {
@@ -100,10 +100,10 @@ def word_frequency(docs: DataFrame, words: list[bytes]) -> tuple[int, dict[bytes
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total, rows = set(words), dict.fromkeys(words, 0), 0
-        for b in batches:
-            for t in b["t"].to_pylist():
-                rows += 1
-                for w in known.intersection((t or b"").translate(ALNUM).split()):
+        for _, texts in text_slices(batches):
+            rows += len(texts)
+            for t in texts:
+                for w in known.intersection(t.translate(ALNUM).split()):
                     total[w] += 1
         yield pa.RecordBatch.from_pydict({"w": [b"", *total], "n": [rows, *total.values()]}, schema=pa.schema([("w", pa.binary()), ("n", pa.int64())]))
 
@@ -169,21 +169,19 @@ def scan(docs: DataFrame, templates: dict = TEMPLATES, base: dict = BASE, share:
     types = {"n_words": pa.int64(), "spots": pa.list_(spot), "base_labels": labels, "labels": labels, "score": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t or b"" for t in b["t"].to_pylist()]
-            for start, end in by_size(texts):
-                found = [scan_text(t.translate(ALNUM).split(), index, base, share) for t in texts[start:end]]
-                columns = {
-                    "n_words": [f["n_words"] for f in found],
-                    "spots": [
-                        [{"phrase": p, "first": int(s[0]), "last": int(s[-1]), "n": len(s)} for p, s in f["spots"].items()] for f in found
-                    ],
-                    "base_labels": [sorted({base[p] for p in f["spots"]}) for f in found],
-                    "labels": [sorted(f["labels"]) for f in found],
-                    "score": [f["score"] for f in found],
-                }
-                arrays = [pa.array(columns[c], t) for c, t in types.items()]
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(start, end - start), *arrays], names=["doc_id", *types])
+        for b, texts in text_slices(batches):
+            found = [scan_text(t.translate(ALNUM).split(), index, base, share) for t in texts]
+            columns = {
+                "n_words": [f["n_words"] for f in found],
+                "spots": [
+                    [{"phrase": p, "first": int(s[0]), "last": int(s[-1]), "n": len(s)} for p, s in f["spots"].items()] for f in found
+                ],
+                "base_labels": [sorted({base[p] for p in f["spots"]}) for f in found],
+                "labels": [sorted(f["labels"]) for f in found],
+                "score": [f["score"] for f in found],
+            }
+            arrays = [pa.array(columns[c], t) for c, t in types.items()]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *arrays], names=["doc_id", *types])
 
     schema = (
         f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, "

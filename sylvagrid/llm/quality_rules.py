@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvagrid.llm.common import by_size, load
+from sylvagrid.llm.common import load, text_slices
 
 TOKENIZERS = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
@@ -163,11 +163,9 @@ def quality_facts(docs: DataFrame, folder: str = TOKENIZERS, bands: dict = BANDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(folder)
-        for b in batches:
-            texts = [t or b"" for t in b["t"].to_pylist()]
-            for start, end in by_size(texts):
-                got = rate(texts[start:end], vocabulary, bands)
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(start, end - start), *[pa.array(got[c]) for c in FACTS]], names=["doc_id", *FACTS])
+        for b, texts in text_slices(batches):
+            got = rate(texts, vocabulary, bands)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *[pa.array(got[c]) for c in FACTS]], names=["doc_id", *FACTS])
 
     thin = docs.select("doc_id", F.col("text").cast("binary").alias("t"))
     return thin.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FACT_SCHEMA}")
@@ -175,15 +173,10 @@ def quality_facts(docs: DataFrame, folder: str = TOKENIZERS, bands: dict = BANDS
 
 def drop_rejected(docs: DataFrame, folder: str = TOKENIZERS, bands: dict = BANDS) -> DataFrame:
     """The documents kept by the rules, with all their columns; nothing moves between tasks."""
-    at = docs.columns.index("text")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(folder)
-        for b in batches:
-            texts = [(t or "").encode() for t in b.column(at).to_pylist()]
-            for start, end in by_size(texts):
-                kept = rate(texts[start:end], vocabulary, bands)["kept"]
-                yield b.slice(start, end - start).filter(pa.array(kept))
+        for b, texts in text_slices(batches, "text"):
+            yield b.filter(pa.array(rate(texts, vocabulary, bands)["kept"]))
 
     return docs.mapInArrow(run, docs.schema)
 

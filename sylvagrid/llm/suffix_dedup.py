@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvagrid.llm.common import KEY, attach, by_size, load, row_key
+from sylvagrid.llm.common import KEY, attach, load, row_key, text_slices
 from sylvagrid.llm.hashing import gram_hashes, span_hashes
 from sylvagrid.session import stage
 
@@ -83,13 +83,6 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.repeat(np.arange(len(texts), dtype=np.int32), size), np.cumsum(size) - size
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for b in batches:
-        texts = [t or b"" for t in b["t"].to_pylist()]
-        for start, end in by_size(texts, BLOCK):
-            yield b.slice(start, end - start), texts[start:end]
-
-
 def _thin(docs: DataFrame) -> DataFrame:
     return docs.select(*row_key(), F.col("text").cast("binary").alias("t"))
 
@@ -98,13 +91,13 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     """Staged (key, start, size, lead, gram, content): the runs whose lowest gram occurs again."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _texts(batches):
+        for _, texts in text_slices(batches, most=BLOCK):
             x, owner, _ = _joined(texts)
             got, n = np.unique(window_runs(x, owner, length, gram)[3], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in _texts(batches):
+        for b, texts in text_slices(batches, most=BLOCK):
             x, owner, begin = _joined(texts)
             start, end, place, h = window_runs(x, owner, length, gram)
             row = pa.array(owner[start] if len(start) else np.empty(0, np.int32))
@@ -277,7 +270,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     wanted = variants.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "start", "size", "lead", "salt", "hot")).alias("w"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in _texts(batches):
+        for b, texts in text_slices(batches, most=BLOCK):
             lists = b["w"]
             row = pa.array(np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False)))
             w = lists.flatten()
@@ -334,7 +327,7 @@ def remaining(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in _texts(batches):
+        for b, texts in text_slices(batches, most=BLOCK):
             kept = []
             for t, lo, hi in zip(texts, b["starts"].to_pylist(), b["ends"].to_pylist()):
                 kept.append(t if lo is None else b"".join(t[i:j] for i, j in zip([0, *hi], [*lo, len(t)])))
