@@ -16,8 +16,9 @@ documents and are judged on the input.
    their common prefix; intervals with a common prefix of four symbols are the repeated
    windows, and all but the first of an interval go.
 
-Grams with more than HOT differing runs are dealt over several tasks first; what stays
-there is settled in a second step. Texts are read whole. A null text is empty; documents
+Runs of grams with more than HOT differing ones are not gathered by gram: each of their
+windows gets the key (gram, its offset in the window, hash of the window), the first place
+of a key is found before the shuffle, and the other places of repeated keys go. Texts are read whole. A null text is empty; documents
 alike in doc_id and text are one document; other columns are ignored; shorter texts
 than `length` lose nothing.
 """
@@ -40,7 +41,7 @@ LENGTH, GRAM = 100, 20
 DEPTH = 4
 # bytes of texts or runs that a task works on at once (some 100 bytes of memory each), and of one shard of runs
 BLOCK, SHARD = 1 << 20, 1 << 18
-# differing runs of one gram that one task takes in the first step
+# differing runs of one gram that one task takes; the windows of grams with more are settled one by one
 HOT = 20_000
 # repeated grams (8 bytes each) up to this number are broadcast; above it the runs are shuffled
 BROADCAST_GRAMS = 4_000_000
@@ -199,37 +200,29 @@ def repeated_windows(texts: list[bytes], place: np.ndarray, length: int) -> np.n
     return out
 
 
-SETTLED = "start int, end int, cut boolean, gram long, lead int, text binary"
-
-
-def settled(contents: DataFrame, by: list[str], length: int, id_type: str) -> DataFrame:
-    """Runs that differ, settled gram by gram: (key, start, end, cut, gram, lead, text) for stretches of their windows.
-
-    `cut` stretches repeat; the others stay, with their text, and start no earlier elsewhere in the group.
-    """
+def settled(contents: DataFrame, length: int, id_type: str) -> DataFrame:
+    """(key, start, end): stretches of the runs' windows that repeat, gram by gram; a task holds all runs of a gram."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         rows = list({(r[0], r[1], r[2]): r for r in rows}.values())
         documents = sorted({r[:2] for r in rows}, key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
         number = {d: i for i, d in enumerate(documents)}
         place = np.array([(number[r[:2]] << 32) + r[2] for r in rows], np.int64)
-        cut = repeated_windows([r[5] for r in rows], place, length)
-        n = np.array([len(r[5]) - length + 1 for r in rows], np.int64)
+        cut = repeated_windows([r[4] for r in rows], place, length)
+        n = np.array([len(r[4]) - length + 1 for r in rows], np.int64)
         owner, offset = np.repeat(np.arange(len(rows)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         new = np.flatnonzero(np.append(True, (np.diff(owner) != 0) | (cut[1:] != cut[:-1])))
         last = np.append(new[1:], len(cut)) - 1
-        out: list[list] = [[] for _ in range(8)]
-        for i, j in zip(new.tolist(), last.tolist()):
+        out: list[list] = [[] for _ in range(4)]
+        for i, j in zip(new[cut[new]].tolist(), last[cut[new]].tolist()):
             r, lo, hi = rows[owner[i]], int(offset[i]), int(offset[j]) + length
-            gone = bool(cut[i])
-            for column, value in zip(out, (r[0], r[1], r[2] + lo, r[2] + hi, gone, r[3], r[4] - lo, None if gone else r[5][lo:hi])):
+            for column, value in zip(out, (r[0], r[1], r[2] + lo, r[2] + hi)):
                 column.append(value)
-        types = [ids, pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()]
-        names = [*KEY, "start", "end", "cut", "gram", "lead", "text"]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+        types = [ids, pa.int64(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=[*KEY, "start", "end"])
 
     ids = pa.int64() if id_type in ("bigint", "int") else pa.string()
-    columns = [*KEY, "start", "gram", "lead", "text"]
+    columns = [*KEY, "start", "gram", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, gram = [], 0, None
@@ -239,12 +232,38 @@ def settled(contents: DataFrame, by: list[str], length: int, id_type: str) -> Da
                     yield settle(rows)
                     rows, size = [], 0
                 rows.append(r)
-                size, gram = size + len(r[5]), r[3]
+                size, gram = size + len(r[4]), r[3]
         if rows:
             yield settle(rows)
 
-    dealt = contents.select(*columns, *[c for c in by if c not in columns]).repartition(*by).sortWithinPartitions("gram")
-    return dealt.select(*columns).mapInArrow(run, f"{KEY[0]} {'bigint' if pa.types.is_integer(ids) else 'string'}, {KEY[1]} long, {SETTLED}")
+    dealt = contents.select(*columns).repartition("gram").sortWithinPartitions("gram")
+    return dealt.mapInArrow(run, f"{KEY[0]} {'bigint' if pa.types.is_integer(ids) else 'string'}, {KEY[1]} long, start int, end int")
+
+
+def hot_cuts(contents: DataFrame, length: int, id_type: str) -> DataFrame:
+    """(key, start, end): stretches of the runs' windows that repeat, by window; no task needs all runs of a gram."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a window takes some 40 bytes, and a run has up to one window a byte
+        for b, texts in text_slices(batches, "text", BLOCK):
+            x, owner, begin = _joined(texts)
+            h = gram_hashes(x, length)
+            at = np.flatnonzero(owner[: len(h)] == owner[length - 1 :])
+            row = pa.array(owner[at])
+            offset = at - begin[owner[at]]
+            start, lead = (b[c].to_numpy()[owner[at]] for c in ("start", "lead"))
+            yield pa.RecordBatch.from_arrays(
+                [b[KEY[0]].take(row), b[KEY[1]].take(row), pa.array((start + offset).astype(np.int32)), b["gram"].take(row), pa.array((lead - offset).astype(np.int32)), pa.array(h[at].view(np.int64))],
+                names=[*KEY, "start", "gram", "lead", "content"],
+            )
+
+    windows = contents.select(*KEY, "start", "gram", "lead", "text").mapInArrow(read, f"{KEY[0]} {id_type}, {KEY[1]} long, start int, gram long, lead int, content long")
+    key, place = ["gram", "lead", "content"], F.struct(*KEY, "start")
+    heads = windows.groupBy(*key).agg(F.min(place).alias("head"), F.max(place).alias("last")).where(F.col("head") != F.col("last"))
+    again = windows.join(stage(heads.select(*key, "head"), "heads"), key).where(place != F.col("head"))
+    # windows that start within `length` bytes touch, so that one stretch covers them
+    near = F.floor(F.col("start") / length)
+    return again.groupBy(*KEY, near.alias("near")).agg(F.min("start").alias("start"), (F.max("start") + length).alias("end")).select(*KEY, "start", "end")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -263,11 +282,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     later = later.select(*KEY, "start", (F.col("start") + F.col("size")).alias("end"))
     # runs of one gram that differ
     many = first.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
-    tasks = F.ceil(F.col("k") / HOT).cast("int")
-    variants = first.join(many, "gram").select(
-        "gram", "r.*", F.pmod(F.xxhash64("content"), tasks).cast("int").alias("salt"), (F.col("k") > HOT).alias("hot")
-    )
-    wanted = variants.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "start", "size", "lead", "salt", "hot")).alias("w"))
+    variants = first.join(many, "gram").select("gram", "r.*", (F.col("k") > HOT).alias("hot"))
+    wanted = variants.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "start", "size", "lead", "hot")).alias("w"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in text_slices(batches, most=BLOCK):
@@ -277,21 +293,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             start, size = w.field("start").to_pylist(), w.field("size").to_pylist()
             text = [texts[i][s : s + n] for i, s, n in zip(row.to_pylist(), start, size)]
             yield pa.RecordBatch.from_arrays(
-                [b[KEY[0]].take(row), b[KEY[1]].take(row), *[w.field(c) for c in ("start", "gram", "lead", "salt", "hot")], pa.array(text, pa.binary())],
-                names=[*KEY, "start", "gram", "lead", "salt", "hot", "text"],
+                [b[KEY[0]].take(row), b[KEY[1]].take(row), *[w.field(c) for c in ("start", "gram", "lead", "hot")], pa.array(text, pa.binary())],
+                names=[*KEY, "start", "gram", "lead", "hot", "text"],
             )
 
     rows = attach(docs, wanted, F.size("w"), "inner").select(*KEY, "w", F.col("_row.text").cast("binary").alias("t"))
-    contents = rows.mapInArrow(cut_out, f"{KEY[0]} {id_type}, {KEY[1]} long, start int, gram long, lead int, salt int, hot boolean, text binary")
+    contents = rows.mapInArrow(cut_out, f"{KEY[0]} {id_type}, {KEY[1]} long, start int, gram long, lead int, hot boolean, text binary")
     cuts = []
     if not many.where(F.col("k") > HOT).isEmpty():
         contents = stage(contents, "differing")
-        part = stage(settled(contents.where("hot"), ["gram", "salt"], length, id_type), "settled")
-        cuts.append(part.where("cut"))
-        contents = contents.where(~F.col("hot")).select(*KEY, "start", "gram", "lead", "text").unionByName(
-            part.where(~F.col("cut")).select(*KEY, "start", "gram", "lead", "text")
-        )
-    cuts.append(settled(contents, ["gram"], length, id_type).where("cut"))
+        cuts.append(hot_cuts(contents.where("hot"), length, id_type))
+        contents = contents.where(~F.col("hot"))
+    cuts.append(settled(contents, length, id_type))
     spans = later
     for c in cuts:
         spans = spans.unionByName(c.select(*KEY, "start", "end"))

@@ -103,6 +103,19 @@ def test_hot_grams_take_two_steps(docs, monkeypatch):
     assert {str(r) for r in sd.repeated_spans(docs).collect()} == one
 
 
+def test_no_task_takes_all_runs_of_a_hot_gram(spark, monkeypatch):
+    # one phrase, each time in other surroundings, some of them with a window in common
+    texts = [(i, prose(900 + i, 8) + " a phrase that many of the documents contain, in other surroundings each time " + prose(940 + i // 2, 30), "s") for i in range(30)]
+    hot = spark.createDataFrame(rows_of(texts), DOC).repartition(3)
+    monkeypatch.setattr(sd, "HOT", 5)
+    taken, settled = [], sd.settled
+    monkeypatch.setattr(sd, "settled", lambda c, *a: taken.append(c.groupBy("gram").count().agg(F.max("count")).first()[0] or 0) or settled(c, *a))
+    want = plain.repeats(keyed(hot))
+    got = {r.doc_id: sum(e - s for s, e in zip(r.starts or [], r.ends or [])) for r in sd.remaining(hot).collect()}
+    assert got == {key[0]: w[1] for key, w in want.items()} and any(got.values())
+    assert max(taken) <= 5
+
+
 def test_runs_are_the_same_in_pieces(monkeypatch):
     x = np.frombuffer(prose(3, 4000).encode(), np.uint8)
     windows = {}
