@@ -132,6 +132,37 @@ def test_bands_follow_the_main_script_and_keep_prose():
     assert qr.rate([b"a b c " * 3], vocabulary, narrow)["base_failed"][0]
 
 
+def test_clean_text_of_a_script_without_vocabulary_stays():
+    import random
+
+    vocabulary = qr.Vocabulary()
+    for first, n, script in [(0x0E94, 1, "other"), (0x13A0, 80, "other"), (0x1E922, 30, "other"), (0x0E01, 40, "thai"), (0x05D0, 27, "hebrew"), (0x10D0, 33, "georgian")]:
+        letters = [chr(first + i) for i in range(n)] if n > 1 else list("ກຂຄງຈຊຍດຕຖທນບປຜຝພຟມຢຣລວສຫອຮ")
+        r = random.Random(first)
+        # short and long texts: the entropy is a share of log2(tokens)
+        for words in (40, 20_000):
+            text = " ".join("".join(r.choice(letters) for _ in range(r.randint(3, 14))) for _ in range(words))
+            got = qr.rate([text.encode()], vocabulary)
+            assert got["script"] == [script] and got["n_tokens"][0] >= qr.MIN_TOKENS
+            assert got["kept"][0], (script, words, {c: got[c][0] for c in qr.FACTS})
+
+
+def test_second_vocabulary_is_measured_and_judges():
+    vocabulary = qr.Vocabulary()
+    from tests.llm.fixtures import prose
+
+    text = prose(1, 200) + " " + "ab" * 20_000
+    got = qr.rate([text.encode()], vocabulary)
+    tokens = [t for w in text.split() for at in range(0, len(w) + 1, qr.PIECE) for t in vocabulary.multi.encode_ordinary((" " + w)[at : at + qr.PIECE])]
+    assert got["n_multi_tokens"][0] == len(tokens)
+    assert got["multi_chars_per_token"][0] == pytest.approx(sum(map(len, text.split())) / len(tokens))
+    lao = vocabulary.multi.encode_ordinary("ກຂຄ")
+    assert vocabulary.multi_is_byte[lao].all() and not vocabulary.multi_is_byte[vocabulary.multi.encode_ordinary(" the text")].any()
+    narrow = {**qr.MULTI_BANDS, "latin": ((50.0, 60.0), (0.0, 1.0), (0.0, 1.0))}
+    clean = prose(1, 200).encode()
+    assert qr.rate([clean], vocabulary)["kept"][0] and not qr.rate([clean], vocabulary, qr.BANDS, narrow)["kept"][0]
+
+
 def test_rejected_documents_go_whole(docs, no_docs):
     kept = {(r.doc_id, r.n_words) for r in qr.quality_facts(docs).where("kept").collect()}
     out = qr.drop_rejected(docs)
