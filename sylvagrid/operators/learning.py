@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -98,6 +99,7 @@ def search(
     validation: tuple[int, int] = (3, 4),
     patience: int = 40,
     min_trials: int = 100,
+    parallel: int = 4,
 ) -> tuple[DataFrame, dict[int, tuple[GBTRegressionModel, list[str]]]]:
     """Random search with blocked splits: one result row and one refitted model per seed.
 
@@ -105,7 +107,8 @@ def search(
     drawn by the seed) or training; a trial is scored by R2 on
     the validation groups; the search stops after `patience` trials without a new
     best once `min_trials` ran; the best trial is refitted on training and
-    validation rows and scored on the test groups.
+    validation rows and scored on the test groups. `parallel` trials are fitted at a
+    time and judged in their order, so that their number changes no result.
     """
     spark = rows.sparkSession
     rows = stage(rows, "search", spread_rows=True)
@@ -118,15 +121,25 @@ def search(
         train, held = split.where("part = 'train'"), split.where("part = 'validation'")
         best, since = None, 0
         done = 0
-        for setting in trial_settings(spark, predictors, seed, trials, max_features, ranges):
+        settings = trial_settings(spark, predictors, seed, trials, max_features, ranges)
+
+        def scored(setting: dict) -> float:
             model = fit(train, setting["features"], setting["params"], seed)
             score = r2_of(predict(model, held, setting["features"])).first()["r2"]
-            score = -1.0 if score is None else score
-            done += 1
-            if best is None or score > best[0]:
-                best, since = (score, setting), 0
-            elif done > min_trials:
-                since += 1
+            return -1.0 if score is None else score
+
+        for at in range(0, len(settings), parallel):
+            batch = settings[at : at + parallel]
+            with ThreadPoolExecutor(parallel) as pool:
+                scores = list(pool.map(scored, batch))
+            for setting, score in zip(batch, scores):
+                done += 1
+                if best is None or score > best[0]:
+                    best, since = (score, setting), 0
+                elif done > min_trials:
+                    since += 1
+                if since >= patience:
+                    break
             if since >= patience:
                 break
         val_r2, setting = best

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sylvagrid.operators import climate, learning
-from sylvagrid.plans.climate import modelling_rows
+from sylvagrid.plans.climate import LAGGED, modelling_rows
 from sylvagrid.plans.registry import query
 from sylvagrid.session import stage
 
-FEATURES = ["bio1", "bio5", "bio12", "bio12_2yr", "bio12_3yr", "bio17_3yr"]
-RANGES = {"maxIter": (4, 8), "maxDepth": (3, 4), "stepSize": (0.05, 0.3), "subsamplingRate": (0.6, 1.0), "minInstancesPerNode": (1, 10)}
+# all predictors and the sizes of the original method
+FEATURES = LAGGED
+SEEDS = [42, 123, 456, 789, 999, 111, 222, 333, 444, 555]
+RANGES = {"maxIter": (50, 300), "maxDepth": (3, 8), "stepSize": (0.01, 0.3), "subsamplingRate": (0.6, 1.0), "minInstancesPerNode": (1, 10)}
 # bound of the rows per period that models are fitted on, chosen by hash
 FIT_ROWS = 1_000_000
-PARAMS = {"maxIter": 6, "maxDepth": 3, "stepSize": 0.2}
+PARAMS = {"maxIter": 50, "maxDepth": 3, "stepSize": 0.2}
 
 
 def table_of(v):
@@ -40,29 +42,31 @@ def spatial_clusters(v):
 @query("model_search")
 def model_search(v):
     rows = stage(learning.spatial_clusters(table_of(v), 15), "ml", spread_rows=True)
-    results, _ = learning.search(rows, FEATURES, "cluster_id", [42, 123], trials=2, ranges=RANGES, max_features=4)
+    results, _ = learning.search(rows, FEATURES, "cluster_id", SEEDS, trials=1000, ranges=RANGES, max_features=10)
     return results
 
 
 @query("permutation_importance")
 def permutation_importance(v):
     model, rows = model_of(v)
-    return learning.permutation_importance(model, rows, FEATURES, "row_id", repeats=5)
+    return learning.permutation_importance(model, rows, FEATURES, "row_id", repeats=10)
 
 
 @query("shapley_importance")
 def shapley_importance(v):
     model, rows = model_of(v)
-    return learning.shapley_importance(model, rows, FEATURES, "row_id", size=200, background=100, orderings=10)
+    return learning.shapley_importance(model, rows, FEATURES, "row_id", size=1000, background=100, orderings=20)
 
 
 @query("partial_dependence")
 def partial_dependence(v):
     model, rows = model_of(v)
-    return learning.partial_dependence(model, rows, FEATURES, ["bio1", "bio12", "bio12_3yr"], "row_id", points=21, size=1000)
+    weights = dict(zip(FEATURES, map(float, model.featureImportances.toArray())))
+    top = sorted(FEATURES, key=lambda f: (-weights[f], f))[:6]
+    return learning.partial_dependence(model, rows, FEATURES, top, "row_id", points=100, size=3000)
 
 
 @query("feature_interaction")
 def feature_interaction(v):
     model, rows = model_of(v)
-    return learning.interaction(model, rows, FEATURES, "bio12", "bio12_3yr", "row_id", size=200, background=50)
+    return learning.interaction(model, rows, FEATURES, "bio12", "bio12_3yr", "row_id", size=1000, background=200)

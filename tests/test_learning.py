@@ -118,3 +118,38 @@ def test_quantile_lines_bracket_the_data(spark):
     for q in (0.15, 0.85):
         below = np.mean(y <= got[q]["intercept"] + got[q]["slope"] * x)
         assert below == pytest.approx(q, abs=0.01)
+
+
+def test_batches_of_trials_change_no_result(rows):
+    ranges = {"maxIter": (1, 2), "maxDepth": (2, 3), "stepSize": (0.2, 0.4)}
+    got = [
+        learning.search(rows, FEATURES, "cluster_id", [5], 4, ranges, test=1, validation=(2, 2), patience=1, min_trials=1, parallel=p)[0].collect()
+        for p in (1, 3)
+    ]
+    assert got[0] == got[1]
+
+
+def test_registered_queries_do_the_whole_job(monkeypatch):
+    from types import SimpleNamespace
+
+    from sylvagrid.plans import learning as plan
+
+    got = {}
+    weights = np.arange(39.0)
+    model = SimpleNamespace(featureImportances=SimpleNamespace(toArray=lambda: weights))
+    monkeypatch.setattr(plan, "model_of", lambda v: (model, None))
+    monkeypatch.setattr(plan, "table_of", lambda v: None)
+    monkeypatch.setattr(plan, "stage", lambda *a, **k: None)
+    monkeypatch.setattr(learning, "spatial_clusters", lambda *a: None)
+    for name in ("permutation_importance", "shapley_importance", "partial_dependence", "interaction"):
+        monkeypatch.setattr(learning, name, lambda *a, name=name, **k: got.update({name: (a, k)}))
+    monkeypatch.setattr(learning, "search", lambda *a, **k: (got.update(search=(a, k)), None))
+    for f in (plan.model_search, plan.permutation_importance, plan.shapley_importance, plan.partial_dependence, plan.feature_interaction):
+        f(None)
+    a, k = got["search"]
+    assert len(set(a[1])) == 39 and len(a[3]) == 10 and (k["trials"], k["max_features"]) == (1000, 10)
+    assert got["permutation_importance"][1]["repeats"] == 10
+    assert got["shapley_importance"][1]["size"] == got["interaction"][1]["size"] == 1000
+    a, k = got["partial_dependence"]
+    assert len(a[3]) == 6 and (k["points"], k["size"]) == (100, 3000)
+    assert got["interaction"][1]["background"] == 200
