@@ -289,10 +289,15 @@ def document_classes(docs: DataFrame, k: int = SHINGLE, similarity: Fraction = S
 
 
 def keep_one_of_each(docs: DataFrame, k: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """One document of each component (the smallest id), with all its columns."""
+    """One document of each component (the smallest id), with all its columns; one row of rows alike in id and text."""
     classes = document_classes(docs, k, similarity)
     spare = classes.where(F.struct(*KEY) != F.col("component")).select(*KEY).distinct()
-    return attach(docs, spare, how="left_anti").select("_row.*")
+    left = attach(docs, spare, how="left_anti").select("_row.*")
+    again = stage(classes.groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(*KEY), "again")
+    if again.isEmpty():
+        return left
+    one = attach(left, again, how="inner").dropDuplicates(list(KEY)).select("_row.*")
+    return attach(left, again, how="left_anti").select("_row.*").unionByName(one)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

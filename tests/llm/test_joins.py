@@ -58,6 +58,12 @@ def test_one_of_each_group_stays(docs, no_docs):
     assert jj.document_classes(no_docs).count() == jj.keep_one_of_each(no_docs).count() == 0
 
 
+def test_one_of_repeated_rows_stays(spark):
+    texts = [(1, prose(1, 40), "s"), (1, prose(1, 40), "s"), (2, prose(1, 40), "s"), (3, prose(2, 40), "s"), (None, None, "s"), (None, None, "s")]
+    out = jj.keep_one_of_each(spark.createDataFrame(rows_of(texts), DOC).repartition(3))
+    assert sorted(r.doc_id or 0 for r in out.collect()) == [0, 1, 3]
+
+
 def test_sketch_changes_no_link(docs, monkeypatch):
     docs = docs.where("doc_id < 45")
     before = Counter(map(str, jj.document_classes(docs).collect()))
