@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from sylvagrid.llm import classifier, decontaminate, fixity, jaccard_join, license_scan, line_dedup, mixture, quality_rules, suffix_dedup, url_filter
+from sylvagrid.llm import (
+    classifier,
+    decontaminate,
+    filter_audit,
+    fixity,
+    jaccard_join,
+    language_id,
+    license_scan,
+    line_dedup,
+    mixture,
+    quality_rules,
+    suffix_dedup,
+    url_filter,
+)
 
 # queries without SQL are tested against brute force in tests/llm
 _QUERIES = {
@@ -16,6 +29,8 @@ _QUERIES = {
     "op8_mixture": (mixture.op8_mixture, mixture.OP8_SQL),
     "op9_url_filter": (url_filter.op9_url_filter, url_filter.OP9_SQL),
     "op10_fixity": (fixity.op10_fixity, fixity.OP10_SQL),
+    "op12_filter_audit": (filter_audit.op12_filter_audit, filter_audit.OP12_SQL),
+    "op13_language_id": (language_id.op13_language_id, None),
 }
 
 
