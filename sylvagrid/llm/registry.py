@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sylvagrid.llm import (
+    alignment,
     classifier,
     decontaminate,
     filter_audit,
@@ -29,6 +30,7 @@ _QUERIES = {
     "op8_mixture": (mixture.op8_mixture, mixture.OP8_SQL),
     "op9_url_filter": (url_filter.op9_url_filter, url_filter.OP9_SQL),
     "op10_fixity": (fixity.op10_fixity, fixity.OP10_SQL),
+    "op11_token_alignment": (alignment.op11_token_alignment, None),
     "op12_filter_audit": (filter_audit.op12_filter_audit, filter_audit.OP12_SQL),
     "op13_language_id": (language_id.op13_language_id, None),
 }
