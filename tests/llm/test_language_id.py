@@ -86,11 +86,11 @@ def test_calibration_bounds_the_errors():
     ks = rng.integers(0, 2000, 6000)
     truth = (rng.random(6000) < 1 / (1 + np.exp(-z[ks] / 3))).astype(int)
     examples = [li.Example(np.array([k], np.uint16), np.ones(1, np.float32), int(y)) for k, y in zip(ks, truth)]
-    li.calibrate(model, examples, errors=0.05)
+    li.calibrate(model, examples, errors=0.15)
     assert model.temperature[0] == pytest.approx(3, rel=0.15)
     p = model.probabilities(np.column_stack([np.zeros(6000), z[ks]]), np.ones(6000))
     taken = p.max(axis=1) >= model.accept
-    assert taken.mean() > 0.2 and np.mean(p.argmax(axis=1)[taken] != truth[taken]) <= 0.05
+    assert taken.mean() > 0.2 and np.mean(p.argmax(axis=1)[taken] != truth[taken]) <= 0.15
 
 
 def test_odd_documents(spark, docs, no_docs, texts, model):
