@@ -1,10 +1,15 @@
-"""Model search and interpretation on a table with a known answer."""
+"""Clusters, model search and interpretation on tables with a known answer."""
+
+from itertools import permutations
+from math import inf
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sylvagrid.operators import allometry, learning, models
+from sylvagrid.operators import allometry, attribution, boosting, clusters, models
 from sylvagrid.session import stage
 
 FEATURES = ["a", "b", "c"]
@@ -12,71 +17,352 @@ FEATURES = ["a", "b", "c"]
 
 @pytest.fixture(scope="module")
 def rows(spark):
-    """Target 3a + a*b; c is irrelevant."""
+    """Target 3a + 1.5ab, c is irrelevant; every vector belongs to several rows."""
     rng = np.random.default_rng(9)
-    x = rng.normal(0, 1, (1500, 3))
-    y = 3 * x[:, 0] + 1.5 * x[:, 0] * x[:, 1] + rng.normal(0, 0.1, 1500)
-    data = [(f"r{i}", float(i % 9), *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))]
-    return stage(spark.createDataFrame(data, f"row_id string, cluster_id double, a double, b double, c double, {learning.TARGET} double"))
+    x = np.round(rng.normal(0, 1, (500, 3)), 6)
+    data = []
+    for i in range(1500):
+        a, b, c = x[i % 500]
+        data.append((f"r{i}", i % 500 % 9, a, b, c, 3 * a + 1.5 * a * b + rng.normal(0, 0.1)))
+    return stage(spark.createDataFrame([(r, k, *map(float, v)) for r, k, *v in data], "row_id string, block int, a double, b double, c double, y double"))
+
+
+@pytest.fixture(scope="module")
+def searched(rows):
+    results, nodes = boosting.search(rows, FEATURES, "block", "y", [5, 6], trials=12, max_features=3, test=1, validation=(2, 3), patience=4, min_trials=6)
+    return results, nodes
 
 
 @pytest.fixture(scope="module")
-def model(rows):
-    return learning.fit(rows, FEATURES, {"maxIter": 10, "maxDepth": 4, "stepSize": 0.3}, 1)
+def found(searched):
+    return attribution.forests(*searched)
+
+
+# --- trees ---------------------------------------------------------------------
+
+
+def plain_split(bins, g, h, rows, least, alpha, lam, allowed, width):
+    """The best split of some rows by trying all of them: (gain, feature, bin)."""
+
+    def soft(x):
+        return (abs(x) - alpha if abs(x) > alpha else 0.0) * (1 if x > 0 else -1)
+
+    def score(part):
+        return soft(sum(g[i] for i in part)) ** 2 / (sum(h[i] for i in part) + lam)
+
+    best = None
+    for f in allowed:
+        for b in range(width - 1):
+            left, right = [i for i in rows if bins[i][f] <= b], [i for i in rows if bins[i][f] > b]
+            if sum(h[i] for i in left) >= least and sum(h[i] for i in right) >= least:
+                gain = score(left) + score(right) - score(rows)
+                if best is None or gain > best[0] + 1e-9:
+                    best = (gain, f, b)
+    return best
+
+
+def plain_tree(bins, g, h, rows, depth, least, alpha, lam, allowed, width):
+    split = plain_split(bins, g, h, rows, least, alpha, lam, allowed, width) if depth else None
+    if split is None or split[0] <= 1e-6:
+        total = sum(g[i] for i in rows)
+        value = -(abs(total) - alpha if abs(total) > alpha else 0.0) * (1 if total > 0 else -1) / (sum(h[i] for i in rows) + lam)
+        return {i: value for i in rows}
+    _, f, b = split
+    out = {}
+    for part in ([i for i in rows if bins[i][f] <= b], [i for i in rows if bins[i][f] > b]):
+        out |= plain_tree(bins, g, h, part, depth - 1, least, alpha, lam, allowed, width)
+    return out
+
+
+def grown(bins, g, h, depth, least, alpha, lam, allowed, width):
+    """One tree, grown beside a shallower one with other settings; its features as columns of `bins`."""
+    cols = np.stack([bins[:, allowed].T, bins[:, allowed[::-1]].T])
+    slots = np.ones((2, len(allowed)), bool)
+    slots[1, -1] = False
+    both = [np.array(x) for x in ((depth, 2), (least, 3), (alpha, 0.1), (lam, 1.0))]
+    trees, value = boosting.grow(cols, slots, np.stack([g, -g]), np.stack([h, h]), *both, width=width)
+    tree = trees[0]
+    tree.feature = np.where(tree.feature >= 0, allowed[tree.feature], -1)
+    return tree, value[0]
+
+
+@pytest.mark.parametrize("depth, least, alpha, lam", [(1, 1, 0.0, 0.0), (3, 2, 0.3, 0.5), (4, 5, 0.1, 0.2), (6, 1, 0.5, 0.0)])
+def test_a_tree_equals_an_exhaustive_search(depth, least, alpha, lam):
+    rng = np.random.default_rng(depth)
+    bins = rng.integers(0, 8, (60, 4))
+    h = rng.integers(0, 4, 60).astype(float)
+    g = np.where(h > 0, rng.normal(0, 3, 60), 0.0)
+    allowed = np.array([0, 2, 3])
+    tree, value = grown(bins, g, h, depth, least, alpha, lam, allowed, 8)
+    live = [i for i in range(60) if h[i]]
+    want = plain_tree(bins, g, h, live, depth, least, alpha, lam, allowed, 8)
+    assert all(value[i] == pytest.approx(want[i]) for i in live)
+    # rows without weight walk the same tree
+    for i in range(60):
+        at = 0
+        while tree.feature[at] >= 0:
+            at = (tree.left if bins[i][tree.feature[at]] <= tree.cut[at] else tree.right)[at]
+        assert value[i] == tree.value[at]
+
+
+def test_boosting_lowers_the_error_and_counts_rows():
+    rng = np.random.default_rng(1)
+    bins = rng.integers(0, 64, (200, 2)).astype(np.uint8)
+    y = bins[:, 0] / 10 + (bins[:, 1] > 30)
+    n = rng.integers(1, 5, 200)
+    data = boosting.Data(bins, n, n * y, n * y * y, np.zeros(200, int))
+    setting = SimpleNamespace(seed=1, trial=0, chosen=[0, 1], n_estimators=60, max_depth=3, min_child_weight=1, subsample=0.9, colsample_bytree=1.0, learning_rate=0.2, reg_alpha=0.0, reg_lambda=0.1)
+    out, start, trees = boosting.boost(data, [np.ones(200, bool)], [setting])[0]
+    assert start == pytest.approx((n * y).sum() / n.sum()) and len(trees) == 60
+    assert boosting.r2(data, out, np.ones(200, bool)) > 0.97
+    # R2 from sums is R2 over rows
+    p, t = np.repeat(out, n), np.repeat(y, n)
+    assert boosting.r2(data, out, np.ones(200, bool)) == pytest.approx(1 - ((t - p) ** 2).sum() / ((t - t.mean()) ** 2).sum())
+    # a trial does not depend on those beside it
+    other = SimpleNamespace(**{**vars(setting), "trial": 1, "n_estimators": 70, "max_depth": 6, "chosen": [1]})
+    again = boosting.boost(data, [np.arange(200) % 3 > 0, np.ones(200, bool)], [other, setting])[1]
+    assert np.array_equal(out, again[0]) and len(again[2]) == 60
+
+
+def test_the_histogram_of_a_level_gives_the_same_split(spark, rows):
+    vectors = boosting.feature_vectors(rows, FEATURES, "block", "y")
+    assert vectors.count() == 500 and vectors.agg(F.sum("n")).first()[0] == 1500
+    cuts = boosting.cut_points(vectors, FEATURES)
+    best = boosting.split_gains(boosting.level_histogram(vectors, FEATURES, cuts), alpha=0.2, lam=0.4, least=5).orderBy(F.desc("gain"), "feature", "bin").first()
+    table = vectors.toPandas()
+    points = {r["feature"]: np.array(r["cuts"]) for r in cuts.collect()}
+    bins = np.stack([np.searchsorted(points[f], table[f], side="left") for f in FEATURES], axis=1)
+    mean = table.sum_y.sum() / table.n.sum()
+    g = (mean * table.n - table.sum_y).to_numpy()
+    tree, _ = grown(bins, g, table.n.to_numpy(float), 1, 5, 0.2, 0.4, np.arange(3), 64)
+    assert (FEATURES[tree.feature[0]], tree.cut[0]) == (best["feature"], best["bin"])
+    assert best["gain"] == pytest.approx(tree.gain[0])
+
+
+# --- search --------------------------------------------------------------------
 
 
-def test_fit_explains_the_target(model, rows):
-    assert learning.r2_of(learning.predict(model, rows, FEATURES)).first()["r2"] > 0.8
+def test_settings_depend_on_the_seed_only(spark):
+    one = boosting.trial_settings(spark, FEATURES, [1, 2], 30, 10).orderBy("run_id", "trial").collect()
+    assert one[:30] == boosting.trial_settings(spark, FEATURES, [1], 30, 10).orderBy("trial").collect()
+    assert one[0][3:] != one[30][3:]
+    for name, (low, high) in boosting.RANGES.items():
+        values = [r[name] for r in one]
+        assert low <= min(values) and max(values) <= high and len(set(values)) > 3
+    assert {len(r["chosen"]) for r in one} == {1, 2, 3} and all(list(r["chosen"]) == sorted(set(r["chosen"])) for r in one)
 
 
-def test_permutation_ranks_the_relevant_feature_first(model, rows):
-    got = {r["feature"]: r["importance"] for r in learning.permutation_importance(model, rows, FEATURES, "row_id", 2, size=500).collect()}
-    assert got["a"] > got["b"] > got["c"]
-    assert abs(got["c"]) < 0.1
+def test_patience_starts_after_the_least_number_of_trials():
+    scores = [0.1, 0.5, 0.2, 0.3, 0.4, 0.4, 0.45, 0.6, 0.1]
+    assert boosting.stopped_at(scores, 3, 0) == (1, 5, True)
+    assert boosting.stopped_at(scores, 3, 4) == (1, 7, True)
+    assert boosting.stopped_at(scores, 9, 4) == (7, 9, False)
 
 
-def test_shapley_values_add_up(model, rows):
-    got = {r["feature"]: r for r in learning.shapley_importance(model, rows, FEATURES, "row_id", 60, 40, 6).collect()}
-    assert set(got) == set(FEATURES)
-    assert got["a"]["mean_abs"] > got["c"]["mean_abs"]
-    assert got["a"]["n_rows"] == 60
+def test_blocks_are_split_whole():
+    for seed in range(20):
+        tested, held = boosting.block_parts(list(range(15)), seed, 2, (3, 4))
+        assert len(tested) == 2 and len(held) in (3, 4) and not tested & held
+    assert boosting.block_parts([0], 1, 2, (3, 4)) == (set(), set())
 
 
-def test_partial_dependence_rises_with_a(model, rows):
-    curve = learning.partial_dependence(model, rows, FEATURES, ["a"], "row_id", -1.5, 1.5, 5, 300).orderBy("x").collect()
-    effects = [r["effect"] for r in curve]
-    assert len(effects) == 5 and effects[-1] - effects[0] > 4
+def test_search_reports_runs(searched, rows):
+    results, nodes = searched
+    got = results.orderBy("run_id").collect()
+    assert [r["seed"] for r in got] == [5, 6]
+    for r in got:
+        assert 6 <= r["trials_completed"] <= 12 and set(r["features"]) <= set(FEATURES) and set(r["importance"]) <= set(r["features"])
+        assert sum(r["importance"].values()) == pytest.approx(1)
+        assert set(r["params"]) == set(boosting.RANGES)
+    assert max(r["val_r2"] for r in got) > 0.5
+    assert nodes.where("feature IS NOT NULL AND left < 0").count() == 0
 
 
-def test_interaction_follows_the_product(model, rows):
-    got = learning.interaction(model, rows, FEATURES, "a", "b", "row_id", 80, 40)
-    r = got.select(F.corr(F.col("interaction"), F.col("value_1") * F.col("value_2")).alias("r"), F.count(F.lit(1)).alias("n")).first()
-    assert r["n"] == 80 and r["r"] > 0.5
+def test_batches_of_trials_change_no_result(rows, searched):
+    again, nodes = boosting.search(rows.repartition(5), FEATURES, "block", "y", [5, 6], trials=12, max_features=3, test=1, validation=(2, 3), patience=4, min_trials=6, batch=5)
+    assert [r.asDict() for r in again.orderBy("run_id").collect()] == [r.asDict() for r in searched[0].orderBy("run_id").collect()]
+    assert nodes.exceptAll(searched[1]).count() == 0
 
 
-def test_search_uses_whole_groups_and_reports_runs(rows):
-    ranges = {"maxIter": (2, 3), "maxDepth": (2, 3), "stepSize": (0.2, 0.4)}
-    results, fitted = learning.search(rows, FEATURES, "cluster_id", [5], trials=2, ranges=ranges, test=1, validation=(2, 3))
+def test_search_without_rows(spark, rows):
+    results, nodes = boosting.search(rows.where("false"), FEATURES, "block", "y", [1], trials=2, min_trials=1, patience=1)
     r = results.first()
-    assert r["trials_completed"] == 2 and set(r["features"]) <= set(FEATURES)
-    assert set(r["importance"]) == set(r["features"]) and 0 in fitted
+    assert r["val_r2"] == -1.0 and r["start"] == 0.0 and nodes.where("feature IS NOT NULL").count() == 0
 
 
-def test_settings_depend_on_the_seed_only(spark):
-    ranges = {"maxDepth": (3, 8), "stepSize": (0.01, 0.3)}
-    one = learning.trial_settings(spark, FEATURES, 1, 3, 10, ranges)
-    assert one == learning.trial_settings(spark, FEATURES, 1, 3, 10, ranges)
-    assert one != learning.trial_settings(spark, FEATURES, 2, 3, 10, ranges)
-    assert all(3 <= t["params"]["maxDepth"] <= 8 for t in one)
+# --- interpretation ------------------------------------------------------------
 
 
-def test_clusters_find_separate_blobs(spark):
+def mixtures(model, x, z, features):
+    """Prediction for every set of predictors taken from x, the others from z."""
+    out = {}
+    for bits in range(1 << len(features)):
+        row = {f: np.array([x[f] if bits >> k & 1 else z[f]]) for k, f in enumerate(features)}
+        out[bits] = model.predict(row)[0]
+    return out
+
+
+@pytest.fixture(scope="module")
+def deep():
+    """A model of six predictors with random trees."""
+    rng = np.random.default_rng(3)
+    features, rows = list("abcdef"), []
+    for tree in range(4):
+        nodes, todo = [], [(0, 0)]
+        free = 1
+        while todo:
+            at, depth = todo.pop()
+            if depth < 5 and rng.random() < 0.85:
+                nodes.append((0, tree, at, features[rng.integers(6)], float(rng.normal()), free, free + 1, 0.0))
+                todo += [(free, depth + 1), (free + 1, depth + 1)]
+                free += 2
+            else:
+                nodes.append((0, tree, at, None, np.nan, -1, -1, float(rng.normal())))
+        rows += nodes
+    return attribution.Forest(0.7, features, pd.DataFrame(rows, columns=["run_id", "tree", "node", "feature", "threshold", "left", "right", "value"]))
+
+
+def test_prediction_is_a_plain_walk(deep):
+    rng = np.random.default_rng(4)
+    rows = {f: rng.normal(size=40) for f in deep.features}
+    for i, p in enumerate(deep.predict(rows)):
+        want = deep.start
+        for tree in deep.trees:
+            nodes = {r.node: r for r in tree.itertuples()}
+            r = nodes[0]
+            while r.left >= 0:
+                r = nodes[r.left if rows[r.feature][i] <= r.threshold else r.right]
+            want += r.value
+        assert p == pytest.approx(want)
+        inside = [leaf.value for leaf in deep.leaves() if all(lo < rows[f][i] <= hi for f, lo, hi in zip(leaf.features, leaf.low, leaf.high))]
+        assert len(inside) == len(deep.trees) and sum(inside) + deep.start == pytest.approx(want)
+
+
+def test_attribution_equals_all_orders(deep):
+    rng = np.random.default_rng(5)
+    rows, base = ({f: rng.normal(size=n) for f in deep.features} for n in (3, 4))
+    share = np.array([0.4, 0.3, 0.2, 0.1])
+    got = attribution.attributions(deep.leaves(), deep.features, rows, base, share)
+    orders = list(permutations(range(6)))
+    for i in range(3):
+        want = np.zeros(6)
+        for j in range(4):
+            value = mixtures(deep, {f: rows[f][i] for f in rows}, {f: base[f][j] for f in base}, deep.features)
+            for order in orders:
+                bits = 0
+                for k in order:
+                    want[k] += share[j] * (value[bits | 1 << k] - value[bits]) / len(orders)
+                    bits |= 1 << k
+        assert got[i] == pytest.approx(want)
+        assert got[i].sum() == pytest.approx(deep.predict({f: rows[f][i : i + 1] for f in rows})[0] - (share * deep.predict(base)).sum())
+
+
+def test_interaction_equals_all_subsets(deep):
+    from math import factorial
+
+    rng = np.random.default_rng(6)
+    rows, base = ({f: rng.normal(size=n) for f in deep.features} for n in (4, 3))
+    share = np.full(3, 1 / 3)
+    for first, second in (("a", "b"), ("c", "f"), ("e", "b")):
+        i, j = deep.features.index(first), deep.features.index(second)
+        got = attribution.interactions(deep.leaves(), first, second, rows, base, share)
+        for r in range(4):
+            want = 0.0
+            for z in range(3):
+                value = mixtures(deep, {f: rows[f][r] for f in rows}, {f: base[f][z] for f in base}, deep.features)
+                for bits in range(64):
+                    if not bits >> i & 1 and not bits >> j & 1:
+                        size = bits.bit_count()
+                        weight = factorial(size) * factorial(4 - size) / factorial(5)
+                        change = value[bits | 1 << i | 1 << j] - value[bits | 1 << i] - value[bits | 1 << j] + value[bits]
+                        want += share[z] * weight * change / 2
+            assert got[r] == pytest.approx(want)
+
+
+def test_curve_is_the_mean_attribution_of_changed_rows(deep):
+    rng = np.random.default_rng(7)
+    rows, base = ({f: rng.normal(size=n) for f in deep.features} for n in (8, 5))
+    share, n, grid = np.full(5, 0.2), rng.integers(1, 4, 8), np.linspace(-2, 2, 9)
+    got = attribution.curve(deep.leaves(), "c", grid, rows, n, base, share)
+    for g, effect in zip(grid, got):
+        changed = rows | {"c": np.full(8, g)}
+        phi = attribution.attributions(deep.leaves(), deep.features, changed, base, share)[:, 2]
+        assert effect == pytest.approx((phi * n).sum() / n.sum())
+
+
+def test_permutation_ranks_the_relevant_predictor_first(found, rows):
+    got = {r["feature"]: r for r in attribution.permutation_importance(found, rows, "y", "row_id", 3, size=400).collect()}
+    assert got["a"]["importance"] == max(r["importance"] for r in got.values()) > 0.3
+
+
+def test_shapley_values_add_up(found, rows):
+    values = attribution.shapley_values(found, rows, "row_id", 60, 20)
+    totals = {(r["run_id"], r["row"]): r["phi"] for r in values.groupBy("run_id", "row").agg(F.sum("phi").alias("phi")).collect()}
+    names = sorted({f for m in found.values() for f in m.features})
+    explained, n = attribution.distinct_rows(attribution.sample(rows, names, "row_id", 60, 42))
+    base, times = attribution.distinct_rows(attribution.sample(rows, names, "row_id", 20, 43))
+    for run, model in found.items():
+        p, mean = model.predict(explained), (model.predict(base) * times).sum() / times.sum()
+        assert all(totals[run, i] == pytest.approx(p[i] - mean) for i in range(len(n)))
+    got = {r["feature"]: r for r in attribution.shapley_importance(found, rows, "row_id", 60, 20).collect()}
+    assert got["a"]["n_rows"] == 60 and got["a"]["mean_abs"] == max(r["mean_abs"] for r in got.values())
+
+
+def test_curves_rise_with_a(found, rows):
+    got = attribution.attribution_curves(found, rows, ["a"], "row_id", -1.5, 1.5, 5, 200, 50).orderBy("run_id", "x").collect()
+    assert len(got) == 5 * sum("a" in m.features for m in found.values())
+    assert got[4]["effect"] - got[0]["effect"] > 2
+
+
+def test_interaction_follows_the_product(found, rows):
+    both = {run: m for run, m in found.items() if {"a", "b"} <= set(m.features)}
+    if both:
+        got = attribution.interaction_values(both, rows, "a", "b", "row_id", 120, 40)
+        assert got.select(F.corr(F.col("interaction"), F.col("value_1") * F.col("value_2"))).first()[0] > 0.5
+    assert attribution.top_pair(found, ("a", "nothing")) in [tuple(p) for m in found.values() for p in permutations(m.features, 2)] + [None]
+
+
+# --- clusters ------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def blobs(spark):
     rng = np.random.default_rng(3)
     pts = [(float(cx + x), float(cy + y)) for cx, cy in ((0, 0), (100, 0), (0, 100)) for x, y in rng.normal(0, 1, (40, 2))]
-    df = spark.createDataFrame(pts, "x double, y double")
-    assert learning.elbow(df, [2, 3, 4, 5, 6]) == 3
-    sizes = learning.spatial_clusters(df, 3).groupBy("cluster_id").count().collect()
+    return spark.createDataFrame(pts, "x double, y double")
+
+
+def test_clusters_find_separate_blobs(blobs):
+    assert clusters.cluster_count(blobs, 2, 6, min_size=10) == 3
+    sizes = clusters.k_means(blobs, 3).groupBy("cluster_id").count().collect()
     assert sorted(r["count"] for r in sizes) == [40, 40, 40]
+    assert clusters.cluster_count(blobs, 2, 6, min_size=60) == 2  # the size rule leaves no range
+
+
+def test_steps_equal_plain_ones(blobs):
+    xy = np.array([tuple(r) for r in blobs.collect()])
+    starts = [xy[:4], xy[[0, 50]]]
+    centres, cost = clusters.lloyd(blobs, [s.copy() for s in starts])
+    for start, got, value in zip(starts, centres, cost):
+        c = start.copy()
+        for _ in range(60):
+            at = ((xy[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            c = np.array([xy[at == k].mean(axis=0) if (at == k).any() else c[k] for k in range(len(c))])
+        assert got == pytest.approx(c, abs=1e-5)
+        assert value == pytest.approx(((xy[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum())
+
+
+def test_ties_and_no_points(spark):
+    points = spark.createDataFrame([(5.0, 0.0), (-1.0, 0.0)], "x double, y double")
+    got = {r["x"]: r["cluster_id"] for r in clusters.assign(points, np.array([[0.0, 0.0], [10.0, 0.0]])).collect()}
+    assert got == {5.0: 0, -1.0: 0}
+    assert clusters.k_means(points.where("false"), 3).count() == 0
+    same = spark.createDataFrame([(1.0, 1.0)] * 30, "x double, y double")
+    assert {r["cluster_id"] for r in clusters.k_means(same, 2).collect()} == {0}
+    assert inf not in [c for _, c in clusters.fit_all(same, [2], 2).values()]
+
+
+# --- tables about models, fits -----------------------------------------------------
 
 
 def test_fractions_are_exact(spark):
@@ -118,38 +404,3 @@ def test_quantile_lines_bracket_the_data(spark):
     for q in (0.15, 0.85):
         below = np.mean(y <= got[q]["intercept"] + got[q]["slope"] * x)
         assert below == pytest.approx(q, abs=0.01)
-
-
-def test_batches_of_trials_change_no_result(rows):
-    ranges = {"maxIter": (1, 2), "maxDepth": (2, 3), "stepSize": (0.2, 0.4)}
-    got = [
-        learning.search(rows, FEATURES, "cluster_id", [5], 4, ranges, test=1, validation=(2, 2), patience=1, min_trials=1, parallel=p)[0].collect()
-        for p in (1, 3)
-    ]
-    assert got[0] == got[1]
-
-
-def test_registered_queries_do_the_whole_job(monkeypatch):
-    from types import SimpleNamespace
-
-    from sylvagrid.plans import learning as plan
-
-    got = {}
-    weights = np.arange(39.0)
-    model = SimpleNamespace(featureImportances=SimpleNamespace(toArray=lambda: weights))
-    monkeypatch.setattr(plan, "model_of", lambda v: (model, None))
-    monkeypatch.setattr(plan, "table_of", lambda v: None)
-    monkeypatch.setattr(plan, "stage", lambda *a, **k: None)
-    monkeypatch.setattr(learning, "spatial_clusters", lambda *a: None)
-    for name in ("permutation_importance", "shapley_importance", "partial_dependence", "interaction"):
-        monkeypatch.setattr(learning, name, lambda *a, name=name, **k: got.update({name: (a, k)}))
-    monkeypatch.setattr(learning, "search", lambda *a, **k: (got.update(search=(a, k)), None))
-    for f in (plan.model_search, plan.permutation_importance, plan.shapley_importance, plan.partial_dependence, plan.feature_interaction):
-        f(None)
-    a, k = got["search"]
-    assert len(set(a[1])) == 39 and len(a[3]) == 10 and (k["trials"], k["max_features"]) == (1000, 10)
-    assert got["permutation_importance"][1]["repeats"] == 10
-    assert got["shapley_importance"][1]["size"] == got["interaction"][1]["size"] == 1000
-    a, k = got["partial_dependence"]
-    assert len(a[3]) == 6 and (k["points"], k["size"]) == (100, 3000)
-    assert got["interaction"][1]["background"] == 200

@@ -10,8 +10,6 @@ from sylvagrid import plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"]
-# model fits take long and have no SQL check; test_learning.py covers their parts
-SLOW = {"model_search", "shapley_importance", "permutation_importance", "feature_interaction", "partial_dependence"}
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +27,7 @@ def ordered(names, rows):
     return sorted(names), sorted(clean, key=lambda r: tuple((x is None, str(type(x)), 0 if x is None else x) for x in r))
 
 
-@pytest.mark.parametrize("key", sorted(set(plans.queries()) - SLOW))
+@pytest.mark.parametrize("key", sorted(plans.queries()))
 def test_query(spark, duck, key):
     df = entry.queries()[key](spark, SF)
     rows = [tuple(r) for r in df.collect()]
