@@ -1,54 +1,94 @@
-"""Spatial autocorrelation: pairs within a radius, binned semivariograms, model fit, clusters."""
+"""Spatial autocorrelation: lag sums of a grid, binned semivariograms, model fit, clusters."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sylvagrid.operators import ranking
 from sylvagrid.operators.ranking import exact_percentiles
+from sylvagrid.session import stage
 
 
-def pairs_within(points: DataFrame, keys: Sequence[str], ident: str, value: str, radius: float) -> DataFrame:
-    """Distance and semivariance of every pair of points closer than the radius, once per pair.
+def lag_sums(
+    cells: DataFrame, keys: Sequence[str], value: str, reach: int, references: int = 100_000, ident: Sequence[str] = ("r", "c"), seed: int = 17
+) -> DataFrame:
+    """(keys, lag, n_pairs, gamma_sum): half squared differences of all cells of a grid within `reach` of a reference cell.
 
-    Points meet through square buckets as wide as the radius. One side is listed
-    in its own bucket and in four of its eight neighbours, which is enough to
-    meet every pair exactly once; only pairs from adjacent buckets are compared.
-    The pairs grow with the square of the points within reach: for a reach of many
-    points, pass a fixed number of reference points (`ranking.sample_exact`).
+    `lag` is the squared distance in cells; `r` and `c` are the places of a cell. At most `references` cells of a key
+    are reference cells, an exact-size sample by hash; each is paired with every other cell in reach, so a pair of two
+    reference cells counts twice. Cells are dealt out as square tiles of `reach` cells, each tile also to its eight
+    neighbours, so that a task holds all that its own tile reaches: at most nine tiles, whatever the grid. It adds up
+    one row shift of the tile against its surroundings at a time, for all columns by one product of matrices. Rows without a value take no part, and of rows that
+    repeat a place the largest value counts.
     """
-    bx, by = F.floor(F.col("x") / radius), F.floor(F.col("y") / radius)
-    half = [(0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]
-    a = points.select(*keys, F.col(ident).alias("_i"), "x", "y", F.col(value).alias("_v"), bx.alias("_bx"), by.alias("_by")).alias("a")
-    spots = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in half]))
-    b = (
-        points.select(*keys, F.col(ident).alias("_i"), "x", "y", F.col(value).alias("_v"), spots.alias("_s"))
-        .withColumns({"_bx": bx + F.col("_s.dx"), "_by": by + F.col("_s.dy"), "_own": (F.col("_s.dx") == 0) & (F.col("_s.dy") == 0)})
-        .alias("b")
-    )
-    dx, dy = F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")
-    near = (
-        (F.col("a._bx") == F.col("b._bx"))
-        & (F.col("a._by") == F.col("b._by"))
-        & (~F.col("b._own") | (F.col("a._i") < F.col("b._i")))
-        & (dx * dx + dy * dy <= radius * radius)
-    )
-    for k in keys:
-        near = near & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    gap = F.col("a._v") - F.col("b._v")
-    return a.join(b, near).select(
-        *[f"a.{k}" for k in keys], F.sqrt(dx * dx + dy * dy).alias("distance"), (0.5 * gap * gap).alias("semivariance")
-    )
-
-
-def by_distance(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pairs summed per distinct distance (few of them on a regular grid), combined before the shuffle."""
-    return pairs.groupBy(*keys, "distance").agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.sum("semivariance").alias("gamma_sum")
-    )
+    keys = list(keys)
+    known = cells.where(F.col(value).isNotNull()).groupBy(*keys, "r", "c", *[i for i in ident if i not in ("r", "c")]).agg(F.max(value).cast("double").alias("v"))
+    known = stage(known, "cells")
+    most = known.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most > references:
+        chosen = ranking.sample_exact(known.select(*keys, *ident), keys, list(ident), references, seed)
+        chosen = chosen.select(ranking.group_key(keys).alias("_key"), *ident, F.lit(True).alias("ref"))
+        known = known.withColumn("_key", ranking.group_key(keys)).join(chosen, ["_key", *ident], "left").withColumn("ref", F.coalesce("ref", F.lit(False)))
+    else:
+        known = known.withColumn("ref", F.lit(True))
+    every = most <= references
+    tile = [F.floor(F.col(i) / reach).cast("int") for i in ("r", "c")]
+    # if all cells are reference cells each pair is found from its upper cell: no tile above the own one is needed
+    sides = [(i, j) for i in ((0, 1) if every else (-1, 0, 1)) for j in (-1, 0, 1)]
+    spot = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in sides]))
+    dealt = known.select(*keys, "r", "c", "v", "ref", tile[0].alias("_r"), tile[1].alias("_c"), spot.alias("_s"))
+    dealt = dealt.select(*keys, "r", "c", "v", (F.col("ref") & (F.col("_s.i") == 0) & (F.col("_s.j") == 0)).alias("own"), (F.col("_r") - F.col("_s.i")).alias("tr"), (F.col("_c") - F.col("_s.j")).alias("tc"))
+    key_fields = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys)
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame.own.to_numpy(bool)
+        r, c, v = frame.r.to_numpy(), frame.c.to_numpy(), frame.v.to_numpy()
+        n, gamma = np.zeros(reach * reach + 1), np.zeros(reach * reach + 1)
+        if own.any():
+            top, height = r[own].min(), int(np.ptp(r[own])) + 1
+            first, width = c[own].min(), int(np.ptp(c[own])) + 1
+            left, right = (int(min(reach, max(0, x))) for x in (first - c.min(), c.max() - c[own].max()))
+            up = 0 if every else reach
+            v = v - v[own].mean()  # differences do not change, and squares stay small
+            inside = (r >= top - up) & (r < top + height + reach) & (c >= first - left) & (c < first + width + right)
+            values, known = (np.zeros((up + height + reach, left + width + right)) for _ in range(2))
+            spot = (r[inside] - (top - up), c[inside] - (first - left))
+            values[spot], known[spot] = v[inside], 1.0
+            mine, there = (np.zeros((height, width)) for _ in range(2))
+            spot = (r[own] - top, c[own] - first)
+            mine[spot], there[spot] = v[own], 1.0
+            # sums of (a - b)^2 over all columns of the tile and of its surroundings, one product of matrices per row shift
+            tile_side = np.concatenate([mine * mine, there, -2 * mine]).T.copy()
+            around = [known, values * values, values]
+            gap = np.arange(left + width + right)[None] - left - np.arange(width)[:, None]
+            for dr in range(-up, reach + 1):
+                part = [x[up + dr : up + dr + height] for x in around]
+                if not part[0].any():
+                    continue
+                lag = dr * dr + gap * gap
+                use = (lag <= reach * reach) & (lag > 0)
+                if every and dr == 0:
+                    use &= gap > 0
+                at = lag[use]
+                n += np.bincount(at, (there.T @ part[0])[use], len(n))
+                gamma += np.bincount(at, (tile_side @ np.concatenate(part))[use], len(n))
+        n = np.rint(n).astype(np.int64)
+        found = np.flatnonzero(n)
+        # from one side: each pair stands for both directions
+        out = pd.DataFrame({"lag": found, "n_pairs": n[found] * (2 if every else 1), "gamma_sum": gamma[found] * (1 if every else 0.5)})
+        for k in keys:
+            out[k] = frame[k].iloc[0]
+        return out[[*keys, "lag", "n_pairs", "gamma_sum"]]
+
+    schema = f"{key_fields}{', ' if keys else ''}lag long, n_pairs long, gamma_sum double"
+    per_tile = dealt.groupBy(*keys, "tr", "tc").applyInPandas(add, schema)
+    return per_tile.groupBy(*keys, "lag").agg(F.sum("n_pairs").alias("n_pairs"), F.sum("gamma_sum").alias("gamma_sum"))
 
 
 def binned(lags: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:

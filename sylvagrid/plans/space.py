@@ -169,13 +169,12 @@ def sample_per_bin(v):
 
 # --- variograms --------------------------------------------------------------
 
-# reference points per year, a fixed number as the method has it, and the reach of their pairs: 200 cells
-REFERENCES, RADIUS, BINS = 400, 2e4, 8
-LAG_SQL = f"""va AS (SELECT * FROM (SELECT k.cell, yr, x, y, tbd, row_number() OVER (PARTITION BY yr ORDER BY {uniform_sql(17, "yr, k.cell")}, k.cell) AS o
-      FROM fx_cells k JOIN fx_grid g ON g.cell = k.cell) q WHERE o <= {REFERENCES}),
-    lg AS (SELECT yr, distance, count(*) AS n_pairs, sum(gamma) AS gamma_sum FROM (SELECT a.yr, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance,
-      5e-1 * (a.tbd - b.tbd) * (a.tbd - b.tbd) AS gamma FROM va a JOIN va b ON a.yr = b.yr AND a.cell < b.cell
-      AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {RADIUS!r} * {RADIUS!r}) q GROUP BY yr, distance)"""
+# reference points per year as the method has it (all cells, if fewer), and the reach of their pairs: 200 cells of 100 m
+REFERENCES, REACH, SIZE, BINS = 100_000, 200, 100.0, 8
+LAG_SQL = f"""va AS (SELECT *, row_number() OVER (PARTITION BY yr ORDER BY {uniform_sql(17, "yr, r, c")}, r, c) AS o FROM fx_cells),
+    lg AS (SELECT yr, sqrt(lag * {SIZE!r} * {SIZE!r}) AS distance, count(*) AS n_pairs, sum(gamma) AS gamma_sum FROM
+      (SELECT a.yr, (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) AS lag, 5e-1 * (a.tbd - b.tbd) * (a.tbd - b.tbd) AS gamma
+      FROM va a JOIN va b ON a.yr = b.yr AND a.o <= {REFERENCES} AND (a.r <> b.r OR a.c <> b.c)) q WHERE lag <= {REACH} * {REACH} GROUP BY yr, lag)"""
 CURVE_SQL = f"""{LAG_SQL}, ww AS (SELECT yr, max(distance) / {BINS} AS w FROM lg GROUP BY yr),
     cu AS (SELECT lg.yr, CAST(least(floor(distance / w), {BINS - 1}) AS INT) AS bin, sum(gamma_sum) / sum(n_pairs) AS semivariance,
       CAST(sum(n_pairs) AS BIGINT) AS n_pairs, (CAST(least(floor(distance / w), {BINS - 1}) AS INT) + 5e-1) * max(w) AS distance
@@ -183,9 +182,8 @@ CURVE_SQL = f"""{LAG_SQL}, ww AS (SELECT yr, max(distance) / {BINS} AS w FROM lg
 
 
 def lags_of(v):
-    chosen = ranking.sample_exact(v.cells.select("cell", "yr", "tbd"), ["yr"], ["cell"], REFERENCES, 17)
-    points = stage(chosen.join(v.grid.select("cell", "x", "y"), "cell"), "references", spread_rows=True)
-    return variogram.by_distance(variogram.pairs_within(points, ["yr"], "cell", "tbd", RADIUS), ["yr"])
+    sums = variogram.lag_sums(v.cells.select("yr", "r", "c", "tbd"), ["yr"], "tbd", REACH, REFERENCES)
+    return sums.select("yr", F.sqrt(F.col("lag") * SIZE * SIZE).alias("distance"), "n_pairs", "gamma_sum")
 
 
 def curve_of(v):
@@ -194,11 +192,11 @@ def curve_of(v):
 
 @query(
     "semivariogram_pairs",
-    f"""WITH {LAG_SQL} SELECT yr, round(distance, 6) AS distance, n_pairs, round(gamma_sum / n_pairs, 6) AS semivariance FROM lg""",
+    f"""WITH {LAG_SQL} SELECT yr, round(distance, 6) AS distance, n_pairs, round(gamma_sum / n_pairs, 4) AS semivariance FROM lg""",
 )
 def semivariogram_pairs(v):
     mean = F.col("gamma_sum") / F.col("n_pairs")
-    return lags_of(v).select("yr", rnd("distance", 6), "n_pairs", rnd(mean, 6, "semivariance"))
+    return lags_of(v).select("yr", rnd("distance", 6), "n_pairs", rnd(mean, 4, "semivariance"))
 
 
 @query(

@@ -29,16 +29,21 @@ def regression_metrics(v):
 
 
 REPLICATES = 1000
+P = metrics.PRIME
 WEIGHT_CASE = "CASE " + " ".join(f"WHEN z < {s!r}e0 THEN {k}" for k, s in enumerate(metrics.POISSON_STEPS)) + f" ELSE {len(metrics.POISSON_STEPS)} END"
+ROW_KEY = "CAST(42 AS BIGINT)"
+for i in ("l_orderkey", "l_linenumber", "l_partkey"):
+    ROW_KEY = f"(({ROW_KEY} * 1000003 + {i} % {P}) % {P})"
+MIXED = f"((k * 48271 + b * 69621) % {P})"
 
 
 @query(
     "bootstrap_ci",
-    f"""WITH {CLEAN_SQL}, h AS (SELECT residual, target, g, md5(concat_ws('|', '42', l_orderkey, l_linenumber, l_partkey, g)) AS m
-      FROM kc, (SELECT unnest(range({REPLICATES // 4})) AS g) q),
-    d AS (SELECT residual, target, 4 * g + k AS b, (CAST('0x' || substr(m, CAST(1 + 8 * k AS INT), 8) AS BIGINT) + 5e-1) / 4294967296e0 AS z
-      FROM h, (SELECT unnest(range(4)) AS k) q),
-    w AS (SELECT residual, target, b, {WEIGHT_CASE} AS w FROM d),
+    f"""WITH {CLEAN_SQL}, h AS (SELECT residual, target, {ROW_KEY} AS k FROM kc),
+    x0 AS (SELECT residual, target, k, b, {MIXED} AS x FROM h, (SELECT CAST(unnest(range({REPLICATES})) AS BIGINT) AS b) q),
+    x1 AS (SELECT residual, target, k, b, (x * x + k + b * 7919) % {P} AS x FROM x0),
+    x2 AS (SELECT residual, target, b, ((x * x + k * 2 + b * 7919) % {P} + 5e-1) / {P}e0 AS z FROM x1),
+    w AS (SELECT residual, target, b, {WEIGHT_CASE} AS w FROM x2),
     s AS (SELECT b, sum(w) AS n, sum(w * abs(residual)) AS a, sum(w * residual * residual) AS s, sum(w * target) AS t, sum(w * target * target) AS tt FROM w GROUP BY b),
     l AS (SELECT 'mae' AS metric, a / n AS value FROM s UNION ALL SELECT 'rmse', sqrt(s / n) FROM s UNION ALL SELECT 'r2', 1 - s / (tt - t * t / n) FROM s)
     SELECT metric, round(quantile_cont(value, 0.025), 7) AS lower, round(quantile_cont(value, 0.975), 7) AS upper FROM l GROUP BY metric""",

@@ -326,15 +326,30 @@ def test_box_pairs_once_against_brute_force(spark):
     assert set(got) == want
 
 
-def test_pairs_within_radius_against_brute_force(spark):
+@pytest.mark.parametrize("references", [1000, 25])
+def test_lag_sums_against_brute_force(spark, references):
     rng = np.random.default_rng(4)
-    pts = [(i, float(x), float(y), float(z)) for i, (x, y, z) in enumerate(rng.uniform(-20, 20, (80, 3)))]
-    df = spark.createDataFrame(pts, "id int, x double, y double, v double").withColumn("g", F.lit(1))
-    got = variogram.pairs_within(df, ["g"], "id", "v", 6.0).collect()
-    want = [
-        math.dist(p[1:3], q[1:3]) for i, p in enumerate(pts) for q in pts[i + 1 :] if math.dist(p[1:3], q[1:3]) <= 6.0
-    ]
-    assert sorted(r["distance"] for r in got) == pytest.approx(sorted(want))
+    places = [(int(r), int(c)) for r, c in rng.integers(-9, 9, (150, 2))]
+    cells = {(g, r, c): float(rng.normal()) for g in (1, None) for r, c in places}
+    rows = [(*k, v) for k, v in cells.items()] + [(1, 50, 50, None), (2, 0, 0, 1.0)]
+    df = spark.createDataFrame(rows, "g int, r int, c int, v double").repartition(3)
+    got = {(x["g"], x["lag"]): (x["n_pairs"], x["gamma_sum"]) for x in variogram.lag_sums(df, ["g"], "v", 5, references).collect()}
+    known = df.where("v IS NOT NULL").select("g", "r", "c")
+    chosen = {tuple(x) for x in variogram.ranking.sample_exact(known, ["g"], ["r", "c"], references, 17).collect()}
+    want = {}
+    for (g, r, c), v in cells.items():
+        for (h, s, d), w in cells.items():
+            lag = (r - s) ** 2 + (c - d) ** 2
+            if g == h and 0 < lag <= 25 and (g, r, c) in chosen:
+                n, total = want.get((g, lag), (0, 0.0))
+                want[g, lag] = (n + 1, total + 0.5 * (v - w) ** 2)
+    assert set(got) == set(want)
+    for k, (n, total) in want.items():
+        assert got[k][0] == n and got[k][1] == pytest.approx(total)
+
+
+def test_lag_sums_of_no_cells(spark):
+    assert variogram.lag_sums(spark.createDataFrame([], "g int, r int, c int, v double"), ["g"], "v", 5).count() == 0
 
 
 def test_exponential_fit_recovers_parameters(spark):
@@ -477,6 +492,23 @@ def test_bootstrap_width_is_that_of_independent_resamples(spark):
     assert np.std(widths) < 0.1 * theory
 
 
+def test_bootstrap_weights_are_poisson_and_independent():
+    limits = np.array([math.ceil(s * metrics.PRIME - 0.5) for s in metrics.POISSON_STEPS])
+    keys = np.arange(4000) * 8 + 1  # keys as regular as order numbers
+    w = metrics.poisson_weights(keys, np.arange(200), limits).astype(float)
+    for k in range(5):
+        assert (w == k).mean() == pytest.approx(math.exp(-1) / math.factorial(k), abs=0.002)
+    # neither rows nor replicates follow one another
+    rows, replicates = np.corrcoef(w[:300]), np.corrcoef(w.T)
+    for r, n in ((rows, 200), (replicates, 4000)):
+        off = r[~np.eye(len(r), dtype=bool)]
+        assert off.std() == pytest.approx(1 / math.sqrt(n), rel=0.1) and abs(off).max() < 6 / math.sqrt(n)
+    # exact remainders
+    x = np.array([0, metrics.PRIME, metrics.PRIME - 1, 2**62 - 1, metrics.PRIME**2, 12345678901234567])
+    assert [int(v) % metrics.PRIME for v in metrics.folded(x.copy())] == [int(v) % metrics.PRIME for v in x]
+    assert metrics.folded(x.copy()).max() <= metrics.PRIME
+
+
 def test_kolmogorov_tail_probabilities(spark):
     # tabulated values of the Kolmogorov distribution: 1 - K(l)
     known = {0.0: 1.0, 0.1: 1.0, 0.5: 0.9639452436, 0.8275735552: 0.5, 1.0: 0.2699996717, 1.2238478702: 0.1, 1.3580986394: 0.05, 1.6276236115: 0.01, 3.0: 3.04599e-08}
