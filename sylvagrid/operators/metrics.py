@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sylvagrid.functions.noise import uniform
-from sylvagrid.operators.ranking import exact_percentiles
+from sylvagrid.operators.ranking import exact_percentiles, group_key, running_totals
 from sylvagrid.session import stage
 
 
@@ -273,40 +273,52 @@ def patch_statistics(cells: DataFrame, keys: Sequence[str], value: str, size: in
     ).drop("_q")
 
 
-def diverse_patches(
-    patches: DataFrame,
-    keys: Sequence[str],
-    batch: int,
-    attempts: int,
-    seed: int,
-    max_threshold: float = 10.0,
-    min_threshold: float = 3.0,
-    max_nodata: float = 0.3,
-    max_low: float = 0.7,
-) -> DataFrame:
-    """Batches of diverse patches per key, with thresholds that relax along the attempts.
-
-    Patches are tried in hash order; the first `batch` that meet the thresholds of
-    their attempt are taken, and a short batch is completed in the same order.
-    Ranking keeps only the first `attempts` per key, a limit Spark applies before
-    the shuffle.
+# fixed values of the selection: highest and lowest diversity, share without data, share of low vegetation;
+# progress from which thresholds relax, with the share of the batch up to which they do and their place between the limits
+LIMITS = (10.0, 3.0, 0.3, 0.7)
+LADDER = ((0.25, 0.25, 0.75), (0.5, 0.5, 0.5), (0.75, 0.75, 0.0))
+LAST, LAST_DIVERSITY = 0.9, 3.0
+EASED = ((0.5, 1.5), (0.75, 3.0))
+
+
+def diverse_patches(patches: DataFrame, keys: Sequence[str], batch: int, attempts: int, seed: int) -> DataFrame:
+    """Batches of `batch` diverse patches per key, with thresholds that relax along the attempts.
+
+    The patches of a key, in hash order, are candidates in blocks of `attempts`, so each is a candidate of one batch.
+    A batch tries its candidates in order until it is full. Its state is the number already chosen: the later the
+    attempt and the fewer chosen, the lower the diversity that is asked; shares without data and of low vegetation ease
+    along the attempts alone. A batch left short is completed by its first candidates that failed. A block is one
+    bounded array, folded as an expression; progress is the attempt as a share of the block's candidates.
     """
-    tried = patches.withColumn("_u", uniform(seed, *keys, "pr", "pc"))
-    order = W.partitionBy(*keys).orderBy("_u", "pr", "pc")
-    tried = tried.withColumn("attempt", F.row_number().over(order) - 1).where(F.col("attempt") < attempts)
-    progress = F.col("attempt") / F.lit(float(attempts))
-    relax = F.when(progress > 0.75, 3.0).when(progress > 0.5, 1.5).otherwise(1.0)
-    fits = (progress > 0.9) | (
-        (F.col("valid_ratio") >= 1.0 - max_nodata * relax) & (F.col("low_ratio") <= max_low * relax)
-    )
-    span = max_threshold - min_threshold
-    threshold = (
-        F.when(progress > 0.9, 3.0)
-        .when(progress > 0.75, min_threshold)
-        .when(progress > 0.5, min_threshold + span * 0.5)
-        .when(progress > 0.25, min_threshold + span * 0.75)
-        .otherwise(max_threshold)
-    )
-    judged = tried.withColumn("passed", fits & (F.col("diversity") >= threshold))
-    best = W.partitionBy(*keys).orderBy(F.desc("passed"), "attempt")
-    return judged.withColumn("pick", F.row_number().over(best)).where(F.col("pick") <= batch).drop("_u")
+    keys = list(keys)
+    high, low, nodata, lowveg = LIMITS
+    names = ["pr", "pc", "diversity", "valid_ratio", "low_ratio"]
+    tagged = patches.select(*keys, *names).withColumns({"_u": uniform(seed, *keys, "pr", "pc"), "_one": F.lit(1)})
+    ranked = running_totals(tagged, keys, ["_u", "pr", "pc"], ["_one"])
+    place = (F.col("_one_run") - 1).cast("long")
+    entry = F.struct((place % attempts).cast("int").alias("attempt"), *names)
+    key = group_key(keys)
+    blocks = ranked.groupBy(key.alias("_key"), F.floor(place / attempts).cast("int").alias("batch")).agg(F.array_sort(F.collect_list(entry)).alias("_tried"))
+    blocks = blocks.withColumn("_n", F.size("_tried").cast("double"))
+
+    def judge(state: Column, x: Column) -> Column:
+        progress, chosen = x["attempt"] / F.col("_n"), state["chosen"]
+        ease = F.lit(1.0)
+        for start, factor in EASED:
+            ease = F.when(progress > start, factor).otherwise(ease)
+        fits = (progress > LAST) | ((x["valid_ratio"] >= 1.0 - nodata * ease) & (x["low_ratio"] <= lowveg * ease))
+        asked = F.lit(high)
+        for start, share, part in LADDER:
+            asked = F.when((progress > start) & (chosen <= batch * share), low + (high - low) * part).otherwise(asked)
+        asked = F.when((progress > LAST) & (chosen <= batch), LAST_DIVERSITY).otherwise(asked)
+        passed = (chosen < batch) & F.coalesce(fits & (x["diversity"] >= asked), F.lit(False))
+        mark = F.when(chosen >= batch, F.lit(None).cast("boolean")).otherwise(passed)  # a full batch tries no more
+        return F.struct((chosen + passed.cast("int")).alias("chosen"), F.concat(state["marks"], F.array(mark)).alias("marks"))
+
+    start = F.struct(F.lit(0).alias("chosen"), F.array().cast("array<boolean>").alias("marks"))
+    marks = F.aggregate("_tried", start, judge)["marks"]
+    rows = blocks.withColumn("_m", marks).select("_key", "batch", F.explode(F.arrays_zip("_tried", "_m")).alias("t"))
+    rows = rows.select("_key", "batch", "t._tried.*", F.coalesce("t._m", F.lit(False)).alias("passed"), F.col("t._m").isNotNull().alias("tried"))
+    best = W.partitionBy("_key", "batch").orderBy(F.desc("passed"), F.desc("tried"), "attempt")
+    rows = rows.withColumn("pick", F.row_number().over(best)).where(F.col("pick") <= batch)
+    return rows.select(*[F.col(f"_key.{k}") for k in keys], "batch", "attempt", "pr", "pc", "passed", "diversity", "pick")

@@ -45,8 +45,9 @@ def with_views(sql: str) -> str:
     ctes = ", ".join(f"{v} AS ({VIEW_SQL[v]})" for v in VIEW_SQL if v in used)
     if not ctes:
         return body
-    if body.upper().startswith("WITH "):
-        return f"WITH {ctes}, {body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{ctes}, {body[len(start):]}"
     return f"WITH {ctes} {body}"
 
 

@@ -173,16 +173,25 @@ def patch_diversity(v):
     return patches_of(v).withColumns({c: rnd(c, 6) for c in PATCH_DOUBLES})
 
 
+BATCH, ATTEMPTS = 12, 200
+
+
 @query(
     "diverse_patches",
-    f"""WITH {PATCH_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY yr ORDER BY {uniform_sql(5, "yr, pr, pc")}, pr, pc) - 1 AS attempt FROM ps),
-    g AS (SELECT *, attempt / 4e1 AS p FROM t WHERE attempt < 40),
-    j AS (SELECT *, (p > 0.9 OR (valid_ratio >= 1 - 3e-1 * CASE WHEN p > 0.75 THEN 3e0 WHEN p > 0.5 THEN 15e-1 ELSE 1e0 END
-      AND low_ratio <= 7e-1 * CASE WHEN p > 0.75 THEN 3e0 WHEN p > 0.5 THEN 15e-1 ELSE 1e0 END))
-      AND diversity >= CASE WHEN p > 0.9 THEN 3e0 WHEN p > 0.75 THEN 3e0 WHEN p > 0.5 THEN 65e-1 WHEN p > 0.25 THEN 825e-2 ELSE 1e1 END AS passed FROM g)
-    SELECT yr, pr, pc, CAST(attempt AS INT) AS attempt, passed, round(diversity, 6) AS diversity, CAST(pick AS INT) AS pick FROM
-    (SELECT *, row_number() OVER (PARTITION BY yr ORDER BY passed DESC, attempt) AS pick FROM j) q WHERE pick <= 12""",
+    f"""WITH RECURSIVE {PATCH_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY yr ORDER BY {uniform_sql(5, "yr, pr, pc")}, pr, pc) - 1 AS place FROM ps),
+    g AS (SELECT yr, pr, pc, diversity, valid_ratio, low_ratio, place // {ATTEMPTS} AS batch, place % {ATTEMPTS} AS attempt FROM t),
+    h AS (SELECT *, attempt / CAST(count(*) OVER (PARTITION BY yr, batch) AS DOUBLE) AS p FROM g),
+    f AS (SELECT *, p > 0.9 OR (valid_ratio >= 1 - 3e-1 * CASE WHEN p > 0.75 THEN 3e0 WHEN p > 0.5 THEN 15e-1 ELSE 1e0 END
+      AND low_ratio <= 7e-1 * CASE WHEN p > 0.75 THEN 3e0 WHEN p > 0.5 THEN 15e-1 ELSE 1e0 END) AS fits FROM h),
+    st AS (SELECT yr, batch, CAST(-1 AS BIGINT) AS attempt, 0 AS chosen, false AS passed FROM f GROUP BY yr, batch
+      UNION ALL SELECT yr, batch, attempt, chosen + CAST(passed AS INT), passed FROM (SELECT st.yr, st.batch, f.attempt, st.chosen,
+        st.chosen < {BATCH} AND coalesce(f.fits AND f.diversity >= CASE WHEN p > 0.9 THEN 3e0 WHEN p > 0.75 AND st.chosen <= {BATCH} * 0.75 THEN 3e0
+          WHEN p > 0.5 AND st.chosen <= {BATCH} * 0.5 THEN 65e-1 WHEN p > 0.25 AND st.chosen <= {BATCH} * 0.25 THEN 825e-2 ELSE 1e1 END, false) AS passed
+        FROM st JOIN f ON f.yr = st.yr AND f.batch = st.batch AND f.attempt = st.attempt + 1) q),
+    j AS (SELECT f.yr, f.batch, f.attempt, pr, pc, diversity, passed, chosen - CAST(passed AS INT) < {BATCH} AS tried
+      FROM f JOIN st ON st.yr = f.yr AND st.batch = f.batch AND st.attempt = f.attempt)
+    SELECT yr, CAST(batch AS INT) AS batch, CAST(attempt AS INT) AS attempt, pr, pc, passed, round(diversity, 6) AS diversity, CAST(pick AS INT) AS pick FROM
+    (SELECT *, row_number() OVER (PARTITION BY yr, batch ORDER BY passed DESC, tried DESC, attempt) AS pick FROM j) q WHERE pick <= {BATCH}""",
 )
 def diverse_patches(v):
-    picked = metrics.diverse_patches(patches_of(v), ["yr"], batch=12, attempts=40, seed=5)
-    return picked.select("yr", "pr", "pc", "attempt", "passed", rnd("diversity", 6), "pick")
+    return metrics.diverse_patches(patches_of(v), ["yr"], BATCH, ATTEMPTS, seed=5).withColumn("diversity", rnd("diversity", 6))

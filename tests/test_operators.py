@@ -492,6 +492,35 @@ def test_bootstrap_width_is_that_of_independent_resamples(spark):
     assert np.std(widths) < 0.1 * theory
 
 
+def test_diverse_batches_equal_a_plain_walk(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, i, 0, float(rng.uniform(0, 13)), float(rng.uniform(0.3, 1)), float(rng.uniform(0, 1))) for k in (1, None) for i in range(70)]
+    rows += [(2, i, 0, None if i else 20.0, 1.0, 0.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "k int, pr int, pc int, diversity double, valid_ratio double, low_ratio double").repartition(3)
+    place = {(r["k"], r["pr"]): r["u"] for r in df.select("k", "pr", metrics.uniform(3, "k", "pr", "pc").alias("u")).collect()}
+    want = set()
+    for k in (1, 2, None):
+        order = sorted((r for r in rows if r[0] == k), key=lambda r: place[k, r[1]])
+        for b in range(0, len(order), 30):
+            block, chosen, passed, tried = order[b : b + 30], 0, [], []
+            for a, (_, pr, _, d, valid, lowveg) in enumerate(block):
+                if chosen == 6:
+                    break
+                p = a / len(block)
+                ease = 3 if p > 0.75 else 1.5 if p > 0.5 else 1
+                ask = 10.0
+                for start, share, level in ((0.25, 0.25, 8.25), (0.5, 0.5, 6.5), (0.75, 0.75, 3.0), (0.9, 1.0, 3.0)):
+                    ask = level if p > start and chosen <= 6 * share else ask
+                good = d is not None and d >= ask and (p > 0.9 or (valid >= 1 - 0.3 * ease and lowveg <= 0.7 * ease))
+                (passed if good else tried).append(a)
+                chosen += good
+            rest = [a for a in range(len(block)) if a not in passed and a not in tried]
+            for pick, a in enumerate((passed + tried + rest)[:6], 1):
+                want.add((k, b // 30, a, block[a][1], a in passed, pick))
+    got = metrics.diverse_patches(df, ["k"], 6, 30, 3)
+    assert {(r["k"], r["batch"], r["attempt"], r["pr"], r["passed"], r["pick"]) for r in got.collect()} == want
+
+
 def test_bootstrap_weights_are_poisson_and_independent():
     limits = np.array([math.ceil(s * metrics.PRIME - 0.5) for s in metrics.POISSON_STEPS])
     keys = np.arange(4000) * 8 + 1  # keys as regular as order numbers
