@@ -1,17 +1,21 @@
 """License scan: a positional index of rare licence words, intersected by relative position.
 
-Templates are short licence texts with mandatory key phrases. The index holds every
-place of every template word. Document frequencies of the template words are counted
-over all documents; each template and phrase is entered by its rarest words. For a
-file, its template words are looked up from the highest IDF down: a word at place p in
-the file and q in a template votes for the alignment p - q. A phrase is found where all
-its words stand at their places of one alignment, looked up through its rarest word, so
-every place is found. A template's label is given when all its key phrases are found and
-the share of its IDF mass that is aligned with the file reaches `share`.
-
-Whole texts are read, batch by batch; only the words of the templates are kept, so a task
-holds one batch. A null or empty text has no words, no labels and score 0. Rows repeat as
-given; other columns are ignored.
+Templates are licence texts and notices with mandatory key phrases. Document frequencies of the
+template words are counted over all documents. The index maps a word to its postings (template,
+place), and to the phrases that it is the rarest word of. A template is posted under its words of
+the highest IDF only: under so many that the others hold less than `share` of its IDF mass. An
+alignment that reaches `share` therefore has one of them in place, so nothing is lost, and a file
+that lacks them never meets the template. A file's words are looked up from the highest IDF down: a
+word at place p of the file and q of a template proposes the alignment p - q, and each proposed
+alignment is weighed once. The cost of a file follows the postings of its words, not the number of
+templates. The label is given where the aligned share of the IDF mass reaches `share` and all key
+phrases of the template stand near the alignment, at most a template's length away. The score is the
+largest such share; one half at least where a base phrase stands, else 0.
+
+Words of equal IDF are taken by name, of equal alignments the first counts (the share is the same).
+Whole texts of any length are read, batch by batch; only the words of the templates are kept, so a
+task holds one batch. A null or empty text has no words, no labels and score 0. Null ids and
+repeated rows come back as given, an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,20 +67,84 @@ TEMPLATES = {
     "cc-by-nc": ("licensed under cc by nc 4 0", ["cc by nc"]),
     "cc-by-sa": ("licensed under cc by sa 4 0", ["cc by sa"]),
     "cc0": ("released under cc0 1 0 universal public domain dedication", ["cc0 1 0"]),
+    "mit-full": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+        "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+        "fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages "
+        "or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software "
+        "or the use or other dealings in the software",
+        ["permission is hereby granted free of charge", "the software is provided as is", "shall be included in all copies"],
+    ),
+    "isc-full": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that "
+        "the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims "
+        "all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author "
+        "be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        ["permission to use copy modify and or distribute this software", "the author disclaims all warranties"],
+    ),
+    "bsd-2-full": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+        "in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors "
+        "as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness "
+        "for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental "
+        "special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits "
+        "or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence "
+        "or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+        ["redistribution and use in source and binary forms", "redistributions in binary form must reproduce", "are disclaimed"],
+    ),
+    "apache-2.0-header": (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
+        "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing "
+        "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+        ["licensed under the apache license version 2 0", "unless required by applicable law or agreed to in writing"],
+    ),
+    "gpl-3-header": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by "
+        "the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope "
+        "that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose "
+        "see the gnu general public license for more details",
+        ["under the terms of the gnu general public license", "either version 3 of the license"],
+    ),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages "
+        "arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications "
+        "and to alter it and redistribute it freely subject to the following restrictions",
+        ["permission is granted to anyone to use this software for any purpose", "alter it and redistribute it freely"],
+    ),
 }
 SHARE = 0.6
-# words by which a template is entered
-RARE = 3
 
 
 @dataclass
 class Index:
-    """Words numbered by falling IDF; texts (phrases and templates) as their word numbers."""
+    """Words numbered by falling IDF; texts as their word numbers; what a word leads to."""
 
     idf: np.ndarray
     ids: dict[bytes, int]
     phrases: dict[str, np.ndarray] = field(default_factory=dict)
     templates: dict[str, tuple[np.ndarray, list[str]]] = field(default_factory=dict)
+    # word: (template, place), and the phrases that it is the rarest word of
+    postings: dict[int, list[tuple[str, int]]] = field(default_factory=dict)
+    anchors: dict[int, list[str]] = field(default_factory=dict)
+
+
+def entering(text: np.ndarray, idf: np.ndarray, share: float) -> list[int]:
+    """Places of the template's rarest words, so many that the others hold less than `share` of its mass."""
+    order = sorted(range(len(text)), key=lambda q: (int(text[q]), q))
+    rest, total, out = float(idf[text].sum()), float(idf[text].sum()), []
+    for q in order:
+        if rest < share * total * (1 - 1e-9):
+            break
+        out.append(q)
+        rest -= float(idf[text[q]])
+    return out
 
 
 def vocabulary(templates: dict = TEMPLATES, phrases: dict = BASE) -> list[bytes]:
@@ -84,7 +152,7 @@ def vocabulary(templates: dict = TEMPLATES, phrases: dict = BASE) -> list[bytes]
     return sorted({w for t in texts for w in t.encode().split()})
 
 
-def build_index(n_docs: int, frequency: dict[bytes, int], templates: dict = TEMPLATES, phrases: dict = BASE) -> Index:
+def build_index(n_docs: int, frequency: dict[bytes, int], templates: dict = TEMPLATES, phrases: dict = BASE, share: float = SHARE) -> Index:
     words = sorted(vocabulary(templates, phrases), key=lambda w: (frequency.get(w, 0), w))
     idf = np.array([math.log((n_docs + 1) / (frequency.get(w, 0) + 1)) + 1e-6 for w in words])
     index = Index(idf, {w: i for i, w in enumerate(words)})
@@ -92,6 +160,11 @@ def build_index(n_docs: int, frequency: dict[bytes, int], templates: dict = TEMP
     for text in [*phrases, *(k for _, keys in templates.values() for k in keys)]:
         index.phrases[text] = numbers(text)
     index.templates = {label: (numbers(text), keys) for label, (text, keys) in templates.items()}
+    for phrase, text in index.phrases.items():
+        index.anchors.setdefault(int(text.min()), []).append(phrase)
+    for label, (text, _) in index.templates.items():
+        for q in entering(text, idf, share):
+            index.postings.setdefault(int(text[q]), []).append((label, q))
     return index
 
 
@@ -122,18 +195,28 @@ def places(numbers: np.ndarray, text: np.ndarray, where: dict[int, np.ndarray])
     return starts
 
 
-def aligned(index: Index, text: np.ndarray, where: dict[int, np.ndarray], n: int) -> float:
-    """Largest share of the template's IDF mass that one alignment of it finds in the document."""
-    present = sorted({int(w) for w in text} & set(where))[:RARE]
-    if not present:
-        return 0.0
-    entered = [where[w] - q for w in present for q in np.flatnonzero(text == w)]
-    offsets = np.unique(np.concatenate(entered))
-    mass = np.zeros(len(offsets))
-    for q, w in enumerate(text):
-        if int(w) in where:
-            mass[np.isin(offsets + q, where[int(w)], assume_unique=True)] += index.idf[w]
-    return min(1.0, float(mass.max() / index.idf[text].sum()))
+def alignments(index: Index, numbers: np.ndarray, where: dict[int, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Per template that a word of the file is posted for: the alignments it proposes, and the share of mass in place."""
+    proposed: dict[str, list[np.ndarray]] = {}
+    for w, spots in where.items():  # from the highest IDF down
+        for label, q in index.postings.get(w, ()):
+            proposed.setdefault(label, []).append(spots - q)
+    out = {}
+    for label, lists in proposed.items():
+        offsets, (text, _) = np.unique(np.concatenate(lists)), index.templates[label]
+        mass = np.zeros(len(offsets))
+        for q, w in enumerate(text):
+            at = offsets + q
+            inside = (at >= 0) & (at < len(numbers))
+            mass[inside] += index.idf[w] * (numbers[at[inside]] == w)
+        out[label] = offsets, np.minimum(1.0, mass / index.idf[text].sum())
+    return out
+
+
+def near(starts: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
+    """For each alignment: some start lies at most `length` words before it or behind its end."""
+    at = np.searchsorted(starts, offsets - length)
+    return (at < len(starts)) & (starts[np.minimum(at, len(starts) - 1)] <= offsets + 2 * length) if len(starts) else np.zeros(len(offsets), bool)
 
 
 def scan_text(words: list[bytes], index: Index, base: dict = BASE, share: float = SHARE) -> dict:
@@ -146,15 +229,17 @@ def scan_text(words: list[bytes], index: Index, base: dict = BASE, share: float
     order = known[np.argsort(numbers[known], kind="stable")]
     ids, first = np.unique(numbers[order], return_index=True)
     where = {int(w): p for w, p in zip(ids, np.split(order, first[1:]))}
-    found = {p: places(numbers, text, where) for p, text in index.phrases.items() if int(text.min()) in where}
+    found = {p: places(numbers, index.phrases[p], where) for w in where for p in index.anchors.get(w, ())}
     out["spots"] = {p: found[p] for p in base if p in found and len(found[p])}
     out["labels"] = {base[p] for p in out["spots"]}
-    for label, (text, keys) in index.templates.items():
-        if all(k in found and len(found[k]) for k in keys):
-            score = aligned(index, text, where, len(words))
-            out["score"] = max(out["score"], score)
-            if score >= share:
-                out["labels"].add(label)
+    for label, (offsets, shares) in alignments(index, numbers, where).items():
+        text, keys = index.templates[label]
+        good = shares >= share
+        for k in keys:
+            good &= near(found.get(k, np.empty(0, np.int64)), offsets, len(text))
+        if good.any():
+            out["labels"].add(label)
+            out["score"] = max(out["score"], float(shares[good].max()))
     if out["spots"]:
         out["score"] = max(out["score"], 0.5)
     return out
@@ -163,7 +248,7 @@ def scan_text(words: list[bytes], index: Index, base: dict = BASE, share: float
 def scan(docs: DataFrame, templates: dict = TEMPLATES, base: dict = BASE, share: float = SHARE) -> DataFrame:
     """(doc_id, n_words, spots, base_labels, labels, score); `spots` lists (phrase, first, last, n) by word."""
     n_docs, frequency = word_frequency(docs, vocabulary(templates, base))
-    index = build_index(n_docs, frequency, templates, base)
+    index = build_index(n_docs, frequency, templates, base, share)
     spot = pa.struct([("phrase", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("n", pa.int64())])
     labels = pa.list_(pa.string())
     types = {"n_words": pa.int64(), "spots": pa.list_(spot), "base_labels": labels, "labels": labels, "score": pa.float64()}

@@ -57,19 +57,71 @@ def test_scan_equals_reading(spark, texts):
     assert by[204].labels == [] and by[204].score == 0
 
 
-def test_alignment_share_is_the_best_over_all_offsets():
+def plain_labels(words, index):
+    """Labels of the method and the score, by trying every alignment of every template."""
+    labels, score = set(), 0.0
+    starts = {p: [i for i in range(len(words)) if words[i : i + len(p.split())] == p.encode().split()] for p in index.phrases}
+    for label, (text, keys) in ls.TEMPLATES.items():
+        text = text.encode().split()
+        idf = [index.idf[index.ids[w]] for w in text]
+        for o in range(-len(text), len(words)):
+            share = sum(x for q, x in enumerate(idf) if 0 <= o + q < len(words) and words[o + q] == text[q]) / sum(idf)
+            if share >= ls.SHARE and all(any(o - len(text) <= s <= o + 2 * len(text) for s in starts[k]) for k in keys):
+                labels.add(label)
+                score = max(score, min(share, 1.0))
+    base = {ls.BASE[p] for p in ls.BASE if starts[p]}
+    return labels | base, max(score, 0.5 if base else 0.0)
+
+
+def licence_texts():
+    """Whole, cut, changed and scattered licence texts in prose."""
+    import random
+
+    r = random.Random(3)
+    out = list(NOTICES)
+    for label, (text, keys) in ls.TEMPLATES.items():
+        words = text.split()
+        changed = [w if r.random() > 0.12 else "changed" for w in words]
+        cut = words[: len(words) * 2 // 3]
+        for body in (words, changed, cut, words[::-1], words + cut, ["x"] * r.randint(1, 9) + words, words[: len(words) // 2] + ["more"] + words[len(words) // 2 :]):
+            out.append(" ".join(["some", "text", *body, "the", "license", "end"]))
+        out.append(" ".join(keys))  # key phrases without the text
+    return out
+
+
+def test_labels_and_score_equal_every_alignment():
+    frequency = {w: (7 * n) % 40 for n, w in enumerate(ls.vocabulary())}
+    index = ls.build_index(40, frequency)
+    seen = set()
+    for t in licence_texts():
+        words = t.encode().translate(ls.ALNUM).split()
+        got, want = ls.scan_text(words, index), plain_labels(words, index)
+        assert got["labels"] == want[0] and got["score"] == pytest.approx(want[1])
+        seen |= got["labels"]
+    assert set(ls.TEMPLATES) <= seen
+
+
+def test_cost_does_not_follow_the_number_of_templates(monkeypatch):
+    own = {f"own-{i}": (" ".join(f"w{i}x{k}" for k in range(12)), [f"w{i}x3 w{i}x4"]) for i in range(500)}
+    index = ls.build_index(10, {}, {**ls.TEMPLATES, **own})
+    words = ("released under the mit license " + ls.TEMPLATES["zlib"][0]).encode().split()
+    few = ls.build_index(10, {})
+    numbers = {}
+    for name, x in (("few", few), ("many", index)):
+        at = np.fromiter((x.ids.get(w, -1) for w in words), np.int32, len(words))
+        where = {int(w): np.flatnonzero(at == w) for w in np.unique(at[at >= 0])}
+        numbers[name] = sorted(ls.alignments(x, at, where))
+    assert numbers["few"] == numbers["many"] and len(numbers["few"]) < len(ls.TEMPLATES)
+    assert "own-7" in ls.scan_text(own["own-7"][0].encode().split(), index)["labels"]
+
+
+def test_entering_words_leave_less_than_the_share():
     index = ls.build_index(100, {w: n for n, w in enumerate(ls.vocabulary())})
-    text, _ = index.templates["bsd"]
-    words = [w for w, _ in sorted(index.ids.items(), key=lambda x: x[1])]
-    whole = [words[i] for i in text]
-    for document in (whole, whole[3:], [b"x"] * 7 + whole[:9], whole[5:] + [b"y"] + whole[:5]):
-        numbers = np.array([index.ids.get(w, -1) for w in document])
-        where = {int(w): np.flatnonzero(numbers == w) for w in set(numbers.tolist()) - {-1}}
-        best = max(
-            sum(index.idf[w] for q, w in enumerate(text) if 0 <= o + q < len(numbers) and numbers[o + q] == w)
-            for o in range(-len(text), len(numbers))
-        )
-        assert ls.aligned(index, text, where, len(numbers)) == pytest.approx(best / index.idf[text].sum())
+    for text, _ in index.templates.values():
+        at = ls.entering(text, index.idf, ls.SHARE)
+        rest = [q for q in range(len(text)) if q not in at]
+        assert index.idf[text[np.array(rest, int)]].sum() < ls.SHARE * index.idf[text].sum()
+        assert len(at) == 1 or index.idf[text[[*rest, at[-1]]]].sum() >= ls.SHARE * index.idf[text].sum() * (1 - 1e-8)
 
 
 def test_word_frequency_counts_documents(spark, docs, texts):
