@@ -19,7 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvagrid.llm.common import free_name, load, partitions
+from sylvagrid.session import stage
 
+# bytes of rate tables (some 2 kB a source) that may be sent to every task; above it documents meet them by a shuffle
+RATES_BYTES = 32 << 20
 # largest rate that one inversion serves: its table of probabilities has some 200 entries
 PIECE = 64.0
 # present shares are raised to this power for the target of a source that is given none
@@ -63,7 +66,14 @@ def source_rates(
 
 
 def replicate(docs: DataFrame, rates: DataFrame, seed: int = 7) -> DataFrame:
-    """(_row, _source, _rate, _copy, _order): every copy of every document, dealt out and sorted by `_order`."""
+    """(_row, _source, _rate, _copy, _order): every copy of every document, dealt out and sorted by `_order`.
+
+    The rates are staged and measured first. Sent to all tasks, they let copies be counted where the documents are
+    read, and the documents move once.
+    """
+    rates = stage(rates, "rates")
+    size = rates.agg(F.sum(8 * F.size("_cdf") + F.octet_length(F.coalesce("_source", F.lit(""))) + 64)).first()[0] or 0
+    rates = F.broadcast(rates) if size <= RATES_BYTES else rates
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         F.col("source").alias("_src"),
