@@ -5,7 +5,8 @@ into a table of learned vectors; all pairs of a word with itself are one feature
 model can learn that a text repeats words that it has never seen. The mean vector goes through a linear layer and softmax. Vectors
 and layer are trained together by stochastic gradient descent in numpy, on at most
 FIT_ROWS labelled documents (the smallest hashes of doc_id, so the choice repeats);
-their features are counted on the executors and only those counts reach the driver.
+their features are counted on the executors and only those counts reach the driver, up to
+FIT_BYTES of them. Of rows that share a doc_id the one of the smallest text hash is learned.
 
 Softmax of a mean is linear in the features, so for scoring each table row is folded
 into one number; a word's sum is computed once per batch and looked up. Whole texts are
@@ -22,13 +23,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sylvagrid.llm.common import load, text_slices
 from sylvagrid.llm.hashing import MULTIPLIER, gram_hashes, mixed, span_hashes
+from sylvagrid.session import stage
 
 # bound of the fitted sample: labelled documents, chosen by hash
 FIT_ROWS = 3000
+# and bytes of their feature counts that reach the driver, 1 MB a document at most; whole documents, in the same order
+FIT_BYTES = 192 << 20
 BITS, WIDTH, GRAMS = 17, 8, (2, 3, 4)
 EPOCHS, RATE, SEED = 6, 0.6, 11
 THRESHOLD = 0.7
@@ -145,18 +150,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_label"))
     chosen = known.orderBy(F.xxhash64("_id", F.lit(SEED)), "_id").limit(rows)  # a bounded table
-    thin = docs.select("doc_id", F.col("text").cast("binary").alias("t"))
-    sample = thin.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "_label", "t")
+    thin = docs.select("doc_id", F.col("text").cast("binary").alias("t"), F.xxhash64("text").alias("_h"))
+    sample = thin.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "_label", "_h", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in text_slices(batches):
             found = [document_features(t) for t in texts]
             columns = [[i.tobytes() for i, _ in found], [c.tobytes() for _, c in found]]
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"].cast(pa.string()), b["_label"].cast(pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], names=["id", "y", "i", "c"]
+                [b["doc_id"].cast(pa.string()), b["_label"].cast(pa.int32()), b["_h"], *[pa.array(c, pa.binary()) for c in columns]], names=["id", "y", "h", "i", "c"]
             )
 
-    got = sample.mapInArrow(count, "id string, y int, i binary, c binary").dropDuplicates(["id"]).collect()
+    counted = sample.mapInArrow(count, "id string, y int, h long, i binary, c binary")
+    # of rows that share an id, the one of the smallest text hash
+    one = stage(counted.groupBy("id").agg(F.min_by(F.struct("y", "i", "c"), F.struct("h", "i", "c")).alias("r")).select("id", "r.*"), "counted")
+    upto = W.orderBy(F.xxhash64("id", F.lit(SEED)), "id").rowsBetween(W.unboundedPreceding, 0)  # at most `rows` rows
+    sized = one.select("id", F.sum(F.octet_length("i") + F.octet_length("c")).over(upto).alias("_upto"))
+    got = one.join(sized.where(F.col("_upto") <= FIT_BYTES), "id").select("id", "y", "i", "c").collect()
     got.sort(key=lambda r: r.id)
     return train([(np.frombuffer(r.i, np.int32), np.frombuffer(r.c, np.float32), min(max(r.y, 0), 1)) for r in got])
 

@@ -31,6 +31,18 @@ def test_learns_and_holds_out(spark):
     assert np.array_equal(again.weights, model.weights) and again.bias == model.bias
 
 
+def test_fit_repeats_with_repeated_ids_and_stays_in_its_bytes(spark, monkeypatch):
+    rows = [(i % 80, prose(i, 40) if i % 80 % 3 else junk(i), "s") for i in range(160)]  # two texts for every id
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(80)], "doc_id long, quality int")
+    fits = [qc.fit(spark.createDataFrame(rows_of(r), DOC).repartition(n), labels) for r, n in ((rows, 1), (rows[::-1], 5))]
+    assert np.array_equal(fits[0].weights, fits[1].weights) and fits[0].bias == fits[1].bias
+    seen = []
+    monkeypatch.setattr(qc, "train", lambda got: seen.append(got))
+    monkeypatch.setattr(qc, "FIT_BYTES", 20_000)
+    qc.fit(spark.createDataFrame(rows_of(rows), DOC), labels)
+    assert 2 < len(seen[0]) < 60 and sum(i.nbytes + c.nbytes for i, c, _ in seen[0]) <= 20_000
+
+
 def test_score_is_the_softmax_of_the_mean_vector():
     rows = [(*qc.document_features(t.encode()), int(i % 3 > 0)) for i, t, _ in corpus()[:60]]
     model = qc.train(rows, epochs=2)
