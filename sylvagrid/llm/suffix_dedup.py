@@ -7,16 +7,18 @@ documents and are judged on the input.
 1. Every window of `length` bytes has a lowest-hash gram; windows in a row with the same
    one form a run. Equal windows have equal lowest grams at equal offsets, so they are
    found among runs of one gram. Grams that occur once are dropped: most of the text.
-2. Runs alike in every byte are counted before they move: all but the first are repeats.
-3. Runs that share a gram and differ are dealt out by gram. A task sorts the suffixes of
+2. Runs alike in every byte are counted before they move: one row per content goes on, with
+   its first place and its count, also where a gram has a single content.
+3. Contents are dealt out by gram. A task sorts the suffixes of
    shards of them, each into a Burrows-Wheeler transform over symbols of length / 4
    bytes (hash order), and merges the transforms by refining their interleave: each of
    four passes deals the merged rows out by the symbol before them, which sorts by one
    symbol more, without sorting suffixes again. The pass in which two neighbours part is
-   their common prefix; intervals with a common prefix of four symbols are the repeated
-   windows, and all but the first of an interval go.
+   their common prefix; intervals with a common prefix of four symbols hold equal windows.
+   Of an interval whose counts add up to two or more all but the first place go: in the first
+   copies at once, and in the later copies by a join with what repeats in their content.
 
-Runs of grams with more than HOT differing ones are not gathered by gram: each of their
+Runs of grams with more than HOT contents are not gathered by gram: each of their
 windows gets the key (gram, its offset in the window, hash of the window), the first place
 of a key is found before the shuffle, and the other places of repeated keys go. Texts are read whole. A null text is empty; documents
 alike in doc_id and text are one document; other columns are ignored; shorter texts
@@ -162,10 +164,10 @@ def merge_transforms(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return rows[at], before[at], common
 
 
-def repeated_windows(texts: list[bytes], place: np.ndarray, length: int) -> np.ndarray:
-    """For the windows of all texts, in order: whether an equal window has a smaller place.
+def repeated_windows(texts: list[bytes], place: np.ndarray, copies: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the windows of all texts, in order: whether an equal window has a smaller place, and whether it occurs twice or more.
 
-    `place` is the place of each text's first window; those of the next ones follow it.
+    `place` is the place of each text's first window; those of the next ones follow it. `copies` is how often a text occurs.
     """
     width = length // DEPTH
     size = np.array([len(t) + 1 for t in texts], np.int64)
@@ -188,41 +190,59 @@ def repeated_windows(texts: list[bytes], place: np.ndarray, length: int) -> np.n
         common = pairs[0][2]
         merged = [p[:2] for p in pairs] + (merged[-1:] if len(merged) % 2 else [])
     windows = np.flatnonzero(left >= length)
-    if common is None:
-        return np.zeros(len(windows), bool)
+    if common is None:  # a single shard meets an empty one
+        none = np.empty(0, np.int64)
+        rows, _, common = merge_transforms(merged[0], (none, none))
+        merged = [(rows, none)]
     interval = np.empty(len(x), np.int64)
     interval[merged[0][0]] = np.cumsum(common < DEPTH)
+    of = interval[windows]
     at = place[owner[windows]] + windows - (end - size)[owner[windows]]
-    order = np.lexsort((at, interval[windows]))
-    same = np.append(False, np.diff(interval[windows][order]) == 0)
-    out = np.zeros(len(windows), bool)
-    out[order] = same
-    return out
+    order = np.lexsort((at, of))
+    later = np.zeros(len(windows), bool)
+    later[order] = np.append(False, np.diff(of[order]) == 0)
+    times = np.bincount(of, weights=copies[owner[windows]], minlength=1)
+    return later, times[of] > 1
+
+
+def stretches(marked: np.ndarray, owner: np.ndarray, offset: np.ndarray, length: int) -> tuple[list[int], list[int], list[int]]:
+    """(text, start, end) of the bytes that windows in a row, all marked, cover."""
+    new = np.flatnonzero(np.append(True, (np.diff(owner) != 0) | (marked[1:] != marked[:-1])))
+    last = np.append(new[1:], len(marked)) - 1
+    first, last = new[marked[new]], last[marked[new]]
+    return owner[first].tolist(), offset[first].tolist(), (offset[last] + length).tolist()
 
 
 def settled(contents: DataFrame, length: int, id_type: str) -> DataFrame:
-    """(key, start, end): stretches of the runs' windows that repeat, gram by gram; a task holds all runs of a gram."""
+    """(key, start, end, gram, content): stretches of windows that repeat; a task holds all contents of a gram.
+
+    Without a content: stretches of a first copy that go, as bytes of its document. With one: stretches of that content
+    that occur twice or more, as bytes of the run; they go in all its later copies.
+    """
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         rows = list({(r[0], r[1], r[2]): r for r in rows}.values())
         documents = sorted({r[:2] for r in rows}, key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
         number = {d: i for i, d in enumerate(documents)}
         place = np.array([(number[r[:2]] << 32) + r[2] for r in rows], np.int64)
-        cut = repeated_windows([r[4] for r in rows], place, length)
+        later, again = repeated_windows([r[4] for r in rows], place, np.array([r[6] for r in rows], np.int64), length)
         n = np.array([len(r[4]) - length + 1 for r in rows], np.int64)
         owner, offset = np.repeat(np.arange(len(rows)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        new = np.flatnonzero(np.append(True, (np.diff(owner) != 0) | (cut[1:] != cut[:-1])))
-        last = np.append(new[1:], len(cut)) - 1
-        out: list[list] = [[] for _ in range(4)]
-        for i, j in zip(new[cut[new]].tolist(), last[cut[new]].tolist()):
-            r, lo, hi = rows[owner[i]], int(offset[i]), int(offset[j]) + length
-            for column, value in zip(out, (r[0], r[1], r[2] + lo, r[2] + hi)):
+        out: list[list] = [[] for _ in range(6)]
+        for i, lo, hi in zip(*stretches(later, owner, offset, length)):
+            r = rows[i]
+            for column, value in zip(out, (r[0], r[1], r[2] + lo, r[2] + hi, r[3], None)):
+                column.append(value)
+        several = np.array([r[6] > 1 for r in rows])
+        for i, lo, hi in zip(*stretches(again & several[owner], owner, offset, length)):
+            r = rows[i]
+            for column, value in zip(out, (r[0], r[1], lo, hi, r[3], r[5])):
                 column.append(value)
-        types = [ids, pa.int64(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=[*KEY, "start", "end"])
+        types = [ids, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=[*KEY, "start", "end", "gram", "content"])
 
     ids = pa.int64() if id_type in ("bigint", "int") else pa.string()
-    columns = [*KEY, "start", "gram", "text"]
+    columns = [*KEY, "start", "gram", "text", "content", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, gram = [], 0, None
@@ -237,11 +257,11 @@ def settled(contents: DataFrame, length: int, id_type: str) -> DataFrame:
             yield settle(rows)
 
     dealt = contents.select(*columns).repartition("gram").sortWithinPartitions("gram")
-    return dealt.mapInArrow(run, f"{KEY[0]} {'bigint' if pa.types.is_integer(ids) else 'string'}, {KEY[1]} long, start int, end int")
+    return dealt.mapInArrow(run, f"{KEY[0]} {'bigint' if pa.types.is_integer(ids) else 'string'}, {KEY[1]} long, start int, end int, gram long, content long")
 
 
 def hot_cuts(contents: DataFrame, length: int, id_type: str) -> DataFrame:
-    """(key, start, end): stretches of the runs' windows that repeat, by window; no task needs all runs of a gram."""
+    """The same for grams with more than HOT contents, window by window: no task needs all contents of a gram."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a window takes some 40 bytes, and a run has up to one window a byte
@@ -253,17 +273,28 @@ def hot_cuts(contents: DataFrame, length: int, id_type: str) -> DataFrame:
             offset = at - begin[owner[at]]
             start, lead = (b[c].to_numpy()[owner[at]] for c in ("start", "lead"))
             yield pa.RecordBatch.from_arrays(
-                [b[KEY[0]].take(row), b[KEY[1]].take(row), pa.array((start + offset).astype(np.int32)), b["gram"].take(row), pa.array((lead - offset).astype(np.int32)), pa.array(h[at].view(np.int64))],
-                names=[*KEY, "start", "gram", "lead", "content"],
+                [
+                    *[b[c].take(row) for c in (*KEY, "gram", "content", "n")],
+                    pa.array((start + offset).astype(np.int32)),
+                    pa.array(offset.astype(np.int32)),
+                    pa.array((lead - offset).astype(np.int32)),
+                    pa.array(h[at].view(np.int64)),
+                ],
+                names=[*KEY, "gram", "content", "n", "start", "offset", "lead", "window"],
             )
 
-    windows = contents.select(*KEY, "start", "gram", "lead", "text").mapInArrow(read, f"{KEY[0]} {id_type}, {KEY[1]} long, start int, gram long, lead int, content long")
-    key, place = ["gram", "lead", "content"], F.struct(*KEY, "start")
-    heads = windows.groupBy(*key).agg(F.min(place).alias("head"), F.max(place).alias("last")).where(F.col("head") != F.col("last"))
-    again = windows.join(stage(heads.select(*key, "head"), "heads"), key).where(place != F.col("head"))
+    schema = f"{KEY[0]} {id_type}, {KEY[1]} long, gram long, content long, n long, start int, offset int, lead int, window long"
+    windows = contents.select(*KEY, "start", "gram", "content", "n", "lead", "text").mapInArrow(read, schema)
+    key, place = ["gram", "lead", "window"], F.struct(*KEY, "start")
+    heads = windows.groupBy(*key).agg(F.min(place).alias("head"), F.sum("n").alias("times")).where(F.col("times") > 1)
+    again = windows.join(stage(heads, "heads"), key)
     # windows that start within `length` bytes touch, so that one stretch covers them
-    near = F.floor(F.col("start") / length)
-    return again.groupBy(*KEY, near.alias("near")).agg(F.min("start").alias("start"), (F.max("start") + length).alias("end")).select(*KEY, "start", "end")
+    first, near = again.where(place != F.col("head")), F.floor(F.col("start") / length)
+    first = first.groupBy(*KEY, "gram", near.alias("near")).agg(F.min("start").alias("start"), (F.max("start") + length).alias("end"))
+    first = first.select(*KEY, "start", "end", "gram", F.lit(None).cast("long").alias("content"))
+    near = F.floor(F.col("offset") / length)
+    copies = again.where("n > 1").groupBy(*KEY, "gram", "content", near.alias("near")).agg(F.min("offset").alias("start"), (F.max("offset") + length).alias("end"))
+    return first.unionByName(copies.select(*KEY, "start", "end", "gram", "content"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -271,19 +302,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     docs = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     runs = repeated_runs(docs, length, gram)
-    place = F.struct(*KEY, "start")
-    first = runs.groupBy("gram", "content").agg(
-        F.min(F.struct(*KEY, "start", "size", "lead")).alias("r"), F.count(F.lit(1)).alias("n"), F.max(place).alias("last")
-    )
-    first = stage(first.select("gram", "content", "r", "n", "last"), "contents")
-    head = F.struct(*[F.col(f"r.{c}").alias(c) for c in (*KEY, "start")])
-    alike = first.where(head != F.col("last")).select("gram", "content", head.alias("head"))
-    later = runs.join(alike, ["gram", "content"]).where(place != F.col("head"))
-    later = later.select(*KEY, "start", (F.col("start") + F.col("size")).alias("end"))
-    # runs of one gram that differ
-    many = first.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
-    variants = first.join(many, "gram").select("gram", "r.*", (F.col("k") > HOT).alias("hot"))
-    wanted = variants.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "start", "size", "lead", "hot")).alias("w"))
+    # one row per run content of a gram: its first place and how often it occurs
+    first = runs.groupBy("gram", "content").agg(F.min(F.struct(*KEY, "start", "size", "lead")).alias("r"), F.count(F.lit(1)).alias("n"))
+    first = stage(first, "contents")
+    many = first.groupBy("gram").agg(F.count(F.lit(1)).alias("k"))
+    variants = first.join(many, "gram").select("gram", "content", "n", "r.*", (F.col("k") > HOT).alias("hot"))
+    wanted = variants.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "content", "n", "start", "size", "lead", "hot")).alias("w"))
+    fields = ["start", "gram", "content", "n", "lead", "hot"]
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in text_slices(batches, most=BLOCK):
@@ -293,21 +318,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             start, size = w.field("start").to_pylist(), w.field("size").to_pylist()
             text = [texts[i][s : s + n] for i, s, n in zip(row.to_pylist(), start, size)]
             yield pa.RecordBatch.from_arrays(
-                [b[KEY[0]].take(row), b[KEY[1]].take(row), *[w.field(c) for c in ("start", "gram", "lead", "hot")], pa.array(text, pa.binary())],
-                names=[*KEY, "start", "gram", "lead", "hot", "text"],
+                [b[KEY[0]].take(row), b[KEY[1]].take(row), *[w.field(c) for c in fields], pa.array(text, pa.binary())],
+                names=[*KEY, *fields, "text"],
             )
 
     rows = attach(docs, wanted, F.size("w"), "inner").select(*KEY, "w", F.col("_row.text").cast("binary").alias("t"))
-    contents = rows.mapInArrow(cut_out, f"{KEY[0]} {id_type}, {KEY[1]} long, start int, gram long, lead int, hot boolean, text binary")
-    cuts = []
-    if not many.where(F.col("k") > HOT).isEmpty():
+    schema = f"{KEY[0]} {id_type}, {KEY[1]} long, start int, gram long, content long, n long, lead int, hot boolean, text binary"
+    contents = rows.mapInArrow(cut_out, schema)
+    hot = not many.where(F.col("k") > HOT).isEmpty()
+    if hot:
         contents = stage(contents, "differing")
-        cuts.append(hot_cuts(contents.where("hot"), length, id_type))
-        contents = contents.where(~F.col("hot"))
-    cuts.append(settled(contents, length, id_type))
-    spans = later
-    for c in cuts:
-        spans = spans.unionByName(c.select(*KEY, "start", "end"))
+    cuts = settled(contents.where(~F.col("hot")), length, id_type)
+    if hot:
+        cuts = cuts.unionByName(hot_cuts(contents.where("hot"), length, id_type))
+    cuts = stage(cuts, "cuts")
+    # what repeats in a content goes back to its later copies, which have not moved
+    back = cuts.where("content IS NOT NULL").select("gram", "content", F.col("start").alias("lo"), F.col("end").alias("hi"))
+    heads = first.where("n > 1").select("gram", "content", F.struct(*[F.col(f"r.{c}").alias(c) for c in (*KEY, "start")]).alias("head"))
+    later = runs.join(back.join(heads, ["gram", "content"]), ["gram", "content"]).where(F.struct(*KEY, "start") != F.col("head"))
+    later = later.select(*KEY, (F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi")).alias("end"))
+    spans = later.unionByName(cuts.where("content IS NULL").select(*KEY, "start", "end"))
     gathered = spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("s"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
