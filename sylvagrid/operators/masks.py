@@ -1,10 +1,11 @@
-"""Cell-level quality rules and masks. All are projections: no shuffle."""
+"""Cell-level quality rules and masks. Projections, but for the rules about whole groups."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -52,9 +53,12 @@ def symmetric_change(before: Column, after: Column) -> Column:
 
 
 def drop_groups_with_null(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows of the groups in which no member lacks `value`."""
-    offending = df.where(F.col(value).isNull()).select(*keys).distinct()
-    return df.join(offending, list(keys), "left_anti")
+    """Rows of the groups in which no member lacks `value`; null keys are a group like any other.
+
+    One read and one shuffle: a count over the group, whose rows are buffered and spill where it is large.
+    """
+    gaps = F.count_if(F.col(value).isNull()).over(W.partitionBy(*keys))
+    return df.withColumn("_gaps", gaps).where("_gaps = 0").drop("_gaps")
 
 
 def sigma_clip(df: DataFrame, value: str, k: float = 3.0) -> DataFrame:

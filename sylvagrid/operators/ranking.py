@@ -35,6 +35,25 @@ def part_levels(rows: int) -> int:
     return math.ceil(0.4 * math.log2(rows)) + 1 if rows > 1 else 0
 
 
+# tasks that merge the sketches of the scan before the last one does
+MERGES = 64
+
+
+def splitters(df: DataFrame, value: str, parts: int) -> DataFrame:
+    """One staged row: `parts` - 1 values that cut the rows into about equal parts; null where there are none.
+
+    Sketches are merged in two levels, so that the last task gets MERGES of them, however many tasks scan.
+    They are staged, as every scan that follows has to cut alike.
+    """
+    v = F.col(value).cast("double")
+    size = F.lit(max(200, min(65_535, 4 * parts)))
+    salted = df.where(~F.isnan(v)).groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("_s"))
+    merged = salted.agg(F.kll_sketch_agg_double(v, size).alias("_k")).agg(F.kll_merge_agg_double("_k").alias("_k"), F.count("_k").alias("_n"))
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    cuts = F.when(F.col("_n") > 0, F.kll_sketch_get_quantile_double("_k", shares))
+    return stage(merged.select(cuts.alias("cuts")), "splitters")
+
+
 def with_value_part(df: DataFrame, value: str, levels: int) -> DataFrame:
     """Add `_part`, the number of the value part (0-based) a row falls into.
 
@@ -46,8 +65,7 @@ def with_value_part(df: DataFrame, value: str, levels: int) -> DataFrame:
     out = df.withColumn("_part", F.lit(0))
     if not levels:
         return out
-    parts = 2**levels
-    cuts = df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 4 * parts)).scalar()
+    cuts = splitters(df, value, 2**levels).scalar()
     for level in reversed(range(levels)):
         step = 2**level
         right = F.get(cuts, F.col("_part") + (step - 1)) <= F.col(value)

@@ -20,36 +20,82 @@ def _bucket(value, size: float) -> Column:
     return F.floor((F.col(value) if isinstance(value, str) else value) / size)
 
 
+def _ring_edges(ring: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: F.struct(F.get(ring, i - 1).alias("a"), F.get(ring, i).alias("b")))
+
+
 def ring_bounds(polygons: DataFrame, ring: str = "ring") -> DataFrame:
-    """Add the bounding box and the edge list of a ring of (x, y) points."""
-    xs = F.transform(F.col(ring), lambda p: p["x"])
-    ys = F.transform(F.col(ring), lambda p: p["y"])
-    edges = F.transform(
-        F.sequence(F.lit(1), F.size(ring) - 1),
-        lambda i: F.struct(
-            F.get(F.col(ring), i - 1).alias("a"),
-            F.get(F.col(ring), i).alias("b"),
-        ),
-    )
-    return polygons.withColumns(
-        {
-            "x_min": F.array_min(xs),
-            "x_max": F.array_max(xs),
-            "y_min": F.array_min(ys),
-            "y_max": F.array_max(ys),
-            "edges": edges,
-        }
-    )
+    """Add the bounding box and the edge list of a polygon.
+
+    A polygon is a `ring` of (x, y) points or, where there is a column `rings`, any number of rings: the outlines of
+    its parts and of their holes, in any order and direction. The edges of all rings are one list, and what an odd
+    number of edges lies right of is inside: holes are outside, islands in them inside.
+    """
+    if "rings" in polygons.columns:
+        points, edges = F.flatten("rings"), F.flatten(F.transform("rings", _ring_edges))
+    else:
+        points, edges = F.col(ring), _ring_edges(F.col(ring))
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    bounds = {"x_min": F.array_min(xs), "x_max": F.array_max(xs), "y_min": F.array_min(ys), "y_max": F.array_max(ys)}
+    return polygons.withColumns(bounds | {"edges": edges})
 
 
-def valid_ring(ring: str = "ring") -> Column:
+def valid_ring(ring: str | Column = "ring") -> Column:
     """Closed, at least a triangle, and no repeated consecutive point."""
-    points = F.col(ring)
+    points = F.col(ring) if isinstance(ring, str) else ring
     closed = F.get(points, F.lit(0)) == F.get(points, F.size(points) - 1)
     stuck = F.exists(
         F.sequence(F.lit(1), F.size(points) - 1), lambda i: F.get(points, i) == F.get(points, i - 1)
     )
-    return (F.size(points) >= 4) & closed & ~stuck
+    return F.coalesce((F.size(points) >= 4) & closed & ~stuck, F.lit(False))
+
+
+def _turn(a: Column, b: Column, c: Column) -> Column:
+    """Positive where c lies left of the line from a to b, 0 on it."""
+    return (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
+
+
+def _on(a: Column, b: Column, c: Column) -> Column:
+    """The point c lies on the segment from a to b."""
+    inside = c["x"].between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & c["y"].between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+    return (_turn(a, b, c) == 0) & inside
+
+
+def _along(value: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    return F.least(low[value], high[value]), F.greatest(low[value], high[value])
+
+
+def self_crossing(polygons: DataFrame, ident: str, size: float) -> DataFrame:
+    """The `ident` of polygons whose outline crosses, touches or overlaps itself.
+
+    Edges of a polygon meet in the buckets they pass, so an edge is compared with the few of its neighbourhood only.
+    Neighbours in a ring may share the point between them and nothing else, other edges of a ring nothing at all;
+    different rings may touch in points, but neither cross nor share a stretch.
+    """
+    rings = F.col("rings") if "rings" in polygons.columns else F.array("ring")
+    listed = polygons.select(F.col(ident).alias("_pid"), F.posexplode(rings).alias("_ring", "_points"))
+    listed = listed.select("_pid", "_ring", (F.size("_points") - 1).alias("_n"), F.posexplode(_ring_edges(F.col("_points"))).alias("_i", "e"))
+    spots = stage(_edge_buckets(listed, ["_pid", "_ring", "_n", "_i", "e"], size), "edges")
+    p, q = spots.alias("p"), spots.alias("q")
+    a, b, c, d = F.col("p.e.a"), F.col("p.e.b"), F.col("q.e.a"), F.col("q.e.b")
+    same = F.col("p._ring") == F.col("q._ring")
+    order = (F.col("p._ring") < F.col("q._ring")) | (same & (F.col("p._i") < F.col("q._i")))
+    crosses = (F.signum(_turn(a, b, c)) * F.signum(_turn(a, b, d)) < 0) & (F.signum(_turn(c, d, a)) * F.signum(_turn(c, d, b)) < 0)
+    touches = _on(a, b, c) | _on(a, b, d) | _on(c, d, a) | _on(c, d, b)
+    level = (_turn(a, b, c) == 0) & (_turn(a, b, d) == 0)
+    shared = [F.least(_along(v, a, b)[1], _along(v, c, d)[1]) - F.greatest(_along(v, a, b)[0], _along(v, c, d)[0]) for v in ("x", "y")]
+    stretch = level & (shared[0] >= 0) & (shared[1] >= 0) & ((shared[0] > 0) | (shared[1] > 0))
+    neighbours = (F.col("q._i") - F.col("p._i") == 1) | ((F.col("p._i") == 0) & (F.col("q._i") == F.col("p._n") - 1))
+    bad = crosses | stretch | (same & ~neighbours & touches)
+    met = (F.col("p._pid") == F.col("q._pid")) & (F.col("p._bx") == F.col("q._bx")) & (F.col("p._by") == F.col("q._by"))
+    return p.join(q, met & order & bad).select(F.col("p._pid").alias(ident)).distinct()
+
+
+def valid_polygons(polygons: DataFrame, ident: str, size: float) -> DataFrame:
+    """Polygons all of whose rings are closed triangles at least, and whose outline does not cross itself."""
+    rings = F.forall("rings", valid_ring) if "rings" in polygons.columns else valid_ring()
+    whole = stage(polygons.where(rings), "rings")
+    return whole.join(self_crossing(whole, ident, size), ident, "left_anti")
 
 
 def ring_area(ring: str = "ring") -> Column:
@@ -93,6 +139,25 @@ def _spread(boxes: DataFrame, size: float) -> DataFrame:
     ).withColumn("_by", F.explode(F.sequence(_bucket("y_min", size), _bucket("y_max", size))))
 
 
+def _edge_buckets(edges: DataFrame, columns: Sequence[str], size: float) -> DataFrame:
+    """(columns, _by, _bx): every bucket that an edge `e` passes, row of buckets by row of buckets."""
+    a, b = F.col("e.a"), F.col("e.b")
+    low, high = F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"])
+    rows = F.explode(F.sequence(_bucket(low, size), _bucket(high, size))).alias("_by")
+    bands = edges.select(*columns, rows)
+
+    def x_at(y):
+        return a["x"] + (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"])
+
+    ends = [
+        F.when(a["y"] == b["y"], p["x"]).otherwise(x_at(y))
+        for p, y in ((a, F.greatest(low, F.col("_by") * size)), (b, F.least(high, (F.col("_by") + 1) * size)))
+    ]
+    slack = size * 1e-9
+    touched = F.sequence(_bucket(F.least(*ends) - slack, size), _bucket(F.greatest(*ends) + slack, size))
+    return bands.select(*columns, "_by", F.explode(touched).alias("_bx"))
+
+
 def polygon_buckets(polygons: DataFrame, attributes: Sequence[str], size: float) -> DataFrame:
     """(_bx, _by, edges, attributes): the buckets that polygons cover, one row per polygon and bucket.
 
@@ -104,21 +169,13 @@ def polygon_buckets(polygons: DataFrame, attributes: Sequence[str], size: float)
     named = ring_bounds(polygons).withColumn("_pid", F.monotonically_increasing_id())
     named = stage(named.select("_pid", "x_min", "x_max", "edges", *attributes), "polygons")
     a, b = F.col("e.a"), F.col("e.b")
-    low, high = F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"])
-    rows = F.explode(F.sequence(_bucket(low, size), _bucket(high, size))).alias("_by")
-    bands = named.select("_pid", F.explode("edges").alias("e")).select("_pid", "e", rows)
 
     def x_at(y):
         return a["x"] + (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"])
 
-    flat = a["y"] == b["y"]
-    ends = [
-        F.when(flat, p["x"]).otherwise(x_at(y))
-        for p, y in ((a, F.greatest(low, F.col("_by") * size)), (b, F.least(high, (F.col("_by") + 1) * size)))
-    ]
-    slack = size * 1e-9
-    touched = F.sequence(_bucket(F.least(*ends) - slack, size), _bucket(F.greatest(*ends) + slack, size))
-    border = bands.select("_pid", "_by", F.explode(touched).alias("_bx")).distinct()
+    rows = F.explode(F.sequence(_bucket(F.least(a["y"], b["y"]), size), _bucket(F.greatest(a["y"], b["y"]), size))).alias("_by")
+    bands = named.select("_pid", F.explode("edges").alias("e")).select("_pid", "e", rows)
+    border = _edge_buckets(named.select("_pid", F.explode("edges").alias("e")), ["_pid", "e"], size).select("_pid", "_by", "_bx").distinct()
     local = (
         border.join(bands, ["_pid", "_by"])
         .where(F.greatest(a["x"], b["x"]) >= F.col("_bx") * size)

@@ -100,12 +100,13 @@ def inventory_extract(v):
 
 @query(
     "scan_polygons",
-    """SELECT poly_id, label, round((x_max - x_min) * (y_max - y_min), 6) AS area FROM fx_polygons WHERE poly_id % 6 <> 0
+    """SELECT poly_id, label, round((x_max - x_min) * (y_max - y_min), 6) AS area FROM fx_polygons WHERE poly_id % 6 <> 0 AND poly_id % 7 <> 3
     UNION ALL SELECT p_partkey + 1000, 'unlabelled', 1e4 FROM part WHERE p_partkey % 4 <> 0""",
 )
 def scan_polygons(v):
-    """A labelled layer with broken rings and a cell-footprint layer without labels."""
-    ring = F.when(F.col("poly_id") % 6 == 0, F.slice("ring", 1, 4)).otherwise(F.col("ring"))
+    """A labelled layer with broken and crossing rings and a cell-footprint layer without labels."""
+    crossing = F.array(*[F.get("ring", F.lit(i)) for i in (0, 2, 1, 3, 4)])
+    ring = F.when(F.col("poly_id") % 6 == 0, F.slice("ring", 1, 4)).when(F.col("poly_id") % 7 == 3, crossing).otherwise(F.col("ring"))
     labelled = v.rings.withColumn("ring", ring)
     half = RES / 2
 
@@ -118,7 +119,7 @@ def scan_polygons(v):
     unlabelled = v.grid.select(
         (F.col("cell") + 1000).alias("poly_id"), F.when(F.col("cell") % 4 != 0, square).otherwise(stuck).alias("ring")
     )
-    united = tables.unite_layers([labelled, unlabelled], "label", "unlabelled")
+    united = tables.unite_layers([labelled, unlabelled], "label", "unlabelled", "poly_id", BUCKET)
     return united.select(F.col("poly_id").cast("bigint").alias("poly_id"), "label", rnd(spatial.ring_area(), 6, "area"))
 
 
@@ -213,6 +214,41 @@ def point_in_polygon(v):
     return plots_with_type(v).select("estadillo", "forest_type")
 
 
+def box_ring(x_min, x_max, y_min, y_max):
+    corners = ((x_min, y_min), (x_max, y_min), (x_max, y_max), (x_min, y_max), (x_min, y_min))
+    return F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in corners])
+
+
+def parts_and_holes(v):
+    """Every polygon with a hole in its middle and a second part to its right."""
+    x_min, x_max, y_min, y_max = (F.col(c) for c in ("x_min", "x_max", "y_min", "y_max"))
+    hole = box_ring(x_min + 300, x_max - 300, y_min + 200, y_max - 200)
+    part = box_ring(x_max + 20, x_max + 80, y_min + 100, y_max - 100)
+    return v.polygons.select("poly_id", "label", F.array(box_ring(x_min, x_max, y_min, y_max), hole, part).alias("rings"))
+
+
+@query(
+    "point_in_parts",
+    """SELECT estadillo, poly_id FROM fx_plots p JOIN fx_polygons g ON (x BETWEEN x_min AND x_max AND y BETWEEN y_min AND y_max
+      AND NOT (x > x_min + 300 AND x < x_max - 300 AND y > y_min + 200 AND y < y_max - 200))
+      OR (x BETWEEN x_max + 20 AND x_max + 80 AND y BETWEEN y_min + 100 AND y_max - 100)""",
+)
+def point_in_parts(v):
+    """Plots with the polygons of several parts with holes that they lie in."""
+    joined = spatial.points_with_polygons(v.plots, parts_and_holes(v), ["poly_id"], BUCKET, "inner")
+    return joined.select("estadillo", "poly_id")
+
+
+@query("valid_polygons", "SELECT poly_id, label FROM fx_polygons WHERE poly_id % 3 <> 0 AND poly_id % 5 <> 0")
+def valid_polygons(v):
+    """Polygons whose outline does not cross itself: every third is folded, every fifth has a hole across its border."""
+    whole, hole = F.get("rings", F.lit(0)), F.get("rings", F.lit(1))
+    folded = F.array(*[F.get(whole, F.lit(i)) for i in (0, 2, 1, 3, 4)])
+    across = F.transform(hole, lambda p: F.struct((p["x"] - 500).alias("x"), p["y"].alias("y")))
+    rings = F.when(F.col("poly_id") % 3 == 0, F.array(folded, hole)).when(F.col("poly_id") % 5 == 0, F.array(whole, across)).otherwise(F.array(whole, hole))
+    return spatial.valid_polygons(parts_and_holes(v).withColumn("rings", rings), "poly_id", BUCKET).select("poly_id", "label")
+
+
 @query(
     "top_types",
     f"""WITH {PIP_SQL} SELECT forest_type, count(*) AS n_plots FROM pip GROUP BY forest_type

@@ -32,16 +32,17 @@ def top_features(v):
 @query(
     "importance_compare",
     f"""WITH {FREQ_SQL}, m AS (SELECT f.feature, f.run_id, val_r2, test_r2 FROM fx_model_features f JOIN fx_models m ON m.run_id = f.run_id),
-    a AS (SELECT feature, avg(val_r2) AS v FROM m WHERE feature NOT LIKE '%3yr' GROUP BY feature),
-    b AS (SELECT feature, avg(test_r2) AS v FROM m WHERE feature NOT LIKE 'bio1%' GROUP BY feature)
+    a AS (SELECT feature, avg(val_r2) AS v FROM m GROUP BY feature),
+    b AS (SELECT feature, avg(test_r2) AS v FROM m WHERE test_r2 IS NOT NULL GROUP BY feature)
     SELECT a.feature, round(a.v, 8) AS first_importance, round(b.v, 8) AS second_importance, round(COALESCE(frequency, 0), 9) AS frequency
     FROM a JOIN b ON a.feature = b.feature LEFT JOIN fq ON fq.feature = a.feature""",
 )
 def importance_compare(v):
     """Features scored by both measures, with their selection frequency."""
     scored = v.model_features.join(v.models, "run_id")
-    first = scored.where("feature NOT LIKE '%3yr'").groupBy("feature").agg(F.avg("val_r2").alias("first_importance"))
-    second = scored.where("feature NOT LIKE 'bio1%'").groupBy("feature").agg(F.avg("test_r2").alias("second_importance"))
+    first = scored.groupBy("feature").agg(F.avg("val_r2").alias("first_importance"))
+    # models without a test score have no second measure
+    second = scored.where("test_r2 IS NOT NULL").groupBy("feature").agg(F.avg("test_r2").alias("second_importance"))
     frequency = models.feature_frequency(v.model_features, v.models).select("feature", "frequency")
     both = first.join(second, "feature").join(frequency, "feature", "left").fillna(0.0, ["frequency"])
     return both.withColumns({"first_importance": rnd("first_importance", 8), "second_importance": rnd("second_importance", 8), "frequency": rnd("frequency", 9)})

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvagrid.operators.spatial import valid_ring
+from sylvagrid.operators.spatial import valid_polygons
 
 
 def read_codes(spark: SparkSession, path: str, code: str, schema: str, sep: str = ";") -> DataFrame:
@@ -30,12 +30,15 @@ def read_two_schemas(direct: DataFrame, volumes: DataFrame, density: DataFrame)
     return reported.unionByName(derived, allowMissingColumns=True)
 
 
-def unite_layers(layers: Sequence[DataFrame], label: str, default: str) -> DataFrame:
-    """Polygon layers with and without the label column, valid rings only."""
+def unite_layers(layers: Sequence[DataFrame], label: str, default: str, ident: str, size: float) -> DataFrame:
+    """Polygon layers with and without the label column; polygons with broken rings or a crossing outline are left out.
+
+    `ident` names a polygon in all layers, `size` is that of the buckets in which its edges are compared.
+    """
     out = layers[0]
     for layer in layers[1:]:
         out = out.unionByName(layer, allowMissingColumns=True)
-    return out.where(valid_ring()).withColumn(label, F.coalesce(F.col(label), F.lit(default)))
+    return valid_polygons(out, ident, size).withColumn(label, F.coalesce(F.col(label), F.lit(default)))
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str]) -> str:

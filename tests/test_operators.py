@@ -304,7 +304,7 @@ def test_overlapping_polygons_duplicate_points(spark):
 def test_ring_validity_and_area(spark):
     rows = [(1, "ok", ring((0, 0), (2, 0), (2, 3), (0, 0))), (2, "open", ring((0, 0), (2, 0), (2, 3), (0, 3))), (3, "short", ring((0, 0), (1, 1), (0, 0)))]
     df = spark.createDataFrame(rows, POLY)
-    kept = tables.unite_layers([df, df.drop("label").withColumn("poly_id", F.col("poly_id") + 10)], "label", "none")
+    kept = tables.unite_layers([df, df.drop("label").withColumn("poly_id", F.col("poly_id") + 10)], "label", "none", "poly_id", 10.0)
     assert {(r["poly_id"], r["label"]) for r in kept.collect()} == {(1, "ok"), (11, "none")}
     assert kept.select(spatial.ring_area()).first()[0] == 3.0
 
@@ -571,6 +571,56 @@ def within(px, py, ring):
     return odd
 
 
+RINGS = "array<array<struct<x:double,y:double>>>"
+
+
+@pytest.mark.parametrize("size", [90.0, 400.0])
+def test_points_in_parts_and_outside_holes(spark, size):
+    # a part with a hole, an island in the hole, and a second part; one polygon without holes
+    def shrunk(ring, x, y, by):
+        return [(x + (a - x) * by, y + (b - y) * by) for a, b in ring]
+
+    outer = star(60, 1000.0, 1000.0, 1)
+    first = [outer, shrunk(outer, 1000.0, 1000.0, 0.6), shrunk(outer, 1000.0, 1000.0, 0.3), star(20, 3000.0, 900.0, 2)]
+    polygons = {"a": first, "b": [star(12, 1900.0, 1100.0, 3)]}
+    rng = np.random.default_rng(5)
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 4000, (900, 2)))]
+    layer = spark.createDataFrame([(k, [[{"x": x, "y": y} for x, y in r] for r in rings]) for k, rings in polygons.items()], f"id string, rings {RINGS}")
+    got = spatial.points_with_polygons(spark.createDataFrame(points, "i int, x double, y double"), layer, ["id"], size, "inner")
+    want = {(i, k) for i, x, y in points for k, rings in polygons.items() if sum(within(x, y, r) for r in rings) % 2}
+    assert {(r["i"], r["id"]) for r in got.collect()} == want and len({k for _, k in want}) == 2
+    assert spatial.valid_polygons(layer, "id", size).count() == 2
+
+
+@pytest.mark.parametrize("size", [1.0, 3.0, 50.0])
+def test_crossing_outlines_are_invalid(spark, size):
+    square = [(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0), (0.0, 0.0)]
+    hole = [(2.0, 2.0), (4.0, 2.0), (4.0, 4.0), (2.0, 4.0), (2.0, 2.0)]
+
+    def moved(ring, dx, dy):
+        return [(x + dx, y + dy) for x, y in ring]
+
+    cases = {
+        "square": ([square], True),
+        "hole": ([square, hole], True),
+        "hole touches in a point": ([square, [(0.0, 3.0), (2.0, 2.0), (2.0, 4.0), (0.0, 3.0)]], True),
+        "parts touch in a corner": ([square, moved(square, 8.0, 8.0)], True),
+        "star": ([star(80, 0.0, 0.0, 4)], True),
+        "bow tie": ([[square[i] for i in (0, 2, 1, 3, 4)]], False),
+        "hole across the border": ([square, moved(hole, 5.0, 0.0)], False),
+        "shared border": ([square, moved(square, 8.0, 0.0)], False),
+        "folded back": ([[(0.0, 0.0), (8.0, 0.0), (3.0, 0.0), (3.0, 5.0), (0.0, 0.0)]], False),
+        "touches itself": ([[(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (4.0, 0.0), (0.0, 8.0), (0.0, 0.0)]], False),
+        "open": ([square[:4]], False),
+        "stuck": ([[square[0], *square]], False),
+        "open hole": ([square, hole[:3]], False),
+        "none": (None, False),
+    }
+    rows = [(k, rings and [[{"x": x, "y": y} for x, y in r] for r in rings]) for k, (rings, _) in cases.items()]
+    got = spatial.valid_polygons(spark.createDataFrame(rows, f"id string, rings {RINGS}"), "id", size if size > 1 else 1.5)
+    assert {r["id"] for r in got.collect()} == {k for k, (_, good) in cases.items() if good}
+
+
 @pytest.mark.parametrize("size", [60.0, 250.0, 5000.0])
 def test_points_in_outlines_of_many_edges(spark, size):
     rings = {1: star(500, 0, 0, 1), 2: star(7, 300, -200, 2), 3: [(-400.0, -400.0), (500.0, -400.0), (500.0, 500.0), (-400.0, 500.0), (-400.0, -400.0)]}

@@ -123,3 +123,21 @@ def test_parts_split_a_hot_group_evenly(spark):
     sizes = [r["count"] for r in cut.where("k = 'hot'").groupBy("_part").count().collect()]
     assert len(sizes) == 64
     assert max(sizes) < 2 * 18000 / 64
+
+
+def test_splitters_are_merged_in_two_levels(spark):
+    from sylvagrid.operators import ranking
+
+    df = spark.range(0, 40_000, 1, 150).select((F.col("id") * 7 % 40_000).cast("double").alias("v"))
+    cuts = ranking.splitters(df, "v", 16).first()["cuts"]
+    assert len(cuts) == 15 and all(abs(c - 2500 * (i + 1)) < 500 for i, c in enumerate(cuts))
+    # no aggregate goes from all tasks of the scan to one
+    v = F.col("v")
+    plan = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(ranking.MERGES))).agg(F.kll_sketch_agg_double(v))._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    import inspect
+
+    assert "percentile_approx" not in inspect.getsource(ranking)
+    nothing = df.where("v < 0").unionAll(spark.createDataFrame([(float("nan"),), (None,)], "v double"))
+    assert ranking.splitters(nothing, "v", 4).first()["cuts"] is None
+    assert {r["_part"] for r in ranking.with_value_part(nothing, "v", 2).collect()} == {0}
