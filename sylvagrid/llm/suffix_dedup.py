@@ -9,8 +9,8 @@ documents and are judged on the input.
    found among runs of one gram. Grams that occur once are dropped: most of the text.
 2. Runs alike in every byte are counted before they move: one row per content goes on, with
    its first place and its count, also where a gram has a single content.
-3. Contents are dealt out by gram. A task sorts the suffixes of
-   shards of them, each into a Burrows-Wheeler transform over symbols of length / 4
+3. The contents of a gram that has several are dealt out by gram; one that is alone stays
+   with its document, joined with its neighbours. A task sorts the suffixes of shards of them, each into a Burrows-Wheeler transform over symbols of length / 4
    bytes (hash order), and merges the transforms by refining their interleave: each of
    four passes deals the merged rows out by the symbol before them, which sorts by one
    symbol more, without sorting suffixes again. The pass in which two neighbours part is
@@ -27,7 +27,7 @@ than `length` lose nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -164,10 +164,11 @@ def merge_transforms(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return rows[at], before[at], common
 
 
-def repeated_windows(texts: list[bytes], place: np.ndarray, copies: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(texts: list[bytes], place: np.ndarray, copies: np.ndarray, length: int, merge: Callable = merge_transforms) -> tuple[np.ndarray, np.ndarray]:
     """For the windows of all texts, in order: whether an equal window has a smaller place, and whether it occurs twice or more.
 
-    `place` is the place of each text's first window; those of the next ones follow it. `copies` is how often a text occurs.
+    `place` is the place of each text's first window; those of the next ones follow it. `copies` is how often each window
+    occurs, in the same order.
     """
     width = length // DEPTH
     size = np.array([len(t) + 1 for t in texts], np.int64)
@@ -186,22 +187,24 @@ def repeated_windows(texts: list[bytes], place: np.ndarray, copies: np.ndarray,
     merged = [shard_transform(symbol, before, left, np.arange(lo, hi), width) for lo, hi in zip(cut, cut[1:])]
     common = None
     while len(merged) > 1:
-        pairs = [merge_transforms(a, b) for a, b in zip(merged[::2], merged[1::2])]
+        pairs = [merge(a, b) for a, b in zip(merged[::2], merged[1::2])]
         common = pairs[0][2]
         merged = [p[:2] for p in pairs] + (merged[-1:] if len(merged) % 2 else [])
     windows = np.flatnonzero(left >= length)
     if common is None:  # a single shard meets an empty one
         none = np.empty(0, np.int64)
-        rows, _, common = merge_transforms(merged[0], (none, none))
+        rows, _, common = merge(merged[0], (none, none))
         merged = [(rows, none)]
-    interval = np.empty(len(x), np.int64)
+    interval = np.full(len(x), -1)
     interval[merged[0][0]] = np.cumsum(common < DEPTH)
     of = interval[windows]
+    if (of < 0).any():  # rows that no merge gave back belong to no interval
+        return np.zeros(len(windows), bool), np.zeros(len(windows), bool)
     at = place[owner[windows]] + windows - (end - size)[owner[windows]]
     order = np.lexsort((at, of))
     later = np.zeros(len(windows), bool)
     later[order] = np.append(False, np.diff(of[order]) == 0)
-    times = np.bincount(of, weights=copies[owner[windows]], minlength=1)
+    times = np.bincount(of, weights=copies, minlength=1)
     return later, times[of] > 1
 
 
@@ -213,33 +216,56 @@ def stretches(marked: np.ndarray, owner: np.ndarray, offset: np.ndarray, length:
     return owner[first].tolist(), offset[first].tolist(), (offset[last] + length).tolist()
 
 
-def settled(contents: DataFrame, length: int, id_type: str) -> DataFrame:
-    """(key, start, end, gram, content): stretches of windows that repeat; a task holds all contents of a gram.
+# decisions: without a content the bytes `start` to `end` of a document go; with one, the same bytes counted from the start
+# of a run repeat, and go in all copies of that content but the first, which starts at `head` of the document
+DECIDED = f"{KEY[1]} long, start int, end int, gram long, content long, head int"
 
-    Without a content: stretches of a first copy that go, as bytes of its document. With one: stretches of that content
-    that occur twice or more, as bytes of the run; they go in all its later copies.
+
+def alone_cuts(b: pa.RecordBatch, texts: list[bytes], w: pa.StructArray, row: np.ndarray, length: int, merge: Callable) -> list[pa.Array]:
+    """Decisions, without the key, about the contents that are the only one of their gram, and the row of each.
+
+    No other document holds their windows, so they stay with their document: runs in a row are one text.
     """
+    alone = np.flatnonzero(w.field("alone").to_numpy(zero_copy_only=False))
+    columns = {c: w.field(c).to_numpy(zero_copy_only=False)[alone] for c in ("start", "size", "gram", "content", "n")}
+    order = np.lexsort((columns["start"], row[alone]))
+    columns, row = {c: v[order] for c, v in columns.items()}, row[alone][order]
+    start, n = columns["start"].astype(np.int64), columns["size"].astype(np.int64) - length + 1
+    first = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (start[1:] != start[:-1] + n[:-1])))[: len(row)]
+    last = np.append(first[1:], len(row)) - 1
+    stitched = [texts[row[i]][start[i] : start[j] + n[j] + length - 1] for i, j in zip(first.tolist(), last.tolist())] if len(row) else []
+    if not stitched:
+        return [np.empty(0, np.int64)] * 6
+    place = (row[first].astype(np.int64) << 32) + start[first]
+    _, again = repeated_windows(stitched, place, np.repeat(columns["n"], n), length, merge)
+    owner, offset = np.repeat(np.arange(len(row)), n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    run, lo, hi = (np.array(x, np.int64) for x in stretches(again, owner, offset, length))
+    return [row[run], lo, hi, columns["gram"][run], columns["content"][run], start[run]]
+
+
+def settled(contents: DataFrame, length: int, id_type: str, merge: Callable = merge_transforms) -> DataFrame:
+    """(key, DECIDED): what repeats in the contents of grams that have several; a task holds all contents of a gram."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         rows = list({(r[0], r[1], r[2]): r for r in rows}.values())
         documents = sorted({r[:2] for r in rows}, key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
         number = {d: i for i, d in enumerate(documents)}
         place = np.array([(number[r[:2]] << 32) + r[2] for r in rows], np.int64)
-        later, again = repeated_windows([r[4] for r in rows], place, np.array([r[6] for r in rows], np.int64), length)
         n = np.array([len(r[4]) - length + 1 for r in rows], np.int64)
+        copies = np.array([r[6] for r in rows], np.int64)
+        later, again = repeated_windows([r[4] for r in rows], place, np.repeat(copies, n), length, merge)
         owner, offset = np.repeat(np.arange(len(rows)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(7)]
         for i, lo, hi in zip(*stretches(later, owner, offset, length)):
             r = rows[i]
-            for column, value in zip(out, (r[0], r[1], r[2] + lo, r[2] + hi, r[3], None)):
+            for column, value in zip(out, (r[0], r[1], r[2] + lo, r[2] + hi, r[3], None, r[2])):
                 column.append(value)
-        several = np.array([r[6] > 1 for r in rows])
-        for i, lo, hi in zip(*stretches(again & several[owner], owner, offset, length)):
+        for i, lo, hi in zip(*stretches(again & (copies > 1)[owner], owner, offset, length)):
             r = rows[i]
-            for column, value in zip(out, (r[0], r[1], lo, hi, r[3], r[5])):
+            for column, value in zip(out, (r[0], r[1], lo, hi, r[3], r[5], r[2])):
                 column.append(value)
-        types = [ids, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=[*KEY, "start", "end", "gram", "content"])
+        types = [ids, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=[*KEY, "start", "end", "gram", "content", "head"])
 
     ids = pa.int64() if id_type in ("bigint", "int") else pa.string()
     columns = [*KEY, "start", "gram", "text", "content", "n"]
@@ -257,7 +283,7 @@ def settled(contents: DataFrame, length: int, id_type: str) -> DataFrame:
             yield settle(rows)
 
     dealt = contents.select(*columns).repartition("gram").sortWithinPartitions("gram")
-    return dealt.mapInArrow(run, f"{KEY[0]} {'bigint' if pa.types.is_integer(ids) else 'string'}, {KEY[1]} long, start int, end int, gram long, content long")
+    return dealt.mapInArrow(run, f"{KEY[0]} {'bigint' if pa.types.is_integer(ids) else 'string'}, {DECIDED}")
 
 
 def hot_cuts(contents: DataFrame, length: int, id_type: str) -> DataFrame:
@@ -291,13 +317,14 @@ def hot_cuts(contents: DataFrame, length: int, id_type: str) -> DataFrame:
     # windows that start within `length` bytes touch, so that one stretch covers them
     first, near = again.where(place != F.col("head")), F.floor(F.col("start") / length)
     first = first.groupBy(*KEY, "gram", near.alias("near")).agg(F.min("start").alias("start"), (F.max("start") + length).alias("end"))
-    first = first.select(*KEY, "start", "end", "gram", F.lit(None).cast("long").alias("content"))
+    first = first.select(*KEY, "start", "end", "gram", F.lit(None).cast("long").alias("content"), F.lit(0).alias("head"))
     near = F.floor(F.col("offset") / length)
-    copies = again.where("n > 1").groupBy(*KEY, "gram", "content", near.alias("near")).agg(F.min("offset").alias("start"), (F.max("offset") + length).alias("end"))
-    return first.unionByName(copies.select(*KEY, "start", "end", "gram", "content"))
+    run = (F.col("start") - F.col("offset")).alias("head")
+    copies = again.where("n > 1").groupBy(*KEY, "gram", "content", run, near.alias("near")).agg(F.min("offset").alias("start"), (F.max("offset") + length).alias("end"))
+    return first.unionByName(copies.select(*KEY, "start", "end", "gram", "content", "head"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, merge: Callable = merge_transforms) -> DataFrame:
     """Staged facts by row key: `starts` and `ends` of the removed byte runs, merged and sorted."""
     docs = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -306,36 +333,44 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     first = runs.groupBy("gram", "content").agg(F.min(F.struct(*KEY, "start", "size", "lead")).alias("r"), F.count(F.lit(1)).alias("n"))
     first = stage(first, "contents")
     many = first.groupBy("gram").agg(F.count(F.lit(1)).alias("k"))
-    variants = first.join(many, "gram").select("gram", "content", "n", "r.*", (F.col("k") > HOT).alias("hot"))
-    wanted = variants.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "content", "n", "start", "size", "lead", "hot")).alias("w"))
+    variants = first.join(many, "gram").select("gram", "content", "n", "r.*", (F.col("k") > HOT).alias("hot"), (F.col("k") == 1).alias("alone"))
+    entry = ["gram", "content", "n", "start", "size", "lead", "hot", "alone"]
+    wanted = variants.groupBy(*KEY).agg(F.collect_list(F.struct(*entry)).alias("w"))
     fields = ["start", "gram", "content", "n", "lead", "hot"]
+    types = {"start": pa.int32(), "gram": pa.int64(), "content": pa.int64(), "n": pa.int64(), "lead": pa.int32(), "hot": pa.bool_(), "text": pa.binary(), "end": pa.int32(), "head": pa.int32()}
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in text_slices(batches, most=BLOCK):
             lists = b["w"]
-            row = pa.array(np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False)))
+            row = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
             w = lists.flatten()
-            start, size = w.field("start").to_pylist(), w.field("size").to_pylist()
-            text = [texts[i][s : s + n] for i, s, n in zip(row.to_pylist(), start, size)]
+            several = np.flatnonzero(~w.field("alone").to_numpy(zero_copy_only=False))
+            at, part = pa.array(row[several]), w.take(pa.array(several))
+            start, size = part.field("start").to_pylist(), part.field("size").to_pylist()
+            text = [texts[i][s : s + n] for i, s, n in zip(at.to_pylist(), start, size)]
+            none = pa.nulls(len(text), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b[KEY[0]].take(row), b[KEY[1]].take(row), *[w.field(c) for c in fields], pa.array(text, pa.binary())],
-                names=[*KEY, *fields, "text"],
+                [b[KEY[0]].take(at), b[KEY[1]].take(at), *[part.field(c).cast(types[c]) for c in fields], pa.array(text, pa.binary()), none, none], names=[*KEY, *types]
             )
+            at, lo, hi, grams, content, head = alone_cuts(b, texts, w, row, length, merge)
+            known = dict(zip(("start", "end", "gram", "content", "head"), (lo, hi, grams, content, head)))
+            columns = [pa.array(known[c], t) if c in known else pa.nulls(len(at), t) for c, t in types.items()]
+            yield pa.RecordBatch.from_arrays([b[KEY[0]].take(pa.array(at)), b[KEY[1]].take(pa.array(at)), *columns], names=[*KEY, *types])
 
     rows = attach(docs, wanted, F.size("w"), "inner").select(*KEY, "w", F.col("_row.text").cast("binary").alias("t"))
-    schema = f"{KEY[0]} {id_type}, {KEY[1]} long, start int, gram long, content long, n long, lead int, hot boolean, text binary"
-    contents = rows.mapInArrow(cut_out, schema)
-    hot = not many.where(F.col("k") > HOT).isEmpty()
-    if hot:
-        contents = stage(contents, "differing")
-    cuts = settled(contents.where(~F.col("hot")), length, id_type)
-    if hot:
-        cuts = cuts.unionByName(hot_cuts(contents.where("hot"), length, id_type))
+    schema = f"{KEY[0]} {id_type}, {KEY[1]} long, start int, gram long, content long, n long, lead int, hot boolean, text binary, end int, head int"
+    contents = stage(rows.mapInArrow(cut_out, schema), "differing")
+    decided = [*KEY, "start", "end", "gram", "content", "head"]
+    cuts = contents.where("text IS NULL").select(*decided)
+    contents = contents.where("text IS NOT NULL")
+    cuts = cuts.unionByName(settled(contents.where(~F.col("hot")), length, id_type, merge).select(*decided))
+    if not many.where(F.col("k") > HOT).isEmpty():
+        cuts = cuts.unionByName(hot_cuts(contents.where("hot"), length, id_type).select(*decided))
     cuts = stage(cuts, "cuts")
     # what repeats in a content goes back to its later copies, which have not moved
-    back = cuts.where("content IS NOT NULL").select("gram", "content", F.col("start").alias("lo"), F.col("end").alias("hi"))
-    heads = first.where("n > 1").select("gram", "content", F.struct(*[F.col(f"r.{c}").alias(c) for c in (*KEY, "start")]).alias("head"))
-    later = runs.join(back.join(heads, ["gram", "content"]), ["gram", "content"]).where(F.struct(*KEY, "start") != F.col("head"))
+    head = F.struct(*[F.col(k) for k in KEY], F.col("head").alias("start")).alias("head")
+    back = cuts.where("content IS NOT NULL").select("gram", "content", F.col("start").alias("lo"), F.col("end").alias("hi"), head)
+    later = runs.join(back, ["gram", "content"]).where(F.struct(*KEY, "start") != F.col("head"))
     later = later.select(*KEY, (F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi")).alias("end"))
     spans = later.unionByName(cuts.where("content IS NULL").select(*KEY, "start", "end"))
     gathered = spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("s"))

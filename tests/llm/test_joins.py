@@ -133,7 +133,7 @@ def test_runs_are_the_same_in_pieces(monkeypatch):
 
 def test_common_prefixes_of_a_merge():
     texts = [b"abcdefgh" * 16, b"zz" + b"abcdefgh" * 15 + b"qq", bytes(range(65, 91)) * 5]
-    cut, again = sd.repeated_windows(texts, np.arange(3) << 32, np.ones(3, np.int64), 100)
+    cut, again = sd.repeated_windows(texts, np.arange(3) << 32, np.ones(sum(len(t) - 99 for t in texts), np.int64), 100)
     seen, want = set(), []
     for t in texts:
         for p in range(len(t) - 99):
@@ -143,14 +143,18 @@ def test_common_prefixes_of_a_merge():
     windows = [t[p : p + 100] for t in texts for p in range(len(t) - 99)]
     assert again.tolist() == [windows.count(w) > 1 for w in windows]
     # a single text that occurs often repeats everywhere, and holds no earlier window of its own
-    alone = sd.repeated_windows([bytes(range(33, 140))], np.zeros(1, np.int64), np.array([3]), 100)
+    alone = sd.repeated_windows([bytes(range(33, 140))], np.zeros(1, np.int64), np.full(8, 3), 100)
     assert [x.tolist() for x in alone] == [[False] * 8, [True] * 8]
 
 
-def test_nothing_goes_without_the_merge(docs, monkeypatch):
-    settled = sd.settled
-    monkeypatch.setattr(sd, "settled", lambda c, *a: settled(c.where("false"), *a))
-    assert sd.repeated_spans(docs).count() == 0
+def test_nothing_goes_without_the_merge(docs):
+    def nothing(a, b):
+        none = np.empty(0, np.int64)
+        return none, none, np.empty(0, np.int8)
+
+    alike = sd.repeated_runs(docs.select("doc_id", "text")).groupBy("gram", "content").count()
+    assert alike.where("count > 1").count() > 0 and sd.repeated_spans(docs).count() > 0
+    assert sd.repeated_spans(docs, merge=nothing).count() == 0
 
 
 def test_no_documents(no_docs):
