@@ -42,16 +42,16 @@ def free_name(wanted: str, taken: Sequence[str]) -> str:
     return wanted
 
 
-def attach(docs: DataFrame, facts: DataFrame, entries: Column | None = None, how: str = "left") -> DataFrame:
+def attach(docs: DataFrame, facts: DataFrame, entries: Column | None = None, how: str = "left", most: int = BROADCAST_ENTRIES) -> DataFrame:
     """Join facts, unique by row key, to the documents with that key. Null ids match each other.
 
-    The facts are staged and measured: up to BROADCAST_ENTRIES entries they are
+    The facts are staged and measured: up to `most` entries they are
     broadcast, so that texts stay where they are; beyond it both sides are shuffled.
     The columns of `docs` come first and keep their names.
     """
     facts = stage(facts, "facts")
     size = facts.agg(F.sum(entries if entries is not None else F.lit(1))).first()[0] or 0
-    if size <= BROADCAST_ENTRIES:
+    if size <= most:
         facts = F.broadcast(facts)
     doc, text_hash = row_key()
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), doc.alias("_d"), text_hash.alias("_h"))

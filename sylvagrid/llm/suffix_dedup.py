@@ -357,7 +357,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, merg
             columns = [pa.array(known[c], t) if c in known else pa.nulls(len(at), t) for c, t in types.items()]
             yield pa.RecordBatch.from_arrays([b[KEY[0]].take(pa.array(at)), b[KEY[1]].take(pa.array(at)), *columns], names=[*KEY, *types])
 
-    rows = attach(docs, wanted, F.size("w"), "inner").select(*KEY, "w", F.col("_row.text").cast("binary").alias("t"))
+    # the facts grow with the text: they meet it by a shuffle at every size
+    rows = attach(docs, wanted, F.size("w"), "inner", most=-1).select(*KEY, "w", F.col("_row.text").cast("binary").alias("t"))
     schema = f"{KEY[0]} {id_type}, {KEY[1]} long, start int, gram long, content long, n long, lead int, hot boolean, text binary, end int, head int"
     contents = stage(rows.mapInArrow(cut_out, schema), "differing")
     decided = [*KEY, "start", "end", "gram", "content", "head"]
