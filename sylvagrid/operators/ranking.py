@@ -47,7 +47,7 @@ def splitters(df: DataFrame, value: str, parts: int) -> DataFrame:
     """
     v = F.col(value).cast("double")
     size = F.lit(max(200, min(65_535, 4 * parts)))
-    salted = df.where(~F.isnan(v)).groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("_s"))
+    salted = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("_s"))
     merged = salted.agg(F.kll_sketch_agg_double(v, size).alias("_k")).agg(F.kll_merge_agg_double("_k").alias("_k"), F.count("_k").alias("_n"))
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     cuts = F.when(F.col("_n") > 0, F.kll_sketch_get_quantile_double("_k", shares))
