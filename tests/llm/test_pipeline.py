@@ -30,7 +30,7 @@ def test_query(spark, name):
         assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
         return
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got = con.execute(sql)
     names = [d[0] for d in got.description]
@@ -40,7 +40,7 @@ def test_query(spark, name):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
 
 
 def test_suffix_and_join_queries_equal_brute_force(spark):
