@@ -64,17 +64,19 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def stage(df: DataFrame, name: str = "stage", spread_rows: bool = False) -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", spread_rows: bool = False, codec: str | None = None) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     Used where several branches of a plan need the same expensive input: it is
     computed once, the files outlive lost executors, and the branches scan
     columns of it with fresh statistics. The folder is new for every call and is
-    removed when the application ends. `spread_rows` deals the rows out first.
+    removed when the application ends. `spread_rows` deals the rows out first; `codec`
+    names a compression other than the session's, for tables that are large on disk.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    (spread(df) if spread_rows else df).write.parquet(path)
+    writer = (spread(df) if spread_rows else df).write
+    (writer.option("compression", codec) if codec else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
