@@ -39,6 +39,8 @@ from sylvagrid.llm.hashing import gram_hashes, span_hashes
 from sylvagrid.session import stage
 
 LENGTH, GRAM = 100, 20
+# compression of the staged tables, which are most of the disk
+CODEC = "zstd"
 # symbols of a window; a power of two, so that shards are sorted by doubling
 DEPTH = 4
 # bytes of texts or runs that a task works on at once (some 100 bytes of memory each), and of one shard of runs
@@ -117,7 +119,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     if again.count() <= BROADCAST_GRAMS:
         again = F.broadcast(again)
     schema = f"{KEY[0]} {docs.schema['doc_id'].dataType.simpleString()}, {KEY[1]} long, start int, size int, lead int, gram long, content long"
-    return stage(thin.mapInArrow(read, schema).join(again, "gram"), "runs")
+    return stage(thin.mapInArrow(read, schema).join(again, "gram"), "runs", codec=CODEC)
 
 
 def shard_transform(symbol: np.ndarray, before: np.ndarray, left: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -331,7 +333,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, merg
     runs = repeated_runs(docs, length, gram)
     # one row per run content of a gram: its first place and how often it occurs
     first = runs.groupBy("gram", "content").agg(F.min(F.struct(*KEY, "start", "size", "lead")).alias("r"), F.count(F.lit(1)).alias("n"))
-    first = stage(first, "contents")
+    first = stage(first, "contents", codec=CODEC)
     many = first.groupBy("gram").agg(F.count(F.lit(1)).alias("k"))
     variants = first.join(many, "gram").select("gram", "content", "n", "r.*", (F.col("k") > HOT).alias("hot"), (F.col("k") == 1).alias("alone"))
     entry = ["gram", "content", "n", "start", "size", "lead", "hot", "alone"]
@@ -360,14 +362,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, merg
     # the facts grow with the text: they meet it by a shuffle at every size
     rows = attach(docs, wanted, F.size("w"), "inner", most=-1).select(*KEY, "w", F.col("_row.text").cast("binary").alias("t"))
     schema = f"{KEY[0]} {id_type}, {KEY[1]} long, start int, gram long, content long, n long, lead int, hot boolean, text binary, end int, head int"
-    contents = stage(rows.mapInArrow(cut_out, schema), "differing")
+    contents = stage(rows.mapInArrow(cut_out, schema), "differing", codec=CODEC)
     decided = [*KEY, "start", "end", "gram", "content", "head"]
     cuts = contents.where("text IS NULL").select(*decided)
     contents = contents.where("text IS NOT NULL")
     cuts = cuts.unionByName(settled(contents.where(~F.col("hot")), length, id_type, merge).select(*decided))
     if not many.where(F.col("k") > HOT).isEmpty():
         cuts = cuts.unionByName(hot_cuts(contents.where("hot"), length, id_type).select(*decided))
-    cuts = stage(cuts, "cuts")
+    cuts = stage(cuts, "cuts", codec=CODEC)
     # what repeats in a content goes back to its later copies, which have not moved
     head = F.struct(*[F.col(k) for k in KEY], F.col("head").alias("start")).alias("head")
     back = cuts.where("content IS NOT NULL").select("gram", "content", F.col("start").alias("lo"), F.col("end").alias("hi"), head)
