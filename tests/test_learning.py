@@ -124,6 +124,44 @@ def test_boosting_lowers_the_error_and_counts_rows():
     assert np.array_equal(out, again[0]) and len(again[2]) == 60
 
 
+def test_vectors_alike_in_the_chosen_predictors_are_fitted_as_one_cell(monkeypatch):
+    rng = np.random.default_rng(2)
+    bins = rng.integers(0, 64, (3000, 12)).astype(np.uint8)
+    bins[:, [3, 7]] = rng.integers(0, 5, (3000, 2))
+    n = rng.integers(1, 5, 3000)
+    # sums of quarters are exact in any order
+    sum_y = n * (bins[:, 3] + (bins[:, 7] > 2) * 0.5) + rng.integers(-8, 9, 3000) / 4
+    fitted = np.arange(3000) % 4 > 0
+    setting = SimpleNamespace(run_id=0, seed=3, trial=1, chosen=[3, 7], n_estimators=9, max_depth=4, min_child_weight=2, subsample=0.7, colsample_bytree=1.0, learning_rate=0.5, reg_alpha=0.1, reg_lambda=0.2)
+    widths, grow = [], boosting.grow
+    monkeypatch.setattr(boosting, "grow", lambda cols, *a: widths.append(cols.shape[2]) or grow(cols, *a))
+    got, _, trees = boosting.boost(boosting.Data(bins, n, sum_y, sum_y, n), [fitted], [setting])[0]
+    assert set(widths) == {25} and len(trees) == 9
+    # the same draws on single vectors
+    random = np.random.default_rng([3, 1])
+    out = np.full(3000, sum_y[fitted].sum() / n[fitted].sum())
+    for _ in range(9):
+        h = np.where(fitted & (random.random(3000) < 0.7), n, 0.0)
+        random.permutation([3, 7])
+        g = np.where(h > 0, out * n - sum_y, 0.0)
+        one = [np.array([x]) for x in (4, 2, 0.1, 0.2)]
+        out += 0.5 * grow(bins[:, [3, 7]].T[None].astype(int), np.ones((1, 2), bool), g[None], h[None], *one)[1][0]
+    assert got == pytest.approx(out)
+    # many predictors leave no vectors alike, and no two that differ become one
+    first, cell = boosting.alike(bins, list(range(12)))
+    assert len(first) == len(np.unique(bins, axis=0)) and (bins[first[cell]] == bins).all()
+
+
+def test_batches_hold_every_trial_once_within_their_bounds(monkeypatch):
+    monkeypatch.setattr(boosting, "CELLS", 2000)
+    bins = np.random.default_rng(1).integers(0, 64, (300, 5)).astype(np.uint8)
+    data = boosting.Data(bins, np.ones(300, int), np.zeros(300), np.zeros(300), np.zeros(300, int))
+    trials = [SimpleNamespace(run_id=t % 2, trial=t // 2, chosen=list(range(1 + t % 5))) for t in range(40)]
+    some = list(boosting.batches(data, trials, 5))
+    assert sorted((t.run_id, t.trial) for b in some for t in b) == sorted((t.run_id, t.trial) for t in trials)
+    assert all(len(b) == 1 or len(b) * max(300, *(5 * len(boosting.alike(bins, t.chosen)[0]) for t in b)) <= 2000 for b in some) and len(some[0]) > 1
+
+
 def test_the_histogram_of_a_level_gives_the_same_split(spark, rows):
     vectors = boosting.feature_vectors(rows, FEATURES, "block", "y")
     assert vectors.count() == 500 and vectors.agg(F.sum("n")).first()[0] == 1500
@@ -352,6 +390,17 @@ def test_steps_equal_plain_ones(blobs):
         assert value == pytest.approx(((xy[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum())
 
 
+def test_points_at_one_place_are_one_with_their_count(spark, blobs, monkeypatch):
+    seen, lloyd = [], clusters.lloyd
+    monkeypatch.setattr(clusters, "lloyd", lambda points, *a: seen.append(points) or lloyd(points, *a))
+    one = clusters.fit_all(blobs, [3], 2)[3]
+    again = clusters.fit_all(blobs.unionByName(blobs).unionByName(blobs), [3], 2)[3]
+    assert seen[0].count() == seen[1].count() and again[0] == pytest.approx(one[0]) and again[1] == pytest.approx(3 * one[1])
+    # of equally near centres the first, of equal centres too
+    at, gap = clusters.nearest(np.array([[5.0, 0.0], [9.0, 0.0]]), np.array([[0.0, 0.0], [10.0, 0.0], [10.0, 0.0]]))
+    assert at.tolist() == [0, 1] and gap.tolist() == [25.0, 1.0]
+
+
 def test_ties_and_no_points(spark):
     points = spark.createDataFrame([(5.0, 0.0), (-1.0, 0.0)], "x double, y double")
     got = {r["x"]: r["cluster_id"] for r in clusters.assign(points, np.array([[0.0, 0.0], [10.0, 0.0]])).collect()}
