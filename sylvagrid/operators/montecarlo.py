@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from sylvagrid.functions.noise import STEP_U, STEP_V, box_muller, digest, normal, rotate, uniform, uniform_from
+from sylvagrid.functions.noise import STEP_U, STEP_V, box_muller, digest, rotate, uniform, uniform_from
 from sylvagrid.session import spread
 
 # Standard normal quantiles at 0.85 and 0.95, and the 95 % half-width.
@@ -94,44 +100,67 @@ def spatial_blocks(cells: DataFrame, size: int, width: int) -> DataFrame:
     )
 
 
+def block_normals(seed: int, br: int, bc: int, draws: int) -> np.ndarray:
+    """`noise.normal(seed, br, bc, sample)` of the samples 0 to draws - 1."""
+    head = f"{seed}|{br}|{bc}|".encode()
+    words = np.frombuffer(b"".join([md5(head + b"%d" % k).digest() for k in range(draws)]), ">u4").reshape(draws, 4)
+    u, v = ((words[:, k] + 0.5) / 4294967296.0 for k in (0, 1))
+    return np.sqrt(-2.0 * np.log(u)) * np.cos(2.0 * np.pi * v)
+
+
+# keys whose sums a task holds before it passes them on, and cells that it evaluates at once
+HELD, RUN = 64, 512
+
+
 def country_samples(
     cells: DataFrame, keys: Sequence[str], mean: str, half_width: str, size: int, draws: int, seed: int, area_ha: float = 1.0
 ) -> DataFrame:
     """Totals (Mt) of `draws` samples with one error per spatial block and sample.
 
-    A sample's total is the sum over cells of max(mean + z sd, 0), z shared by a
-    block. A cell contributes (mean + z sd) exactly where z exceeds its threshold
-    -mean / sd, so a block's total for any z follows from the running sums of mean
-    and sd over cells ordered by threshold. Cells x draws never materialises: the
-    cost is one sort per block (at most size^2 cells, and cells whose threshold no
-    z can reach are pre-summed) plus blocks x draws rows.
+    A sample's total is the sum over cells of max(mean + z sd, 0), z shared by a block. Narrow cell rows are dealt out
+    by block once and ordered there; a task draws the errors of a block once for all keys, evaluates the cells of the
+    block in a batch (cells x draws numbers that stay in the task) and adds them to one sum per key and sample. Only
+    these sums move: tasks x keys x draws rows, whatever the number of blocks. Cells without a place, a mean or a
+    width take no part.
     """
-    limit = 7.0  # box_muller of a 32-bit uniform stays below 6.8
-    sd = F.col(half_width) / HALF_WIDTH
-    group = [*keys, "br", "bc"]
-    known = cells.where(F.col(mean).isNotNull() & F.col(half_width).isNotNull())
-    reduced = (
-        known.select(*keys, *block_columns(size), F.col(mean).alias("_m"), sd.alias("_s"))
-        .withColumn("_t", F.when(F.col("_s") > 0, F.try_divide(-F.col("_m"), F.col("_s"))).otherwise(F.lit(-limit)))
-        .withColumn("_m", F.when(F.col("_s") > 0, F.col("_m")).otherwise(F.greatest("_m", F.lit(0.0))))
-        .withColumn("_t", F.greatest("_t", F.lit(-limit)))
-        .groupBy(*group, "_t")
-        .agg(F.sum("_m").alias("_m"), F.sum("_s").alias("_s"))
-    )
-    blocks = known.select(*keys, *block_columns(size)).distinct()
-    drawn = (
-        blocks.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        .withColumn("_t", normal(seed, "br", "bc", "sample"))
-        .withColumns({"_m": F.lit(0.0), "_s": F.lit(0.0)})
-    )
-    ordered = W.partitionBy(*group).orderBy("_t").rangeBetween(W.unboundedPreceding, W.currentRow)
-    both = reduced.withColumn("sample", F.lit(None).cast("int")).unionByName(drawn)
-    totals = (
-        both.withColumns({"_sm": F.sum("_m").over(ordered), "_ss": F.sum("_s").over(ordered)})
-        .where("sample IS NOT NULL")
-        .withColumn("_total", F.col("_sm") + F.col("_t") * F.col("_ss"))
-    )
-    return totals.groupBy(*keys, "sample").agg((F.sum("_total") * area_ha / 1e6).alias("total"))
+    keys = list(keys)
+    known = cells.where(F.col(mean).isNotNull() & F.col(half_width).isNotNull() & F.col("r").isNotNull() & F.col("c").isNotNull())
+    sd = F.col(half_width).cast("double") / HALF_WIDTH
+    narrow = known.select(*keys, *block_columns(size), F.col(mean).cast("double").alias("_m"), sd.alias("_s"))
+    dealt = spread(narrow, "br", "bc").sortWithinPartitions("br", "bc", *keys)
+    schema = T.StructType([*[cells.schema[k] for k in keys], T.StructField("sample", T.IntegerType()), T.StructField("_total", T.DoubleType())])
+    types = to_arrow_schema(schema)
+
+    def rows_of(held: dict[tuple, np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array([key[k] for key in held for _ in range(draws)], types.field(k).type) for k in range(len(keys))]
+        sample = pa.array(np.tile(np.arange(draws, dtype=np.int32), len(held)))
+        return pa.RecordBatch.from_arrays([*columns, sample, pa.array(np.concatenate(list(held.values())))], names=types.names)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        block, z = None, np.zeros(draws)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            m, s = b["_m"].to_numpy(), b["_s"].to_numpy()
+            code = np.stack([pc.dictionary_encode(b[c], null_encoding="encode").indices.to_numpy() for c in ("br", "bc", *keys)])
+            turns = (np.diff(code, prepend=-1) != 0).any(axis=0) | (np.arange(b.num_rows) % RUN == 0)
+            starts = np.append(np.flatnonzero(turns), b.num_rows)  # runs of one block and key
+            for at, end in zip(starts[:-1], starts[1:]):
+                here = b["br"][at].as_py(), b["bc"][at].as_py()
+                if here != block:
+                    block, z = here, block_normals(seed, *here, draws)
+                key = tuple(b[k][at].as_py() for k in keys)
+                if key not in held:
+                    if len(held) == HELD:
+                        yield rows_of(held)
+                        held = {}
+                    held[key] = np.zeros(draws)
+                held[key] += np.maximum(m[at:end, None] + s[at:end, None] * z, 0.0).sum(axis=0)
+        if held:
+            yield rows_of(held)
+
+    return dealt.mapInArrow(add, schema).groupBy(*keys, "sample").agg((F.sum("_total") * area_ha / 1e6).alias("total"))
 
 
 def interval(samples: DataFrame, keys: Sequence[str], low: float = 0.025, high: float = 0.975) -> DataFrame:

@@ -426,6 +426,23 @@ def test_country_total_equals_brute_force(spark):
         assert got[s] == pytest.approx(want / 1e6, rel=1e-9)
 
 
+def test_country_totals_move_sums_alone_and_keep_null_keys(spark, monkeypatch):
+    monkeypatch.setattr(montecarlo, "HELD", 2)
+    monkeypatch.setattr(montecarlo, "RUN", 3)
+    cells = [(k, "a" if i % 2 else None, i // 6, i % 6, float(i), 20.0) for k in (1, 2, None) for i in range(36)] + [(1, "a", None, 3, 9.0, 9.0)]
+    df = spark.createDataFrame(cells, "yr int, p string, r int, c int, m double, u double")
+    found = montecarlo.country_samples(df, ["yr", "p"], "m", "u", 3, 10, 7)
+    got = {(r["yr"], r["p"], r["sample"]): r["total"] for r in found.collect()}
+    assert len(got) == 3 * 2 * 10
+    for (yr, p, k), total in got.items():
+        mine = [c for c in cells if c[:2] == (yr, p) and c[2] is not None]
+        want = sum(max(m + montecarlo.block_normals(7, r // 3, c // 3, 10)[k] * u / 1.96, 0) for *_, r, c, m, u in mine)
+        assert total == pytest.approx(want / 1e6, rel=1e-9)
+    # no row per block and draw exists
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in text and "Window" not in text
+
+
 def test_flux_draws_with_replacement_from_both_years(spark):
     df = spark.createDataFrame([(y, i, float(y * 10 + i)) for y in (1, 2) for i in range(20)], "yr int, sample int, total double")
     r = montecarlo.interannual_flux(df, combinations=10000).first()
