@@ -72,7 +72,7 @@ def _scored(rows: DataFrame, candidates: DataFrame, keys: Sequence[str], x: str,
     """(keys, q, slope, intercept, loss): mean pinball loss plus the slope penalty of every candidate line.
 
     `candidates` has the keys, a slope and the quantiles `qs` that it is tried for, a few
-    rows per group. Residuals exist only where the rows are scanned: counts and sums per
+    rows per group. `rows` that are alike come once with their number `_w`. Residuals exist only where they are scanned: counts and sums per
     (candidate, value part) leave the scan, then the residuals of the parts that hold a
     quantile. The loss follows from the sums on both sides of the quantile.
     """
@@ -80,11 +80,11 @@ def _scored(rows: DataFrame, candidates: DataFrame, keys: Sequence[str], x: str,
     named = stage(named.select("_c", "qs"), "candidates")
     lines = named.select("_c", F.col("_c.k").alias("_line_key"), F.col("_c.s").alias("_s"))
     residual = (F.col(y) - F.col("_s") * F.col(x)).alias("_r")
-    tried = rows.join(lines, group_key(keys) == F.col("_line_key")).select("_c", residual)
+    tried = rows.join(lines, group_key(keys) == F.col("_line_key")).select("_c", residual, "_w")
     cut = with_value_part(tried, "_r", part_levels(rows.count()))
     before = W.partitionBy("_c").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy("_c")
-    per = cut.groupBy("_c", "_part").agg(F.count(F.lit(1)).alias("_m"), F.sum("_r").alias("_t"))
+    per = cut.groupBy("_c", "_part").agg(F.sum("_w").alias("_m"), F.sum(F.col("_w") * F.col("_r")).alias("_t"))
     per = per.select(
         "*",
         F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"),
@@ -97,7 +97,7 @@ def _scored(rows: DataFrame, candidates: DataFrame, keys: Sequence[str], x: str,
     hits = stage(wanted.where((F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_m"))).withColumn("_rank", rank), "parts")
     inside = W.partitionBy("_c", "_part").orderBy("_r")
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    near = cut.join(hits.select("_c", "_part").distinct(), ["_c", "_part"]).groupBy("_c", "_part", "_r").agg(F.count(F.lit(1)).alias("_k"))
+    near = cut.join(hits.select("_c", "_part").distinct(), ["_c", "_part"]).groupBy("_c", "_part", "_r").agg(F.sum("_w").alias("_k"))
     near = near.withColumns({"_end": F.sum("_k").over(upto), "_upto": F.sum(F.col("_k") * F.col("_r")).over(upto)})
     at = near.join(hits, ["_c", "_part"]).where(F.col("_start") + F.col("_end") > F.col("_rank"))
     first = F.min(F.struct("_r", "_k", "_end", "_upto")).alias("_a")
@@ -125,11 +125,12 @@ def quantile_lines(
     For a given slope the best intercept is the q-quantile of y - slope x, and the
     loss is convex in the slope. The coarse slopes serve all quantiles at once and
     bracket the best one; every refinement then tries four slopes inside each
-    quantile's bracket, which makes it three times narrower. The rows are staged once;
-    tables of a few rows per group are staged between the rounds.
+    quantile's bracket, which makes it three times narrower. The rows are staged once,
+    those alike in group, x and y as one with their number; tables of a few rows per
+    group are staged between the rounds.
     """
-    rows = stage(rows.select(*keys, x, y), "lines", spread_rows=True)
     keys = list(keys)
+    rows = stage(rows.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_w")), "lines", spread_rows=True)
     pick = F.min_by(F.struct("slope", "intercept", "loss"), F.struct(F.round("loss", 10), "slope"))
 
     def best_of(scored):

@@ -442,6 +442,26 @@ def test_trim_drops_the_planted_outliers(spark):
     assert kept.count() == 880
 
 
+def test_rows_alike_are_scanned_once_by_quantile_lines(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 20, 300) / 4
+    data = [("g" if i % 3 else None, float(a), float(a + b)) for i, (a, b) in enumerate(zip(x, rng.integers(-8, 9, 300) / 4))]
+    one = spark.createDataFrame(data, "g string, x double, y double")
+    more = one.unionByName(one).unionByName(one.where("x > 2"))
+    scanned, scored = [], allometry._scored
+    monkeypatch.setattr(allometry, "_scored", lambda rows, *a: scanned.append(rows.count()) or scored(rows, *a))
+    got = allometry.quantile_lines(more, ["g"], "x", "y", refinements=1)
+    assert set(scanned) == {len(set(data))}
+    rows = [tuple(r) for r in more.collect()]
+    for r in got.collect():
+        mine = [(a, b) for g, a, b in rows if g == r["g"]]
+        gaps = sorted(b - r["slope"] * a for a, b in mine)
+        level = gaps[int(np.ceil(r["q"] * len(gaps) - 1e-9)) - 1]
+        loss = np.mean([max(r["q"] * (v - level), (r["q"] - 1) * (v - level)) for v in gaps]) + 0.05 * abs(r["slope"])
+        assert r["intercept"] == pytest.approx(level) and r["loss"] == pytest.approx(loss)
+    assert got.count() == 6
+
+
 def test_quantile_lines_bracket_the_data(spark):
     rng = np.random.default_rng(10)
     x = rng.uniform(0, 3, 3000)
