@@ -8,8 +8,8 @@ link. Links are counted per document by Table.group_by; how many documents hold
 counted per batch by Table.group_by and merged by Spark.
 
 Neither vocabulary merges across a space that follows another character, so texts are cut there and
-frequent pieces are encoded once (checked when the vocabulary is loaded; the joined bytes of every
-document are compared with its text). Documents beyond `AT_ONCE` bytes are aligned in parts that
+frequent pieces are encoded once, new ones many at a time as one text (checked when the vocabulary
+is loaded; the joined bytes of every document are compared with its text). Documents beyond `AT_ONCE` bytes are aligned in parts that
 end at such spaces, one after the other.
 
 The counts of id pairs grow with the variety of the corpus. They are staged and counted: up to
@@ -25,10 +25,12 @@ spaces is one piece and has to fit into the memory of a task.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,8 @@ TOKENIZERS = "/opt/tokenizers"
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # pairs of token ids whose counts may go to every task
 PAIRS = 2_000_000
-# bytes of text that are aligned at once, pieces that a worker remembers, pairs counted before they leave a task
-AT_ONCE, REMEMBERED, COUNTED = 1 << 20, 1 << 17, 1 << 20
+# bytes of text that are aligned at once, pieces that a worker remembers, pieces encoded in one run, pairs counted before they leave a task
+AT_ONCE, REMEMBERED, RUN, COUNTED = 1 << 20, 1 << 18, 1 << 8, 1 << 20
 SPACE = re.compile(r"(?<=\S) ")
 MARK = "▁"
 END = 40  # bits of an end offset in a document-end key
@@ -59,6 +61,14 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Numbers(dict):
+    """Number of a piece by lookup; a new piece gets the next number."""
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        return n
+
+
 class Vocabularies:
     """Both tokenizers, the bytes of their tokens, and the pieces encoded so far."""
 
@@ -85,14 +95,14 @@ class Vocabularies:
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at = Numbers()
         self.flat = [np.empty(0, np.int64), np.empty(0, np.int64)]
         self.starts, self.counts = ([np.empty(0, np.int64)] * 2 for _ in range(2))
         self.same = np.empty(0, bool)  # both sides give the piece back
         self.open = np.empty(0, bool)  # no cut may follow: the piece is empty or ends in white space
 
-    def remember(self, pieces: Sequence[str]) -> None:
-        """Encode new pieces, each behind a space."""
+    def one_by_one(self, pieces: Sequence[str]) -> tuple[list[list[np.ndarray]], list[bool]]:
+        """Per side the tokens and token counts of pieces, each encoded by itself behind a space, and which of them both sides give back."""
         first = [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
         second = self.b.encode(list(pieces), num_threads=1) if pieces else []
         second = [ids if p else [self.mark] for p, ids in zip(pieces, second)]
@@ -101,25 +111,66 @@ class Vocabularies:
             b"".join(map(self.bytes_a.__getitem__, x)) == r and b"".join(map(self.bytes_b.__getitem__, y)) == r
             for x, y, r in zip(first, second, raw)
         ]
-        for s, got in enumerate((first, second)):
-            n = np.array([len(g) for g in got], np.int64)
-            self.starts[s] = np.concatenate([self.starts[s], len(self.flat[s]) + np.cumsum(n) - n])
-            self.counts[s] = np.concatenate([self.counts[s], n])
-            self.flat[s] = np.concatenate([self.flat[s], np.fromiter((i for g in got for i in g), np.int64, int(n.sum()))])
-        self.at.update(zip(pieces, range(len(self.same), len(self.same) + len(pieces))))
-        self.same = np.concatenate([self.same, np.array(same, bool)])
-        self.open = np.concatenate([self.open, np.array([not p or p[-1].isspace() for p in pieces], bool)])
+        return [[np.array(list(chain.from_iterable(got)), np.int64), np.array([len(g) for g in got], np.int64)] for got in (first, second)], same
+
+    def as_a_run(self, pieces: Sequence[str]) -> list[list[np.ndarray]] | None:
+        """Per side the tokens and token counts of pieces that a cut may follow, encoded as one text; None if a side does not give it back.
+
+        The ends of the pieces part its tokens, as no token crosses a cut.
+        """
+        text = " ".join(pieces)
+        raw = b" " + text.encode("utf-8", "replace")
+        sides = [self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)]
+        ends = np.cumsum([1 + (len(p) if p.isascii() else len(p.encode("utf-8", "replace"))) for p in pieces])
+        out = []
+        for got, decoded, size in zip(sides, (self.bytes_a, self.bytes_b), self.size):
+            if b"".join(map(decoded.__getitem__, got)) != raw:
+                return None
+            flat = np.array(got, np.int64)
+            upto = np.cumsum(size[flat])
+            last = np.searchsorted(upto, ends)
+            if (upto[last] != ends).any():
+                return None
+            out.append([flat, np.diff(last, prepend=-1)])
+        return out
+
+    def remember(self, pieces: Sequence[str]) -> None:
+        """Encode new pieces, each as behind a space: in runs where a cut may follow, else one by one."""
+        ends_open = np.array([not p or p[-1].isspace() for p in pieces], bool)
+        # what a side may not give back is not ASCII, as a rule, and keeps to runs of its own
+        kind = np.where(ends_open, 2, [not p.isascii() for p in pieces])
+        order, kinds = np.argsort(kind, kind="stable"), np.bincount(kind, minlength=3)
+        tokens, good = [], []
+        for k, group in enumerate(np.split(order, np.cumsum(kinds)[:-1])):
+            for i in range(0, len(group), RUN):
+                run = [pieces[j] for j in group[i : i + RUN]]
+                got, same = self.as_a_run(run) if self.cuts and k < 2 else None, [True] * len(run)
+                if got is None:
+                    got, same = self.one_by_one(run)
+                tokens.append(got)
+                good += same
+        new = np.empty(len(pieces), np.int64)
+        for s in range(2):
+            n = np.concatenate([np.empty(0, np.int64), *[got[s][1] for got in tokens]])
+            for kept, values in ((self.starts, len(self.flat[s]) + np.cumsum(n) - n), (self.counts, n)):
+                new[order] = values
+                kept[s] = np.concatenate([kept[s], new])
+            self.flat[s] = np.concatenate([self.flat[s], *[got[s][0] for got in tokens]])
+        same = np.empty(len(pieces), bool)
+        same[order] = good
+        self.same = np.concatenate([self.same, same])
+        self.open = np.concatenate([self.open, ends_open])
 
     def numbered(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the pieces of all texts, and how many each text has."""
-        new = list({p: None for ps in texts for p in ps if p not in self.at})
-        if len(self.at) + len(new) > REMEMBERED or len(self.flat[0]) > 16 * REMEMBERED:
+        if len(self.at) > REMEMBERED or len(self.flat[0]) > 16 * REMEMBERED:
             self.forget()
-            new = list({p: None for ps in texts for p in ps})
-        self.remember(new)
         n = np.array([len(p) for p in texts], np.int64)
-        at = self.at
-        return np.fromiter((at[p] for ps in texts for p in ps), np.int64, int(n.sum())), n
+        known = len(self.at)
+        ids = np.fromiter(map(self.at.__getitem__, chain.from_iterable(texts)), np.int64, int(n.sum()))
+        if len(self.at) > known:
+            self.remember(list(self.at)[known:])
+        return ids, n
 
     def encode(self, texts: list[str]) -> tuple[list[pa.ListArray], np.ndarray]:
         """Token lists of both sides, and which texts both sides give back; the others have empty lists."""
@@ -160,6 +211,12 @@ class Vocabularies:
         return True
 
 
+@functools.cache
+def vocabularies_of(folder: str, first: str, second: str) -> Vocabularies:
+    """Loaded once in a worker; its tasks share the pieces encoded so far."""
+    return Vocabularies(folder, first, second)
+
+
 def token_table(tokens: pa.ListArray, sizes: np.ndarray, name: str) -> pa.Table:
     """One row per token: its id and the document-end key, its document and end offset in one number."""
     flat, parent = tokens.flatten(), pc.list_parent_indices(tokens)
@@ -241,7 +298,7 @@ def aligned(docs: DataFrame, folder: str = TOKENIZERS, first: str = FIRST, secon
     fields = ["doc_id", *FACTS, "groups_sha256", "pairs", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabularies = Vocabularies(folder, first, second)
+        vocabularies = vocabularies_of(folder, first, second)
         for b, raw in text_slices(batches, most=AT_ONCE):
             texts = [t.decode("utf-8", "replace") for t in raw]
             texts = [t if t.isascii() or t.encode() == r else "" for t, r in zip(texts, raw)]  # valid UTF-8 only

@@ -77,6 +77,27 @@ def test_pieces_are_forgotten(vocabularies, monkeypatch):
         assert facts(al.align(vocabularies.encode([t])[0], vocabularies), 0) == walk(t, vocabularies)
 
 
+def test_new_pieces_are_encoded_in_runs(vocabularies, monkeypatch):
+    r = random.Random(3)
+    odd = list(dict.fromkeys(p for t in ODD + ["".join(r.choices(ALPHABET, k=9)) for _ in range(300)] for p in t.split(" ")))
+    words = list(dict.fromkeys(p for i in range(20) for p in prose(i, 40).split(" ")))
+    alone, plainly = [], vocabularies.one_by_one
+    monkeypatch.setattr(vocabularies, "one_by_one", lambda pieces: alone.extend(pieces) or plainly(pieces))
+    monkeypatch.setattr(al, "RUN", 7)
+    vocabularies.forget()
+    vocabularies.remember(words)
+    assert len(words) > 50 and alone == []
+    vocabularies.remember(odd)
+    assert {p for p in odd if not p or p[-1].isspace()} <= set(alone) and len(alone) < len(odd)
+    want, same = plainly(words + odd)
+    assert vocabularies.same.tolist() == same
+    for s, (flat, n) in enumerate(want):
+        assert vocabularies.counts[s].tolist() == n.tolist()
+        got = [vocabularies.flat[s][at : at + m].tolist() for at, m in zip(vocabularies.starts[s], vocabularies.counts[s])]
+        assert [t for piece in got for t in piece] == flat.tolist()
+    vocabularies.forget()
+
+
 def corpus_answer(rows, v):
     walked = [walk(t, v) for _, t, _ in rows]
     held = Counter(p for _, _, pairs in walked for p in pairs)
