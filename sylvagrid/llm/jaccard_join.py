@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sylvagrid.llm.common import BROADCAST_ENTRIES, KEY, attach, load, row_key, text_slices
 from sylvagrid.llm.components import components
-from sylvagrid.llm.hashing import WordHashes, gram_hashes, mixed
+from sylvagrid.llm.hashing import gram_hashes, mixed, word_hashes
 from sylvagrid.session import stage
 
 # words per shingle and least similarity of the near-duplicate stage, unless told otherwise
@@ -44,9 +44,9 @@ SKETCH_BITS, SKETCH_BLOCK_BITS = 20, 14
 GROWTH = 8
 
 
-def shingle_sets(texts: list[bytes], k: int, memory: WordHashes) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; A-Z lower-cased, words between ASCII white space."""
-    h, n = memory.of([t.lower().split() for t in texts])
+    h, n = word_hashes(texts)
     ends = np.cumsum(n)
     grams = gram_hashes(h, k)
     out = []
@@ -81,9 +81,9 @@ def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
     block = 1 << SKETCH_BLOCK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, memory = np.zeros(1 << SKETCH_BITS, np.int64), WordHashes()
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
         for _, texts in text_slices(batches):
-            grams = np.concatenate(shingle_sets(texts, k, memory))
+            grams = np.concatenate(shingle_sets(texts, k))
             np.add.at(total, (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         used = [i for i in range(len(total) // block) if total[i * block : (i + 1) * block].any()]
         yield pa.RecordBatch.from_arrays(
@@ -112,9 +112,9 @@ def prefix_table(docs: DataFrame, k: int, similarity: Fraction) -> DataFrame:
     sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, frequency = WordHashes(), sketch.value
+        frequency = sketch.value
         for b, texts in text_slices(batches):
-            sets = shingle_sets(texts, k, memory)
+            sets = shingle_sets(texts, k)
             prefixes = []
             for s in sets:
                 often = frequency[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
@@ -259,9 +259,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, set): whole shingle sets, read from the text of one document of each wanted node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = WordHashes()
         for b, texts in text_slices(batches):
-            yield pa.RecordBatch.from_arrays([b["node"], _lists(shingle_sets(texts, k, memory))], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([b["node"], _lists(shingle_sets(texts, k))], names=["node", "set"])
 
     rows = attach(docs.select("doc_id", "text"), wanted, how="inner").select("node", F.col("_row.text").cast("binary").alias("t"))
     return rows.mapInArrow(run, "node binary, set array<long>")

@@ -36,6 +36,22 @@ def test_classes_equal_all_pairs(docs, k, similarity):
     check_classes(docs, k, similarity)
 
 
+def test_word_hashes_follow_the_words():
+    from sylvagrid.llm.hashing import LONG_WORD, word_hashes
+
+    r = random.Random(5)
+    alphabet = [" ", "\t", "\n", "\x0b", "\x1c", "\x85", "\u3000", "a", "A", "b", "é", "\x00", "\xa0"]
+    long = ["w" * n for n in range(LONG_WORD - 2, LONG_WORD + 3)] + ["W" * 500, "w" * 499 + "v"]
+    texts = [t.encode() for t in ["", " ", *long, *("".join(r.choices(alphabet, k=r.randint(0, 30))) for _ in range(400)), prose(1, 90)]]
+    h, n = word_hashes(texts)
+    words = [t.lower().split() for t in texts]
+    assert n.tolist() == [len(w) for w in words]
+    flat = [w for ws in words for w in ws]
+    # equal words and no others have equal hashes
+    assert len(set(zip(flat, h.tolist()))) == len(set(flat)) == len(set(h.tolist()))
+    assert word_hashes([])[0].tolist() == word_hashes([])[1].tolist() == []
+
+
 def test_large_group_of_near_copies(spark):
     base = prose(70, 147)
     texts = [(i, edited(base, i, i % 9), "s") for i in range(150)] + [(200 + i, edited(base, 5, 1) + " tail" * i, "s") for i in range(4)]
