@@ -6,9 +6,10 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sylvagrid.operators.ranking import exact_percentiles, running_totals
+from sylvagrid.operators.ranking import exact_percentiles, group_key, part_levels, tasks_for, with_value_part
 from sylvagrid.session import stage
 
 
@@ -44,32 +45,79 @@ def kolmogorov_p(distance: Column, n1: Column, n2: Column, terms: int = 8) -> Co
     return F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
 
 
-def ks_consecutive(values: DataFrame, keys: Sequence[str], year: str, value: str) -> DataFrame:
+def ks_consecutive(values: DataFrame, keys: Sequence[str], year: str, value: str, staged: bool = False) -> DataFrame:
     """Kolmogorov-Smirnov distance between consecutive years of each group.
 
-    Both empirical distributions are running counts over the shared value axis;
-    equal values are merged first and the running counts are built part by part.
+    Values are compared as doubles; NaN comes after all numbers and null after NaN. Rows are counted by value
+    part, those equal to the splitter a part starts at by themselves, which gives the distance behind every
+    splitter and at the end of every part. Inside a part it stays below what the part's counts allow, so only
+    the rows of the parts that can exceed the largest of these distances move, and are ordered part by part.
+    The values are staged, unless the caller says that `values` is cheap to scan again.
     """
-    years = values.agg(F.array_sort(F.collect_set(year))).scalar()
-    counts = (
-        values.groupBy(*keys, year, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_years", years)
-        .withColumn("_at", F.array_position("_years", F.col(year)).cast("int"))
+    v = F.col("_v")
+    slim = values.select(group_key(keys).alias("_key"), F.col(year).alias("_year"), F.col(value).cast("double").alias("_v"))
+    if not staged:
+        slim = stage(slim, "values")
+    levels = part_levels(slim.count())
+    # NaN and null are parts of one value each
+    odd = F.when(v.isNull(), 2**levels + 1).when(F.isnan(v), 2**levels)
+    cut = with_value_part(slim, "_v", levels, edge=True).withColumns(
+        {"_edge": F.col("_edge") | odd.isNotNull(), "_part": F.coalesce(odd, "_part")}
     )
-    # a year is the second of one pair and the first of the next
-    first = F.struct(F.col(year).alias("year1"), F.get("_years", F.col("_at")).alias("year2"), F.col("_n").alias("n1"), F.lit(0).cast("bigint").alias("n2"))
-    second = F.struct(F.get("_years", F.col("_at") - 2).alias("year1"), F.col(year).alias("year2"), F.lit(0).cast("bigint").alias("n1"), F.col("_n").alias("n2"))
+    counts = cut.groupBy("_key", "_year", "_part").agg(F.count_if("_edge").alias("_e"), F.count_if(~F.col("_edge")).alias("_r"))
+    counts = stage(counts, "parts")
+    years = counts.agg(F.array_sort(F.collect_set("_year"))).scalar()
+    # a year is the first of one pair and the second of the one before
+    at = F.array_position("_years", F.col("_year")).cast("int")
+    first = F.struct(F.col("_year").alias("year1"), F.get("_years", at).alias("year2"), F.lit(1).alias("side"))
+    second = F.struct(F.get("_years", at - 2).alias("year1"), F.col("_year").alias("year2"), F.lit(2).alias("side"))
     sides = (
-        counts.withColumn("_s", F.explode(F.array(first, second)))
-        .where("_s.year1 IS NOT NULL AND _s.year2 IS NOT NULL")
-        .groupBy(*keys, "_s.year1", "_s.year2", value)
-        .agg(F.sum("_s.n1").alias("n1"), F.sum("_s.n2").alias("n2"))
+        counts.withColumn("_years", years)
+        .select("_key", "_part", "_e", "_r", F.explode(F.array(first, second)).alias("_s"))
+        .select("_key", "_part", "_e", "_r", "_s.*")
+        .where("year1 IS NOT NULL AND year2 IS NOT NULL")
     )
-    group = [*keys, "year1", "year2"]
-    run = running_totals(sides, group, value, ["n1", "n2"])
-    gap = F.abs(F.try_divide(F.col("n1_run"), F.col("n1_all")) - F.try_divide(F.col("n2_run"), F.col("n2_all")))
-    d = run.groupBy(*group).agg(
-        F.max(gap).alias("ks_statistic"), F.max("n1_all").alias("n1"), F.max("n2_all").alias("n2")
+    group = ["_key", "year1", "year2"]
+
+    def of(side, count):
+        return F.sum(F.when(F.col("side") == side, F.col(count)).otherwise(0))
+
+    def apart(a, b):
+        return F.try_divide(F.col(a), F.col("n1")) - F.try_divide(F.col(b), F.col("n2"))
+
+    whole = W.partitionBy(*group)
+    upto = whole.orderBy("_part").rowsBetween(W.unboundedPreceding, W.currentRow)
+    per = sides.groupBy(*group, "_part").agg(*[of(s, c).alias(f"{c}{s}") for s in (1, 2) for c in ("_e", "_r")])
+    for s in (1, 2):
+        rows = F.col(f"_e{s}") + F.col(f"_r{s}")
+        per = per.withColumns({f"n{s}": F.sum(rows).over(whole), f"_end{s}": F.sum(rows).over(upto)})
+        per = per.withColumn(f"_at{s}", F.col(f"_end{s}") - F.col(f"_r{s}"))
+    per = per.withColumns(
+        {
+            "ks_statistic": F.greatest(F.abs(apart("_at1", "_at2")), F.abs(apart("_end1", "_end2"))),
+            "_most": F.greatest(apart("_end1", "_at2"), -apart("_at1", "_end2")),
+        }
+    )
+    per = stage(per.withColumn("_least", F.max("ks_statistic").over(whole)), "pairs")
+    near = per.where("_most > _least")
+    moved = near.agg(F.sum(F.col("_r1") + F.col("_r2"))).first()[0] or 0
+    both = F.explode(F.array(*[F.struct(F.col(f"year{s}").alias("_year"), F.lit(s).alias("_side")) for s in (1, 2)]))
+    near = near.select(*group, F.col("_part").alias("_in"), "n1", "n2", "_at1", "_at2", both.alias("_s")).select("*", "_s.*").drop("_s")
+    # no filter on `_edge`: it would be pushed below the levels of the search, each of which it would repeat
+    within = F.when(F.col("_edge"), -1 - F.col("_part")).otherwise(F.col("_part")).alias("_in")
+    inside = W.partitionBy(*group, "_in").orderBy("_v").rangeBetween(W.unboundedPreceding, W.currentRow)
+    run = (
+        cut.select("_key", "_year", within, "_v")
+        .join(near, ["_key", "_year", "_in"])
+        .repartition(tasks_for(moved), *(group if keys else group[1:]), "_in")
+        .withColumns({f"_at{s}": F.col(f"_at{s}") + F.count_if(F.col("_side") == s).over(inside) for s in (1, 2)})
+        .select(*group, F.abs(apart("_at1", "_at2")).alias("ks_statistic"), "n1", "n2")
+    )
+    d = (
+        per.select(run.columns)
+        .unionAll(run)
+        .groupBy(*group)
+        .agg(F.max("ks_statistic").alias("ks_statistic"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
+        .select(*[F.col("_key")[k].alias(k) for k in keys], *group[1:], "ks_statistic", "n1", "n2")
     )
     return d.withColumn("p_value", kolmogorov_p(F.col("ks_statistic"), F.col("n1"), F.col("n2")))

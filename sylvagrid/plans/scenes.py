@@ -193,7 +193,7 @@ def band_stats(v):
       * list_sum(list_transform(range(1, 4000, 2), lambda i: exp(-1e0 * i * i * pi() * pi() * (n1 + n2) / (8e0 * n1 * n2 * ks * ks)))), 0) END, 7) AS p_value FROM d""",
 )
 def ks_two_sample(v):
-    tested = distributions.ks_consecutive(long_bands(v), ["band"], "yr", "value")
+    tested = distributions.ks_consecutive(long_bands(v), ["band"], "yr", "value", staged=True)
     return tested.withColumns({"ks_statistic": rnd("ks_statistic", 9), "p_value": rnd("p_value", 7)})
 
 

@@ -141,3 +141,49 @@ def test_splitters_are_merged_in_two_levels(spark):
     nothing = df.where("v < 0").unionAll(spark.createDataFrame([(float("nan"),), (None,)], "v double"))
     assert ranking.splitters(nothing, "v", 4).first()["cuts"] is None
     assert {r["_part"] for r in ranking.with_value_part(nothing, "v", 2).collect()} == {0}
+
+
+def test_tasks_of_running_totals_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "TASK_ROWS", 100)
+    run = ranking.running_totals(spark.range(1, 1001).withColumn("w", F.lit(2)), [], "id", ["w"])
+    assert run.rdd.getNumPartitions() == 10
+    assert all(r["w_run"] == 2 * r["id"] and r["w_all"] == 2000 for r in run.collect())
+
+
+def test_the_edge_of_a_part_takes_the_ties(spark):
+    df = spark.createDataFrame([(float(x),) for x in [1.0] * 500 + [2.0] * 500 + list(np.linspace(3, 4, 200))] + [(None,)], "v double")
+    cut = ranking.with_value_part(df, "v", 5, edge=True)
+    beside = cut.where("NOT _edge").groupBy("_part").count().collect()
+    assert max(r["count"] for r in beside) < 100 and cut.where("_edge AND v IN (1, 2)").count() == 1000
+    assert cut.where("_edge").groupBy("_part").agg(F.countDistinct("v").alias("n")).agg(F.max("n")).first()[0] == 1
+
+
+def test_ks_of_consecutive_years_equals_brute_force(spark, monkeypatch):
+    from sylvagrid.operators import distributions
+
+    rng = np.random.default_rng(5)
+    rows = [("a", 1 + i % 3, float(x)) for i, x in enumerate(rng.normal(0, 1, 9000))]
+    rows += [("a", 2, 0.25)] * 400 + [("a", 3, x) for x in (None, None, float("nan"), float("inf"), -float("inf"))]
+    rows += [(None, 1 + i % 2, float(x)) for i, x in enumerate(rng.integers(0, 4, 2000))]
+    rows += [("same", y, float(x)) for y in (1, 2) for x in range(50)] + [("a", None, 1.0)]
+    monkeypatch.setattr(ranking, "TASK_ROWS", 200)
+    moved, tasks_for = [], ranking.tasks_for
+    monkeypatch.setattr(distributions, "tasks_for", lambda n: moved.append(n) or tasks_for(n))
+    df = spark.createDataFrame(rows, "k string, y int, v double")
+    for staged in (True, False):
+        got = {(r["k"], r["year1"]): r for r in distributions.ks_consecutive(df, ["k"], "y", "v", staged).collect()}
+        assert set(got) == {("a", 1), ("a", 2), (None, 1), (None, 2), ("same", 1), ("same", 2)}
+        for (k, y), r in got.items():
+            # nulls come after NaN, both after all numbers
+            one, two = (sorted((x is None, x is not None and x != x, x if x is not None and x == x else 0) for b, z, x in rows if b == k and z == w) for w in (y, y + 1))
+            assert (r["year2"], r["n1"], r["n2"]) == (y + 1, len(one), len(two))
+            if two:
+                at = {x: i for i, x in enumerate(sorted({*one, *two}))}
+                f = [np.cumsum(np.bincount([at[x] for x in side], minlength=len(at))) / len(side) for side in (one, two)]
+                assert r["ks_statistic"] == pytest.approx(np.abs(f[0] - f[1]).max(), abs=1e-15)
+            else:
+                assert r["ks_statistic"] is None
+    # parts that cannot hold the distance stay where they are
+    assert all(0 < n < len(rows) / 3 for n in moved)
+    alone = distributions.ks_consecutive(df.where("k = 'a'"), [], "y", "v").drop("p_value").orderBy("year1").collect()
+    assert [tuple(r) for r in alone] == [tuple(got["a", y])[1:6] for y in (1, 2)]
