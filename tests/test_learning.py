@@ -177,6 +177,42 @@ def test_the_histogram_of_a_level_gives_the_same_split(spark, rows):
     assert best["gain"] == pytest.approx(tree.gain[0])
 
 
+def test_cut_points_and_bins_equal_numpy(spark, monkeypatch):
+    # no group goes into one task's hash map
+    monkeypatch.delattr(boosting.F, "percentile")
+    rng = np.random.default_rng(9)
+    table = np.stack([rng.normal(0, 9, 700).round(1), rng.integers(0, 3, 700).astype(float), np.full(700, 4.0)], axis=1)
+    vectors = spark.createDataFrame([(*map(float, x), i % 5 + 1, float(i % 7)) for i, x in enumerate(table)], [*FEATURES, "n", "sum_y"])
+    cuts = boosting.cut_points(vectors, FEATURES, 20)
+    points = {r["feature"]: np.array(r["cuts"]) for r in cuts.collect()}
+    got = {(r["feature"], r["bin"]): (r["threshold"], r["n"], r["sum_y"]) for r in boosting.level_histogram(vectors, FEATURES, cuts).collect()}
+    want = {}
+    for k, f in enumerate(FEATURES):
+        assert points[f] == pytest.approx(np.percentile(table[:, k], 5 * np.arange(1, 20)))
+        for i, b in enumerate(np.searchsorted(points[f], table[:, k], side="left").tolist()):
+            _, n, y = want.get((f, b), (0, 0, 0))
+            want[f, b] = (points[f][b] if b < 19 else None, n + i % 5 + 1, y + i % 7)
+    assert got == want
+    none = vectors.where("n < 0")
+    assert {r["feature"]: r["cuts"] for r in boosting.cut_points(none, FEATURES).collect()} == dict.fromkeys(FEATURES)
+    assert boosting.level_histogram(none, FEATURES, boosting.cut_points(none, FEATURES)).count() == 0
+
+
+def test_vectors_are_alike_to_nine_digits(spark):
+    rows = [(1, 0.5, 1.0), (1, 0.5, 2.0), (1, 0.5 + 1e-12, 4.0), (1, 0.6, 8.0), (2, 0.5, 16.0)]
+    got = boosting.feature_vectors(spark.createDataFrame(rows, "block int, f double, y double"), ["f"], "block", "y")
+    assert sorted(r[:5] for r in got.collect()) == [(1, 0.5, 3, 7.0, 21.0), (1, 0.6, 1, 8.0, 64.0), (2, 0.5, 1, 16.0, 256.0)]
+
+
+def test_split_gains_take_all_vectors(spark, monkeypatch):
+    from sylvagrid.plans import learning, views
+
+    v = views.Views(spark, "/root/testdata/sf0.01")
+    monkeypatch.setattr(boosting.feature_vectors, "__defaults__", (10,))
+    got = learning.split_gains(v).selectExpr("n_left + n_right AS n").distinct().collect()
+    assert [r["n"] for r in got] == [learning.modelling_rows(v).count()]
+
+
 # --- search --------------------------------------------------------------------
 
 

@@ -65,6 +65,19 @@ def test_percentile_share_from_key(spark):
     assert {r["p"]: r["q"] for r in got} == {0.25: 1.0, 0.75: 3.0}
 
 
+def test_many_quantiles_of_groups(spark):
+    rows, df = skewed(spark)
+    df = df.unionAll(spark.createDataFrame([(None, 1.0), (None, 4.0)], df.schema))
+    shares = [k / 64 for k in range(1, 64)]
+    want = expected([*rows, (None, 1.0), (None, 4.0)], [100 * p for p in shares])
+    for staged in (True, False):
+        got = {r["k"]: r["cuts"] for r in ranking.exact_quantiles(df, ["k"], "v", shares, staged).collect()}
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+        assert got["flat"] == [5.0] * 63
+    alone = ranking.exact_quantiles(df.where("k = 'hot'"), [], "v", shares).collect()
+    assert [r["cuts"] for r in alone] == [got["hot"]]
+
+
 def test_percentiles_of_several_columns(spark):
     rng = np.random.default_rng(4)
     rows = [(i % 3, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(0, 1, (600, 2)))]
