@@ -198,6 +198,37 @@ def test_cut_points_and_bins_equal_numpy(spark, monkeypatch):
     assert boosting.level_histogram(none, FEATURES, boosting.cut_points(none, FEATURES)).count() == 0
 
 
+def test_models_are_fitted_on_all_rows(spark, rows, monkeypatch):
+    from sylvagrid.plans import learning
+
+    # the bounds that rows and vectors used to have
+    monkeypatch.setattr(boosting.feature_vectors, "__defaults__", (10,))
+    assert boosting.feature_vectors(rows, FEATURES, "block", "y").agg(F.count("n"), F.sum("n")).first() == (500, 1500)
+    data = [(i, 1995 + i % 2, float(i), 0.0, i % 5 / 2, *[float(i * (k + 1) % 41) for k in range(39)]) for i in range(40)]
+    table = spark.createDataFrame(data, ["cell", "year_start", "x", "y", learning.TARGET, *learning.FEATURES])
+    asked = {}
+    monkeypatch.setattr(learning, "modelling_rows", lambda v, features, **options: asked.update(options) or table)
+    got = learning.table_of(None).orderBy("x").toPandas()
+    assert not asked.get("cap") and len(got) == 40 and got.row_id[3] == "3_1996"
+    for f in (learning.TARGET, *learning.FEATURES):
+        values = table.orderBy("x").toPandas()[f]
+        assert got[f].to_numpy() == pytest.approx(((values - values.mean()) / values.std()).to_numpy())
+
+
+def test_a_run_gets_the_trials_it_needs_in_any_case(rows, searched, monkeypatch):
+    asked, spread = [], boosting.spread
+    monkeypatch.setattr(boosting, "spread", lambda df, *keys: asked.append(df.count()) or spread(df, *keys))
+    results, _ = boosting.search(rows, FEATURES, "block", "y", [5], trials=12, max_features=3, test=1, validation=(2, 3), patience=4, min_trials=2)
+    assert sum(asked[:-1]) == results.first()["trials_completed"] and asked[0] == 6
+
+
+def test_vectors_go_to_the_tasks_as_bins(spark):
+    vectors = spark.createDataFrame([(3, 0.5, 9.0, 2, 1.5, 2.5, 20), (4, 0.1, -1.0, 1, 0.5, 0.25, 10)], "block int, a double, b double, n long, sum_y double, sum_yy double, vector long")
+    cuts = {"a": np.array([0.2, 0.5, 0.7]), "b": np.array([])}
+    got = [tuple(r) for r in boosting.in_bins(vectors.orderBy("vector"), ["a", "b"], "block", cuts).collect()]
+    assert got == [(4, 1, 0.5, 0.25, bytes([0, 0])), (3, 2, 1.5, 2.5, bytes([1, 0]))]
+
+
 def test_vectors_are_alike_to_nine_digits(spark):
     rows = [(1, 0.5, 1.0), (1, 0.5, 2.0), (1, 0.5 + 1e-12, 4.0), (1, 0.6, 8.0), (2, 0.5, 16.0)]
     got = boosting.feature_vectors(spark.createDataFrame(rows, "block int, f double, y double"), ["f"], "block", "y")
