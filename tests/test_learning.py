@@ -400,6 +400,38 @@ def test_permutation_ranks_the_relevant_predictor_first(found, rows):
     assert got["a"]["importance"] == max(r["importance"] for r in got.values()) > 0.3
 
 
+def test_permutation_takes_all_rows_of_each_model(spark, rows, deep, monkeypatch):
+    monkeypatch.setattr(attribution, "sample", None)
+    monkeypatch.setattr(attribution, "ROWS", 500)
+    table = rows.selectExpr("row_id", "y", "a", "b", "c", "-a AS d", "a * b AS e", "floor(c) * 1.0D AS f")
+    table = table.unionByName(table.where("a > 0").withColumn("row_id", F.concat("row_id", F.lit("again"))))
+    models = {0: deep, 3: attribution.Forest(0.1, list("abcdef"), deep.nodes[deep.nodes.tree < 2])}
+    got = {r["feature"]: r for r in attribution.permutation_importance(models, table, "y", "row_id", 3, seed=8).collect()}
+    # the same orders on plain rows, in the order of vectors and targets
+    plain = table.withColumn("v", F.xxhash64(*"abcdef")).orderBy("v", "y").toPandas()
+    x, y, n = {f: plain[f].to_numpy() for f in "abcdef"}, plain.y.to_numpy(), len(plain)
+    orders = [attribution.shuffled(np.arange(n), n, (8, k)) for k in range(3)]
+    assert n > 2000 and all(sorted(o) == list(range(n)) for o in orders)
+
+    def r2(model, x):
+        return 1 - ((y - model.predict(x)) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+
+    for f in "abcdef":
+        drops = [[r2(m, x) - r2(m, x | {f: x[f][o]}) for o in orders] for m in models.values()]
+        assert got[f]["importance"] == pytest.approx(np.mean(drops)) and got[f]["spread"] == pytest.approx(np.mean(np.std(drops, axis=1)))
+        assert got[f]["n_models"] == 2
+
+
+def test_a_random_order_holds_every_row_once():
+    for n in (1, 2, 3, 64, 65, 1000):
+        order = attribution.shuffled(np.arange(n), n, (1, 2))
+        assert sorted(order) == list(range(n))
+    order = attribution.shuffled(np.arange(5000), 5000, (1, 3))
+    assert abs(np.corrcoef(np.arange(5000), order)[0, 1]) < 0.05 and abs(np.corrcoef(order[1:], order[:-1])[0, 1]) < 0.05
+    assert (order != attribution.shuffled(np.arange(5000), 5000, (1, 4))).mean() > 0.99
+    assert list(attribution.shuffled(np.array([7, 4999]), 5000, (1, 3))) == [order[7], order[4999]]
+
+
 def test_shapley_values_add_up(found, rows):
     values = attribution.shapley_values(found, rows, "row_id", 60, 20)
     totals = {(r["run_id"], r["row"]): r["phi"] for r in values.groupBy("run_id", "row").agg(F.sum("phi").alias("phi")).collect()}
