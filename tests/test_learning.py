@@ -489,6 +489,18 @@ def test_steps_equal_plain_ones(blobs):
         assert value == pytest.approx(((xy[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum())
 
 
+def test_centres_out_of_reach_are_left_out(blobs):
+    xy = np.array([tuple(r) for r in blobs.collect()])
+    centres = np.array([[0.0, 0.0], [0.0, 100.0], [100.0, 0.0], [0.5, 0.5], [50.0, 50.0]])
+    near = xy[(xy < 20).all(axis=1)]
+    assert clusters.within_reach(near, centres).tolist() == [0, 3] and clusters.within_reach(near[:0], centres).tolist() == []
+    for some in (near, xy, xy[:1], np.array([[50.0, 0.0]]), np.array([[np.nan, 0.0], [1.0, 1.0]])):
+        gap = ((some[:, None] - centres[None]) ** 2).sum(axis=2)
+        at, least = clusters.nearest(some, centres)
+        known = ~np.isnan(some).any(axis=1)
+        assert (at[known] == gap[known].argmin(axis=1)).all() and np.array_equal(least, gap.min(axis=1), equal_nan=True)
+
+
 def test_points_at_one_place_are_one_with_their_count(spark, blobs, monkeypatch):
     seen, lloyd = [], clusters.lloyd
     monkeypatch.setattr(clusters, "lloyd", lambda points, *a: seen.append(points) or lloyd(points, *a))
