@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sylvagrid.operators.ranking import exact_percentiles, group_key, part_levels, with_value_part
+from sylvagrid.operators.ranking import exact_percentiles, group_key, part_levels, splitters, with_place
 from sylvagrid.session import stage
 
 # Chi-square quantiles (2 degrees of freedom) at 0.5 and 0.975.
@@ -68,20 +68,29 @@ def trim_outliers(
     return within(measured, 1.0 - contamination).select(*rows.columns)
 
 
-def _scored(rows: DataFrame, candidates: DataFrame, keys: Sequence[str], x: str, y: str, alpha: float) -> DataFrame:
+def _lines(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Staged (candidate, qs): the group and slope of every candidate line as one struct."""
+    return stage(candidates.withColumn("_c", F.struct(group_key(keys).alias("k"), F.col("slope").alias("s"))).select("_c", "qs"), "candidates")
+
+
+def _tried(rows: DataFrame, lines: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """(candidate, residual, number) of all rows and the candidates of their group."""
+    lines = lines.select("_c", F.col("_c.k").alias("_line_key"), F.col("_c.s").alias("_s"))
+    residual = (F.col(y) - F.col("_s") * F.col(x)).alias("_r")
+    return rows.join(lines, group_key(keys) == F.col("_line_key")).select("_c", residual, "_w")
+
+
+def _scored(rows: DataFrame, named: DataFrame, cuts: DataFrame | None, levels: int, keys: Sequence[str], x: str, y: str, alpha: float) -> DataFrame:
     """(keys, q, slope, intercept, loss): mean pinball loss plus the slope penalty of every candidate line.
 
-    `candidates` has the keys, a slope and the quantiles `qs` that it is tried for, a few
-    rows per group. `rows` that are alike come once with their number `_w`. Residuals exist only where they are scanned: counts and sums per
-    (candidate, value part) leave the scan, then the residuals of the parts that hold a
+    `named` are the candidates, each with the quantiles `qs` that it is tried for, a few
+    rows per group. `rows` that are alike come once with their number `_w`. `cuts` are the 2**levels - 1
+    splitters of the value parts. Residuals exist only where they are scanned: counts and sums per
+    (candidate, value part) leave the scan, then the residuals between the ends of the parts that hold a
     quantile. The loss follows from the sums on both sides of the quantile.
     """
-    named = candidates.withColumn("_c", F.struct(group_key(keys).alias("k"), F.col("slope").alias("s")))
-    named = stage(named.select("_c", "qs"), "candidates")
-    lines = named.select("_c", F.col("_c.k").alias("_line_key"), F.col("_c.s").alias("_s"))
-    residual = (F.col(y) - F.col("_s") * F.col(x)).alias("_r")
-    tried = rows.join(lines, group_key(keys) == F.col("_line_key")).select("_c", residual, "_w")
-    cut = with_value_part(tried, "_r", part_levels(rows.count()))
+    ends = cuts.scalar() if cuts is not None else F.array().cast("array<double>")
+    cut = with_place(_tried(rows, named, keys, x, y), "_part", ends, F.col("_r"), levels)
     before = W.partitionBy("_c").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy("_c")
     per = cut.groupBy("_c", "_part").agg(F.sum("_w").alias("_m"), F.sum(F.col("_w") * F.col("_r")).alias("_t"))
@@ -97,7 +106,14 @@ def _scored(rows: DataFrame, candidates: DataFrame, keys: Sequence[str], x: str,
     hits = stage(wanted.where((F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_m"))).withColumn("_rank", rank), "parts")
     inside = W.partitionBy("_c", "_part").orderBy("_r")
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    near = cut.join(hits.select("_c", "_part").distinct(), ["_c", "_part"]).groupBy("_c", "_part", "_r").agg(F.sum("_w").alias("_k"))
+    parts = hits.select("_c", "_part").distinct().select("*", F.get(ends, F.col("_part") - 1).alias("_low"), F.get(ends, F.col("_part")).alias("_high"))
+    parts = stage(parts.select("*", F.col("_c.k").alias("_line_key"), F.col("_c.s").alias("_s")), "parts")
+    residual = F.col(y) - F.col("_s") * F.col(x)
+    # an end that is missing bounds nothing; residuals that are missing are in the first part
+    inside_part = F.when(F.col("_part") > 0, residual >= F.col("_low")).otherwise(True) & (F.col("_high").isNull() | (residual < F.col("_high")))
+    held = F.coalesce(inside_part, F.col("_part") == 0)
+    near = rows.join(parts, (group_key(keys) == F.col("_line_key")) & held).select("_c", "_part", residual.alias("_r"), "_w")
+    near = near.groupBy("_c", "_part", "_r").agg(F.sum("_w").alias("_k"))
     near = near.withColumns({"_end": F.sum("_k").over(upto), "_upto": F.sum(F.col("_k") * F.col("_r")).over(upto)})
     at = near.join(hits, ["_c", "_part"]).where(F.col("_start") + F.col("_end") > F.col("_rank"))
     first = F.min(F.struct("_r", "_k", "_end", "_upto")).alias("_a")
@@ -139,7 +155,11 @@ def quantile_lines(
 
     every = F.array(*[F.lit(float(q)) for q in quantiles]).alias("qs")
     coarse = F.explode(F.array(*[F.lit(float(s)) for s in first])).alias("slope")
-    best = best_of(_scored(rows, rows.select(*keys).distinct().select(*keys, coarse, every), keys, x, y, alpha))
+    lines = _lines(rows.select(*keys).distinct().select(*keys, coarse, every), keys)
+    levels = part_levels(rows.count())
+    # slopes tried later lie between the coarse ones, and parts are counted anew: the splitters serve all rounds
+    cuts = splitters(_tried(rows, lines, keys, x, y), "_r", 2**levels) if levels else None
+    best = best_of(_scored(rows, lines, cuts, levels, keys, x, y, alpha))
     step = first[1] - first[0]
     for _ in range(refinements):
         step = step / 3.0
@@ -147,7 +167,7 @@ def quantile_lines(
         near = best.select(*keys, "q", "slope", around)
         near = near.withColumn("slope", F.round(F.col("slope") + F.col("_i") * step, 9))
         tried = near.groupBy(group_key(keys).alias("_key"), "slope").agg(F.collect_set("q").alias("qs")).select("_key.*", "slope", "qs")
-        best = best_of(_scored(rows, tried, keys, x, y, alpha).select(*best.columns).unionByName(best))
+        best = best_of(_scored(rows, _lines(tried, keys), cuts, levels, keys, x, y, alpha).select(*best.columns).unionByName(best))
     return best
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sylvagrid.operators import allometry, attribution, boosting, clusters, models
+from sylvagrid.operators import allometry, attribution, boosting, clusters, models, ranking
 from sylvagrid.session import stage
 
 FEATURES = ["a", "b", "c"]
@@ -489,18 +489,6 @@ def test_steps_equal_plain_ones(blobs):
         assert value == pytest.approx(((xy[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum())
 
 
-def test_centres_out_of_reach_are_left_out(blobs):
-    xy = np.array([tuple(r) for r in blobs.collect()])
-    centres = np.array([[0.0, 0.0], [0.0, 100.0], [100.0, 0.0], [0.5, 0.5], [50.0, 50.0]])
-    near = xy[(xy < 20).all(axis=1)]
-    assert clusters.within_reach(near, centres).tolist() == [0, 3] and clusters.within_reach(near[:0], centres).tolist() == []
-    for some in (near, xy, xy[:1], np.array([[50.0, 0.0]]), np.array([[np.nan, 0.0], [1.0, 1.0]])):
-        gap = ((some[:, None] - centres[None]) ** 2).sum(axis=2)
-        at, least = clusters.nearest(some, centres)
-        known = ~np.isnan(some).any(axis=1)
-        assert (at[known] == gap[known].argmin(axis=1)).all() and np.array_equal(least, gap.min(axis=1), equal_nan=True)
-
-
 def test_points_at_one_place_are_one_with_their_count(spark, blobs, monkeypatch):
     seen, lloyd = [], clusters.lloyd
     monkeypatch.setattr(clusters, "lloyd", lambda points, *a: seen.append(points) or lloyd(points, *a))
@@ -573,6 +561,22 @@ def test_rows_alike_are_scanned_once_by_quantile_lines(spark, monkeypatch):
     assert got.count() == 6
 
 
+def test_rounds_of_quantile_lines_share_their_splitters(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.uniform(0, 3, 800)
+    data = [("g" if i % 3 else "h", float(a), float(2 * a + e)) for i, (a, e) in enumerate(zip(x, rng.normal(0, 0.4, 800)))]
+    taken, splitters = [], ranking.splitters
+    for module in (allometry, ranking):
+        monkeypatch.setattr(module, "splitters", lambda *a: taken.append(a) or splitters(*a), raising=False)
+    got = allometry.quantile_lines(spark.createDataFrame(data, "g string, x double, y double"), ["g"], "x", "y", refinements=2).collect()
+    assert len(taken) == 1 and len(got) == 6
+    for r in got:
+        gaps = np.array([b - r["slope"] * a for g, a, b in data if g == r["g"]])
+        level = np.sort(gaps)[int(np.ceil(r["q"] * len(gaps) - 1e-9)) - 1]
+        off = gaps - level
+        assert r["intercept"] == pytest.approx(level) and r["loss"] == pytest.approx(np.maximum(r["q"] * off, (r["q"] - 1) * off).mean() + 0.05 * abs(r["slope"]))
+
+
 def test_quantile_lines_bracket_the_data(spark):
     rng = np.random.default_rng(10)
     x = rng.uniform(0, 3, 3000)
