@@ -403,6 +403,7 @@ def test_permutation_ranks_the_relevant_predictor_first(found, rows):
 def test_permutation_takes_all_rows_of_each_model(spark, rows, deep, monkeypatch):
     monkeypatch.setattr(attribution, "sample", None)
     monkeypatch.setattr(attribution, "ROWS", 500)
+    monkeypatch.setattr(attribution, "VECTORS", 64)
     table = rows.selectExpr("row_id", "y", "a", "b", "c", "-a AS d", "a * b AS e", "floor(c) * 1.0D AS f")
     table = table.unionByName(table.where("a > 0").withColumn("row_id", F.concat("row_id", F.lit("again"))))
     models = {0: deep, 3: attribution.Forest(0.1, list("abcdef"), deep.nodes[deep.nodes.tree < 2])}
