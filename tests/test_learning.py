@@ -407,6 +407,7 @@ def test_permutation_takes_all_rows_of_each_model(spark, rows, deep, monkeypatch
     table = rows.selectExpr("row_id", "y", "a", "b", "c", "-a AS d", "a * b AS e", "floor(c) * 1.0D AS f")
     table = table.unionByName(table.where("a > 0").withColumn("row_id", F.concat("row_id", F.lit("again"))))
     models = {0: deep, 3: attribution.Forest(0.1, list("abcdef"), deep.nodes[deep.nodes.tree < 2])}
+    assert attribution.permutation_importance({}, table, "y", "row_id").count() == 0
     got = {r["feature"]: r for r in attribution.permutation_importance(models, table, "y", "row_id", 3, seed=8).collect()}
     # the same orders on plain rows, in the order of vectors and targets
     plain = table.withColumn("v", F.xxhash64(*"abcdef")).orderBy("v", "y").toPandas()
